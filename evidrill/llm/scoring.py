@@ -283,18 +283,17 @@ def _score_bucket(totals: Totals, end: float):
     bottom = log10(totals.tokens + totals.types + 1)
 
     def run(texts: pa.Table, words: pa.Table) -> pa.Table:
-        keys = words.column("word").to_pylist()
-        count = dict(zip(keys, words.column("c").to_pylist()))
-        base = {w: log10(c + 1) - bottom for w, c in count.items()}
-        score = dict(zip(keys, words.column("score").to_pylist()))
+        place = {w: i for i, w in enumerate(words.column("word").to_pylist())}
+        c, score = (words.column(k).to_numpy() for k in ("c", "score"))
+        base, seen = np.log10(c + 1.0) - bottom, c > 0
         end_base, end_known = log10(totals.documents + 1) - bottom, int(totals.documents > 0)
         n, known, bases, scores = [], [], [], []
         for t in utf8(texts.column("text").combine_chunks()):
-            own = lower_words(t)
-            n.append(len(own) + 1)
-            known.append(sum([count[w] > 0 for w in own]) + end_known)
-            bases.append(sum([base[w] for w in own]) + end_base)
-            scores.append(sum([score[w] for w in own]) + end)
+            at = np.array([place[w] for w in lower_words(t)], dtype=np.int64)
+            n.append(len(at) + 1)
+            known.append(int(np.count_nonzero(seen[at])) + end_known)
+            bases.append(float(base[at].sum()) + end_base)
+            scores.append(float(score[at].sum()) + end)
         held = pa.array([not x for x in texts.column("learn").to_pylist()], pa.bool_())
         columns = [texts.column("doc_id"), held, pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array([totals.tokens] * len(n), pa.int64()), pa.array(bases, pa.float64()), pa.array(scores, pa.float64())]
         return pa.table(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
