@@ -141,7 +141,8 @@ def learn(docs: DataFrame, labels: DataFrame, settings: QualitySettings = Qualit
     rows = map_arrow(sample, counted, "counts binary, label int, place long")
     r = rows.repartition(1).mapInArrow(_train(s), "idf binary, basis binary, vectors binary, labels binary, prior double").first()
     idf, basis, vectors, own = (np.frombuffer(r[x], "<f4") for x in ("idf", "basis", "vectors", "labels"))
-    return QualityModel(idf, basis.reshape(len(idf), -1), vectors.reshape(len(own), -1), own, r.prior)
+    basis = basis.reshape(len(idf), -1)
+    return QualityModel(idf, basis, vectors.reshape(len(own), basis.shape[1]), own, r.prior)
 
 
 def score_documents(docs: DataFrame, model: QualityModel, settings: QualitySettings = QualitySettings(), column: str = "score") -> DataFrame:
