@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidrill.queries import curation, evaluation, graph, retrieval, streams
+from evidrill.queries import anchors, curation, evaluation, graph, retrieval, streams
 
-_FAMILIES = (retrieval, evaluation, graph, curation, streams)
+_FAMILIES = (retrieval, evaluation, graph, curation, anchors, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
