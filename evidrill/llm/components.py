@@ -28,6 +28,19 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     return moved.where("u <> v").distinct()
 
 
+def partial_labels(edges: DataFrame) -> DataFrame:
+    """(node, component) after one pass of stars: nodes of one label are connected; a component may still have several.
+
+    For callers that only want to know what need not be compared again, at the price of one pass.
+    """
+    pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
+    moved = materialize(_stars(pairs.distinct(), large=True), "passed-stars")
+    labels = moved.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+    # a node that is some node's label carries its own, so that both agree
+    roots = moved.select(F.col("v").alias("node")).distinct().join(labels.select("node"), "node", "left_anti").withColumn("component", F.col("node"))
+    return labels.unionByName(roots)
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node that each node of ``edges(a, b)`` reaches.
 

@@ -4,8 +4,9 @@ Documents with the same shingle set are one class. Classes that agree in a band
 signature batches are compared one after the other, and a candidate is pruned as soon as its posterior probability
 of reaching the threshold falls below the chosen miss probability. Survivors are verified on full shingle sets.
 
-Groups are never expanded to all pairs. First every member of a band meets only the band's least member; after these
-links are verified and joined to components, only members of a band in different components still meet, in blocks.
+Groups are never expanded to all pairs. In each of a few rounds every class meets one other of its bands that is in
+another component so far; links are verified and join components. Then only members of a band that are still in
+different components meet, in blocks, so no link between components is lost.
 
 Words are ``[^\x20\x09-\x0D]+`` with A-Z in lower case; shingles are told apart by 64-bit hashes. Defined results: a
 null text or one without words has an empty set and links with nothing; a text with fewer words than a shingle is one
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidrill.llm.common import lower_words, map_arrow, materialize, sorted_groups, splitmix, utf8
-from evidrill.llm.components import connected_components
+from evidrill.llm.components import connected_components, partial_labels
 
 
 @dataclass(frozen=True)
@@ -36,7 +37,8 @@ class MinHashSettings:
     bands: int = 24
     rows: int = 5
     batch: int = 24  #: signature values compared between two looks at the posterior
-    miss: float = 1e-5  #: posterior probability of the threshold below which a candidate is pruned
+    miss: float = 1e-3  #: posterior probability of the threshold below which a candidate is pruned
+    star_rounds: int = 3  #: rounds of one pair a class before what is left is compared in blocks
     block: int = 1024  #: members of a band compared at once
     seed: int = 5
 
@@ -65,13 +67,16 @@ def _permutations(s: MinHashSettings) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signature(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The least upper half of multiplied hashes for each permutation, in pieces that stay in cache."""
+    """Sixteen bits of the least multiplied hash for each permutation, in pieces that stay in cache.
+
+    Sixteen bits leave one chance agreement in 65,536 values, and halve what the joins carry.
+    """
     out = np.full(len(a), np.iinfo(np.uint64).max, dtype=np.uint64)
     for i in range(0, len(hashes), 512):
         x = hashes[None, i : i + 512] * a
         x += b
         np.minimum(out, x.min(axis=1), out=out)
-    return (out >> np.uint64(32)).astype(np.uint32)
+    return (splitmix(out) >> np.uint64(48)).astype(np.uint16)
 
 
 def band_keys(signatures: np.ndarray, s: MinHashSettings) -> np.ndarray:
@@ -124,7 +129,7 @@ def sign_documents(docs: DataFrame, s: MinHashSettings) -> DataFrame:
                 h = shingle_hashes(t, s.shingle)
                 counts.append(len(h))
                 keys.append(xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None)
-                signed.append(signature(h, a, b).astype("<u4").tobytes() if len(h) else None)
+                signed.append(signature(h, a, b).astype("<u2").tobytes() if len(h) else None)
             yield pa.record_batch([batch.column(0), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(signed, pa.binary())], names=["doc_id", "n_shingles", "class_key", "signature"])
 
         return work
@@ -135,7 +140,7 @@ def sign_documents(docs: DataFrame, s: MinHashSettings) -> DataFrame:
 def _bands(s: MinHashSettings):
     def make():
         def work(b: pa.RecordBatch):
-            keys = band_keys(np.stack([np.frombuffer(x, "<u4") for x in b.column(1).to_pylist()]), s)
+            keys = band_keys(np.stack([np.frombuffer(x, "<u2") for x in b.column(1).to_pylist()]), s)
             yield pa.record_batch([b.column(0), pa.FixedSizeListArray.from_arrays(pa.array(keys.reshape(-1)), s.bands).cast(pa.list_(pa.int64()))], names=["rep", "keys"])
 
         return work
@@ -143,14 +148,22 @@ def _bands(s: MinHashSettings):
     return make
 
 
+def _fitting(left: np.ndarray, right: np.ndarray, s: MinHashSettings) -> np.ndarray:
+    """Whether sets of these sizes can reach the threshold at all."""
+    return 100 * np.minimum(left, right) >= s.threshold_percent * np.maximum(left, right)
+
+
 def _prune(s: MinHashSettings):
     looks = least_matches(s)
 
     def make():
         def work(b: pa.RecordBatch):
-            left, right = (np.stack([np.frombuffer(x, "<u4") for x in b.column(i).to_pylist()]) for i in (2, 3))
-            alive = pa.array(survivors(left, right, looks))
-            yield pa.record_batch([b.column(0).take(alive), b.column(1).take(alive)], names=["a", "b"])
+            at = np.flatnonzero(_fitting(np.asarray(b.column("left_size")), np.asarray(b.column("right_size")), s))
+            if not len(at):
+                return
+            left, right = (np.stack([np.frombuffer(x, "<u2") for x in b.column(c).take(pa.array(at)).to_pylist()]) for c in ("left", "right"))
+            alive = pa.array(at[survivors(left, right, looks)])
+            yield pa.record_batch([b.column("a").take(alive), b.column("b").take(alive)], names=["a", "b"])
 
         return work
 
@@ -165,17 +178,19 @@ def _across(s: MinHashSettings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in sorted_groups(batches, ["band", "low", "high"]):
             low, high = (g.column(k)[0].as_py() for k in ("low", "high"))
-            mine, rep, comp = (np.asarray(g.column(k)) for k in ("mine", "rep", "component"))
-            signed = np.stack([np.frombuffer(x, "<u4") for x in g.column("signature").to_pylist()])
+            mine, rep, comp, size = (np.asarray(g.column(k)) for k in ("mine", "rep", "component", "n_shingles"))
+            signed = np.stack([np.frombuffer(x, "<u2") for x in g.column("signature").to_pylist()])
             left = np.flatnonzero(mine == low)
             right = left if low == high else np.flatnonzero(mine == high)
+            found = []
             for i in left.tolist():
-                other = right[(comp[right] != comp[i]) & ((rep[right] > rep[i]) | (low != high))]
+                other = right[(comp[right] != comp[i]) & ((rep[right] > rep[i]) | (low != high)) & _fitting(size[right], size[i], s)]
                 if len(other):
                     kept = other[survivors(np.broadcast_to(signed[i], (len(other), s.size)), signed[other], looks)]
-                    if len(kept):
-                        a, b = np.full(len(kept), rep[i]), rep[kept]
-                        yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=schema)
+                    found.append(np.stack((np.minimum(rep[i], rep[kept]), np.maximum(rep[i], rep[kept]))))
+            if found:
+                a, b = np.concatenate(found, axis=1)
+                yield pa.record_batch([pa.array(a), pa.array(b)], schema=schema)
 
     return run
 
@@ -201,34 +216,67 @@ def verify(pairs: DataFrame, docs: DataFrame, s: MinHashSettings) -> DataFrame:
     return linked.select("a", "b")
 
 
+def _labelled(bands: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Members of bands (band, rep, n) with their component so far; at first each is its own."""
+    own = bands.select("band", "rep", "n")
+    if labels is None:
+        return own.withColumn("component", F.col("rep"))
+    return own.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", "n", F.coalesce("component", "rep").alias("component"))
+
+
+def _stars(own: DataFrame, number: int) -> DataFrame:
+    """One pair (a < b) at most for each member: with the member of another component that leads one of its bands.
+
+    First the member that shares most places in bands leads: the text that near copies were made from stands closer to
+    all of them than they do to each other, so one round joins what copies alone would not. Later leaders are drawn by
+    a hash of their id and the round.
+    """
+    if number == 0:
+        shared = own.groupBy("rep").agg((-F.sum("n")).alias("draw"))
+        own = own.join(shared, "rep")
+    else:
+        own = own.withColumn("draw", F.xxhash64("rep", F.lit(number)))
+    leaders = own.groupBy("band").agg(F.min(F.struct("draw", F.col("rep").alias("leader"), F.col("component").alias("led"))).alias("x"), F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("band", "x.*")
+    met = own.drop("draw").join(leaders, "band").where("component <> led").groupBy("rep").agg(F.min(F.struct("draw", "leader"))["leader"].alias("leader"))
+    return met.select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
+
+
+def _with_signatures(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
+    side = lambda key, name: signatures.select(F.col("rep").alias(key), F.col("n_shingles").alias(f"{name}_size"), F.col("signature").alias(name))
+    return pairs.join(side("b", "right"), "b").join(side("a", "left"), "a")
+
+
 def near_duplicates(docs: DataFrame, settings: MinHashSettings = MinHashSettings()) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs(doc_id, text)``."""
     s = settings
     signed = materialize(sign_documents(docs, s), "signatures")
     usable = signed.where("class_key IS NOT NULL AND doc_id IS NOT NULL")
-    classes = materialize(usable.groupBy("class_key").agg(F.min(F.struct("doc_id", "signature")).alias("least")).select("class_key", F.col("least.doc_id").alias("rep"), F.col("least.signature").alias("signature")), "classes")
+    classes = materialize(usable.groupBy("class_key").agg(F.min(F.struct("doc_id", "n_shingles", "signature")).alias("least")).select("class_key", F.col("least.doc_id").alias("rep"), "least.n_shingles", "least.signature"), "classes")
     members = map_arrow(classes.select("rep", "signature"), _bands(s), "rep long, keys array<long>").select("rep", F.explode("keys").alias("band"))
-    shared = members.groupBy("band").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1")
+    shared = members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     bands = materialize(members.join(shared, "band"), "bands")
 
-    star = bands.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-    signatures = classes.select("rep", "signature")
-    sides = star.join(signatures.select(F.col("rep").alias("b"), F.col("signature").alias("right")), "b").join(signatures.select(F.col("rep").alias("a"), F.col("signature").alias("left")), "a")
-    candidates = materialize(map_arrow(sides.select("a", "b", "left", "right"), _prune(s), "a long, b long"), "star-candidates")
-    first = materialize(verify(candidates, docs, s), "star-links")
-    labels = materialize(connected_components(first), "star-components")
-
-    own = bands.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", "n", F.coalesce("component", "rep").alias("component"))
+    signatures = classes.select("rep", "n_shingles", "signature")
+    links, labels = None, None
+    for number in range(s.star_rounds):
+        stars = _stars(_labelled(bands, labels), number)
+        candidates = materialize(map_arrow(_with_signatures(stars, signatures), _prune(s), "a long, b long"), "star-candidates")
+        found = materialize(verify(candidates, docs, s), "star-links")
+        if found.isEmpty():
+            break
+        links = found if links is None else links.unionByName(found)
+        labels = materialize(partial_labels(links), "star-labels")
+
+    own = _labelled(bands, labels)
     split = own.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.max("n").alias("members")).where("least <> most")
     parts = F.ceil(F.col("members") / s.block).cast("int")
     mine = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
     met = own.drop("n").join(split.select("band", parts.alias("parts")), "band").select("band", "rep", "component", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     met = met.select("band", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "rep", "component")
     full = met.join(signatures, "rep").repartition("band", "low", "high").sortWithinPartitions("band", "low", "high", "rep")
-    rest = full.select("band", "low", "high", "mine", "rep", "component", "signature").mapInArrow(_across(s), "a long, b long").distinct()
-    rest = materialize(rest.join(candidates, ["a", "b"], "left_anti"), "rest-candidates")
-    second = materialize(verify(rest, docs, s), "rest-links")
-    components = connected_components(first.unionByName(second))
+    rest = full.select("band", "low", "high", "mine", "rep", "component", "n_shingles", "signature").mapInArrow(_across(s), "a long, b long").distinct()
+    second = materialize(verify(materialize(rest, "rest-candidates"), docs, s), "rest-links")
+    components = connected_components(second if links is None else links.unionByName(second))
 
     each = classes.select("class_key", "rep").join(components.withColumnRenamed("node", "rep"), "rep", "left").select("class_key", F.coalesce("component", "rep").alias("component"))
     out = signed.drop("signature").join(each, "class_key", "left")
