@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,8 @@ from evidrill.llm.components import connected_components
 @dataclass(frozen=True)
 class CrossPolytopeSettings:
     threshold: float = 0.95
-    tables: int = 8
+    tables: int = 8  #: at least; more where joined hashes make a table likelier to miss a pair
+    missed: float = 3e-4  #: chance at most that a pair at the threshold meets in no table, whatever the number of hashes
     hashes: int = 0  #: cross-polytope hashes joined in one bucket key; 0: as many as the number of vectors asks for
     probes: int = 3  #: buckets of each table that a vector stands in
     rotations: int = 3  #: random sign flips, each followed by a Hadamard transform
@@ -41,18 +43,48 @@ class CrossPolytopeSettings:
         return self.tables * self.probes
 
 
+def padded_size(dim: int) -> int:
+    """Length of rotated vectors, a power of two; in shorter ones the signs leave too few different rotations."""
+    return 1 << max(5, (dim - 1).bit_length())
+
+
 def hashes_for(vectors: int, dim: int, s: CrossPolytopeSettings) -> int:
     """The least number of hashes, two at least, with four times more buckets a table than places taken in it.
 
-    Strangers then meet by chance about as often at every size. At a cosine of 0.95 and 64 dimensions, three hashes
-    in 8 tables of 3 probes found all of 1,500 measured pairs.
+    Strangers then meet by chance about as often at every size. A table finds fewer near pairs with each hash joined,
+    so ``tables_for`` goes with it.
     """
-    values, n = 2 * max(dim, 8), 2
+    values, n = 2 * padded_size(dim), 2
     while values**n < 4 * vectors * s.probes:
         n += 1
     return n
 
 
+@lru_cache(maxsize=None)
+def tables_for(dim: int, s: CrossPolytopeSettings) -> int:
+    """The least number of tables, ``s.tables`` at least, that miss a pair at the threshold with a chance of ``s.missed`` at most.
+
+    Measured on random pairs at exactly the threshold, the hardest ones: a pair that meets in k of n trial tables is
+    missed by a share of C(n - k, t) / C(n, t) of all choices of t tables. Trials double until half of them are enough.
+    """
+    size = padded_size(dim)
+    draw = np.random.default_rng((s.seed, size, 1))
+    a, b = draw.standard_normal((2, min(1024, max(64, (1 << 16) // size)), size))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b = s.threshold * a + np.sqrt(1 - s.threshold**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    trials = 2 * s.tables
+    while True:
+        x, y = (bucket_keys(v, replace(s, tables=trials)).reshape(len(v), trials, s.probes) for v in (a, b))
+        apart = trials - (x[..., :, None] == y[..., None, :]).any(axis=(2, 3)).sum(axis=1)
+        missed = np.ones(len(a))
+        for t in range(1, trials // 2 + 1):
+            missed *= np.maximum(apart - t + 1, 0) / (trials - t + 1)
+            if t >= s.tables and missed.mean() <= s.missed:
+                return t
+        trials *= 2
+
+
 def hadamard(x: np.ndarray) -> np.ndarray:
     """Fast Walsh-Hadamard transform along the last axis, whose length is a power of two."""
     n, h = x.shape[-1], 1
@@ -68,7 +100,7 @@ def hadamard(x: np.ndarray) -> np.ndarray:
 def bucket_keys(vectors: np.ndarray, s: CrossPolytopeSettings) -> np.ndarray:
     """Bucket keys, int64, of unit vectors: (rows, tables * probes); the same for any batch."""
     n, dim = vectors.shape
-    size = 1 << max(3, (dim - 1).bit_length())
+    size = padded_size(dim)
     padded = np.zeros((n, size))
     padded[:, :dim] = vectors
     out = np.empty((n, s.tables, s.probes), dtype=np.int64)
@@ -169,8 +201,9 @@ def _compare(s: CrossPolytopeSettings):
             i, j = np.nonzero(near)
             i, j = left[i], right[j]
             edges_a, edges_b = [], []
-            for k in range(0, len(i), 1 << 15):
-                p, q = i[k : k + (1 << 15)], j[k : k + (1 << 15)]
+            step = max(1, (1 << 24) // places.shape[1] ** 2)
+            for k in range(0, len(i), step):
+                p, q = i[k : k + step], j[k : k + step]
                 first = _first_meeting(places[p], places[q])
                 here = places[p, first] == bucket
                 p, q = p[here], q[here]
@@ -206,9 +239,9 @@ def near_duplicates(vectors: DataFrame, settings: CrossPolytopeSettings = CrossP
     s = settings
     rows, same = classes_of(vectors)
     classes = materialize(same, "vector-classes")
-    if not s.hashes:
-        size = classes.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dim")).first()
-        s = replace(s, hashes=hashes_for(size.n, size.dim or 1, s))
+    size = classes.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dim")).first()
+    s = replace(s, hashes=s.hashes or hashes_for(size.n, size.dim or 1, s))
+    s = replace(s, tables=tables_for(size.dim or 1, s))
     hashed = materialize(map_arrow(classes.select("rep", "copies", "embedding"), _hash_rows(s), "rep long, copies long, vector binary, places binary, buckets array<long>"), "vector-hashes")
     members = hashed.select("rep", F.explode("buckets").alias("bucket"))
     blocks = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket", F.ceil(F.col("n") / s.block).cast("int").alias("parts"))

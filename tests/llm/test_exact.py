@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from dataclasses import replace
 from itertools import combinations
 from math import exp, log
 
@@ -81,6 +82,34 @@ def test_embeddings_against_all_pairs(spark):
     assert sum(got[i].component_id == want[i] for i in want) >= 0.98 * len(v)
 
 
+def pairs_at(cosine, n, dim):
+    rng = np.random.default_rng(9)
+    a, b = rng.standard_normal((2, n, dim))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    return a, cosine * a + np.sqrt(1 - cosine**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("dim", [3, 16, 64])
+def test_embedding_recall_at_every_size(dim):
+    """Pairs at the threshold meet as often with the hashes of a huge table as with those of a small one."""
+    a, b = pairs_at(0.95, 2000, dim)
+    for vectors in (10**3, 10**5, 10**7, 10**9):
+        s = embeddings.CrossPolytopeSettings(hashes=embeddings.hashes_for(vectors, dim, embeddings.CrossPolytopeSettings()))
+        s = replace(s, tables=embeddings.tables_for(dim, s))
+        x, y = embeddings.bucket_keys(a, s), embeddings.bucket_keys(b, s)
+        assert sum(not np.isin(p, q).any() for p, q in zip(x, y)) <= 4, (dim, s.hashes)
+
+
+def test_embeddings_with_the_hashes_of_a_huge_table(spark):
+    a, b = pairs_at(0.951, 500, 64)
+    v = np.concatenate((a, b))
+    near = v @ v.T >= 0.95
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = embeddings.near_duplicates(df, embeddings.CrossPolytopeSettings(hashes=5)).agg({"n_links": "sum"}).first()[0]
+    assert 0.995 * (near.sum() - len(v)) <= got <= near.sum() - len(v)
+
+
 def test_lattice_against_enumeration():
     vocabulary = {bytes([i]): -3.0 for i in range(256)} | {b" a": -1.0, b"ab": -1.5, b" ab": -2.0, b"ba": -2.5}
 
