@@ -6,9 +6,8 @@ into blocks, and every pair of blocks is one small matrix product, so no pair is
 the number of vectors that it links with (a pair counts in the first bucket that it meets in) and only the links
 that hold its components together.
 
-Defined results: vectors that are null, empty, zero or hold null or non-finite components, and vectors of another
-length than most others meet nothing of theirs: they link with nothing (vectors of one other length are compared with
-each other). Repeated vec_ids are vectors of their own for links and share a row's component; an empty table gives
+Defined results: vectors that are null, empty, zero or hold null or non-finite components link with
+nothing; vectors are compared with those of their own length only. Repeated vec_ids are vectors of their own for links and share a row's component; an empty table gives
 an empty result; extra columns are left out.
 """
 
@@ -104,7 +103,7 @@ def bucket_keys(vectors: np.ndarray, s: CrossPolytopeSettings) -> np.ndarray:
     padded = np.zeros((n, size))
     padded[:, :dim] = vectors
     out = np.empty((n, s.tables, s.probes), dtype=np.int64)
-    draw = np.random.default_rng((s.seed, size))
+    draw = np.random.default_rng((s.seed, dim))  # vectors of each length have rotations and buckets of their own
     for t in range(s.tables):
         values, scores = [], []
         for _ in range(s.hashes):
@@ -119,14 +118,14 @@ def bucket_keys(vectors: np.ndarray, s: CrossPolytopeSettings) -> np.ndarray:
         options = [tuple(0 for _ in range(s.hashes))]
         options += [tuple(r if i == j else 0 for i in range(s.hashes)) for j in range(s.hashes) for r in range(1, s.probes)]
         loss = np.stack([sum(scores[i][:, 0] - scores[i][:, r] for i, r in enumerate(o)) for o in options], axis=1)
-        keys = np.stack([_key(t, size, [values[i][:, r] for i, r in enumerate(o)]) for o in options], axis=1)
+        keys = np.stack([_key(t, dim, [values[i][:, r] for i, r in enumerate(o)]) for o in options], axis=1)
         first = np.argsort(loss, axis=1, kind="stable")[:, : s.probes]
         out[:, t, :] = np.sort(np.take_along_axis(keys, first, axis=1), axis=1)
     return out.reshape(n, -1)
 
 
-def _key(table: int, size: int, values: list[np.ndarray]) -> np.ndarray:
-    k = np.full(len(values[0]), table * 1_000_003 + size, dtype=np.uint64)
+def _key(table: int, dim: int, values: list[np.ndarray]) -> np.ndarray:
+    k = np.full(len(values[0]), table * 1_000_003 + dim, dtype=np.uint64)
     for v in values:
         k = splitmix(k * np.uint64(0x100000001B3) + v.astype(np.uint64))
     return k.view(np.int64)
@@ -191,15 +190,19 @@ def _compare(s: CrossPolytopeSettings):
             places = np.stack([np.frombuffer(x, "<i8") for x in g.column("places").to_pylist()])
             left = np.flatnonzero(mine == low)
             right = left if low == high else np.flatnonzero(mine == high)
-            if not len(left) or not len(right) or len({len(x) for x in v}) > 1:
+            if not len(left) or not len(right):
                 continue
-            v = np.stack(v)
             links = np.zeros(len(rep), dtype=np.int64)
-            near = v[left] @ v[right].T >= s.threshold
-            if low == high:
-                near = np.triu(near, 1)
-            i, j = np.nonzero(near)
-            i, j = left[i], right[j]
+            sizes, pairs = np.array([len(x) for x in v]), []
+            for dim in np.unique(sizes):  # more than one only where keys of two lengths collide
+                p, q = left[sizes[left] == dim], right[sizes[right] == dim]
+                if len(p) and len(q):
+                    near = np.stack([v[k] for k in p]) @ np.stack([v[k] for k in q]).T >= s.threshold
+                    if low == high:
+                        near = np.triu(near, 1)
+                    i, j = np.nonzero(near)
+                    pairs.append((p[i], q[j]))
+            i, j = (np.concatenate([x[k] for x in pairs] or [left[:0]]) for k in (0, 1))
             edges_a, edges_b = [], []
             step = max(1, (1 << 24) // places.shape[1] ** 2)
             for k in range(0, len(i), step):

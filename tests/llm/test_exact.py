@@ -110,6 +110,18 @@ def test_embeddings_with_the_hashes_of_a_huge_table(spark):
     assert 0.995 * (near.sum() - len(v)) <= got <= near.sum() - len(v)
 
 
+def test_embeddings_of_another_length_take_no_links(spark):
+    """Near copies of 64 components, with a few of 63 and 33 that begin as they do."""
+    rng = np.random.default_rng(4)
+    v = [c + 0.02 * rng.standard_normal(64) for c in rng.standard_normal((6, 64)) for _ in range(5)]
+    rows = [(i, x.tolist()) for i, x in enumerate(v)]
+    odd = [(100 + i, v[5 * i][:63].tolist()) for i in range(6)] + [(200 + i, v[i][:33].tolist()) for i in range(2)]
+    for s in (embeddings.CrossPolytopeSettings(), embeddings.CrossPolytopeSettings(block=3)):
+        got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>"), s).collect()}
+        assert all(got[i] == (4, i // 5 * 5) for i, _ in rows)
+        assert all(got[100 + i] == (0, 100 + i) for i in range(6)) and got[200] == got[201] == (1, 200)
+
+
 def test_lattice_against_enumeration():
     vocabulary = {bytes([i]): -3.0 for i in range(256)} | {b" a": -1.0, b"ab": -1.5, b" ab": -2.0, b"ba": -2.5}
 
