@@ -170,10 +170,23 @@ def grouped_split(components: Sequence[tuple[object, int, int, int]], size: int,
 def diverse_shortlist(df: DataFrame, group: str, limit: int = 5, order: Sequence[str] = ("rank",)) -> DataFrame:
     """Greedy picks per group in three passes: new page and new topic, then new page, then any; ``limit`` a group.
 
-    A fold over each group's sorted (page, topic, id) triples inside the JVM.
+    Ids are distinct in a group; a null topic is never new. A fold over each group's sorted (page, topic, id) triples
+    inside the JVM, without the rows that no pass can pick: with fewer than ``limit`` pages and topics taken, the first
+    pass picks among the first ``limit`` pages of a topic and the first ``limit`` topics of a page, where fewer than
+    2 ``limit``^2 rows that do not fit stand before its pick; the second among the first rows of the first ``limit``
+    pages; the third among the first ``limit`` rows.
     """
     row = F.struct(*[F.col(o) for o in order], F.col("page_number").alias("p"), F.col("topic").alias("t"), F.col("id").alias("i"))
-    groups = df.groupBy(group).agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    all_rows = df.select(F.col(group).alias("g"), row.alias("row"))
+    pairs = all_rows.groupBy("g", F.col("row.p").alias("p"), F.col("row.t").alias("t")).agg(F.min("row").alias("row"))
+    pages = pairs.groupBy("g", "p").agg(F.min("row").alias("row"))
+
+    def first(rows: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
+        return rows.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy("row"))).where(F.col("nth") <= n).drop("nth")
+
+    topical = first(first(pairs.where("t IS NOT NULL"), ["g", "t"], limit), ["g", "p"], limit)
+    kept = [first(x, ["g"], n).select("g", "row") for x, n in ((topical, 2 * limit**2), (pages, limit), (all_rows, limit))]
+    groups = kept[0].unionByName(kept[1]).unionByName(kept[2]).groupBy(F.col("g").alias(group)).agg(F.sort_array(F.collect_list("row")).alias("rows"))
     kind = groups.schema["rows"].dataType.simpleString()
 
     def pick(fits):
@@ -183,8 +196,8 @@ def diverse_shortlist(df: DataFrame, group: str, limit: int = 5, order: Sequence
 
         return step
 
-    new = lambda acc, x, f: ~F.exists(acc, lambda a: a[f] == x[f])
-    one = F.aggregate("rows", F.array().cast(kind), pick(lambda acc, x: new(acc, x, "p") & new(acc, x, "t")))
+    new = lambda acc, x, f: ~F.exists(acc, lambda a: a[f].eqNullSafe(x[f]))
+    one = F.aggregate("rows", F.array().cast(kind), pick(lambda acc, x: new(acc, x, "p") & new(acc, x, "t") & x["t"].isNotNull()))
     two = F.aggregate("rows", one, pick(lambda acc, x: new(acc, x, "p")))
     three = F.aggregate("rows", two, pick(lambda acc, x: F.lit(True)))
     return groups.select(group, F.posexplode(three).alias("n", "x")).select(group, (F.col("n") + 1).alias("pick"), F.col("x.i").alias("id"), F.col("x.p").alias("page_number"), F.col("x.t").alias("topic"))

@@ -183,11 +183,8 @@ def grouped_split(spark: SparkSession, sf: str) -> DataFrame:
 
 def diverse_shortlist(spark: SparkSession, sf: str) -> DataFrame:
     c = V.chunks(spark, sf).withColumn("len", F.abs(F.length("content") - 600))
-    from pyspark.sql import Window
-
-    ranked = c.withColumn("rank", F.row_number().over(Window.partitionBy("source_file").orderBy("len", "doc_id"))).where("rank <= 40")
-    rows = ranked.select("source_file", "rank", (F.col("page_number") % 7).alias("page_number"), F.col("lang").alias("topic"), F.col("candidate_key").alias("id"))
-    return C.diverse_shortlist(rows, "source_file", 5)
+    rows = c.select("source_file", "len", "doc_id", "page_number", F.col("lang").alias("topic"), F.col("candidate_key").alias("id"))
+    return C.diverse_shortlist(rows, "source_file", 5, ("len", "doc_id"))
 
 
 def compare_and_swap(spark: SparkSession, sf: str) -> DataFrame:

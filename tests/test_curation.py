@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidrill.operators import chunking, contracts as K, curation as C, evaluation as E
+from evidrill.queries import views as V
 from evidrill.sources import files as S
 from evidrill.streaming import events as ST
 
@@ -51,6 +52,41 @@ def test_shortlist_three_passes(spark):
     assert [r.id for r in got] == ["a", "d", "c", "b"]
 
 
+def shortlist(rows, limit):
+    """The reference's three passes over rows of (order, page, topic, id)."""
+    picked = []
+    for fits in (lambda r: r[2] is not None and r[1] not in {x[1] for x in picked} and r[2] not in {x[2] for x in picked}, lambda r: r[1] not in {x[1] for x in picked}, lambda r: True):
+        for r in sorted(rows, key=lambda r: r[0]):
+            if len(picked) < limit and r not in picked and fits(r):
+                picked.append(r)
+    return [r[3] for r in picked]
+
+
+def test_shortlist_leaves_out_no_row_that_counts(spark):
+    rng, groups = random.Random(6), {}
+    for g in range(120):
+        pages, topics = rng.choice([1, 2, 6, 90]), rng.choice([1, 3, 9, 90])
+        n = rng.choice([3, 30, 300])
+        # pages and topics of low numbers come first, so that later ones stand behind many that do not fit
+        groups[g] = [(k, rng.randrange(1 + k * pages // n), None if (t := rng.randrange(1 + k * topics // n)) == 2 else f"t{t}", f"i{k}") for k in range(n)]
+    df = spark.createDataFrame([(g, *r) for g, x in groups.items() for r in x], "g int, rank int, page_number int, topic string, id string").repartition(5)
+    for limit in (2, 5):
+        got = {}
+        for r in C.diverse_shortlist(df, "g", limit).orderBy("g", "pick").collect():
+            got.setdefault(r.g, []).append(r.id)
+        assert got == {g: shortlist(x, limit) for g, x in groups.items()}
+
+
+def test_shortlist_query_walks_whole_sources(spark, tmp_path):
+    """The only document of another language stands behind 60 of the first, on the last page."""
+    from evidrill.queries.curation import diverse_shortlist
+
+    docs = [(i * V.SOURCES, "x" * 600, "en", "s") for i in range(60)] + [(60 * V.SOURCES, "y" * 2000, "fr", "s")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [(r.page_number, r.topic) for r in diverse_shortlist(spark, str(tmp_path)).orderBy("pick").collect()]
+    assert got == [(1, "en"), (61, "fr"), (2, "en"), (3, "en"), (4, "en")]
+
+
 def test_passes_and_overlay(spark):
     df = spark.createDataFrame([(1, " yes ", "yes", '["a","b"]', '["b","a"]'), (2, "x", "y", "[]", None)], "id int, pass1_d string, pass2_d string, pass1_l string, pass2_l string")
     got = {r.id: r.disagreements for r in C.compare_passes(df, ["d"], ["l"]).collect()}
