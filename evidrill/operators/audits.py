@@ -53,3 +53,11 @@ def graph_index_audit(candidates: DataFrame, constraints: DataFrame) -> DataFram
 def collection_dims(vectors: DataFrame) -> DataFrame:
     """Vectors and dimension of each collection; the dimension of an empty one is 0."""
     return vectors.groupBy("collection").agg(F.count("*").alias("vectors"), F.coalesce(F.max(F.size("embedding")), F.lit(0)).alias("dim"))
+
+
+def quota_violations(paths: DataFrame, max_per_source: int, max_per_page: int) -> DataFrame:
+    """(query_id, source_violations, source_page_violations): sources and pages with more selected paths than allowed."""
+    keyed = paths.select("query_id", F.coalesce("source_file", F.lit("")).alias("s"), F.coalesce("page_number", F.lit(0)).alias("p"))
+    pages = keyed.groupBy("query_id", "s", "p").agg(F.count("*").alias("n"))
+    sources = pages.groupBy("query_id", "s").agg(F.sum("n").alias("n"), F.count_if(F.col("n") > max_per_page).alias("over"))
+    return sources.groupBy("query_id").agg(F.count_if(F.col("n") > max_per_source).alias("source_violations"), F.sum("over").alias("source_page_violations"))

@@ -247,6 +247,24 @@ def neighbour_pages(seeds: DataFrame, pages: DataFrame, radius: int = 1) -> Data
     return ranked(found, ["query_id", "source_file", "page_number"], [F.col("seed_rank"), F.col("offset"), F.col("candidate_key")], 1, "nth").drop("nth")
 
 
+def evidence_window(seeds: DataFrame, neighbours: DataFrame, final_k: int = 4, per_seed: int = 1) -> DataFrame:
+    """Seeds in rank order, each followed by at most ``per_seed`` of its neighbours; the first ``final_k`` a query.
+
+    ``seeds(query_id, source_file, page_number, candidate_key, seed_rank)`` and ``neighbours``, the rows of
+    ``neighbour_pages`` over the same seeds with ``overlap``, the question's share of characters: greatest first, then
+    nearest, then the page before. A page that is a seed again gives its next neighbours there.
+    """
+    page = ["query_id", "source_file", "seed_page"]
+    turns = ranked(seeds.withColumnRenamed("page_number", "seed_page"), page, [F.col("seed_rank"), F.col("candidate_key")], name="turn")
+    columns = ["query_id", "source_file", "page_number", "candidate_key", "seed_rank", "nth"]
+    out = turns.where("turn = 1").withColumnsRenamed({"seed_page": "page_number"}).withColumn("nth", F.lit(0)).select(columns)
+    if per_seed > 0:
+        near = ranked(neighbours.drop("seed_rank"), page, [F.col("overlap").desc(), F.abs("offset"), F.col("offset")], name="nth")
+        near = near.withColumn("turn", F.floor((F.col("nth") - 1) / per_seed).cast("int") + 1)
+        out = out.unionByName(near.join(turns.select(*page, "turn", "seed_rank"), [*page, "turn"]).select(columns))
+    return ranked(out.withColumn("is_neighbor", F.col("nth") > 0), ["query_id"], [F.col("seed_rank"), F.col("nth")], final_k, "position").drop("nth")
+
+
 def distinct_profiles(tasks: DataFrame, fields: Sequence[str]) -> DataFrame:
     """Logical tasks with the key of the one physical retrieval that serves all tasks of equal profile."""
     return tasks.withColumn("physical_key", F.sha2(F.concat_ws("|", *[F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields]), 256))

@@ -135,3 +135,40 @@ def test_lexical_fallback(spark):
     chunks = spark.createDataFrame([("k1", 128, "NICE_NG143_Fever_in_under_5s.pdf", "Paracetamol and ibuprofen for fever"), ("k2", 512, "NICE_NG143_Fever_in_under_5s.pdf", "nothing here"), ("k3", 128, "x.pdf", "fever")], "candidate_key string, granularity int, source_file string, content string")
     got = R.lexical_fallback(chunks, spark.createDataFrame([(1, "孩子发热"), (2, "其他")], "query_id long, query string")).collect()
     assert [(r.query_id, r.candidate_key) for r in got] == [(1, "k1")] and got[0].relevance_score == pytest.approx(0.52 + 0.40 * 3 / 7)
+
+
+def test_evidence_window_against_the_loop(spark):
+    """At most one neighbour a seed, by overlap with the question, then nearest, then before."""
+    rng = random.Random(8)
+    seeds = [(q, f"s{rng.randrange(2)}", rng.randrange(1, 9), f"k{q}-{r}", r) for q in range(25) for r in range(1, 5)]
+    pages = [(f"s{s}", p, f"s{s}p{p}", rng.choice([0.0, 0.5, 1.0])) for s in range(2) for p in range(1, 10)]
+    a = spark.createDataFrame(seeds, "query_id int, source_file string, page_number int, candidate_key string, seed_rank int")
+    near = R.neighbour_pages(a, spark.createDataFrame(pages, "source_file string, page_number int, candidate_key string, overlap double"), 2)
+    by_parent, want = {}, []
+    for r in near.collect():
+        by_parent.setdefault((r.query_id, r.source_file, r.seed_page), []).append(r)
+    for final_k, most in ((4, 1), (6, 2), (4, 0)):
+        want = []
+        for q in range(25):
+            chosen, seen = [], set()
+            for s in (s for s in seeds if s[0] == q):
+                if s[1:3] not in seen:
+                    chosen.append(s[3])
+                    seen.add(s[1:3])
+                n = 0
+                for x in sorted(by_parent.get(s[:3], []), key=lambda x: (-x.overlap, abs(x.offset), x.offset)):
+                    if n < most and (x.source_file, x.page_number) not in seen:
+                        chosen.append(x.candidate_key)
+                        seen.add((x.source_file, x.page_number))
+                        n += 1
+            want += [(q, i + 1, c) for i, c in enumerate(chosen[:final_k])]
+        got = R.evidence_window(a, near, final_k, most).select("query_id", "position", "candidate_key").collect()
+        assert sorted(map(tuple, got)) == want
+
+
+def test_quota_violations(spark):
+    from evidrill.operators.audits import quota_violations
+
+    rows = [(1, "a", 1), (1, "a", 1), (1, "a", 2), (1, "b", 1), (1, None, None), (2, "a", 1), (2, "a", 2)]
+    got = quota_violations(spark.createDataFrame(rows, "query_id int, source_file string, page_number int"), 2, 1).collect()
+    assert sorted(map(tuple, got)) == [(1, 1, 1), (2, 0, 0)]
