@@ -21,6 +21,7 @@ Extra columns are left out.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -41,7 +42,6 @@ _LN10 = log(10.0)
 @dataclass(frozen=True)
 class LatticeSettings:
     vocabulary: str  #: path of a byte-level vocabulary as ranks (one base64 piece and its rank a line)
-    longest: int = 16  #: bytes of a piece at most
     rounds: int = 2  #: of expectation-maximization
     rank_offset: float = 3.0
     smoothing: float = 0.05  #: added to each piece's expected count
@@ -55,7 +55,7 @@ def read_vocabulary(s: LatticeSettings) -> dict[bytes, int]:
         for a, b in map(bytes.split, f):
             piece = base64.b64decode(a)
             body = piece[1:] if piece[:1] == b" " else piece
-            if len(piece) == 1 or len(piece) <= s.longest and body and body.split() == [body] and body == body.lower():
+            if len(piece) == 1 or body and body.split() == [body] and body == body.lower():
                 out[piece] = int(b)
     for i in range(256):
         out.setdefault(bytes([i]), len(out) + i)
@@ -68,12 +68,11 @@ def initial_scores(vocabulary: dict[bytes, int], s: LatticeSettings) -> np.ndarr
     return x - np.log(np.exp(x).sum())
 
 
-def word_score(word: bytes, scores: dict[bytes, float], longest: int) -> float:
-    """Natural log of the summed probability of all segmentations of ``word``."""
+def word_score(word: bytes, scores: dict[bytes, float], lengths: list[int]) -> float:
+    """Natural log of the summed probability of all segmentations of ``word``; ``lengths`` of pieces, falling."""
     get, a = scores.get, [0.0]
     for j in range(1, len(word) + 1):
-        i = max(0, j - longest)
-        terms = [x + s for x, k in zip(a[i:], range(i, j)) if (s := get(word[k:j])) is not None]
+        terms = [a[j - n] + s for n in lengths if n <= j and (s := get(word[j - n : j])) is not None]
         top = max(terms)
         a.append(top + log(sum([exp(t - top) for t in terms])))
     return a[-1]
@@ -82,8 +81,8 @@ def word_score(word: bytes, scores: dict[bytes, float], longest: int) -> float:
 class Lattice:
     """Segmentations of many words at once: words of one length are the rows of a byte matrix.
 
-    Pieces are found by a 64-bit rolling hash; all pieces' hashes differ. Words beyond ``row_bytes`` bytes are rare and
-    go one by one.
+    Pieces are found by a 64-bit rolling hash; all pieces' hashes differ. Words beyond ``row_bytes`` bytes go one by
+    one, by the same recursions.
     """
 
     row_bytes = 48
@@ -92,6 +91,7 @@ class Lattice:
 
     def __init__(self, pieces: list[bytes], scores: np.ndarray, longest: int):
         self.longest = longest
+        self.lengths = sorted({len(p) for p in pieces}, reverse=True)
         self.by_piece = dict(zip(pieces, scores.tolist()))
         self.number = {p: i for i, p in enumerate(pieces)}
         with np.errstate(over="ignore"):
@@ -104,6 +104,7 @@ class Lattice:
         if (self.hashes[1:] == self.hashes[:-1]).any():
             raise ValueError("two pieces share a hash")
         self.order, self.scores = order, np.append(scores[order], -np.inf)
+        self.place = {pieces[k]: at for at, k in enumerate(order.tolist())}
 
     def _next(self, h: np.ndarray, byte: np.ndarray) -> np.ndarray:
         return (h + byte + np.uint64(1)) * self._multiplier
@@ -117,14 +118,19 @@ class Lattice:
             h = np.zeros(n, dtype=np.uint64)
             for j in range(i + 1, min(length, i + self.longest) + 1):
                 h = self._next(h, m[:, j - 1])
+                if j - i not in self.lengths:
+                    continue
                 at = np.minimum(np.searchsorted(self.hashes, h), none - 1)
                 out[i, j] = np.where(self.hashes[at] == h, at, none)
         return out
 
+    def _starts(self, j: int) -> list[int]:
+        return [j - n for n in self.lengths if n <= j]
+
     def _forward(self, m: np.ndarray, edges: dict[tuple[int, int], np.ndarray]) -> list[np.ndarray]:
         a = [np.zeros(len(m))]
         for j in range(1, m.shape[1] + 1):
-            terms = np.stack([a[i] + self.scores[edges[i, j]] for i in range(max(0, j - self.longest), j)])
+            terms = np.stack([a[i] + self.scores[edges[i, j]] for i in self._starts(j)])
             top = terms.max(axis=0)
             a.append(top + np.log(np.exp(terms - top).sum(axis=0)))
         return a
@@ -145,21 +151,25 @@ class Lattice:
         """Natural log of each word's probability: forward recursion over all segmentations."""
         out = np.empty(len(words))
         for at, m in self._blocks(words):
-            out[at] = [word_score(words[i], self.by_piece, self.longest) for i in at] if m is None else self._forward(m, self._edges(m))[-1]
+            out[at] = [word_score(words[i], self.by_piece, self.lengths) for i in at] if m is None else self._forward(m, self._edges(m))[-1]
         return out
 
     def expected(self, words: list[bytes]) -> np.ndarray:
         """Expected uses of each piece over one occurrence of each word: forward and backward recursion."""
         out = np.zeros(len(self.order) + 1)
         for at, m in self._blocks(words):
-            groups = [m] if m is not None else [np.frombuffer(words[i], dtype=np.uint8)[None, :] for i in at if len(words[i]) <= self.row_bytes]
-            for g in groups:  # longer words, which are rarely made of words' parts, teach nothing
+            if m is None and len(words[at[0]]) > self.row_bytes:
+                for i in at:
+                    self._add_expected(words[i], out)
+                continue
+            groups = [m] if m is not None else [np.frombuffer(words[i], dtype=np.uint8)[None, :] for i in at]
+            for g in groups:
                 edges = self._edges(g)
                 a = self._forward(g, edges)
                 back = [np.zeros(len(g)) for _ in a]
                 back[-1] += 1.0
                 for j in range(g.shape[1], 0, -1):
-                    for i in range(max(0, j - self.longest), j):
+                    for i in self._starts(j):
                         p = back[j] * np.exp(a[i] + self.scores[edges[i, j]] - a[j])
                         back[i] += p
                         np.add.at(out, edges[i, j], p)
@@ -167,6 +177,21 @@ class Lattice:
         counts[self.order] = out[:-1]
         return counts
 
+    def _add_expected(self, word: bytes, out: np.ndarray) -> None:
+        """Adds the expected uses over one word of any length; holds two numbers a byte."""
+        get, score, a = self.place.get, self.by_piece, array("d", [0.0])
+        for j in range(1, len(word) + 1):
+            terms = [a[j - n] + s for n in self.lengths if n <= j and (s := score.get(word[j - n : j])) is not None]
+            top = max(terms)
+            a.append(top + log(sum([exp(t - top) for t in terms])))
+        back = array("d", bytes(8 * len(word))) + array("d", [1.0])
+        for j in range(len(word), 0, -1):
+            for n in self.lengths:
+                if n <= j and (s := score.get(piece := word[j - n : j])) is not None:
+                    p = back[j] * exp(a[j - n] + s - a[j])
+                    back[j - n] += p
+                    out[get(piece)] += p
+
 
 def count_words(docs: DataFrame) -> DataFrame:
     """(word, c): every distinct word of ``docs(text, learn)`` and its count in rows with ``learn``."""
@@ -199,7 +224,8 @@ def fit_scores(words: DataFrame, s: LatticeSettings) -> Lattice:
     """Scores of the pieces from the distinct training words, each of which counts once: the lattice is for new words."""
     vocabulary = read_vocabulary(s)
     pieces = list(vocabulary)
-    lattice = Lattice(pieces, initial_scores(vocabulary, s), s.longest)
+    longest = max(map(len, pieces))
+    lattice = Lattice(pieces, initial_scores(vocabulary, s), longest)
     for _ in range(s.rounds):
         shared = words.sparkSession.sparkContext.broadcast(lattice)
 
@@ -214,7 +240,7 @@ def fit_scores(words: DataFrame, s: LatticeSettings) -> Lattice:
         counts = np.full(len(pieces), s.smoothing)
         for r in summed.collect():  # no more rows than pieces
             counts[r.piece] += r.expected
-        lattice = Lattice(pieces, np.log(counts / counts.sum()), s.longest)
+        lattice = Lattice(pieces, np.log(counts / counts.sum()), longest)
     return lattice
 
 

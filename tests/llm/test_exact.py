@@ -137,6 +137,20 @@ def test_lattice_against_enumeration():
     assert sum(len(p) * c for p, c in counts.items()) == pytest.approx(sum(map(len, words)))
 
 
+def test_long_words_teach_and_long_pieces_count():
+    """A word of over 48 bytes is weighed like the same bytes in the matrix, and no piece is left out for its length."""
+    vocabulary = {bytes([i]): -3.0 for i in range(256)} | {b" a": -1.0, b"ab": -1.5, b"ba": -2.5, b"ab" * 10: -2.0}
+    lattice = scoring.Lattice(list(vocabulary), np.array(list(vocabulary.values())), 20)
+    word = b" " + b"abba" * 9 + b"ab" * 20
+    counts = lattice.expected([word])
+    assert counts @ np.array([len(p) for p in vocabulary]) == pytest.approx(len(word))
+    wide = scoring.Lattice(list(vocabulary), np.array(list(vocabulary.values())), 20)
+    wide.row_bytes = 1000
+    assert np.allclose(counts, wide.expected([word])) and np.allclose(lattice.marginals([word] * 9), wide.marginals([word] * 9))
+    pieces = scoring.read_vocabulary(scoring.LatticeSettings(vocabulary=tokenizer_file("byte_bpe_50k.tiktoken")))
+    assert max(map(len, pieces)) == 128
+
+
 def test_scores_are_a_distribution(spark):
     """All words over two letters up to a length, and the end, weigh at most 1."""
     s = scoring.LatticeSettings(vocabulary=tokenizer_file("byte_bpe_50k.tiktoken"), rounds=1)
