@@ -29,6 +29,7 @@ _NOT_LETTERS = re.compile(r"[\W\d_]+")
 class LanguageSettings:
     dictionary_bytes: int = 96 << 10  #: of each language's dictionary; bounds the fit and the broadcast
     sample_docs: int = 128  #: expected documents of each language that a dictionary is cut from
+    slice_chars: int = 512
     block_chars: int = 2048  #: texts are compressed in blocks, so that a long text's own history does not decide
     level: int = 3
     min_margin: float = 0.02  #: share by which the runner-up must be larger
@@ -49,25 +50,36 @@ def _coders(dictionaries: dict[str, bytes], level: int) -> dict[str, Callable[[b
     return made
 
 
-def build_dictionaries(slices: dict[str, list[bytes]], settings: LanguageSettings) -> dict[str, bytes]:
-    """Dictionaries from slices of text by language, without the slices that another language compresses better.
+def build_dictionaries(slices: dict[str, list[tuple[int, bytes]]], settings: LanguageSettings) -> dict[str, bytes]:
+    """Dictionaries from (document, slice of its text) by language, without the slices that another language compresses better.
 
-    Each half of the slices is judged by dictionaries from the other half, so mislabelled or foreign passages, which
-    would attract long matches, don't get in. A language that would lose all its slices keeps them.
+    The slices of each half of the documents are judged by dictionaries from the other half, so mislabelled or foreign
+    passages, which would attract long matches, don't get in. A language that would lose all its slices keeps them.
     """
-    kept: dict[str, list[bytes]] = {lang: [] for lang in slices}
-    for half in (0, 1):
-        coders = _coders({lang: b" ".join(x[1 - half :: 2]) for lang, x in slices.items()}, settings.level)
-        for lang, own in slices.items():
-            kept[lang] += [s for s in own[half::2] if len(coders[lang](s)) <= min(len(c(s)) for c in coders.values())]
-    return {lang: b" ".join(x or slices[lang])[-settings.dictionary_bytes :] for lang, x in kept.items()}
+    coders = [_coders({lang: b" ".join(s for d, s in x if d % 2 != half) for lang, x in slices.items()}, settings.level) for half in (0, 1)]
+    out = {}
+    for lang, own in slices.items():
+        kept = [s for d, s in own if len(coders[d % 2][lang](s)) <= min(len(c(s)) for c in coders[d % 2].values())]
+        out[lang] = b" ".join(kept or [s for _, s in own])[-settings.dictionary_bytes :]
+    return out
+
+
+def _share(lengths: list[int], total: int) -> int:
+    """The least bound on each length under which they add up to ``total``, or the greatest length."""
+    left = total
+    for k, n in enumerate(sorted(lengths)):
+        if n * (len(lengths) - k) >= left:
+            return -(-left // (len(lengths) - k))
+        left -= n
+    return max(lengths, default=0)
 
 
 def learn_dictionaries(docs: DataFrame, settings: LanguageSettings = LanguageSettings(), modulus: int = 4, held: int = 2) -> dict[str, bytes]:
     """A dictionary for each language of the rows that are not held out.
 
     Counts by language set a hash threshold for each, so that about ``sample_docs`` documents are read for any one,
-    however many rows it has; equal slices of them fill the dictionary.
+    however many rows it has. Slices spread over their whole texts, more a document where there are few, fill the
+    dictionary twice over, as some are left out; every document and part of it has its share of what is kept.
     """
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (key_remainder("doc_id", modulus) != held))
     counts = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -76,13 +88,20 @@ def learn_dictionaries(docs: DataFrame, settings: LanguageSettings = LanguageSet
     shares = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, settings.sample_docs / n))])
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("dictionary")), F.lit(1 << 30)) / float(1 << 30)
     chosen = usable.where(draw < shares[F.col("lang")])
-    part = max(1, settings.dictionary_bytes // max(1, settings.sample_docs // 2))
-    slice_of = F.substring("text", 1, part).alias("text")
-    rows = chosen.select("lang", "doc_id", slice_of).collect()
-    texts: dict[str, list[bytes]] = {lang: [] for lang in counts}
-    for r in sorted(rows, key=lambda r: (r.lang, r.doc_id is None, r.doc_id, r.text)):
-        texts[r.lang].append(letters(r.text))
-    return build_dictionaries({lang: [x for x in own if x] for lang, own in texts.items()}, settings)
+    lengths: dict[str, list[int]] = {lang: [] for lang in counts}
+    for r in chosen.select("lang", F.length("text").alias("n")).collect():
+        lengths[r.lang].append(r.n)
+    bounds = F.create_map(*[F.lit(x) for lang, own in sorted(lengths.items()) for x in (lang, _share(own, 2 * settings.dictionary_bytes))])
+    size, wide = F.length("text"), settings.slice_chars
+    last = F.greatest(F.ceil(F.least(size, bounds[F.col("lang")]) / wide).cast("int") - 1, F.lit(0))
+    start = lambda i: F.floor(i * F.greatest(size - wide, F.lit(0)) / F.greatest(last, F.lit(1))).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), last), lambda i: F.substr("text", start(i.cast("long")) + 1, F.lit(wide)))
+    rows = chosen.select("lang", "doc_id", cut.alias("slices")).collect()
+    texts: dict[str, list[tuple[float, int, bytes]]] = {lang: [] for lang in counts}
+    for d, r in enumerate(sorted(rows, key=lambda r: (r.lang, r.doc_id is None, r.doc_id, r.slices))):
+        # places by the golden ratio, so that any run of the slices is spread over documents and their parts
+        texts[r.lang] += [((d + i) * 0.6180339887498949 % 1, d, x) for i, s in enumerate(r.slices) if (x := letters(s))]
+    return build_dictionaries({lang: [(d, x) for _, d, x in sorted(own)] for lang, own in texts.items()}, settings)
 
 
 def predict_language(docs: DataFrame, dictionaries: dict[str, bytes], settings: LanguageSettings = LanguageSettings()) -> DataFrame:

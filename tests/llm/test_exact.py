@@ -10,7 +10,7 @@ from math import exp, log
 import numpy as np
 import pytest
 
-from evidrill.llm import embeddings, minhash, packing, quality, scoring, toxicity
+from evidrill.llm import embeddings, language, minhash, packing, quality, scoring, toxicity
 from evidrill.llm.components import connected_components
 from evidrill.llm.registry import pack_settings, tokenizer_file
 
@@ -122,6 +122,21 @@ def test_embeddings_of_another_length_take_no_links(spark):
         assert all(got[100 + i] == (0, 100 + i) for i in range(6)) and got[200] == got[201] == (1, 200)
 
 
+def test_few_long_documents_fill_a_dictionary(spark):
+    """Four long documents of a rare language fill its dictionary, from their ends too, beside many short ones of another."""
+    rng = random.Random(2)
+    rare = [" ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(7000)) + " finale" + "xyzv"[k] * 3 for k in range(4)]
+    common = [" ".join("".join(rng.choice("qrstuvw") for _ in range(6)) for _ in range(60)) for _ in range(300)]
+    df = spark.createDataFrame([(i, t, "rare" if i < 4 else "common") for i, t in enumerate(rare + common)], "doc_id long, text string, lang string")
+    s = language.LanguageSettings()
+    d = language.learn_dictionaries(df, s, modulus=1, held=1)
+    assert len(d["rare"]) >= 0.95 * s.dictionary_bytes
+    for t in rare:  # each quarter of each text has its share
+        for q in range(4):
+            part = t.encode()[q * len(t) // 4 : (q + 1) * len(t) // 4]
+            assert sum(d["rare"][i : i + 60] in part for i in range(0, len(d["rare"]), 200)) >= 10
+
+
 def test_lattice_against_enumeration():
     vocabulary = {bytes([i]): -3.0 for i in range(256)} | {b" a": -1.0, b"ab": -1.5, b" ab": -2.0, b"ba": -2.5}
 
