@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -13,8 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Documents that one bucket of a co-grouped job is meant to hold, in bytes of compressed input.
-BUCKET_BYTES = 8 << 20
+#: Documents that one bucket of a co-grouped job is meant to hold, in bytes of text.
+BUCKET_BYTES = 24 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,10 +32,12 @@ _own_folder: list[str] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a private one only where that is unset."""
+    """The shared folder named by ``spark.checkpoint.dir``; a private one only in local mode where that is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _own_folder:
         _own_folder.append(tempfile.mkdtemp(prefix="evidrill-"))
     return f"file://{_own_folder[0]}"
@@ -58,11 +61,20 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = f"{scratch_root(spark)}/evidrill/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_forget, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes materialized tables whose last reader is done."""
+    for t in tables:
+        if t is not None:
+            _forget(t.sparkSession, t.scratch_path)
 
 
 def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the size of ``df``: the size of its files for a plain scan."""
+    """Catalyst's estimate of the size of ``df``: the size of its files for a plain scan, and of no use for other plans."""
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     return int(str(size))
 
@@ -71,10 +83,9 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def bucket_count(df: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> int:
-    """Buckets of bounded size for ``df``; as many as there are shuffle partitions at least."""
-    estimated = plan_bytes(df) // bucket_bytes + 1
-    return int(max(shuffle_partitions(df.sparkSession), min(estimated, 1 << 20)))
+def bucket_count(spark: SparkSession, text_bytes: int, bucket_bytes: int = BUCKET_BYTES) -> int:
+    """Buckets of bounded size for so many bytes of text; as many as there are shuffle partitions at least."""
+    return int(max(shuffle_partitions(spark), text_bytes // bucket_bytes + 1))
 
 
 def utf8(column: pa.Array) -> list[bytes]:

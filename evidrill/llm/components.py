@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidrill.llm.common import materialize
+from evidrill.llm.common import discard, materialize
 
 #: Rounds after which the search is given up; alternating stars need about log2(diameter) squared at most.
 MAX_ROUNDS = 60
@@ -29,7 +29,7 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def partial_labels(edges: DataFrame) -> DataFrame:
-    """(node, component) after one pass of stars: nodes of one label are connected; a component may still have several.
+    """(node, component), materialized, after one pass of stars: nodes of one label are connected; a component may still have several.
 
     For callers that only want to know what need not be compared again, at the price of one pass.
     """
@@ -38,7 +38,9 @@ def partial_labels(edges: DataFrame) -> DataFrame:
     labels = moved.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
     # a node that is some node's label carries its own, so that both agree
     roots = moved.select(F.col("v").alias("node")).distinct().join(labels.select("node"), "node", "left_anti").withColumn("component", F.col("node"))
-    return labels.unionByName(roots)
+    out = materialize(labels.unionByName(roots), "partial-labels")
+    discard(moved)
+    return out
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -51,7 +53,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     current = materialize(pairs.distinct(), "edges")
     before = None
     for _ in range(MAX_ROUNDS):
-        current = materialize(_stars(_stars(current, large=True), large=False), "stars")
+        current, last = materialize(_stars(_stars(current, large=True), large=False), "stars"), current
+        discard(last)
         state = current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break

@@ -6,7 +6,9 @@ of reaching the threshold falls below the chosen miss probability. Survivors are
 
 Groups are never expanded to all pairs. In each of a few rounds every class meets one other of its bands that is in
 another component so far; links are verified and join components. Then only members of a band that are still in
-different components meet, in blocks, so no link between components is lost.
+different components meet, in blocks of bounded size. A block of signatures tells which of its members survive with
+one another; these meet again with their full sets, are verified there, and the block gives out only the links that
+hold its components together. No link between components is lost, and no pair is ever a row of its own.
 
 Words are ``[^\x20\x09-\x0D]+`` with A-Z in lower case; shingles are told apart by 64-bit hashes. Defined results: a
 null text or one without words has an empty set and links with nothing; a text with fewer words than a shingle is one
@@ -23,10 +25,11 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from evidrill.llm.common import lower_words, map_arrow, materialize, sorted_groups, splitmix, utf8
+from evidrill.llm.common import discard, lower_words, map_arrow, materialize, sorted_groups, splitmix, utf8
 from evidrill.llm.components import connected_components, partial_labels
 
 
@@ -40,6 +43,7 @@ class MinHashSettings:
     miss: float = 1e-3  #: posterior probability of the threshold below which a candidate is pruned
     star_rounds: int = 3  #: rounds of one pair a class before what is left is compared in blocks
     block: int = 1024  #: members of a band compared at once
+    block_shingles: int = 1 << 20  #: and shingles of theirs
     seed: int = 5
 
     @property
@@ -141,7 +145,7 @@ def _bands(s: MinHashSettings):
     def make():
         def work(b: pa.RecordBatch):
             keys = band_keys(np.stack([np.frombuffer(x, "<u2") for x in b.column(1).to_pylist()]), s)
-            yield pa.record_batch([b.column(0), pa.FixedSizeListArray.from_arrays(pa.array(keys.reshape(-1)), s.bands).cast(pa.list_(pa.int64()))], names=["rep", "keys"])
+            yield pa.record_batch([b.column(0), b.column(2), pa.FixedSizeListArray.from_arrays(pa.array(keys.reshape(-1)), s.bands).cast(pa.list_(pa.int64()))], names=["rep", "n_shingles", "keys"])
 
         return work
 
@@ -170,58 +174,121 @@ def _prune(s: MinHashSettings):
     return make
 
 
-def _across(s: MinHashSettings):
-    """Pairs of a band's blocks whose members are in different components and survive the looks."""
+_BLOCK = ("band", "low", "high", "mine", "rep", "component", "n_shingles", "signature")
+_BLOCK_SCHEMA = "band long, low int, high int, mine int, rep long, component long, n_shingles long, signature binary"
+
+
+class _Block:
+    """Members of two of a band's blocks, or of one, and which of them survive with one another."""
+
+    def __init__(self, g: pa.Table, s: MinHashSettings):
+        self.s, self.rows = s, g
+        self.band, self.low, self.high = (g.column(k)[0].as_py() for k in ("band", "low", "high"))
+        self.rep, self.size = np.asarray(g.column("rep")), np.asarray(g.column("n_shingles"))
+        self.label = np.unique(np.asarray(g.column("component")), return_inverse=True)[1]
+        self.signed = np.stack([np.frombuffer(x, "<u2") for x in g.column("signature").to_pylist()])
+        self.keys = band_keys(self.signed, s)
+        mine = np.asarray(g.column("mine"))
+        self.left = np.flatnonzero(mine == self.low)
+        self.right = self.left if self.low == self.high else np.flatnonzero(mine == self.high)
+
+    def survivors_of(self, i: int, looks: list[tuple[int, int]]) -> np.ndarray:
+        """Members of other components that survive with member ``i`` and meet it in no band before this one."""
+        right = self.right
+        other = right[(self.label[right] != self.label[i]) & ((self.rep[right] > self.rep[i]) | (self.low != self.high)) & _fitting(self.size[right], self.size[i], self.s)]
+        first = (self.keys[other] == self.keys[i]).argmax(axis=1)
+        other = other[self.keys[i, first] == self.band]
+        return other[survivors(np.broadcast_to(self.signed[i], (len(other), self.s.size)), self.signed[other], looks)]
+
+
+def _surviving(s: MinHashSettings):
+    """The members of each pair of blocks that survive with another one."""
+    looks = least_matches(s)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in sorted_groups(batches, ["band", "low", "high"]):
+            block, alive = _Block(g, s), np.zeros(g.num_rows, dtype=bool)
+            for i in block.left.tolist():
+                found = block.survivors_of(i, looks)
+                alive[found] = True
+                alive[i] |= len(found) > 0
+            if alive.any():
+                yield from g.filter(pa.array(alive)).to_batches()
+
+    return run
+
+
+def linked(own: np.ndarray, others: list[np.ndarray], s: MinHashSettings) -> np.ndarray:
+    """Which of the sorted, non-empty sets ``others`` reach the threshold with the sorted set ``own``."""
+    sizes = np.array([len(x) for x in others])
+    flat = np.concatenate(others)
+    at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+    both = np.add.reduceat(own[at] == flat, np.concatenate(([0], np.cumsum(sizes)[:-1])), dtype=np.int64)
+    return 100 * both >= s.threshold_percent * (len(own) + sizes - both)
+
+
+def _verified(s: MinHashSettings):
+    """Links, confirmed on full sets, that hold the components of each pair of blocks together."""
     looks = least_matches(s)
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in sorted_groups(batches, ["band", "low", "high"]):
-            low, high = (g.column(k)[0].as_py() for k in ("low", "high"))
-            mine, rep, comp, size = (np.asarray(g.column(k)) for k in ("mine", "rep", "component", "n_shingles"))
-            signed = np.stack([np.frombuffer(x, "<u2") for x in g.column("signature").to_pylist()])
-            left = np.flatnonzero(mine == low)
-            right = left if low == high else np.flatnonzero(mine == high)
-            found = []
-            for i in left.tolist():
-                other = right[(comp[right] != comp[i]) & ((rep[right] > rep[i]) | (low != high)) & _fitting(size[right], size[i], s)]
-                if len(other):
-                    kept = other[survivors(np.broadcast_to(signed[i], (len(other), s.size)), signed[other], looks)]
-                    found.append(np.stack((np.minimum(rep[i], rep[kept]), np.maximum(rep[i], rep[kept]))))
-            if found:
-                a, b = np.concatenate(found, axis=1)
-                yield pa.record_batch([pa.array(a), pa.array(b)], schema=schema)
+            block, links = _Block(g, s), []
+            column = g.column("shingles").combine_chunks()
+            offsets, flat = np.asarray(column.offsets), np.asarray(column.values)
+            sets = [flat[i:j] for i, j in zip(offsets, offsets[1:])]
+            for i in block.left.tolist():
+                other = block.survivors_of(i, looks)
+                if not len(other):
+                    continue
+                for j in other[linked(sets[i], [sets[k] for k in other], s)].tolist():
+                    if block.label[i] != block.label[j]:
+                        block.label[block.label == block.label[j]] = block.label[i]
+                        links.append((block.rep[i], block.rep[j]))
+            if links:
+                a, b = np.array(links).T
+                yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=schema)
 
     return run
 
 
-def verify(pairs: DataFrame, docs: DataFrame, s: MinHashSettings) -> DataFrame:
-    """The (a, b) of ``pairs`` whose full shingle sets reach the threshold."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+def shingle_sets(docs: DataFrame, reps: DataFrame, s: MinHashSettings) -> DataFrame:
+    """(id, shingles): the sorted full sets of the documents in ``reps(rep)``.
+
+    Joined by shuffle at every size: the ids grow with the corpus.
+    """
 
     def shingled():
         def work(batch: pa.RecordBatch):
             sets = [shingle_hashes(t, s.shingle).view(np.int64) for t in utf8(batch.column(1))]
+            for x in sets:
+                x.sort()
             offsets = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)
             flat = np.concatenate(sets) if sets else np.empty(0, np.int64)
             yield pa.record_batch([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["id", "shingles"])
 
         return work
 
+    wanted = reps.select(F.col("rep").alias("doc_id")).hint("merge")
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
-    sets = materialize(map_arrow(chosen, shingled, "id long, shingles array<long>"), "shingle-sets")
+    return map_arrow(chosen, shingled, "id long, shingles array<long>")
+
+
+def verify(pairs: DataFrame, sets: DataFrame, s: MinHashSettings) -> DataFrame:
+    """The (a, b) of ``pairs`` whose full shingle sets reach the threshold."""
     left, right = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
-    linked = pairs.join(right, "b").join(left, "a").where(100 * both >= s.threshold_percent * (F.size("sa") + F.size("sb") - both))
-    return linked.select("a", "b")
+    reached = pairs.join(right, "b").join(left, "a").where(100 * both >= s.threshold_percent * (F.size("sa") + F.size("sb") - both))
+    return reached.select("a", "b")
 
 
 def _labelled(bands: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Members of bands (band, rep, n) with their component so far; at first each is its own."""
-    own = bands.select("band", "rep", "n")
+    """Members of bands (band, rep, n, parts) with their component so far; at first each is its own."""
+    own = bands.select("band", "rep", "n", "parts")
     if labels is None:
         return own.withColumn("component", F.col("rep"))
-    return own.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", "n", F.coalesce("component", "rep").alias("component"))
+    return own.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", "n", "parts", F.coalesce("component", "rep").alias("component"))
 
 
 def _stars(own: DataFrame, number: int) -> DataFrame:
@@ -237,7 +304,7 @@ def _stars(own: DataFrame, number: int) -> DataFrame:
     else:
         own = own.withColumn("draw", F.xxhash64("rep", F.lit(number)))
     leaders = own.groupBy("band").agg(F.min(F.struct("draw", F.col("rep").alias("leader"), F.col("component").alias("led"))).alias("x"), F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("band", "x.*")
-    met = own.drop("draw").join(leaders, "band").where("component <> led").groupBy("rep").agg(F.min(F.struct("draw", "leader"))["leader"].alias("leader"))
+    met = own.drop("draw", "parts").join(leaders, "band").where("component <> led").groupBy("rep").agg(F.min(F.struct("draw", "leader"))["leader"].alias("leader"))
     return met.select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
 
 
@@ -246,37 +313,51 @@ def _with_signatures(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
     return pairs.join(side("b", "right"), "b").join(side("a", "left"), "a")
 
 
+def _rest(bands: DataFrame, labels: DataFrame | None, signatures: DataFrame, sets: DataFrame, s: MinHashSettings) -> DataFrame:
+    """Links between members of a band that the star rounds left in different components."""
+    own = _labelled(bands, labels)
+    split = own.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.max("parts").alias("parts")).where("least <> most")
+    mine = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
+    met = own.drop("n", "parts").join(split.select("band", "parts"), "band").select("band", "rep", "component", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    met = met.select("band", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "rep", "component")
+    blocks = met.join(signatures, "rep").select(*_BLOCK).repartition("band", "low", "high").sortWithinPartitions("band", "low", "high", "rep")
+    alive = materialize(blocks.mapInArrow(_surviving(s), _BLOCK_SCHEMA), "block-survivors")
+    full = alive.join(sets.withColumnRenamed("id", "rep"), "rep").select(*_BLOCK, "shingles")
+    grouped = full.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high", "rep")
+    links = materialize(grouped.mapInArrow(_verified(s), "a long, b long"), "block-links")
+    discard(alive)
+    return links
+
+
 def near_duplicates(docs: DataFrame, settings: MinHashSettings = MinHashSettings()) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs(doc_id, text)``."""
     s = settings
     signed = materialize(sign_documents(docs, s), "signatures")
     usable = signed.where("class_key IS NOT NULL AND doc_id IS NOT NULL")
     classes = materialize(usable.groupBy("class_key").agg(F.min(F.struct("doc_id", "n_shingles", "signature")).alias("least")).select("class_key", F.col("least.doc_id").alias("rep"), "least.n_shingles", "least.signature"), "classes")
-    members = map_arrow(classes.select("rep", "signature"), _bands(s), "rep long, keys array<long>").select("rep", F.explode("keys").alias("band"))
-    shared = members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    bands = materialize(members.join(shared, "band"), "bands")
+    members = map_arrow(classes.select("rep", "signature", "n_shingles"), _bands(s), "rep long, n_shingles long, keys array<long>").select("rep", "n_shingles", F.explode("keys").alias("band"))
+    parts = F.ceil(F.greatest(F.count("*") / s.block, F.sum("n_shingles") / s.block_shingles)).cast("int")
+    shared = members.groupBy("band").agg(F.count("*").alias("n"), parts.alias("parts")).where("n > 1")
+    bands = materialize(members.drop("n_shingles").join(shared, "band"), "bands")
+    sets = materialize(shingle_sets(docs, bands.select("rep").distinct(), s), "shingle-sets")
 
     signatures = classes.select("rep", "n_shingles", "signature")
-    links, labels = None, None
+    links, labels, tables = None, None, []
     for number in range(s.star_rounds):
         stars = _stars(_labelled(bands, labels), number)
         candidates = materialize(map_arrow(_with_signatures(stars, signatures), _prune(s), "a long, b long"), "star-candidates")
-        found = materialize(verify(candidates, docs, s), "star-links")
+        found = materialize(verify(candidates, sets, s), "star-links")
+        tables.append(found)
+        discard(candidates)
         if found.isEmpty():
             break
         links = found if links is None else links.unionByName(found)
-        labels = materialize(partial_labels(links), "star-labels")
+        discard(labels)
+        labels = partial_labels(links)
 
-    own = _labelled(bands, labels)
-    split = own.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.max("n").alias("members")).where("least <> most")
-    parts = F.ceil(F.col("members") / s.block).cast("int")
-    mine = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
-    met = own.drop("n").join(split.select("band", parts.alias("parts")), "band").select("band", "rep", "component", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    met = met.select("band", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "rep", "component")
-    full = met.join(signatures, "rep").repartition("band", "low", "high").sortWithinPartitions("band", "low", "high", "rep")
-    rest = full.select("band", "low", "high", "mine", "rep", "component", "n_shingles", "signature").mapInArrow(_across(s), "a long, b long").distinct()
-    second = materialize(verify(materialize(rest, "rest-candidates"), docs, s), "rest-links")
+    second = _rest(bands, labels, signatures, sets, s)
     components = connected_components(second if links is None else links.unionByName(second))
+    discard(bands, sets, labels, second, *tables)
 
     each = classes.select("class_key", "rep").join(components.withColumnRenamed("node", "rep"), "rep", "left").select("class_key", F.coalesce("component", "rep").alias("component"))
     out = signed.drop("signature").join(each, "class_key", "left")
@@ -285,9 +366,15 @@ def near_duplicates(docs: DataFrame, settings: MinHashSettings = MinHashSettings
 
 
 def keep_one_of_each(docs: DataFrame, settings: MinHashSettings = MinHashSettings()) -> DataFrame:
-    """The rows of ``docs`` that are the least of their group, with their own columns only."""
+    """One row of ``docs`` for each group, with its own columns only; rows with a null doc_id all stay.
+
+    Of several rows with the kept id the first in the order of a hash of all columns stays.
+    """
     kept = near_duplicates(docs, settings).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].cast("long") == kept["__kept_id"], "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))
+    chosen = docs.join(kept.hint("merge"), docs["doc_id"].cast("long") == kept["__kept_id"], "left_semi")
+    first = Window.partitionBy("doc_id").orderBy(F.xxhash64(*[F.to_json(F.col(f"`{c}`")) if isinstance(docs.schema[c].dataType, T.MapType) else F.col(f"`{c}`") for c in docs.columns]))
+    one = chosen.withColumn("__place", F.row_number().over(first)).where("__place = 1").drop("__place")
+    return one.unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 ORACLE_SQL = r"""

@@ -329,11 +329,12 @@ def _score_bucket(totals: Totals, end: float):
 
 def score_documents(docs: DataFrame, settings: LatticeSettings, modulus: int = 7, held: int = 2) -> DataFrame:
     """Lattice and base scores of every whole text; learned from the rows whose id's remainder is not ``held``."""
-    buckets = bucket_count(docs.select("text"))
+    size = docs.select(F.count(F.when(key_remainder("doc_id", modulus) != held, 1)).alias("learn"), F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0)).alias("bytes")).first()
+    buckets = bucket_count(docs.sparkSession, size.bytes)
     bucket = F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets))
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"), (key_remainder("doc_id", modulus) != held).alias("learn"), bucket.alias("bucket"))
     words = materialize(count_words(rows), "words")
-    documents = rows.where("learn").count()
+    documents = size.learn
     sums = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
     totals = Totals(sums.n + documents, sums.v + (documents > 0), documents)
     lattice = fit_scores(words, settings)
