@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidrill.functions.text import char_ngrams
+from evidrill.sources.scratch import discard, write_once
 
 
 def seeded_order(seed: str, key: str | Column) -> Column:
@@ -75,40 +75,21 @@ def independence_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     Least labels spread over edges and labels of labels (so long chains halve), each round written to the shared
     checkpoint folder; it ends when nothing changes.
     """
-    spark = edges.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
-
-    def written(df: DataFrame) -> DataFrame:
-        path = f"{root.rstrip('/')}/evidrill/components-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
-    both = written(edges.where("a <> b").select("a", "b").unionByName(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = written(nodes.select("id", F.col("id").alias("component")))
+    both = write_once(edges.where("a <> b").select("a", "b").unionByName(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "component-edges")
+    labels = write_once(nodes.select("id", F.col("id").alias("component")), "components")
     before = None
     while True:
         near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
         step = labels.join(near, "id", "left").select("id", F.least("component", "near").alias("component"))
         jump = step.join(step.select(F.col("id").alias("component"), F.col("component").alias("up")), "component", "left")
-        labels = written(jump.select("id", F.least("component", "up").alias("component")))
+        labels, last = write_once(jump.select("id", F.least("component", "up").alias("component")), "components"), labels
+        discard(last)
         state = labels.agg(F.sum(F.xxhash64("id", "component").cast("decimal(38,0)"))).first()[0]
         if state == before:
             return labels
         before = state
 
 
-_folders: list[str] = []
-
-
-def _own_folder() -> str:
-    """For sessions that name no checkpoint folder, such as tests."""
-    if not _folders:
-        import tempfile
-
-        _folders.append("file://" + tempfile.mkdtemp(prefix="evidrill-"))
-    return _folders[0]
-
-
 Vector = tuple[int, ...]
 
 

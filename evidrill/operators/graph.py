@@ -44,34 +44,39 @@ def qualify_paths(query: DataFrame, candidates: DataFrame, constraints: DataFram
     no_content_supported_match, broad_content_only, condition_class_only, qualified.
     """
     q = query.select("query_id", "ctype", "cvalue", "strong").distinct()
-    owned = constraints.where(F.col("scope").isin("context", "content", "source")).groupBy(F.col("owner_id").alias("candidate_key"), "ctype", "cvalue").agg(*[F.max((F.col("scope") == s).cast("int")).alias(s) for s in ("context", "content", "source")])
-    matched = q.join(owned.where("context = 1"), ["ctype", "cvalue"])
+    is_type = lambda t: F.col("ctype") == t
     broad = F.lit(False)
     for t, v in BROAD_CONTENT:
         broad = broad | ((F.col("ctype") == t) & (F.col("cvalue") == v))
-    is_type = lambda t: F.col("ctype") == t
+    # a candidate's constraints travel as one row with its page, so that what it names needs no joins of its own
+    scopes = F.collect_set(F.struct("ctype", "cvalue", "scope"))
+    owned = constraints.where(F.col("scope").isin("context", "content", "source")).groupBy(F.col("owner_id").alias("candidate_key")).agg(scopes.alias("all"))
+    owned = owned.join(candidates.select("candidate_key", "source_file", "page_number"), "candidate_key")
+    within = lambda scope, x: F.exists("all", lambda y: (y["scope"] == scope) & (y["ctype"] == x["ctype"]) & (y["cvalue"] == x["cvalue"]))
+    condition = lambda scope: F.exists("all", lambda y: (y["scope"] == scope) & (y["ctype"] == "clinical_condition"))
+    items = F.transform(F.filter("all", lambda x: x["scope"] == "context"), lambda x: F.struct(x["ctype"].alias("ctype"), x["cvalue"].alias("cvalue"), within("content", x).alias("content"), within("source", x).alias("source")))
+    rows = owned.select("candidate_key", "source_file", "page_number", condition("context").alias("candidate_condition"), condition("source").alias("source_condition"), F.explode(items).alias("x")).select("*", "x.*").drop("x")
+    asked = q.join(q.groupBy("query_id").agg(F.bool_or(is_type("clinical_condition")).alias("query_condition")), "query_id")
+    matched = rows.join(asked, ["ctype", "cvalue"])
     specific = F.col("ctype").isin(*SPECIFIC_ANCHORS) | (is_type("medication_class") & ~broad)
-    content = F.col("content") == 1
-    stats = matched.groupBy("query_id", "candidate_key").agg(
+    content = F.col("content")
+    # each (type, value) of a query meets a candidate once, so distinct types are the bits of a small set
+    kinds = lambda c: F.size(F.collect_set(c)).cast("long")
+    rows = matched.groupBy("query_id", "candidate_key").agg(
+        *[F.any_value(c).alias(c) for c in ("source_file", "page_number", "candidate_condition", "source_condition", "query_condition")],
         F.count("*").alias("match_count"),
-        F.count_distinct("ctype").alias("type_count"),
+        kinds(F.col("ctype")).alias("type_count"),
         F.count_if(content).alias("content_match_count"),
-        F.count_distinct(F.when(content, F.col("ctype"))).alias("content_type_count"),
+        kinds(F.when(content, F.col("ctype"))).alias("content_type_count"),
         F.bool_or(F.col("strong") | F.col("ctype").isin(*STRONG_ANCHORS)).alias("strong"),
         F.bool_or(specific).alias("specific"),
         F.bool_or(content & ~broad).alias("content_specific"),
         F.bool_or(is_type("clinical_condition")).alias("has_condition"),
         F.bool_or(is_type("medication_class")).alias("has_class"),
         F.bool_or(is_type("medication_class") & ~broad).alias("has_own_class"),
-        F.bool_or(is_type("clinical_condition") & (F.col("source") == 1)).alias("condition_in_source"),
+        F.bool_or(is_type("clinical_condition") & F.col("source")).alias("condition_in_source"),
         F.bool_or(is_type("clinical_condition") & content).alias("condition_in_content"),
     )
-    conditions = lambda df, key: df.where(is_type("clinical_condition")).select(key).distinct()
-    asked = conditions(q, "query_id").withColumn("query_condition", F.lit(True))
-    named = conditions(owned.where("context = 1"), "candidate_key").withColumn("candidate_condition", F.lit(True))
-    in_source = conditions(owned.where("source = 1"), "candidate_key").withColumn("source_condition", F.lit(True))
-    rows = stats.join(asked, "query_id", "left").join(named, "candidate_key", "left").join(in_source, "candidate_key", "left")
-    rows = rows.na.fill(False, ["query_condition", "candidate_condition", "source_condition"])
     only_class = F.col("has_condition") & F.col("has_class") & (F.col("type_count") == 2)
     reason = (
         F.when(F.col("query_condition") & F.col("candidate_condition") & ~F.col("has_condition"), "condition_conflict")
@@ -90,8 +95,7 @@ def qualify_paths(query: DataFrame, candidates: DataFrame, constraints: DataFram
         .when(F.col("condition_in_content"), 2)
         .otherwise(4)
     )
-    out = rows.withColumn("reason", reason).withColumn("tier", tier).join(candidates.select("candidate_key", "source_file", "page_number"), "candidate_key")
-    return out.select("query_id", "candidate_key", "source_file", "page_number", "reason", "tier", "match_count", "type_count", "content_match_count", "content_type_count")
+    return rows.withColumn("reason", reason).withColumn("tier", tier).select("query_id", "candidate_key", "source_file", "page_number", "reason", "tier", "match_count", "type_count", "content_match_count", "content_type_count")
 
 
 PATH_ORDER = ("tier", "-content_type_count", "-content_match_count", "-type_count", "-match_count", "source_file", "page_number", "candidate_key")
@@ -101,22 +105,38 @@ def _order(names: Sequence[str]) -> list[Column]:
     return [F.col(n[1:]).desc() if n[0] == "-" else F.col(n) for n in names]
 
 
-def route_with_quotas(qualified: DataFrame, total: int = 20, per_source: int = 2, per_page: int = 1, order: Sequence[str] = PATH_ORDER) -> DataFrame:
-    """Quota routing as three chained windows; equal to taking rows greedily while page, source and total have room.
+def select_with_quotas(qualified: DataFrame, total: int = 20, per_source: int = 2, per_page: int = 1, order: Sequence[str] = PATH_ORDER) -> DataFrame:
+    """Rows that greedy taking selects while page, source and total have room, with route_rank.
 
-    Each counter only grows, so a row that a later quota drops implies that every later row of its group is dropped
-    too. Adds raw_rank, route_decision (selected or the quota that dropped the row) and route_rank.
+    Each counter only grows, so a row that one quota drops implies that every later row of its group is dropped too:
+    three chained limits on groups, each planned before its sort, and small after the first.
     """
     o = _order(order)
-    df = qualified.withColumn("raw_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*o)))
-    at = lambda *keys: Window.partitionBy("query_id", *keys).orderBy("raw_rank")
-    df = df.withColumn("s1", F.row_number().over(at("source_file", "page_number")) <= per_page)
-    df = df.withColumn("s2", F.col("s1") & (F.sum(F.col("s1").cast("int")).over(at("source_file")) <= per_source))
-    df = df.withColumn("sel", F.col("s2") & (F.sum(F.col("s2").cast("int")).over(at()) <= total))
-    before = lambda *keys: F.coalesce(F.sum(F.col("sel").cast("int")).over(at(*keys).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    df = df.withColumn("in_page", before("source_file", "page_number")).withColumn("in_source", before("source_file")).withColumn("in_all", before())
-    decision = F.when(F.col("sel"), "selected").when(F.col("in_page") >= per_page, "source_page_quota").when(F.col("in_source") >= per_source, "source_quota").otherwise("total_quota")
-    return df.withColumn("route_decision", decision).withColumn("route_rank", F.when(F.col("sel"), F.col("in_all") + 1)).drop("s1", "s2", "sel", "in_page", "in_source", "in_all")
+    of_page = ranked(qualified, ["query_id", "source_file", "page_number"], o, per_page, "nth").drop("nth")
+    of_source = ranked(of_page, ["query_id", "source_file"], o, per_source, "nth").drop("nth")
+    return ranked(of_source, ["query_id"], o, total, "route_rank")
+
+
+def route_with_quotas(qualified: DataFrame, total: int = 20, per_source: int = 2, per_page: int = 1, order: Sequence[str] = PATH_ORDER) -> DataFrame:
+    """Quota routing of every row: raw_rank, route_decision (selected or the quota that dropped the row), route_rank.
+
+    A row is dropped by the first of page, source and total that is full before it. Where a page or source becomes
+    full is the place of its last selected row, so only those few places are joined to all rows.
+    """
+    place = F.struct(*[(-F.col(n[1:]) if n[0] == "-" else F.col(n)).alias(f"o{i}") for i, n in enumerate(order)])
+    rows = qualified.withColumn("place", place)
+    chosen = select_with_quotas(rows, total, per_source, per_page, order)
+    full = lambda keys, n, name: chosen.groupBy("query_id", *keys).agg(F.count("*").alias("n"), F.max("place").alias(name)).where(F.col("n") >= n).drop("n")
+    pages, sources = full(("source_file", "page_number"), per_page, "page_full"), full(("source_file",), per_source, "source_full")
+    picks = chosen.select("query_id", "candidate_key", F.col("route_rank").cast("long").alias("route_rank"))
+    df = rows
+    for keys, right in ((("query_id", "source_file", "page_number"), pages), (("query_id", "source_file"), sources), (("query_id", "candidate_key"), picks)):
+        right = right.withColumnsRenamed({k: f"_{k}" for k in keys})
+        df = df.join(right, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left").drop(*[f"_{k}" for k in keys])
+    past = lambda c: F.coalesce(F.col("place") > F.col(c), F.lit(False))
+    decision = F.when(F.col("route_rank").isNotNull(), "selected").when(past("page_full"), "source_page_quota").when(past("source_full"), "source_quota").otherwise("total_quota")
+    df = df.withColumn("route_decision", decision).withColumn("raw_rank", F.row_number().over(Window.partitionBy("query_id").orderBy("place")))
+    return df.drop("place", "page_full", "source_full")
 
 
 def expand_with_budget(baseline: DataFrame, graph: DataFrame, budget: int, quota: int) -> DataFrame:

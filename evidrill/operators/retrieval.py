@@ -33,7 +33,7 @@ def squared_distance(a: str | Column, b: str | Column) -> Column:
     return F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x)
 
 
-def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, spark_rows: int = 4096) -> DataFrame:
+def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Exact nearest neighbours: (query_id, collection, candidate_key, distance, raw_score, route_rank, route).
 
     ``vectors(candidate_key, collection, embedding)``, ``queries(query_id, query_vector)``. Squared distances in double
@@ -168,22 +168,27 @@ def greedy_dedup(pool: DataFrame, threshold: float = 0.8, limit: int = 4, n: int
 
     A row is skipped if its provenance is invalid, if its normalised text equals an admitted one, or if an admitted
     row of the same source and page shares at least ``threshold`` of the smaller gram set; the fold admits ``limit``.
-    The pool of a query is a top-k list, so the collected array is small by construction.
+    The pool of a query is a top-k list with distinct ranks, so the collected array is small by construction; it holds
+    digests and the ranks that a row is near to, no texts.
     """
-    text = norm_text("content")
     valid = (F.coalesce(F.trim("source_file"), F.lit("")) != "") & F.coalesce(F.col("page_number") > 0, F.lit(False))
-    row = F.struct(F.col(order).alias("o"), F.col("candidate_key").alias("k"), F.col("source_file").alias("s"), F.col("page_number").alias("p"), text.alias("t"), char_ngrams(text, n).alias("g"), valid.alias("v"))
-    pools = pool.groupBy(*by).agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    text = norm_text("content")
+    # grams only of rows that meet another one of their page, near flags once for each such pair
+    same_page = pool.select(*by, "source_file", "page_number", F.col(order).alias("o"), F.col("candidate_key").alias("k"), text.alias("t"))
+    left, right = same_page.select(*by, "source_file", "page_number", F.col("o").alias("lo"), F.col("k").alias("lk"), F.col("t").alias("lt")), same_page
+    pairs = right.join(left, [*by, "source_file", "page_number"]).where((F.col("lo") < F.col("o")) & (F.col("lt") != F.col("t")))
+    pairs = pairs.withColumn("lg", char_ngrams("lt", n)).withColumn("g", char_ngrams("t", n))
+    least = F.least(F.size("lg"), F.size("g"))
+    near = pairs.where((least > 0) & (F.size(F.array_intersect("lg", "g")) >= F.lit(threshold) * least)).groupBy(*by, "o", F.col("k").alias("candidate_key")).agg(F.collect_set("lo").alias("near"))
+    row = F.struct(F.col(order).alias("o"), F.col("candidate_key").alias("k"), F.col("digest").alias("t"), F.coalesce("near", F.array().cast(near.schema["near"].dataType)).alias("near"), F.col("valid").alias("v"))
+    marked = pool.select(*by, order, "candidate_key", F.sha2(text, 256).alias("digest"), valid.alias("valid")).join(near.withColumnRenamed("o", order), [*by, order, "candidate_key"], "left")
+    pools = marked.groupBy(*by).agg(F.sort_array(F.collect_list(row)).alias("rows"))
     kind = pools.schema["rows"].dataType.simpleString()
 
-    def near(a: Column, x: Column) -> Column:
-        least = F.least(F.size(a["g"]), F.size(x["g"]))
-        return (a["s"] == x["s"]) & (a["p"] == x["p"]) & (least > 0) & (F.size(F.array_intersect(a["g"], x["g"])) >= F.lit(threshold) * least)
-
     def step(acc: Column, x: Column) -> Column:
         full = F.size(acc["kept"]) >= limit
         same = F.exists(acc["kept"], lambda a: a["t"] == x["t"])
-        close = F.exists(acc["kept"], lambda a: near(a, x))
+        close = F.exists(acc["kept"], lambda a: F.array_contains(x["near"], a["o"]))
         one = lambda c: c.cast("int")
         skip = ~x["v"]
         return F.struct(

@@ -10,6 +10,7 @@ from evidrill.functions.text import split_claims
 from evidrill.operators import graph as G
 from evidrill.operators import retrieval as R
 from evidrill.queries import views as V
+from evidrill.sources.scratch import write_once
 
 EXCLUSIVE = ("dose", "frequency", "route")
 HIGH_RISK = ("dose", "medication")
@@ -85,9 +86,12 @@ _PATHS = V.CONSTRAINTS + """, own AS MATERIALIZED (
 PATH_QUALIFY = "WITH " + _PATHS + " SELECT * FROM paths"
 
 
+def _qualified(spark: SparkSession, sf: str) -> DataFrame:
+    return write_once(path_qualify(spark, sf).where("reason = 'qualified'"), "paths")
+
+
 def path_route_quota(spark: SparkSession, sf: str) -> DataFrame:
-    q = path_qualify(spark, sf).where("reason = 'qualified'")
-    return G.route_with_quotas(q, 6, 2, 1).select("query_id", "candidate_key", "raw_rank", "route_decision", F.col("route_rank").cast("long").alias("route_rank"))
+    return G.route_with_quotas(_qualified(spark, sf), 6, 2, 1).select("query_id", "candidate_key", "raw_rank", "route_decision", "route_rank")
 
 
 _ROUTE = _PATHS + """, o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY tier, content_type_count DESC, content_match_count DESC, type_count DESC, match_count DESC, source_file, page_number, candidate_key) AS raw_rank FROM paths WHERE reason = 'qualified'
@@ -102,16 +106,19 @@ PATH_ROUTE_QUOTA = "WITH " + _ROUTE + " SELECT query_id, candidate_key, raw_rank
 
 
 def _selected(spark: SparkSession, sf: str) -> DataFrame:
-    q = path_qualify(spark, sf).where("reason = 'qualified'")
-    return G.route_with_quotas(q, 6, 2, 1).where("route_decision = 'selected'")
+    return write_once(G.select_with_quotas(path_qualify(spark, sf).where("reason = 'qualified'"), 6, 2, 1), "selected-paths")
 
 
 def _fused(spark: SparkSession, sf: str) -> DataFrame:
     return R.rrf(V.routed(spark, sf), 60, 20)
 
 
+def _expanded(spark: SparkSession, sf: str, selected: DataFrame) -> DataFrame:
+    return G.expand_with_budget(_fused(spark, sf).select("query_id", "candidate_key", "rank"), selected.withColumnRenamed("route_rank", "graph_rank"), 20, 4)
+
+
 def graph_expand(spark: SparkSession, sf: str) -> DataFrame:
-    return G.expand_with_budget(_fused(spark, sf).select("query_id", "candidate_key", "rank"), _selected(spark, sf).withColumnRenamed("route_rank", "graph_rank"), 20, 4)
+    return _expanded(spark, sf, _selected(spark, sf))
 
 
 _EXPAND = _ROUTE + """, fused AS MATERIALIZED (SELECT query_id, candidate_key, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, candidate_key) AS rank FROM (SELECT query_id, candidate_key, list_sum(list_sort(list(1.0::DOUBLE / (60 + route_rank)))) AS s FROM routed GROUP BY ALL) QUALIFY rank <= 20
@@ -124,9 +131,10 @@ GRAPH_EXPAND = "WITH " + _EXPAND + " SELECT * FROM expanded"
 
 def graph_rerank(spark: SparkSession, sf: str) -> DataFrame:
     """Expanded candidates moved by their path scores."""
-    pool = graph_expand(spark, sf).withColumnRenamed("expanded_rank", "rank")
+    selected = _selected(spark, sf)
+    pool = _expanded(spark, sf, selected).withColumnRenamed("expanded_rank", "rank")
     types = V.query_constraints(spark, sf).groupBy("query_id").agg(F.count_distinct("ctype").alias("query_types"))
-    paths = _selected(spark, sf).join(types, "query_id").select("query_id", "candidate_key", G.path_score(F.col("tier"), F.col("type_count"), F.col("content_type_count"), F.col("query_types"), F.col("route_rank")).alias("path_score"))
+    paths = selected.join(types, "query_id").select("query_id", "candidate_key", G.path_score(F.col("tier"), F.col("type_count"), F.col("content_type_count"), F.col("query_types"), F.col("route_rank")).alias("path_score"))
     out = G.shift_ranks(pool.join(paths, ["query_id", "candidate_key"], "left"), 2.0)
     return out.select("query_id", "candidate_key", "origin", "rank", F.round("path_score", 6).alias("path_score"), "new_rank")
 

@@ -35,8 +35,16 @@ AUTHORITY = (("src1", "clinical_guideline"), ("src2", "expert_consensus"), ("src
 EXPANSIONS = ((("with", "avec"), "alpha beta"), (("under", "nicht"), "gamma"), (("this",), "alpha beta"))
 
 
+#: Tables of at least the first size and less than the second for each core are dealt out: their files may have fewer
+#: row groups than there are cores. Larger ones have splits enough.
+DEALT_BYTES = 256 << 10, 16 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table, its rows on all cores."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    size, cores = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if DEALT_BYTES[0] <= size < DEALT_BYTES[1] * cores else df
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,17 +68,40 @@ def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
 
 
+def holders(documents: DataFrame, passages: DataFrame, words: int = 3) -> DataFrame:
+    """(doc_id, query_id): which documents' contents hold which passages' queries, by whole text.
+
+    The words inside a passage, all but its first and last, are words of any text that holds it. So runs of ``words``
+    of them are an equi-join key, by hash, and what meets is verified. Passages too short to have such a run are
+    compared with every document; they are a stated list, sent in a broadcast that Catalyst bounds by size.
+    """
+    parts = lambda c: F.split(F.col(c), r"\s+")
+    runs = lambda w, i: F.xxhash64(*[F.get(w, i + k) for k in range(words)])
+    asked = passages.where("query <> ''").select("query_id", "query", parts("query").alias("w"))
+    keyed = asked.where(F.size("w") >= words + 2).select("query_id", "query", runs(F.col("w"), F.lit(1)).alias("run"))
+    spoken = documents.select("doc_id", parts("content").alias("w")).where(F.size("w") >= words)
+    places = spoken.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - words), lambda i: runs(F.col("w"), i)))).alias("run"))
+    met = places.join(keyed, "run").select("doc_id", "query_id", "query").distinct()
+    long = documents.select("doc_id", "content").join(met, "doc_id").where(F.contains("content", "query")).select("doc_id", "query_id")
+    short = asked.where(F.size("w") < words + 2).select("query_id", "query")
+    return long.unionByName(documents.join(short, F.contains("content", "query")).select("doc_id", "query_id"))
+
+
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First document that holds each passage; passages are a short stated list, documents are scanned once."""
-    q = F.broadcast(questions(spark, sf_dir).where("query <> ''"))
-    hits = chunks(spark, sf_dir).join(q, F.contains("content", "query"))
-    first = hits.groupBy("query_id").agg(F.min_by(F.struct("source_file", "page_number", "candidate_key", F.col("query").alias("anchor_text_span")), "doc_id").alias("g"))
-    return first.select("query_id", "g.*")
+    """First document that holds each passage."""
+    c, q = chunks(spark, sf_dir), questions(spark, sf_dir)
+    first = holders(c, q).groupBy("query_id").agg(F.min("doc_id").alias("doc_id"))
+    places = first.join(c.select("doc_id", "source_file", "page_number", "candidate_key"), "doc_id")
+    return places.join(q.withColumnRenamed("query", "anchor_text_span"), "query_id").select("query_id", "source_file", "page_number", "candidate_key", "anchor_text_span")
 
 
 def word_weights(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(documents, questions) as (key, token, weight) by term frequency."""
-    count = lambda df, key, text: df.select(key, F.explode(tokens(text)).alias("token")).groupBy(key, "token").agg(F.count("*").cast("double").alias("weight"))
+    """(documents, questions) as (key, token, weight) by term frequency.
+
+    Texts are dealt by key before they fall into words, so that neither the counts nor dot products with a broadcast
+    side shuffle the words, which are many times larger.
+    """
+    count = lambda df, key, text: df.select(key, text).repartition(key).select(key, F.explode(tokens(text)).alias("token")).groupBy(key, "token").agg(F.count("*").cast("double").alias("weight"))
     return count(chunks(spark, sf_dir), "candidate_key", "content"), count(questions(spark, sf_dir), "query_id", "query")
 
 
