@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidrill.llm import minhash, mixing, packing, quality, toxicity
-from evidrill.llm.common import materialize, table
+from evidrill.llm.common import discard, materialize, table
 from evidrill.llm.registry import pack_settings
 
 
@@ -52,6 +52,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet and read again as the next one's input."""
     docs = table(spark, sf_dir, "documents")
+    last = None
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(last)
+        last = docs
     return docs
