@@ -81,51 +81,65 @@ def word_score(word: bytes, scores: dict[bytes, float], lengths: list[int]) -> f
 class Lattice:
     """Segmentations of many words at once: words of one length are the rows of a byte matrix.
 
-    Pieces are found by a 64-bit rolling hash; all pieces' hashes differ. Words beyond ``row_bytes`` bytes go one by
-    one, by the same recursions.
+    Pieces of up to ``short`` bytes are found by a 64-bit rolling hash in a table of slots with chains; all their hashes
+    differ. Words beyond ``row_bytes`` bytes and words that hold a longer piece go one by one, by the same recursions.
     """
 
     row_bytes = 48
+    short = 16
     rows = 4096
+    slot_bits = 18
     _multiplier = np.uint64(0x9E3779B97F4A7C15)
 
-    def __init__(self, pieces: list[bytes], scores: np.ndarray, longest: int):
-        self.longest = longest
+    def __init__(self, pieces: list[bytes], scores: np.ndarray):
+        self.size = len(pieces)
         self.lengths = sorted({len(p) for p in pieces}, reverse=True)
         self.by_piece = dict(zip(pieces, scores.tolist()))
         self.number = {p: i for i, p in enumerate(pieces)}
+        self.long = [p for p in pieces if len(p) > self.short]
+        own = np.array([len(p) <= self.short for p in pieces])
+        hashes = np.zeros(len(pieces), dtype=np.uint64)
         with np.errstate(over="ignore"):
-            hashes = np.zeros(len(pieces), dtype=np.uint64)
-            for n in range(longest):
-                longer = np.array([len(p) > n for p in pieces])
-                hashes[longer] = self._next(hashes[longer], np.array([p[n] for p in pieces if len(p) > n], dtype=np.uint8))
-        order = np.argsort(hashes)
-        self.hashes = hashes[order]
-        if (self.hashes[1:] == self.hashes[:-1]).any():
+            for n in range(self.short):
+                longer = np.array([len(p) > n for p in pieces]) & own
+                hashes[longer] = self._next(hashes[longer], np.array([p[n] for p, x in zip(pieces, longer) if x], dtype=np.uint8))
+        if len(np.unique(hashes[own])) < own.sum():
             raise ValueError("two pieces share a hash")
-        self.order, self.scores = order, np.append(scores[order], -np.inf)
-        self.place = {pieces[k]: at for at, k in enumerate(order.tolist())}
+        none = len(pieces)  # stands for no piece
+        self.scores, self.hashes = np.append(scores, -np.inf), np.append(hashes, np.uint64(0))
+        self.first = np.full(1 << self.slot_bits, none, dtype=np.int32)
+        self.chain = np.full(none + 1, none, dtype=np.int32)
+        for i in np.flatnonzero(own).tolist():
+            slot = int(hashes[i]) >> (64 - self.slot_bits)
+            self.chain[i], self.first[slot] = self.first[slot], i
 
     def _next(self, h: np.ndarray, byte: np.ndarray) -> np.ndarray:
         return (h + byte + np.uint64(1)) * self._multiplier
 
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """The piece of each hash; the number of pieces stands for none."""
+        at = self.first[h >> np.uint64(64 - self.slot_bits)]
+        wrong = np.flatnonzero((self.hashes[at] != h) & (at != self.size))
+        while len(wrong):
+            at[wrong] = self.chain[at[wrong]]
+            wrong = wrong[(self.hashes[at[wrong]] != h[wrong]) & (at[wrong] != self.size)]
+        return at
+
     def _edges(self, m: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
         """For each span of the rows of ``m``, places of pieces in ``scores``; the last place is no piece."""
         n, length = m.shape
-        none = len(self.hashes)
+        columns = [np.ascontiguousarray(m[:, j]) for j in range(length)]
         out = {}
         for i in range(length):
             h = np.zeros(n, dtype=np.uint64)
-            for j in range(i + 1, min(length, i + self.longest) + 1):
-                h = self._next(h, m[:, j - 1])
-                if j - i not in self.lengths:
-                    continue
-                at = np.minimum(np.searchsorted(self.hashes, h), none - 1)
-                out[i, j] = np.where(self.hashes[at] == h, at, none)
+            for j in range(i + 1, min(length, i + self.short) + 1):
+                h = self._next(h, columns[j - 1])
+                if j - i in self.lengths:
+                    out[i, j] = self._find(h)
         return out
 
     def _starts(self, j: int) -> list[int]:
-        return [j - n for n in self.lengths if n <= j]
+        return [j - n for n in self.lengths if n <= min(j, self.short)]
 
     def _forward(self, m: np.ndarray, edges: dict[tuple[int, int], np.ndarray]) -> list[np.ndarray]:
         a = [np.zeros(len(m))]
@@ -143,6 +157,11 @@ class Lattice:
             if length > self.row_bytes or len(at) < 8:
                 yield at, None
                 continue
+            if length > self.short:
+                alone = np.array([any(p in words[i] for p in self.long) for i in at])
+                if alone.any():
+                    yield at[alone], None
+                    at = at[~alone]
             for k in range(0, len(at), self.rows):
                 part = at[k : k + self.rows]
                 yield part, np.frombuffer(b"".join([words[i] for i in part]), dtype=np.uint8).reshape(len(part), length)
@@ -156,30 +175,29 @@ class Lattice:
 
     def expected(self, words: list[bytes]) -> np.ndarray:
         """Expected uses of each piece over one occurrence of each word: forward and backward recursion."""
-        out = np.zeros(len(self.order) + 1)
+        out = np.zeros(self.size + 1)
         for at, m in self._blocks(words):
-            if m is None and len(words[at[0]]) > self.row_bytes:
+            if m is None:
                 for i in at:
                     self._add_expected(words[i], out)
                 continue
-            groups = [m] if m is not None else [np.frombuffer(words[i], dtype=np.uint8)[None, :] for i in at]
-            for g in groups:
-                edges = self._edges(g)
-                a = self._forward(g, edges)
-                back = [np.zeros(len(g)) for _ in a]
-                back[-1] += 1.0
-                for j in range(g.shape[1], 0, -1):
-                    for i in self._starts(j):
-                        p = back[j] * np.exp(a[i] + self.scores[edges[i, j]] - a[j])
-                        back[i] += p
-                        np.add.at(out, edges[i, j], p)
-        counts = np.zeros(len(self.order))
-        counts[self.order] = out[:-1]
-        return counts
+            edges = self._edges(m)
+            a = self._forward(m, edges)
+            back = [np.zeros(len(m)) for _ in a]
+            back[-1] += 1.0
+            used, shares = [], []
+            for j in range(m.shape[1], 0, -1):
+                for i in self._starts(j):
+                    p = back[j] * np.exp(a[i] + self.scores[edges[i, j]] - a[j])
+                    back[i] += p
+                    used.append(edges[i, j])
+                    shares.append(p)
+            out += np.bincount(np.concatenate(used), np.concatenate(shares), minlength=len(out))
+        return out[:-1]
 
     def _add_expected(self, word: bytes, out: np.ndarray) -> None:
         """Adds the expected uses over one word of any length; holds two numbers a byte."""
-        get, score, a = self.place.get, self.by_piece, array("d", [0.0])
+        score, a = self.by_piece, array("d", [0.0])
         for j in range(1, len(word) + 1):
             terms = [a[j - n] + s for n in self.lengths if n <= j and (s := score.get(word[j - n : j])) is not None]
             top = max(terms)
@@ -190,7 +208,7 @@ class Lattice:
                 if n <= j and (s := score.get(piece := word[j - n : j])) is not None:
                     p = back[j] * exp(a[j - n] + s - a[j])
                     back[j - n] += p
-                    out[get(piece)] += p
+                    out[self.number[piece]] += p
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -224,8 +242,7 @@ def fit_scores(words: DataFrame, s: LatticeSettings) -> Lattice:
     """Scores of the pieces from the distinct training words, each of which counts once: the lattice is for new words."""
     vocabulary = read_vocabulary(s)
     pieces = list(vocabulary)
-    longest = max(map(len, pieces))
-    lattice = Lattice(pieces, initial_scores(vocabulary, s), longest)
+    lattice = Lattice(pieces, initial_scores(vocabulary, s))
     for _ in range(s.rounds):
         shared = words.sparkSession.sparkContext.broadcast(lattice)
 
@@ -240,7 +257,7 @@ def fit_scores(words: DataFrame, s: LatticeSettings) -> Lattice:
         counts = np.full(len(pieces), s.smoothing)
         for r in summed.collect():  # no more rows than pieces
             counts[r.piece] += r.expected
-        lattice = Lattice(pieces, np.log(counts / counts.sum()), longest)
+        lattice = Lattice(pieces, np.log(counts / counts.sum()))
     return lattice
 
 

@@ -145,7 +145,7 @@ def test_lattice_against_enumeration():
             return 1.0
         return sum(exp(vocabulary[w[:k]]) * every(w[k:]) for k in range(1, len(w) + 1) if w[:k] in vocabulary)
 
-    lattice = scoring.Lattice(list(vocabulary), np.array(list(vocabulary.values())), 4)
+    lattice = scoring.Lattice(list(vocabulary), np.array(list(vocabulary.values())))
     words = [b" ab", b" abab", b" b", b" aabba"] * 3
     assert np.allclose(lattice.marginals(words), [log(every(w)) for w in words])
     counts = dict(zip(vocabulary, lattice.expected(words)))
@@ -155,11 +155,11 @@ def test_lattice_against_enumeration():
 def test_long_words_teach_and_long_pieces_count():
     """A word of over 48 bytes is weighed like the same bytes in the matrix, and no piece is left out for its length."""
     vocabulary = {bytes([i]): -3.0 for i in range(256)} | {b" a": -1.0, b"ab": -1.5, b"ba": -2.5, b"ab" * 10: -2.0}
-    lattice = scoring.Lattice(list(vocabulary), np.array(list(vocabulary.values())), 20)
+    lattice = scoring.Lattice(list(vocabulary), np.array(list(vocabulary.values())))
     word = b" " + b"abba" * 9 + b"ab" * 20
     counts = lattice.expected([word])
     assert counts @ np.array([len(p) for p in vocabulary]) == pytest.approx(len(word))
-    wide = scoring.Lattice(list(vocabulary), np.array(list(vocabulary.values())), 20)
+    wide = scoring.Lattice(list(vocabulary), np.array(list(vocabulary.values())))
     wide.row_bytes = 1000
     assert np.allclose(counts, wide.expected([word])) and np.allclose(lattice.marginals([word] * 9), wide.marginals([word] * 9))
     pieces = scoring.read_vocabulary(scoring.LatticeSettings(vocabulary=tokenizer_file("byte_bpe_50k.tiktoken")))
