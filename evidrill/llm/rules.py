@@ -2,15 +2,20 @@ r"""Quality rules as a short-circuit cascade.
 
 Each rule's cost and the documents that it rejects are measured on a bounded sample; the cascade then runs the rules
 in the order of rejection per cost, each next rule judged on what the ones before it leave, and stops at a document's
-first rejection. The verdict is the same for every order; only the work differs.
+first rejection. The verdict is the same for every order; only the work differs. A rule's cost is what it adds to the
+work that is done for every document anyway.
 
-Words are ``[^\x20\x09-\x0D]+``. Defined results: a null text counts as empty, has no words and fails the base rule;
-repeated rows get equal results; a document passes a rule whose ratio has a zero denominator. Extra columns are kept.
+Words are ``[^\x20\x09-\x0D]+``; lines are split at \n and count if they hold a word. Defined results: a null text
+counts as empty, has no words and fails the base rule; repeated rows get equal results; a document passes a rule whose
+ratio has a zero denominator. Extra columns are kept.
 """
 
 from __future__ import annotations
 
+import copy
+import re
 import time
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
@@ -89,8 +94,29 @@ class Text:
     def ascii_letters(self) -> int:
         return len(self.raw) - len(self.raw.translate(None, _UPPER + _UPPER.lower()))
 
+    @cached_property
+    def n_wordless(self) -> int:
+        """Words without a letter; every character beyond ASCII counts as one."""
+        return sum(1 for w in self.words if not _LETTER.search(w))
+
+    @cached_property
+    def top_word(self) -> int:
+        """How often the most frequent word occurs."""
+        return max(Counter(self.words).values(), default=0)
+
+    @cached_property
+    def n_bullets(self) -> int:
+        return sum(x.lstrip().startswith(_BULLETS) for x in self.lines)
+
+    @cached_property
+    def n_unfinished(self) -> int:
+        return sum(x.rstrip().endswith(_ELLIPSES) for x in self.lines)
+
 
 _UPPER = bytes(range(65, 91))
+_LETTER = re.compile(rb"[A-Za-z\x80-\xff]")
+_BULLETS = (b"-", b"*", "•".encode())
+_ELLIPSES = (b"...", "…".encode())
 
 
 @dataclass(frozen=True)
@@ -105,6 +131,10 @@ RULES = (
     Rule("symbols", lambda t: 10 * t.n_symbols > 3 * len(t.words)),
     Rule("dup_lines", lambda t: 10 * t.n_dup_lines > 3 * len(t.lines)),
     Rule("shouting", lambda t: 2 * t.upper > t.ascii_letters),
+    Rule("wordless", lambda t: 5 * t.n_wordless > len(t.words)),
+    Rule("one_word", lambda t: 10 * t.top_word > 3 * len(t.words)),
+    Rule("bullets", lambda t: 10 * t.n_bullets > 9 * len(t.lines)),
+    Rule("unfinished", lambda t: 10 * t.n_unfinished > 3 * len(t.lines)),
 )
 
 
@@ -121,16 +151,28 @@ class Measured:
     rejected: float
 
 
-def plan_cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[Measured]:
-    """Measure the rules on the documents whose id hashes lowest and order them greedily."""
+def judged(t: Text) -> bool:
+    """Does what the query does for every document, and tells whether the cascade sees it."""
+    return not base_failed(t) and bool((t.word_chars, t.n_symbols, t.n_dup_lines))
+
+
+def seen(t: Text) -> bool:
+    """Every document, with nothing done before."""
+    return True
+
+
+def plan_cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS, before: Callable[[Text], bool] = judged) -> list[Measured]:
+    """Measure the rules on the documents whose id hashes lowest, after ``before``, and order them greedily."""
     sample = docs.select("doc_id", "text").join(F.broadcast(docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).distinct()), "doc_id").select("text")
 
     def measurer():
         def work(b: pa.RecordBatch):
-            texts = utf8(b.column(0))
+            texts = [t for t in map(Text, utf8(b.column(0))) if before(t)]
+            if not texts:
+                return
             spent, hits = [], []
             for r in rules:
-                fresh = [Text(t) for t in texts]  # nothing shared with the rules before
+                fresh = [copy.copy(t) for t in texts]  # with what is shared by all, and nothing of the rules before
                 start = time.perf_counter()
                 hits.append([r.rejects(t) for t in fresh])
                 spent.append((time.perf_counter() - start) / len(texts))
@@ -155,16 +197,17 @@ def plan_cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows:
 
 
 def apply_cascade(docs: DataFrame, plan: list[Measured], rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``docs`` with rejected_by: the first rule of the plan that rejects the text, or null."""
+    """``docs`` with rejected_by, the first rule of the plan that rejects the text, or null, and rules_run."""
     ordered = _in_order(plan, rules)
 
     def judge():
         def work(texts: pa.Array) -> list[pa.Array]:
-            return [pa.array([next((r.name for r in ordered if r.rejects(t)), None) for t in map(Text, utf8(texts))], pa.string())]
+            found = [next(((r.name, k) for k, r in enumerate(ordered, 1) if r.rejects(t)), (None, len(ordered))) for t in map(Text, utf8(texts))]
+            return [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.int32())]
 
         return work
 
-    return add_by_text(docs, {"rejected_by": "string"}, judge)
+    return add_by_text(docs, {"rejected_by": "string", "rules_run": "int"}, judge)
 
 
 def _in_order(plan: list[Measured], rules: tuple[Rule, ...]) -> list[Rule]:
@@ -202,7 +245,8 @@ WITH d AS (
          list_filter(regexp_split_to_array(coalesce(text, ''), '[\x09-\x0D ]+'), lambda w: w <> '') AS ws
   FROM documents
 ), line AS (
-  SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
+  SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines,
+         count(*) FILTER (regexp_matches(line, '^[\x09-\x0D ]*[-*•]')) AS n_bullets, count(*) FILTER (regexp_matches(line, '([.][.][.]|…)[\x09-\x0D ]*$')) AS n_unfinished
   FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)
   WHERE regexp_matches(line, '[^\x09-\x0D ]')
   GROUP BY doc_id
@@ -215,20 +259,25 @@ WITH d AS (
   SELECT doc_id, count(DISTINCT p) AS n_repeat_words
   FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM twice)
   GROUP BY doc_id
+), word AS (
+  SELECT doc_id, max(c) AS top_word, sum(CASE WHEN regexp_matches(w, '[A-Za-z]|[^\x00-\x7F]') THEN 0 ELSE c END) AS n_wordless
+  FROM (SELECT doc_id, w, count(*) AS c FROM (SELECT doc_id, unnest(ws) AS w FROM d) GROUP BY ALL) GROUP BY doc_id
 ), s AS (
   SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words,
          CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
          CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
          CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines, coalesce(n_lines, 0) AS n_lines,
+         coalesce(n_bullets, 0) AS n_bullets, coalesce(n_unfinished, 0) AS n_unfinished, coalesce(top_word, 0) AS top_word, coalesce(n_wordless, 0) AS n_wordless,
          CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
          length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS upper_n,
          length(t) - length(regexp_replace(t, '[A-Za-z]', '', 'g')) AS ascii_n
-  FROM d LEFT JOIN line USING (doc_id) LEFT JOIN covered USING (doc_id)
+  FROM d LEFT JOIN line USING (doc_id) LEFT JOIN covered USING (doc_id) LEFT JOIN word USING (doc_id)
 ), b AS (
   SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM s
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT (base_failed OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR 10 * n_symbols > 3 * n_words
-            OR 10 * n_dup_lines > 3 * n_lines OR 2 * upper_n > ascii_n) AS kept
+            OR 10 * n_dup_lines > 3 * n_lines OR 2 * upper_n > ascii_n OR 5 * n_wordless > n_words OR 10 * top_word > 3 * n_words
+            OR 10 * n_bullets > 9 * n_lines OR 10 * n_unfinished > 3 * n_lines) AS kept
 FROM b
 """
