@@ -28,31 +28,45 @@ def unescape(c: Column) -> Column:
     return F.regexp_replace(c, r"(?s)\\(.)", "$1")
 
 
+def merge_turns(turns: Column) -> Column:
+    """Blocks (role, texts) of a sorted array of turns: each slice between two changes of role, texts escaped.
+
+    One pass finds where roles change and one aggregates the slices, so a conversation costs its length.
+    """
+    role = lambda i: F.get(turns, i)["role"]
+    size = F.size(turns)
+    starts = F.filter(F.sequence(F.lit(0), size - 1), lambda i: (i == 0) | (role(i - 1) != role(i)))
+    ends = F.concat(F.slice(starts, 2, size), F.array(size))
+    slices = F.zip_with(starts, ends, lambda a, z: F.slice(turns, a + 1, z - a))
+    return F.transform(slices, lambda own: F.struct(escape(F.get(own, F.lit(0))["role"]).alias("role"), (F.get(own, F.lit(0))["role"] == ASSISTANT).alias("loss"), F.transform(own, lambda t: escape(t["text"])).alias("texts")))
+
+
 def format_conversations(rows: DataFrame) -> DataFrame:
-    """(conv_id, formatted, loss_spans): spans of assistant texts in ``formatted``, start from 0 and length in code points."""
+    """(conv_id, formatted, loss_spans): spans of assistant texts in ``formatted``, start from 0 and length in code points.
+
+    A conversation is one string, so its turns meet in one task; nothing else is gathered.
+    """
     empty = F.lit("")
     turn = F.struct(F.col("turn").alias("turn"), F.coalesce("role", empty).alias("role"), F.coalesce("text", empty).alias("text"))
     turns = rows.select("conv_id", turn.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    blocks = turns.select("conv_id", merge_turns(F.col("turns")).alias("blocks"))
+    joined = F.array_join(F.transform("blocks", lambda b: F.concat(F.lit(BLOCK), b["role"], F.lit(TEXT), F.array_join(b["texts"], NEXT), F.lit(CLOSE))), "")
 
-    def piece(x: Column, i: Column) -> Column:
-        """A turn's lead, body and tail; neighbours of the same role leave out the markers between their blocks."""
-        same_before = (i > 0) & (F.get("turns", i - 1)["role"] == x["role"])
-        same_after = F.coalesce(F.get("turns", i + 1)["role"] == x["role"], F.lit(False))
-        lead = F.when(same_before, F.lit(NEXT)).otherwise(F.concat(F.lit(BLOCK), escape(x["role"]), F.lit(TEXT)))
-        return F.struct(lead.alias("lead"), escape(x["text"]).alias("body"), F.when(same_after, empty).otherwise(F.lit(CLOSE)).alias("tail"), (x["role"] == ASSISTANT).alias("loss"))
+    def lengths(b: Column) -> Column:
+        """Of each text of a block: characters before it since the last one, its own, and those after it."""
+        first = F.length(b["role"]) + len(BLOCK) + len(TEXT)
+        last = F.size(b["texts"]) - 1
+        return F.transform(b["texts"], lambda t, i: F.struct(F.when(i == 0, first).otherwise(len(NEXT)).alias("lead"), F.length(t).alias("body"), F.when(i == last, len(CLOSE)).otherwise(0).alias("tail"), b["loss"].alias("loss")))
 
-    pieces = turns.select("conv_id", F.transform("turns", piece).alias("pieces"))
-    joined = F.array_join(F.transform("pieces", lambda p: F.concat(p["lead"], p["body"], p["tail"])), "")
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:long,length:long,loss:boolean>>").alias("spans"))
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:long,length:long>>").alias("spans"))
 
     def step(acc: Column, p: Column) -> Column:
-        begin = acc["at"] + F.length(p["lead"])
-        span = F.struct(begin.alias("start"), F.length(p["body"]).cast("long").alias("length"), p["loss"].alias("loss"))
-        at = begin + F.length(p["body"]) + F.length(p["tail"])
-        return F.struct(at.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
+        begin = acc["at"] + p["lead"]
+        span = F.struct(begin.alias("start"), p["body"].cast("long").alias("length"))
+        return F.struct((begin + p["body"] + p["tail"]).alias("at"), F.when(p["loss"], F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
 
-    spans = F.aggregate("pieces", start, step, lambda acc: F.transform(F.filter(acc["spans"], lambda s: s["loss"]), lambda s: F.struct(s["start"].alias("start"), s["length"].alias("length"))))
-    return pieces.select("conv_id", joined.alias("formatted"), spans.alias("loss_spans"))
+    spans = F.aggregate(F.flatten(F.transform("blocks", lengths)), start, step, lambda acc: acc["spans"])
+    return blocks.select("conv_id", joined.alias("formatted"), spans.alias("loss_spans"))
 
 
 def read_turns(formatted: str | Column) -> Column:
