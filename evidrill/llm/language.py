@@ -30,7 +30,7 @@ class LanguageSettings:
     dictionary_bytes: int = 96 << 10  #: of each language's dictionary; bounds the fit and the broadcast
     sample_docs: int = 128  #: expected documents of each language that a dictionary is cut from
     slice_chars: int = 512
-    block_chars: int = 2048  #: texts are compressed in blocks, so that a long text's own history does not decide
+    block_bytes: int = 2048  #: texts are compressed in blocks, so that a long text's own history does not decide
     level: int = 3
     min_margin: float = 0.02  #: share by which the runner-up must be larger
 
@@ -111,7 +111,7 @@ def predict_language(docs: DataFrame, dictionaries: dict[str, bytes], settings:
     def predictor():
         langs = sorted(shared.value)
         coders = list(_coders(shared.value, settings.level).values())
-        step = settings.block_chars
+        step = settings.block_bytes
 
         def one(text: str | None) -> tuple[str, float, bool]:
             body = letters(text) if text else b""

@@ -60,6 +60,12 @@ def term_counts(text: bytes, dims: int) -> np.ndarray:
     return out
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """The places and values of the counts that are not 0."""
+    at = np.flatnonzero(counts)
+    return np.stack((at, counts[at])).astype("<u4").tobytes()
+
+
 def _weigh(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     x = np.log1p(counts)
     x *= idf
@@ -116,7 +122,8 @@ def _train(s: QualitySettings):
         rows.sort()
         counts = np.zeros((len(rows), s.dims), dtype=np.float32)
         for i, r in enumerate(rows):
-            counts[i] = np.frombuffer(r[2], dtype="<u2")
+            at, own = np.frombuffer(r[2], dtype="<u4").reshape(2, -1)
+            counts[i, at] = own
         labels = np.array([r[1] for r in rows], dtype=np.float32)
         del rows
         m = fit_quality(counts, labels, s)
@@ -133,7 +140,7 @@ def learn(docs: DataFrame, labels: DataFrame, settings: QualitySettings = Qualit
 
     def counted():
         def work(b: pa.RecordBatch):
-            f = [np.minimum(term_counts(t, s.dims), 65535).astype("<u2").tobytes() for t in utf8(b.column(0))]
+            f = [_packed(term_counts(t, s.dims)) for t in utf8(b.column(0))]
             yield pa.record_batch([pa.array(f, pa.binary()), b.column(1), b.column(2)], names=["counts", "label", "place"])
 
         return work

@@ -96,7 +96,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
     """(text, label, place) of at most ``rows`` labelled documents, those first in the order of a hash of the id.
 
     With ``modulus``, ids whose remainder is 0 are held out. Only ids go through the bounded sort; texts are joined
-    to the ids that it leaves.
+    to the ids that it leaves. Of several rows with one id the least text is learned from.
     """
     usable = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
     if modulus:
@@ -104,7 +104,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
     place = F.xxhash64("doc_id").alias("place")
     own = usable.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     first = own.select("doc_id", "label", place).join(docs.select("doc_id"), "doc_id", "left_semi").orderBy("place", "doc_id").limit(rows)
-    return docs.select("doc_id", "text").join(F.broadcast(first), "doc_id").select("text", "label", "place")
+    chosen = docs.select("doc_id", "text").join(F.broadcast(first), "doc_id")
+    return chosen.groupBy("doc_id").agg(F.min(F.struct(F.coalesce("text", F.lit("")).alias("text"), "label", "place")).alias("r")).select("r.*")
 
 
 def _train(settings: FtrlSettings):
