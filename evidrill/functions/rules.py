@@ -170,3 +170,14 @@ def is_noise(content: str | Column) -> Column:
     """What is never shown as evidence: nothing, reference lists, picture leftovers and bare titles."""
     c = blank(content)
     return (c == "") | c.rlike(REFERENCE_HEADING) | c.rlike(PICTURE_PLACEHOLDER) | c.rlike(PICTURE_MARKER) | is_title_only(c)
+
+
+# Asking for a prescription, and whom it would be for.
+PRESCRIPTION_TERMS = ("开处方", "帮我开处方", "开药", "帮我开药", "处方", "用药方案")
+PATIENT_TERMS = ("这个孩子", "患儿", "宝宝", "婴儿", "儿童", "发热", "咳嗽")
+
+
+def asks_prescription(query: str | Column) -> Column:
+    """a question that asks to prescribe for a patient, whatever white space is in it."""
+    t = F.regexp_replace(blank(query), r"(?U)\s+", "")
+    return contains_any(t, PRESCRIPTION_TERMS) & contains_any(t, PATIENT_TERMS)

@@ -120,3 +120,37 @@ def candidate_roles(anchors: DataFrame, decision: Column) -> DataFrame:
 def reviewed_pool(candidates: DataFrame, decisions: DataFrame, key: str = "candidate_id") -> DataFrame:
     """Candidates that the author accepted, with the decision; a candidate without one is pending, not lost."""
     return candidates.join(decisions.select(key, "author_decision"), key, "left").withColumn("pool_status", F.when(F.col("author_decision") == "accept", "accepted").when(F.col("author_decision").isNull(), "pending").otherwise("rejected"))
+
+
+# Words that name the parts of a text which is no evidence, or a patient whom evidence is for.
+CITATION_MARKER = r"(?:\[|［)\s*\d+\s*(?:\]|］)"
+LEADERS = r"(?:\.{3,}|…{3,})"
+REFERENCE_TERMS = ("参考文献", "references", "bibliography")
+
+
+def shortlist_noise(text: str | Column) -> Column:
+    """two dot leaders or more, as tables of contents have."""
+    return F.regexp_count(norm_ws(text), F.lit(LEADERS)) >= 2
+
+
+def is_relevant(text: str | Column, title: str | Column, terms: Sequence[str] = (), max_citations: int = 1, reference_terms: Sequence[str] = REFERENCE_TERMS) -> Column:
+    """F8: no noise, no list of references, few citation marks, and, where ``terms`` are given, one in title or text."""
+    t = norm_ws(text)
+    cited = F.regexp_count(t, F.lit(CITATION_MARKER)) > max_citations
+    about = contains_any(norm_ws(title), terms, ignore_case=True) | contains_any(t, terms, ignore_case=True) if terms else F.lit(True)
+    return ~shortlist_noise(text) & ~contains_any(t, reference_terms, ignore_case=True) & ~cited & about
+
+
+def scope_limited(evidence_types: Column, limited: Sequence[str]) -> Column:
+    """a source all of whose evidence types, one at least, are limited in scope."""
+    return (F.size(evidence_types) > 0) & (F.size(F.array_except(evidence_types, F.array(*map(F.lit, limited)))) == 0)
+
+
+def context_of_page(candidates: DataFrame) -> DataFrame:
+    """For each candidate the longest text of its page, ties by granularity, then id: (id, context_id).
+
+    ``candidates(id, source_id, page_number, granularity, text)``.
+    """
+    key = F.struct(F.length(norm_ws("text")), "granularity", "id")
+    pages = candidates.groupBy("source_id", "page_number").agg(F.max_by("id", key).alias("context_id"))
+    return candidates.select("id", "source_id", "page_number").join(pages, ["source_id", "page_number"]).select("id", "context_id")

@@ -61,3 +61,57 @@ def quota_violations(paths: DataFrame, max_per_source: int, max_per_page: int) -
     pages = keyed.groupBy("query_id", "s", "p").agg(F.count("*").alias("n"))
     sources = pages.groupBy("query_id", "s").agg(F.sum("n").alias("n"), F.count_if(F.col("n") > max_per_page).alias("over"))
     return sources.groupBy("query_id").agg(F.count_if(F.col("n") > max_per_source).alias("source_violations"), F.sum("over").alias("source_page_violations"))
+
+
+def routing_audit(questions: DataFrame, routed: DataFrame, max_per_source: int, max_per_page: int) -> DataFrame:
+    """Per question, paths before and after routing, their sources and tiers, why paths were dropped, broken quotas.
+
+    ``routed`` are the rows of ``route_with_quotas``.
+    """
+    chosen = F.col("route_decision") == "selected"
+    listed = lambda rows, name: rows.groupBy("query_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "n"))), lambda x: F.concat(x["k"], F.lit(":"), x["n"].cast("string"))), ",").alias(name))
+    tiers = listed(routed.where(chosen).groupBy("query_id", F.col("tier").cast("string").alias("k")).agg(F.count("*").alias("n")), "tiers")
+    drops = listed(routed.where(~chosen).groupBy("query_id", F.col("route_decision").alias("k")).agg(F.count("*").alias("n")), "drops")
+    counts = routed.groupBy("query_id").agg(F.count("*").alias("raw_path_count"), F.count_if(chosen).alias("routed_path_count"), F.count_distinct(F.when(chosen, F.col("source_file"))).alias("candidate_source_count"))
+    df = questions.select("query_id")
+    for part in (counts, tiers, drops, quota_violations(routed.where(chosen), max_per_source, max_per_page)):
+        df = df.join(part, "query_id", "left")
+    return df.na.fill(0).na.fill("")
+
+
+def contiguous_ranks(df: DataFrame, by: Sequence[str], rank: str) -> DataFrame:
+    """Whether each group's ranks are exactly 1..n."""
+    g = df.groupBy(*by).agg(F.count("*").alias("rows"), F.count_distinct(rank).alias("d"), F.min(rank).alias("lo"), F.max(rank).alias("hi"))
+    return g.select(*by, "rows", F.coalesce((F.col("lo") == 1) & (F.col("hi") == F.col("rows")) & (F.col("d") == F.col("rows")), F.lit(False)).alias("contiguous"))
+
+
+def rerank_runs(reranked: DataFrame, audits: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """(per query: status, whether the first changed, keys moved into and out of the top k; the run's totals).
+
+    ``reranked(query_id, candidate_key, rank, new_rank, status)`` with status ``applied`` or a reason; what was not
+    applied has no change of its first. ``audits(query_id, status)`` holds constraint audits.
+    """
+    applied = F.col("status") == "applied"
+    g = reranked.groupBy("query_id").agg(
+        F.any_value("status").alias("status"),
+        F.min_by("candidate_key", "rank").alias("before"),
+        F.min_by("candidate_key", "new_rank").alias("after"),
+        F.count_if((F.col("new_rank") <= k) & (F.col("rank") > k)).alias("moved_in"),
+        F.count_if((F.col("new_rank") > k) & (F.col("rank") <= k)).alias("moved_out"),
+    )
+    rows = g.select("query_id", "status", F.when(applied, F.col("before") != F.col("after")).alias("top1_changed"), "moved_in", "moved_out")
+    a = audits.agg(F.count_if(F.col("status") == "conflict").alias("conflicts"), F.count_if(F.col("status") == "unsupported").alias("unsupported"))
+    totals = rows.agg(F.count("*").alias("queries"), F.count_if(applied).alias("applicable"), F.count_if(~applied).alias("not_applicable"), F.count_if("top1_changed").alias("top1_changed"), F.count_if(~F.col("top1_changed")).alias("top1_unchanged"))
+    return rows, totals.crossJoin(a)
+
+
+def manual_queue(actions: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Questions whose action allows no answer, to be judged by hand, with the digest of the evidence as it was.
+
+    ``actions(query_id, route_action)``, ``evidence(query_id, rank, candidate_key)``; the audit annotates, so the digest
+    is that of its input.
+    """
+    keys = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "candidate_key"))), lambda x: x["candidate_key"]), "|")
+    identity = evidence.groupBy("query_id").agg(F.sha2(keys, 256).alias("input_identity"))
+    waiting = actions.where(~F.col("route_action").startswith("allow_"))
+    return waiting.join(identity, "query_id", "left").withColumn("review_status", F.lit("pending_manual_adjudication"))

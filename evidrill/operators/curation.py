@@ -122,23 +122,25 @@ def select_by_quota(components: Sequence[tuple[object, Vector, Vector]], target:
     return out[::-1]
 
 
-def grouped_split(components: Sequence[tuple[object, int, int, int]], size: int, desired_two_pass: int) -> list[object] | None:
-    """Whole components (id, rows, two_pass, pages) for a split of exactly ``size`` rows.
+def grouped_split(components: Sequence[tuple[object, Vector, int, int]], target: Vector, desired_two_pass: int) -> list[object] | None:
+    """Whole components (id, decision counts, two_pass, pages) whose decisions add up to ``target`` exactly.
 
-    Least distance to the desired number of two-pass rows, then most pages, then fewest components; first found wins.
+    Of all such choices the one whose two-pass rows are nearest to the desired number, then the one with most pages,
+    then the one with fewest two-pass rows; of equals the first found. Dynamic programming over (decision counts,
+    two-pass rows), so states are bounded by the target and not by the data.
     """
-    states: dict[tuple[int, int], tuple[int, int, tuple | None]] = {(0, 0): (0, 0, None)}
-    for ident, rows, two, pages in components:
-        found = {}
-        for (n, t), (p, c, chain) in states.items():
-            if n + rows > size:
-                continue
-            key, value = (n + rows, t + two), (p + pages, c + 1, (ident, chain))
-            held = found.get(key) or states.get(key)
-            if held is None or (-value[0], value[1]) < (-held[0], held[1]):
-                found[key] = value
-        states |= found
-    ends = [(abs(t - desired_two_pass), -p, c, chain) for (n, t), (p, c, chain) in states.items() if n == size]
+    best: dict[tuple[Vector, int], tuple[int, tuple | None]] = {(tuple(0 for _ in target), 0): (0, None)}
+    for ident, counts, two, pages in components:
+        grown = {}
+        for (at, seconds), (covered, chain) in best.items():
+            then = tuple(a + b for a, b in zip(at, counts))
+            if all(a <= b for a, b in zip(then, target)):
+                key = (then, seconds + two)
+                held = grown.get(key) or best.get(key)
+                if held is None or covered + pages > held[0]:
+                    grown[key] = (covered + pages, (ident, chain))
+        best |= grown
+    ends = [(abs(two - desired_two_pass), -pages, two, chain) for (at, two), (pages, chain) in best.items() if at == tuple(target)]
     if not ends:
         return None
     out, chain = [], min(ends, key=lambda e: e[:3])[3]

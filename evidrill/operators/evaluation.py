@@ -214,3 +214,61 @@ def rank_outcome(before: Column, after: Column) -> Column:
     better = (before.isNull() & after.isNotNull()) | (after < before)
     worse = (after.isNull() & before.isNotNull()) | (after > before)
     return F.when(none, "not_applicable").when(better, "improved").when(worse, "worsened").otherwise("unchanged")
+
+
+def strict_effects(before: DataFrame, after: DataFrame, epsilon: float = 1e-12) -> DataFrame:
+    """What a change of ranking did to each query's gold page, and the direction of its reciprocal rank.
+
+    Both sides are (query_id, strict_rank), null where the page is not found.
+    """
+    l, r = before.select("query_id", F.col("strict_rank").alias("b")), after.select("query_id", F.col("strict_rank").alias("a"))
+    df = l.join(r, "query_id")
+    delta = F.coalesce(1.0 / F.col("a"), F.lit(0.0)) - F.coalesce(1.0 / F.col("b"), F.lit(0.0))
+    effect = F.when(F.col("b").isNull() & F.col("a").isNotNull(), "strict_hit_added").when(F.col("b").isNotNull() & F.col("a").isNull(), "strict_hit_lost").when(F.col("a") < F.col("b"), "strict_rank_improved").when(F.col("a") > F.col("b"), "strict_rank_worsened").otherwise("strict_metric_unchanged")
+    direction = F.when(delta > epsilon, "positive").when(delta < -epsilon, "negative").otherwise("zero")
+    return df.select("query_id", effect.alias("effect"), delta.alias("mrr_delta"), direction.alias("direction"))
+
+
+def rank_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Every candidate of either ranking with both ranks, their difference, and whether it came, went or stayed."""
+    side = lambda df, p: df.select("query_id", "candidate_key", F.col("rank").alias(p))
+    df = side(before, "rank_before").join(side(after, "rank_after"), ["query_id", "candidate_key"], "full_outer")
+    kind = F.when(F.col("rank_before").isNull(), "added").when(F.col("rank_after").isNull(), "removed").when(F.col("rank_before") == F.col("rank_after"), "same").otherwise("moved")
+    return df.withColumn("rank_delta", F.col("rank_before") - F.col("rank_after")).withColumn("membership", kind)
+
+
+def budget_replacement(before: DataFrame, after: DataFrame, evidence: DataFrame, gold: DataFrame, budget: int) -> DataFrame:
+    """Per gold query, was its page gained or lost when a budget made room, by what mechanism, and what gained it.
+
+    ``before(query_id, candidate_key, source_file, page_number, rank)`` with cached ranks, ``after`` and ``evidence``
+    the pool and the final evidence of the other method. A loss is the replacement's if a gold candidate that it removed
+    would have stood within the budget. A gain is by an added candidate, by a promoted one, or other.
+    """
+    g = gold.select("query_id", F.lower("source_file").alias("gs"), F.col("page_number").alias("gp"))
+    on = lambda df: df.join(g, "query_id").where((F.lower("source_file") == F.col("gs")) & (F.col("page_number") == F.col("gp")))
+    b, a, e = on(before), on(after), on(evidence)
+    flag = lambda df, name: df.select("query_id").distinct().withColumn(name, F.lit(True))
+    gone = b.join(after.select("query_id", "candidate_key"), ["query_id", "candidate_key"], "left_anti").groupBy("query_id").agg(F.min("rank").alias("removed_best_rank"))
+    new = flag(e.join(before.select("query_id", "candidate_key"), ["query_id", "candidate_key"], "left_anti"), "added_gold")
+    df = g.select("query_id")
+    for part in (flag(b, "before_hit"), flag(a, "after_hit"), flag(e, "evidence_hit"), new, gone):
+        df = df.join(part, "query_id", "left")
+    df = df.na.fill(False)
+    outcome = F.when(F.col("before_hit") & F.col("after_hit"), "both").when(F.col("before_hit"), "lost").when(F.col("after_hit"), "added").otherwise("neither")
+    loss = F.when(F.col("before_hit") & ~F.col("after_hit"), F.when(F.col("removed_best_rank") <= budget, "pre_rerank_budget_replacement").otherwise("unresolved"))
+    gain = F.when(F.col("evidence_hit"), F.when(F.col("added_gold"), "graph_added_gold_selected").when(F.col("before_hit") & F.col("after_hit"), "baseline_gold_promoted_after_replacement").otherwise("other"))
+    return df.select("query_id", outcome.alias("outcome"), loss.alias("loss_mechanism"), gain.alias("gain_attribution"), "removed_best_rank")
+
+
+def recovery_metrics(evidence: DataFrame, status: DataFrame, gold: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """E5: (hits, rank and reciprocal rank of each query's recovered evidence, recalls and the share that found too little).
+
+    ``evidence(query_id, rank, source_file, page_number)``, ``status(query_id, retrieval_status)``.
+    """
+    hits = first_hits(evidence.withColumn("method_id", F.lit("recovery")), gold).drop("method_id")
+    df = gold.select("query_id").join(hits, "query_id", "left").join(status, "query_id", "left")
+    found = lambda c: F.col(c).isNotNull()
+    rows = df.select("query_id", "retrieval_status", found("source_rank").alias("source_hit"), found("strict_rank").alias("strict_hit"), found("adjacent_rank").alias("adjacent_hit"), "strict_rank", F.coalesce(1.0 / F.col("strict_rank"), F.lit(0.0)).alias("reciprocal_rank"))
+    share = lambda c: F.coalesce(F.avg(c.cast("int")), F.lit(0.0))
+    short = F.coalesce(F.col("retrieval_status") == "insufficient_evidence", F.lit(False))
+    return rows, rows.agg(F.count("*").alias("queries"), share(F.col("source_hit")).alias("source_recall"), share(F.col("strict_hit")).alias("strict_recall"), share(F.col("adjacent_hit")).alias("adjacent_recall"), F.coalesce(F.avg("reciprocal_rank"), F.lit(0.0)).alias("mrr"), share(short).alias("insufficient_rate"))

@@ -7,6 +7,7 @@ cvalue), and every set comparison is an aggregate over matched rows.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -66,6 +67,7 @@ def qualify_paths(query: DataFrame, candidates: DataFrame, constraints: DataFram
         *[F.any_value(c).alias(c) for c in ("source_file", "page_number", "candidate_condition", "source_condition", "query_condition")],
         F.count("*").alias("match_count"),
         kinds(F.col("ctype")).alias("type_count"),
+        F.array_join(F.sort_array(F.collect_set("ctype")), "+").alias("signature"),
         F.count_if(content).alias("content_match_count"),
         kinds(F.when(content, F.col("ctype"))).alias("content_type_count"),
         F.bool_or(F.col("strong") | F.col("ctype").isin(*STRONG_ANCHORS)).alias("strong"),
@@ -95,7 +97,7 @@ def qualify_paths(query: DataFrame, candidates: DataFrame, constraints: DataFram
         .when(F.col("condition_in_content"), 2)
         .otherwise(4)
     )
-    return rows.withColumn("reason", reason).withColumn("tier", tier).select("query_id", "candidate_key", "source_file", "page_number", "reason", "tier", "match_count", "type_count", "content_match_count", "content_type_count")
+    return rows.withColumn("reason", reason).withColumn("tier", tier).select("query_id", "candidate_key", "source_file", "page_number", "reason", "tier", "match_count", "type_count", "content_match_count", "content_type_count", "signature", "candidate_condition")
 
 
 PATH_ORDER = ("tier", "-content_type_count", "-content_match_count", "-type_count", "-match_count", "source_file", "page_number", "candidate_key")
@@ -139,6 +141,97 @@ def route_with_quotas(qualified: DataFrame, total: int = 20, per_source: int = 2
     return df.drop("place", "page_full", "source_full")
 
 
+def grow_pool(prefix: DataFrame, source: DataFrame, prefix_budget: int, budget: int) -> DataFrame:
+    """The first ``prefix_budget`` of one ranking, then what the other adds in its order, ``budget`` rows in all.
+
+    Both are (query_id, candidate_key, rank); a key counts where it stands first.
+    """
+    both = prefix.where(F.col("rank") <= prefix_budget).select("query_id", "candidate_key", F.lit(0).alias("part"), "rank").unionByName(source.select("query_id", "candidate_key", F.lit(1).alias("part"), "rank"))
+    first = both.groupBy("query_id", "candidate_key").agg(F.min(F.struct("part", "rank")).alias("at"))
+    return ranked(first, ["query_id"], [F.col("at"), F.col("candidate_key")], budget, "pool_rank").drop("at")
+
+
+def late_union(before: DataFrame, after: DataFrame, budget: int) -> DataFrame:
+    """One pool of the candidates of two, those of both as the first has them, by cached scores; the first ``budget``.
+
+    Rows are (query_id, candidate_key, reranker_score, rrf_score). A diagnosis of late pruning, not a method.
+    """
+    extra = after.join(before.select("query_id", "candidate_key"), ["query_id", "candidate_key"], "left_anti")
+    names = ["query_id", "candidate_key", "reranker_score", "rrf_score"]
+    pool = before.select(*names).unionByName(extra.select(*names)).na.fill(0.0, names[2:])
+    order = [F.col("reranker_score").desc(), F.col("rrf_score").desc(), F.col("candidate_key")]
+    return ranked(pool, ["query_id"], order, budget, "post_rerank_rank")
+
+
+def pool_differences(before: DataFrame, after: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """Per query, identities (all of ``fields``) that either pool holds twice or only one of them holds.
+
+    No rows means that the second is a pure reordering of the first.
+    """
+    count = lambda df, c: df.groupBy("query_id", *fields).agg(F.count("*").alias(c))
+    l, r = count(before, "b"), count(after, "a").withColumnsRenamed({f: f"_{f}" for f in ("query_id", *fields)})
+    both = l.join(r, [F.col(f).eqNullSafe(F.col(f"_{f}")) for f in ("query_id", *fields)], "full_outer")
+    g = both.groupBy(F.coalesce("query_id", "_query_id").alias("query_id")).agg(F.count_if((F.coalesce("b", F.lit(0)) > 1) | (F.coalesce("a", F.lit(0)) > 1)).alias("repeated"), F.count_if(F.col("a").isNull()).alias("only_before"), F.count_if(F.col("b").isNull()).alias("only_after"))
+    return g.where("repeated + only_before + only_after > 0")
+
+
+def trace_failures(traces: DataFrame, paths: DataFrame) -> DataFrame:
+    """Stored traces that a rebuild from the index does not confirm, with the first reason.
+
+    ``traces(query_id, candidate_key, source_file, page_number, tier, signature, route_rank)`` against the rows of
+    ``qualify_paths``. A path must still be there, qualify, and agree in identity, constraint types and tier.
+    """
+    names = ("source_file", "page_number", "tier", "signature", "reason")
+    own = paths.select("query_id", "candidate_key", *[F.col(c).alias(f"_{c}") for c in names])
+    df = traces.join(own, ["query_id", "candidate_key"], "left")
+    differs = lambda *cs: ~F.array_min(F.array(*[F.col(c).eqNullSafe(F.col(f"_{c}")) for c in cs]))
+    reason = (
+        F.when(F.col("_reason").isNull(), "not_in_index")
+        .when(differs("source_file", "page_number"), "identity")
+        .when(F.col("_reason") != "qualified", "no_longer_qualified")
+        .when(differs("signature"), "constraint_types")
+        .when(differs("tier"), "source_tier")
+        .when(~F.coalesce(F.col("route_rank") >= 1, F.lit(False)), "route_rank")
+    )
+    return df.select("query_id", "candidate_key", reason.alias("failure")).where("failure IS NOT NULL")
+
+
+def coverage_audit(questions: DataFrame, query: DataFrame, candidates: DataFrame, constraints: DataFrame, paths: DataFrame, minimum_types: int = 2, top: int = 5) -> DataFrame:
+    """A10: per question, how many candidates have a path to it, by which constraint types, and why the others have none.
+
+    ``paths`` are the rows of ``qualify_paths`` without a limit. Candidates that share nothing with a question are
+    counted, not joined: they fail for a condition that both name, or for too few types.
+    """
+    context = constraints.where("scope = 'context'")
+    totals = candidates.agg(F.count("*").alias("all_candidates")).crossJoin(context.where("ctype = 'clinical_condition'").agg(F.count_distinct("owner_id").alias("all_named")))
+    posted = query.join(context.select("ctype", "cvalue").distinct(), ["ctype", "cvalue"]).groupBy("query_id").agg(F.count_distinct("ctype").alias("posted_types"))
+    asked = query.groupBy("query_id").agg(F.count_distinct("ctype", "cvalue").alias("constraint_count"), F.count_distinct("ctype").alias("constraint_type_count"), F.bool_or(F.col("ctype") == "clinical_condition").alias("asks_condition"))
+    good = F.col("reason") == "qualified"
+    met = paths.groupBy("query_id").agg(F.count("*").alias("met"), F.count_if("candidate_condition").alias("met_named"), F.max("type_count").alias("most_types"), F.count_if(good).alias("potential_path_count"), F.count_distinct(F.when(good, F.col("source_file"))).alias("candidate_source_count"))
+    df = questions.select("query_id").crossJoin(F.broadcast(totals))
+    for part in (asked, posted, met):
+        df = df.join(part, "query_id", "left")
+    df = df.na.fill(0).na.fill(False)
+    conflict = F.when(F.col("asks_condition"), F.col("all_named") - F.col("met_named")).otherwise(0)
+    unmet = df.select("query_id", F.explode(F.array(F.struct(F.lit("condition_conflict").alias("reason"), conflict.alias("n")), F.struct(F.lit("insufficient_types").alias("reason"), (F.col("all_candidates") - F.col("met") - conflict).alias("n")))).alias("x")).select("query_id", "x.*")
+    failures = paths.where(~good).groupBy("query_id", "reason").agg(F.count("*").alias("n")).unionByName(unmet).groupBy("query_id", "reason").agg(F.sum("n").alias("n")).where("n > 0")
+    listed = lambda c, of: F.array_join(F.transform(F.slice(F.sort_array(F.collect_list(of)), 1, c) if c else F.sort_array(F.collect_list(of)), lambda x: F.concat(x["name"], F.lit(":"), x["n"].cast("string"))), ",")
+    tops = failures.groupBy("query_id").agg(listed(top, F.struct((-F.col("n")).alias("o"), F.col("reason").alias("name"), "n")).alias("top_failures"), F.bool_or(F.col("reason") == "no_content_supported_match").alias("no_content"), F.bool_or(F.col("reason") == "broad_content_only").alias("broad"))
+    signatures = paths.where(good).groupBy("query_id", "signature").agg(F.count("*").alias("n")).groupBy("query_id").agg(listed(None, F.struct(F.col("signature").alias("name"), "n")).alias("signatures"))
+    df = df.join(tops, "query_id", "left").join(signatures, "query_id", "left").na.fill(False).na.fill("", ["top_failures", "signatures"])
+    reason = (
+        F.when(F.col("constraint_count") == 0, "zero_query_constraints")
+        .when(F.col("constraint_type_count") < minimum_types, "insufficient_query_types")
+        .when(F.col("potential_path_count") > 0, "not_applicable")
+        .when(F.col("no_content"), "no_content_supported_match")
+        .when(F.col("broad"), "broad_content_only")
+        .otherwise("no_posting")
+    )
+    few = F.when(F.col("posted_types") < minimum_types, "insufficient_posting_types").when(F.col("most_types") < minimum_types, "no_candidate_cooccurrence").otherwise("path_policy_filtered")
+    diagnosis = F.when(reason == "no_posting", few).when(reason.isin("no_content_supported_match", "broad_content_only"), "path_policy_filtered").otherwise(reason)
+    return df.select("query_id", "constraint_count", "constraint_type_count", "potential_path_count", "candidate_source_count", "most_types", "signatures", "top_failures", reason.alias("zero_path_reason"), diagnosis.alias("zero_path_diagnosis"))
+
+
 def expand_with_budget(baseline: DataFrame, graph: DataFrame, budget: int, quota: int) -> DataFrame:
     """baseline[:budget-g] then g graph candidates that the baseline lacks, g = min(quota, budget, those there are).
 
@@ -217,13 +310,24 @@ def constraint_graph(query: DataFrame, evidence: DataFrame) -> tuple[DataFrame,
     return nodes, wants.unionByName(found).distinct()
 
 
-def graph_violations(nodes: DataFrame, edges: DataFrame, root_type: str = "query") -> DataFrame:
-    """Breaks of the graph contract: repeated nodes, loose edge ends, not exactly one root."""
-    repeated = nodes.groupBy("query_id", "node_id").count().where("count > 1").select("query_id", F.lit("duplicate_node").alias("violation"), F.col("node_id").alias("subject"))
+def graph_violations(nodes: DataFrame, edges: DataFrame, root_type: str = "query", edge_types: Sequence[str] = ("REQUIRES", "MATCHES_TYPE", "MATCHES_VALUE", "CONFLICTS")) -> DataFrame:
+    """Breaks of the graph contract as (query_id, violation, subject).
+
+    Node and edge identities are unique, edge types known, both ends exist, there is one root, and every other node
+    hangs on an edge.
+    """
+    said = lambda df, name, what: df.select("query_id", F.lit(name).alias("violation"), what.cast("string").alias("subject"))
+    edge = ("query_id", "source", "target", "edge_type")
     ends = edges.select("query_id", F.explode(F.array("source", "target")).alias("node_id")).distinct()
-    loose = ends.join(nodes.select("query_id", "node_id"), ["query_id", "node_id"], "left_anti").select("query_id", F.lit("missing_endpoint").alias("violation"), F.col("node_id").alias("subject"))
-    roots = nodes.groupBy("query_id").agg(F.count_if(F.col("node_type") == root_type).alias("n")).where("n <> 1").select("query_id", F.lit("root_count").alias("violation"), F.col("n").cast("string").alias("subject"))
-    return repeated.unionByName(loose).unionByName(roots)
+    parts = [
+        said(nodes.groupBy("query_id", "node_id").count().where("count > 1"), "duplicate_node", F.col("node_id")),
+        said(edges.groupBy(*edge).count().where("count > 1"), "duplicate_edge", F.concat_ws("|", *edge[1:])),
+        said(edges.where(~F.col("edge_type").isin(*edge_types)), "unknown_edge_type", F.col("edge_type")),
+        said(ends.join(nodes.select("query_id", "node_id"), ["query_id", "node_id"], "left_anti"), "missing_endpoint", F.col("node_id")),
+        said(nodes.where(F.col("node_type") != root_type).join(ends, ["query_id", "node_id"], "left_anti"), "loose_node", F.col("node_id")),
+        said(nodes.groupBy("query_id").agg(F.count_if(F.col("node_type") == root_type).alias("n")).where("n <> 1"), "root_count", F.col("n")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def compare_query_to_evidence(query: DataFrame, evidence: DataFrame, exclusive: Sequence[str], high_risk: Sequence[str], context_types: Sequence[str]) -> DataFrame:

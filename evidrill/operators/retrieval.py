@@ -296,3 +296,9 @@ def evidence_snippets(evidence: DataFrame, count: int, chars: int, order: str =
     """The prompt's evidence: the first ``count`` rows cut to ``chars``; empty texts drop out after the cut."""
     top = evidence.where(F.col(order) <= count).withColumn("snippet", F.substring(norm_ws("content"), 1, chars))
     return top.where("snippet <> ''")
+
+
+def evidence_view(evidence: DataFrame) -> DataFrame:
+    """evidence with the names that a user sees: source, page and text instead of the index's own."""
+    shown = {"source_file": "source", "page_number": "page", "content": "text"}
+    return evidence.withColumnsRenamed({k: v for k, v in shown.items() if k in evidence.columns})

@@ -24,12 +24,14 @@ _TURNS = "turns AS (SELECT conv_id AS id, " + _NORM.format("coalesce(text, '')")
 
 
 def near_dup_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Pairs of first questions at a trigram similarity of 0.65 or more, exactly, by prefix filtering."""
-    g = C.grams_of(_turns(spark, sf), "id", "norm")
+    """Pairs of first questions at a trigram similarity of 0.65 or more, exactly; some questions come again, changed a little."""
+    t = _turns(spark, sf)
+    t = t.unionByName(t.where("id % 10 = 0").select((F.col("id") + 1_000_000).alias("id"), F.concat("norm", F.lit("zqzq")).alias("norm")))
+    g = C.grams_of(t, "id", "norm")
     return C.similar_pairs(g, g, 0.65, self_join=True).select("left_id", "right_id", F.round("similarity", 6).alias("similarity"))
 
 
-NEAR_DUP_PAIRS = "WITH " + _TURNS + f""", g AS MATERIALIZED (SELECT id, {_GRAMS.format('norm')} AS g FROM turns), p AS (SELECT a.id AS left_id, b.id AS right_id, len(list_intersect(a.g, b.g)) AS i, len(a.g) + len(b.g) AS s FROM g a JOIN g b ON a.id < b.id AND len(a.g) > 0 AND len(b.g) > 0)
+NEAR_DUP_PAIRS = "WITH " + _TURNS + f""", t AS (SELECT id, norm FROM turns UNION ALL SELECT id + 1000000, norm || 'zqzq' FROM turns WHERE id % 10 = 0), g AS MATERIALIZED (SELECT id, {_GRAMS.format('norm')} AS g FROM t), p AS (SELECT a.id AS left_id, b.id AS right_id, len(list_intersect(a.g, b.g)) AS i, len(a.g) + len(b.g) AS s FROM g a JOIN g b ON a.id < b.id AND len(a.g) > 0 AND len(b.g) > 0)
 SELECT left_id, right_id, round(i / (s - i), 6) AS similarity FROM p WHERE i / (s - i) >= 0.65"""
 
 
@@ -149,17 +151,16 @@ QUARANTINE_REASONS = "SELECT CASE WHEN quality IS NULL THEN 'missing_label' WHEN
 
 
 def independence_components(spark: SparkSession, sf: str) -> DataFrame:
-    """Parts joined by a shared supplier or the same order: the parts of each order's lines hang together."""
-    li = V.table(spark, sf, "lineitem").select("l_orderkey", "l_partkey")
-    first = li.groupBy("l_orderkey").agg(F.min("l_partkey").alias("a"))
-    edges = li.join(first, "l_orderkey").select("a", F.col("l_partkey").alias("b")).where("a <> b").distinct()
-    nodes = V.table(spark, sf, "part").select(F.col("p_partkey").alias("id"))
-    return C.independence_components(edges, nodes)
+    """Documents that hang together by an equal text or an equal length: chains of both relations."""
+    d = V.chunks(spark, sf).select("doc_id", F.sha2("content", 256).alias("text"), F.length("content").alias("size"))
+    same = lambda c: d.join(d.groupBy(c).agg(F.min("doc_id").alias("a")), c).select("a", F.col("doc_id").alias("b"))
+    return C.independence_components(same("text").unionByName(same("size")), d.select(F.col("doc_id").alias("id")))
 
 
-INDEPENDENCE_COMPONENTS = """WITH RECURSIVE e AS MATERIALIZED (SELECT DISTINCT a, b FROM (SELECT min(l_partkey) OVER (PARTITION BY l_orderkey) AS a, l_partkey AS b FROM lineitem) WHERE a <> b), two AS MATERIALIZED (SELECT a, b FROM e UNION SELECT b, a FROM e
-), reach AS (SELECT p_partkey AS id, p_partkey AS c FROM part WHERE p_partkey = (SELECT min(p_partkey) FROM part) UNION SELECT two.b, reach.c FROM reach JOIN two ON two.a = reach.id)
-SELECT p_partkey AS id, coalesce(c, p_partkey) AS component FROM part LEFT JOIN reach ON id = p_partkey"""
+INDEPENDENCE_COMPONENTS = """WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents
+), e AS MATERIALIZED (SELECT DISTINCT a, b FROM (SELECT min(doc_id) OVER (PARTITION BY t) AS a, doc_id AS b FROM d UNION ALL SELECT min(doc_id) OVER (PARTITION BY length(t)), doc_id FROM d) WHERE a <> b), two AS MATERIALIZED (SELECT a, b FROM e UNION SELECT b, a FROM e
+), reach AS (SELECT doc_id AS id, doc_id AS c FROM d UNION SELECT two.b, reach.c FROM reach JOIN two ON two.a = reach.id WHERE reach.c < two.b)
+SELECT id, min(c) AS component FROM reach GROUP BY id"""
 
 
 def quota_selection(spark: SparkSession, sf: str) -> DataFrame:
@@ -175,10 +176,24 @@ QUOTA_SELECTION = "SELECT n_nationkey FROM (SELECT n_nationkey, n_regionkey, row
 
 
 def grouped_split(spark: SparkSession, sf: str) -> DataFrame:
-    """Regions as components of nations: whole regions for a split of ten nations."""
-    rows = V.table(spark, sf, "nation").groupBy("n_regionkey").agg(F.count("*").alias("rows"), F.count_if(F.col("n_nationkey") % 2 == 0).alias("two")).orderBy("n_regionkey").collect()
-    chosen = C.grouped_split([(r.n_regionkey, r["rows"], r.two, r["rows"]) for r in rows], 10, 5) or []
-    return spark.createDataFrame([(int(c),) for c in chosen], "n_regionkey int")
+    """Market segments of a nation as components, order states as decisions: whole nations for a split of given counts.
+
+    The target is what the nations with keys below 3 hold, so that a choice exists; nations come in the order of keys.
+    """
+    o = V.table(spark, sf, "orders").join(V.table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    rows = o.groupBy("c_nationkey").agg(*[F.count_if(F.col("o_orderstatus") == x).alias(x) for x in "FOP"], F.count_if(F.col("o_custkey") % 2 == 0).alias("two"), F.count_distinct("o_custkey").alias("pages")).orderBy("c_nationkey").collect()
+    target = tuple(sum(r[x] for r in rows if r.c_nationkey < 3) for x in "FOP")
+    two = sum(r.two for r in rows if r.c_nationkey < 3)
+    chosen = C.grouped_split([(r.c_nationkey, (r.F, r.O, r.P), r.two, r.pages) for r in rows], target, two) or []
+    return spark.createDataFrame([(int(c),) for c in chosen], "c_nationkey int")
+
+
+GROUPED_SPLIT = """WITH RECURSIVE n AS MATERIALIZED (SELECT CAST(c_nationkey AS INTEGER) AS k, count(*) FILTER (o_orderstatus = 'F') AS f, count(*) FILTER (o_orderstatus = 'O') AS o, count(*) FILTER (o_orderstatus = 'P') AS p, count(*) FILTER (o_custkey % 2 = 0) AS two, count(DISTINCT o_custkey) AS pages
+  FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1
+), t AS (SELECT sum(f) AS f, sum(o) AS o, sum(p) AS p, sum(two) AS two FROM n WHERE k < 3
+), s AS (SELECT []::INTEGER[] AS l, -1 AS last, 0::HUGEINT AS f, 0::HUGEINT AS o, 0::HUGEINT AS p, 0::HUGEINT AS two, 0::HUGEINT AS pages
+  UNION ALL SELECT list_append(s.l, n.k), n.k, s.f + n.f, s.o + n.o, s.p + n.p, s.two + n.two, s.pages + n.pages FROM s JOIN n ON n.k > s.last, t WHERE s.f + n.f <= t.f AND s.o + n.o <= t.o AND s.p + n.p <= t.p)
+SELECT unnest(l) AS c_nationkey FROM (SELECT s.l FROM s, t WHERE s.f = t.f AND s.o = t.o AND s.p = t.p ORDER BY abs(s.two - t.two), -s.pages, s.two, s.l LIMIT 1)"""
 
 
 def diverse_shortlist(spark: SparkSession, sf: str) -> DataFrame:
@@ -311,12 +326,13 @@ DUPLICATE_KEYS = "SELECT l_orderkey, count(*) AS rows FROM lineitem GROUP BY l_o
 
 
 def unequal_keys(spark: SparkSession, sf: str) -> DataFrame:
-    c = V.table(spark, sf, "customer").select(F.col("c_custkey").alias("k"))
-    o = V.table(spark, sf, "orders").select(F.col("o_custkey").alias("k"))
+    """Customers against those who order, with a few keys that only one side has."""
+    c = V.table(spark, sf, "customer").select(F.col("c_custkey").alias("k")).unionByName(spark.createDataFrame([(-1,), (-2,)], "k long"))
+    o = V.table(spark, sf, "orders").select(F.col("o_custkey").alias("k")).unionByName(spark.createDataFrame([(-2,), (-3,)], "k long"))
     return K.unequal_keys(c, o, ["k"])
 
 
-UNEQUAL_KEYS = "SELECT c_custkey AS k, 'missing' AS violation FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT DISTINCT o_custkey, 'unexpected' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)"
+UNEQUAL_KEYS = "WITH c AS (SELECT c_custkey AS k FROM customer UNION ALL VALUES (-1), (-2)), o AS (SELECT DISTINCT o_custkey AS k FROM orders UNION ALL VALUES (-2), (-3)) SELECT k, 'missing' AS violation FROM c WHERE k NOT IN (SELECT k FROM o) UNION ALL SELECT k, 'unexpected' FROM o WHERE k NOT IN (SELECT k FROM c)"
 
 
 def distribution_drift(spark: SparkSession, sf: str) -> DataFrame:
@@ -377,7 +393,7 @@ QUERIES = {
     "quarantine_reasons": (quarantine_reasons, QUARANTINE_REASONS),
     "independence_components": (independence_components, INDEPENDENCE_COMPONENTS),
     "quota_selection": (quota_selection, QUOTA_SELECTION),
-    "grouped_split": (grouped_split, None),
+    "grouped_split": (grouped_split, GROUPED_SPLIT),
     "diverse_shortlist": (diverse_shortlist, None),
     "compare_and_swap": (compare_and_swap, COMPARE_AND_SWAP),
     "policy_binding": (policy_binding, POLICY_BINDING),

@@ -22,13 +22,28 @@ def _candidates(spark: SparkSession, sf: str) -> DataFrame:
     return V.chunks(spark, sf).select("candidate_key", "source_file", "page_number")
 
 
+#: Texts whose constraints are known, beside whatever the documents hold: (owner, text, ((type, value), ...)).
+PLANTED = (
+    ("planted::1", "儿童支原体肺炎阿奇霉素静滴 10mg/kg，一天两次可以吗？", (("dose", "10mg/kg", "10mg/kg"), ("evidence_scope", "dose_guidance", "10mg/kg"), ("frequency", "bid", "一天两次"), ("route", "iv_infusion", "静滴"), ("patient_weight", "", ""))),
+    ("planted::2", "阿奇霉素静点，10 mg/(kg.d)，qd。", (("dose", "10mg/kg/day", "10 mg/(kg.d)"), ("evidence_scope", "dose_guidance", "10 mg/(kg.d)"), ("frequency", "qd", "qd"), ("route", "iv_infusion", "静点"))),
+    ("planted::3", "经48～72小时治疗症状无改善", (("monitoring_trigger", "nonresponse", "症状无改善"), ("monitoring_window", "48-72h", "48~72小时"))),
+    ("planted::4", "infant 7.50 kg, next dose in 24h", (("monitoring_window", "24h", "24h"), ("patient_weight", "7.5kg", "7.50 kg"))),
+)
+
+
 def constraint_extract(spark: SparkSession, sf: str) -> DataFrame:
-    """Pattern constraints of whole texts: merged, one row per (document, type, value)."""
+    """Pattern constraints of whole texts and of a few planted ones: merged, one row per (document, type, value)."""
     d = V.chunks(spark, sf).select(F.col("candidate_key").alias("owner_id"), F.lit("content").alias("scope"), F.col("content").alias("text"))
-    found = merge_constraints(extract_constraints(d))
+    planted = spark.createDataFrame([(o, "content", t) for o, t, _ in PLANTED], "owner_id string, scope string, text string")
+    found = merge_constraints(extract_constraints(d.unionByName(planted)))
     return found.select("owner_id", "ctype", "cvalue", F.array_join("surface_forms", "|").alias("surface_forms"))
 
 
+#: The patterns look around, which DuckDB's cannot; a document that holds what any of them needs shows up as a row.
+CONSTRAINT_EXTRACT = "WITH " + V.CHUNKS + " SELECT * FROM (VALUES " + ", ".join(f"('{o}', '{t}', '{v}', '{x}')" for o, _, found in PLANTED for t, v, x in found if v) + r""") v(owner_id, ctype, cvalue, surface_forms)
+UNION ALL SELECT candidate_key, 'unexpected', '', '' FROM chunks WHERE regexp_matches(content, '(?i)[0-9]\s*kg\b|[0-9]\s*h\b|\bqd\b|\bbid\b|both agents|simultaneously|[\x{4e00}-\x{9fff}]')"""
+
+
 def lexicon_constraints(spark: SparkSession, sf: str) -> DataFrame:
     return V.constraints(spark, sf).select("owner_id", "scope", "ctype", "cvalue", "strong")
 
@@ -58,10 +73,14 @@ POSTING_RANKING = "WITH " + V.CONSTRAINTS + """, h AS (SELECT query_id, owner_id
 SELECT query_id, candidate_key, match_count, type_count, CAST(row_number() OVER (PARTITION BY query_id ORDER BY match_count DESC, source_file, page_number, candidate_key) AS INTEGER) AS graph_rank FROM h JOIN chunks USING (candidate_key)"""
 
 
-def path_qualify(spark: SparkSession, sf: str) -> DataFrame:
+def paths(spark: SparkSession, sf: str) -> DataFrame:
     return G.qualify_paths(V.query_constraints(spark, sf), _candidates(spark, sf), V.constraints(spark, sf))
 
 
+def path_qualify(spark: SparkSession, sf: str) -> DataFrame:
+    return paths(spark, sf).drop("signature", "candidate_condition")
+
+
 _PATHS = V.CONSTRAINTS + """, own AS MATERIALIZED (
   SELECT x.owner_id, x.ctype, x.cvalue, bool_or(c.owner_id IS NOT NULL) AS in_content, bool_or(s.owner_id IS NOT NULL) AS in_source
   FROM xc x LEFT JOIN cc c ON c.owner_id = x.owner_id AND c.ctype = x.ctype AND c.cvalue = x.cvalue LEFT JOIN sc s ON s.owner_id = x.owner_id AND s.ctype = x.ctype AND s.cvalue = x.cvalue GROUP BY ALL
@@ -129,13 +148,17 @@ _EXPAND = _ROUTE + """, fused AS MATERIALIZED (SELECT query_id, candidate_key, r
 GRAPH_EXPAND = "WITH " + _EXPAND + " SELECT * FROM expanded"
 
 
+def _moved(spark: SparkSession, sf: str, expanded: DataFrame, selected: DataFrame) -> DataFrame:
+    pool = expanded.withColumnRenamed("expanded_rank", "rank")
+    types = V.query_constraints(spark, sf).groupBy("query_id").agg(F.count_distinct("ctype").alias("query_types"))
+    paths = selected.join(types, "query_id").select("query_id", "candidate_key", G.path_score(F.col("tier"), F.col("type_count"), F.col("content_type_count"), F.col("query_types"), F.col("route_rank")).alias("path_score"))
+    return G.shift_ranks(pool.join(paths, ["query_id", "candidate_key"], "left"), 2.0)
+
+
 def graph_rerank(spark: SparkSession, sf: str) -> DataFrame:
     """Expanded candidates moved by their path scores."""
     selected = _selected(spark, sf)
-    pool = _expanded(spark, sf, selected).withColumnRenamed("expanded_rank", "rank")
-    types = V.query_constraints(spark, sf).groupBy("query_id").agg(F.count_distinct("ctype").alias("query_types"))
-    paths = selected.join(types, "query_id").select("query_id", "candidate_key", G.path_score(F.col("tier"), F.col("type_count"), F.col("content_type_count"), F.col("query_types"), F.col("route_rank")).alias("path_score"))
-    out = G.shift_ranks(pool.join(paths, ["query_id", "candidate_key"], "left"), 2.0)
+    out = _moved(spark, sf, _expanded(spark, sf, selected), selected)
     return out.select("query_id", "candidate_key", "origin", "rank", F.round("path_score", 6).alias("path_score"), "new_rank")
 
 
@@ -145,10 +168,13 @@ SELECT e.query_id, e.candidate_key, origin, expanded_rank AS rank, round(p, 6) A
 FROM expanded e LEFT JOIN ps ON ps.query_id = e.query_id AND ps.candidate_key = e.candidate_key"""
 
 
-def coverage_rerank(spark: SparkSession, sf: str) -> DataFrame:
+def _covered(spark: SparkSession, sf: str) -> DataFrame:
     pool = _fused(spark, sf).select("query_id", "candidate_key", "rank", (1.0 / F.col("rank")).alias("relevance_score"), F.lit(0.5).alias("authority_weight"))
-    out = G.coverage_rerank(pool, V.query_constraints(spark, sf), V.constraints(spark, sf), {"dose": 2.0, "medication": 1.5})
-    return out.select("query_id", "candidate_key", F.round("coverage", 6).alias("coverage"), "rerank_status", F.round("graph_score", 6).alias("graph_score"), "new_rank")
+    return G.coverage_rerank(pool, V.query_constraints(spark, sf), V.constraints(spark, sf), {"dose": 2.0, "medication": 1.5})
+
+
+def coverage_rerank(spark: SparkSession, sf: str) -> DataFrame:
+    return _covered(spark, sf).select("query_id", "candidate_key", F.round("coverage", 6).alias("coverage"), "rerank_status", F.round("graph_score", 6).alias("graph_score"), "new_rank")
 
 
 COVERAGE_RERANK = "WITH " + _EXPAND + """, aq AS (SELECT DISTINCT query_id, ctype, CASE ctype WHEN 'dose' THEN 2.0 WHEN 'medication' THEN 1.5 ELSE 1.0 END::DOUBLE AS w FROM qc
@@ -195,13 +221,22 @@ SELECT query_id, edge_type, count(*) AS edges FROM ed GROUP BY ALL"""
 
 
 def graph_contract_violations(spark: SparkSession, sf: str) -> DataFrame:
-    """Violations of the built graph, of which there are none, counted by kind."""
+    """Violations by kind of the built graph, from which evidence is taken away and to which copies are added by query."""
     q, e = V.query_constraints(spark, sf), _evidence_constraints(spark, sf).where("scope = 'content'")
     nodes, edges = G.constraint_graph(q, e.join(q.select("query_id").distinct(), "query_id", "left_semi"))
+    k = F.col("query_id") % 5
+    nodes = nodes.where((k != 0) | (F.col("node_type") != "evidence")).unionByName(nodes.where((k == 1) & (F.col("node_type") == "query")))
+    nodes = nodes.unionByName(q.where(k == 2).select("query_id", F.lit("evidence:none").alias("node_id"), F.lit("evidence").alias("node_type")).distinct())
+    edges = edges.unionByName(edges.where((k == 3) & (F.col("edge_type") == "REQUIRES"))).unionByName(edges.where((k == 4) & (F.col("edge_type") == "REQUIRES")).withColumn("edge_type", F.lit("WANTS")))
     return G.graph_violations(nodes, edges).groupBy("violation").agg(F.count("*").alias("n"))
 
 
-GRAPH_CONTRACT_VIOLATIONS = "SELECT 'x' AS violation, CAST(0 AS BIGINT) AS n WHERE false"
+GRAPH_CONTRACT_VIOLATIONS = "WITH " + _EVIDENCE + """, v AS (
+  SELECT 'missing_endpoint' AS violation, count(*) AS n FROM (SELECT DISTINCT q.query_id, candidate_key FROM qc q JOIN ec e ON e.query_id = q.query_id AND e.ctype = q.ctype AND e.scope = 'content' WHERE q.query_id % 5 = 0)
+  UNION ALL SELECT 'duplicate_node', count(DISTINCT query_id) FROM qc WHERE query_id % 5 = 1 UNION ALL SELECT 'root_count', count(DISTINCT query_id) FROM qc WHERE query_id % 5 = 1
+  UNION ALL SELECT 'loose_node', (SELECT count(DISTINCT query_id) FROM qc WHERE query_id % 5 = 2) + (SELECT count(*) FROM (SELECT DISTINCT query_id, candidate_key FROM ec WHERE scope = 'content' AND query_id % 5 <> 0 AND query_id IN (SELECT query_id FROM qc) EXCEPT SELECT DISTINCT q.query_id, candidate_key FROM qc q JOIN ec e ON e.query_id = q.query_id AND e.ctype = q.ctype AND e.scope = 'content'))
+  UNION ALL SELECT 'duplicate_edge', count(*) FROM (SELECT DISTINCT query_id, ctype, cvalue FROM qc WHERE query_id % 5 = 3) UNION ALL SELECT 'unknown_edge_type', count(*) FROM (SELECT DISTINCT query_id, ctype, cvalue FROM qc WHERE query_id % 5 = 4))
+SELECT * FROM v WHERE n > 0"""
 
 
 def consistency_labels(spark: SparkSession, sf: str) -> DataFrame:
@@ -285,7 +320,7 @@ SELECT conv_id, count(*) AS claims, count(*) FILTER (s = 0) AS contradicted, cou
   CASE min(s) WHEN 0 THEN 'contradicted' WHEN 1 THEN 'unsupported' WHEN 2 THEN 'insufficient_evidence' ELSE 'supported' END AS overall_state, round(count(*) FILTER (s = 3) / count(*), 6) AS coverage_ratio, min(s) <= 1 AS requires_review FROM w GROUP BY conv_id"""
 
 QUERIES = {
-    "constraint_extract": (constraint_extract, None),
+    "constraint_extract": (constraint_extract, CONSTRAINT_EXTRACT),
     "lexicon_constraints": (lexicon_constraints, LEXICON_CONSTRAINTS),
     "constraint_postings": (constraint_postings, CONSTRAINT_POSTINGS),
     "adjacent_pages": (adjacent_pages, ADJACENT_PAGES),
