@@ -88,6 +88,14 @@ def bucket_count(spark: SparkSession, text_bytes: int, bucket_bytes: int = BUCKE
     return int(max(shuffle_partitions(spark), text_bytes // bucket_bytes + 1))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name`` with underscores until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The texts of an Arrow string column as bytes; null counts as the empty text."""
     return [x if x is not None else b"" for x in column.cast(pa.binary()).to_pylist()]

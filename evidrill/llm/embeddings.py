@@ -63,12 +63,14 @@ def hashes_for(vectors: int, dim: int, s: CrossPolytopeSettings) -> int:
 def tables_for(dim: int, s: CrossPolytopeSettings) -> int:
     """The least number of tables, ``s.tables`` at least, that miss a pair at the threshold with a chance of ``s.missed`` at most.
 
-    Measured on random pairs at exactly the threshold, the hardest ones: a pair that meets in k of n trial tables is
-    missed by a share of C(n - k, t) / C(n, t) of all choices of t tables. Trials double until half of them are enough.
+    Measured on random pairs of that length at exactly the threshold, the hardest ones: a pair that meets in k of n
+    trial tables is missed by a share of C(n - k, t) / C(n, t) of all choices of t tables. Trials double until half of
+    them are enough. Vectors of one component have only two directions.
     """
-    size = padded_size(dim)
-    draw = np.random.default_rng((s.seed, size, 1))
-    a, b = draw.standard_normal((2, min(1024, max(64, (1 << 16) // size)), size))
+    if dim < 2:
+        return s.tables
+    draw = np.random.default_rng((s.seed, dim, 1))
+    a, b = draw.standard_normal((2, min(2048, max(64, (1 << 17) // padded_size(dim))), dim))
     a /= np.linalg.norm(a, axis=1, keepdims=True)
     b -= (a * b).sum(axis=1, keepdims=True) * a
     b = s.threshold * a + np.sqrt(1 - s.threshold**2) * b / np.linalg.norm(b, axis=1, keepdims=True)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evidrill.llm.common import discard, lower_words, map_arrow, materialize, sorted_groups, splitmix, utf8
+from evidrill.llm.common import discard, free_name, lower_words, map_arrow, materialize, sorted_groups, splitmix, utf8
 from evidrill.llm.components import connected_components, partial_labels
 
 
@@ -373,7 +373,8 @@ def keep_one_of_each(docs: DataFrame, settings: MinHashSettings = MinHashSetting
     kept = near_duplicates(docs, settings).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__kept_id")).distinct()
     chosen = docs.join(kept.hint("merge"), docs["doc_id"].cast("long") == kept["__kept_id"], "left_semi")
     first = Window.partitionBy("doc_id").orderBy(F.xxhash64(*[F.to_json(F.col(f"`{c}`")) if isinstance(docs.schema[c].dataType, T.MapType) else F.col(f"`{c}`") for c in docs.columns]))
-    one = chosen.withColumn("__place", F.row_number().over(first)).where("__place = 1").drop("__place")
+    place = free_name(docs, "place")
+    one = chosen.withColumn(place, F.row_number().over(first)).where(F.col(place) == 1).drop(place)
     return one.unionByName(docs.where(F.col("doc_id").isNull()))
 
 
