@@ -6,20 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidrill.llm import minhash, mixing, packing, quality, toxicity
-from evidrill.llm.common import discard, materialize, table
+from evidrill.llm.common import discard, free_name, materialize, table
 from evidrill.llm.registry import pack_settings
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model does not reject (score below 0.5)."""
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score_documents(docs, model, "__toxicity").where(F.col("__toxicity") < 0.5).select(*docs.columns)
+    score = free_name(docs, "toxicity")
+    return toxicity.score_documents(docs, model, score).where(F.col(score) < 0.5).drop(score)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that their neighbours vote for (score of at least 0.3)."""
     model = quality.learn(docs, table(spark, sf_dir, "labels"))
-    return quality.score_documents(docs, model, column="__quality").where(F.col("__quality") >= 0.3).select(*docs.columns)
+    score = free_name(docs, "quality")
+    return quality.score_documents(docs, model, column=score).where(F.col(score) >= 0.3).drop(score)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
