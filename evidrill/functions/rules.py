@@ -7,6 +7,7 @@ of rules, and can be read in ``explain``.
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -75,6 +76,24 @@ REFERENCE_HEADING = r"(?m)^\s*##\s*[［\[]?\s*参\s*考\s*文\s*献"
 PICTURE_PLACEHOLDER = r"(?i)\*\*==>\s*picture\s*\[[^\]]+\]\s*intentionally omitted\s*<==\*\*"
 PICTURE_MARKER = r"(?i)\*\*-----\s*(Start|End)\s+of picture text\s*-----\*\*"
 TITLE_PUNCTUATION = r"[\s#　，。、《》（）()：:;；·.\-]+"
+# Factors by groups; of a group the first row counts whose words are asked for and found: (asked, ((where, any of), ...), factor).
+BOOSTS = (
+    ((BOUNDARY_TERMS, (("source", CATALOG_SOURCES),), 1.45), (COMBINATION_TERMS + AUDIT_TERMS, (("source", CATALOG_SOURCES),), 0.45)),
+    ((COMBINATION_TERMS + AUDIT_TERMS, (("source", CLINICAL_SOURCES),), 1.12),),
+    ((FEVER, (("either", ("NICE_NG143", "Fever", "paracetamol", "ibuprofen")),), 1.65),),
+    ((COUGH, (("either", ("NICE_NG120", "acute cough", "mucolytic", "antitussive")),), 1.65),),
+    ((("过敏",), (("either", ("NICE_CG183", "Drug_allergy", "drug allergy", "过敏史")),), 1.6),),
+    ((ORGANS, (("either", ("抗菌药物临床应用指导原则", "肝肾功能", "药师审方", "renal function")),), 1.45),),
+    ((ORGANS, (("content", ("电子处方系统", "药师审方", "肝肾功能检查结果", "用药医嘱")),), 1.55),),
+    ((("48-72", "48～72", "48 小时", "没有好转", "无改善", "再次评估"), (("source", ("儿童社区获得性肺炎诊疗规范",)), ("content", ("再次评估",)), ("content", ("48",)), ("content", ("72",))), 1.65),),
+    (
+        (COMBINATION_TERMS, (("content", ("联合用药通常采用",)),), 1.75),
+        (COMBINATION_TERMS, (("content", ("联合用药",)), ("content", ("3种", "不良反应亦可能增多"))), 1.75),
+        (COMBINATION_TERMS, (("content", ("联合用药", "抗菌药物联合", "combination")),), 1.25),
+    ),
+)
+# What a fallback's share gains beside its words, for sources of a name: (all of these hold one of their words, gain).
+FALLBACK_GAINS = {"抗菌药物临床应用指导原则": (((("联合用药通常采用",),), 0.35), ((("3种及3种以上", "3 种及 3 种以上"), ("不良反应亦可能增多",)), 0.25))}
 # End of the fixed values.
 
 
@@ -120,27 +139,17 @@ def required_terms_state(query: str | Column, content: str | Column, groups: Seq
     return needed, met
 
 
-def boost(query: str | Column, source: str | Column, content: str | Column) -> Column:
-    """The product of all query-aware factors; the catalogue's two exclude each other, as do those of combinations."""
-    q, s, c = blank(query), blank(source), blank(content)
-    both = F.concat_ws(" ", s, c)
-    catalog, clinical = contains_any(s, CATALOG_SOURCES), contains_any(s, CLINICAL_SOURCES)
-    combination, audit, boundary = (contains_any(q, t) for t in (COMBINATION_TERMS, AUDIT_TERMS, BOUNDARY_TERMS))
-    has = lambda x, *t: contains_any(x, t)
-    factors = [
-        F.when(boundary & catalog, 1.45).when((combination | audit) & catalog, 0.45),
-        F.when((combination | audit) & clinical, 1.12),
-        F.when(contains_any(q, FEVER) & has(both, "NICE_NG143", "Fever", "paracetamol", "ibuprofen"), 1.65),
-        F.when(contains_any(q, COUGH) & has(both, "NICE_NG120", "acute cough", "mucolytic", "antitussive"), 1.65),
-        F.when(has(q, "过敏") & has(both, "NICE_CG183", "Drug_allergy", "drug allergy", "过敏史"), 1.6),
-        F.when(contains_any(q, ORGANS) & has(both, "抗菌药物临床应用指导原则", "肝肾功能", "药师审方", "renal function"), 1.45),
-        F.when(contains_any(q, ORGANS) & has(c, "电子处方系统", "药师审方", "肝肾功能检查结果", "用药医嘱"), 1.55),
-        F.when(has(q, "48-72", "48～72", "48 小时", "没有好转", "无改善", "再次评估") & has(s, "儿童社区获得性肺炎诊疗规范") & has(c, "再次评估") & has(c, "48") & has(c, "72"), 1.65),
-        F.when(combination & (has(c, "联合用药通常采用") | has(c, "联合用药") & has(c, "3种", "不良反应亦可能增多")), 1.75).when(combination & has(c, "联合用药", "抗菌药物联合", "combination"), 1.25),
-    ]
+def boost(query: str | Column, source: str | Column, content: str | Column, groups: Sequence = BOOSTS) -> Column:
+    """The product of one factor of each group of rules, 1 where none of a group holds."""
+    where = {"source": blank(source), "content": blank(content)}
+    where["either"] = F.concat_ws(" ", where["source"], where["content"])
     out = F.lit(1.0)
-    for f in factors:
-        out = out * F.coalesce(f, F.lit(1.0))
+    for group in groups:
+        factor = F.lit(1.0)
+        for asked, found, value in reversed(group):
+            holds = reduce(Column.__and__, [contains_any(where[place], words) for place, words in found], contains_any(query, asked))
+            factor = F.when(holds, F.lit(value)).otherwise(factor)
+        out = out * factor
     return out
 
 
@@ -148,10 +157,9 @@ def fallback_relevance(rule: tuple[Sequence[str], str, Sequence[str]], content:
     """min(0.92, 0.52 + 0.40 * lexical share) for a chunk of the rule's source; null where no term is found."""
     _, source, terms = rule
     share = count_terms(content, terms) / F.lit(float(len(dict.fromkeys(t.lower() for t in terms))))
-    if "抗菌药物临床应用指导原则" in source:
-        c = blank(content)
-        has = lambda *t: contains_any(c, t)
-        share = share + F.when(has("联合用药通常采用"), 0.35).otherwise(0.0) + F.when(has("3种及3种以上", "3 种及 3 种以上") & has("不良反应亦可能增多"), 0.25).otherwise(0.0)
+    for name, gains in FALLBACK_GAINS.items():
+        for parts, gain in gains if name in source else ():
+            share = share + F.when(reduce(Column.__and__, [contains_any(content, words) for words in parts]), gain).otherwise(0.0)
     lexical = F.least(F.lit(1.0), share)
     return F.when(lexical > 0, F.least(F.lit(0.92), F.lit(0.52) + F.lit(0.40) * lexical))
 

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from evidrill.functions import rules, text
 from evidrill.operators import retrieval as R
+from evidrill.plans import service
 from evidrill.queries import views as V
+from evidrill.sources.scratch import write_once
 
 
 def dense_topk(spark: SparkSession, sf: str) -> DataFrame:
@@ -102,6 +104,22 @@ def greedy_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return R.greedy_dedup(pool, 0.75).select("query_id", "evidence_rank", "candidate_key", "seen", "invalid", "exact", "overlap")
 
 
+GREEDY_DEDUP = "WITH RECURSIVE " + _RRF + f""", n AS (
+  SELECT query_id, candidate_key AS k, CAST(frank AS INTEGER) AS o, source_file AS s, page_number AS p, {_NORM.format('content')} AS t, coalesce(trim(source_file), '') <> '' AND coalesce(page_number > 0, false) AS v FROM fused JOIN chunks USING (candidate_key)
+), m AS MATERIALIZED (SELECT *, EXISTS (SELECT 1 FROM n b WHERE b.query_id = n.query_id AND b.k <> n.k AND b.s = n.s AND b.p = n.p) AS shared FROM n
+), g AS MATERIALIZED (SELECT *, CASE WHEN shared THEN {_GRAMS.format('t')} ELSE [] END AS g, sha256(t) AS h FROM m
+), r AS (
+  SELECT DISTINCT query_id, 0 AS o, []::STRUCT(k VARCHAR, h VARCHAR, s VARCHAR, p INTEGER, g VARCHAR[])[] AS kept, 0 AS seen, 0 AS invalid, 0 AS exact, 0 AS overlap FROM g
+  UNION ALL
+  SELECT query_id, o, CASE WHEN full_ OR NOT v OR same OR close THEN kept ELSE list_append(kept, {{'k': k, 'h': h, 's': s, 'p': p, 'g': g}}) END, seen + (NOT full_)::INT, invalid + (NOT full_ AND NOT v)::INT, exact + (NOT full_ AND v AND same)::INT, overlap + (NOT full_ AND v AND NOT same AND close)::INT
+  FROM (SELECT g.query_id, g.o, r.kept, r.seen, r.invalid, r.exact, r.overlap, g.v, g.k, g.h, g.s, CAST(g.p AS INTEGER) AS p, g.g, len(r.kept) >= 4 AS full_,
+      len(list_filter(r.kept, lambda a: a.h = g.h)) > 0 AS same,
+      len(list_filter(r.kept, lambda a: a.s = g.s AND a.p = g.p AND least(len(a.g), len(g.g)) > 0 AND len(list_intersect(a.g, g.g)) >= 0.75 * least(len(a.g), len(g.g)))) > 0 AS close
+    FROM r JOIN g ON g.query_id = r.query_id AND g.o = r.o + 1)
+), z AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY o DESC) = 1)
+SELECT query_id, CASE WHEN len(kept) > 0 THEN i END AS evidence_rank, kept[i].k AS candidate_key, seen, invalid, exact, overlap FROM (SELECT *, CAST(unnest(range(1, greatest(len(kept), 1) + 1)) AS INTEGER) AS i FROM z)"""
+
+
 def admit_evidence(spark: SparkSession, sf: str) -> DataFrame:
     pool = R.rrf(V.routed(spark, sf), 60, 20).join(V.chunks(spark, sf).select("candidate_key", "source_file", "page_number", "content"), "candidate_key")
     return R.admit_evidence(pool, 4).select("query_id", "candidate_key", "rank", "reason")
@@ -199,6 +217,92 @@ _CHARS = "list_distinct(list_filter(string_split({0}, ''), lambda x: x <> ''))"
 CHAR_OVERLAP = "WITH " + V.ROUTED + f""", n AS (SELECT r.query_id, r.candidate_key, {_NORM.format('query')} AS q, {_NORM.format('content')} AS c FROM routed r JOIN (SELECT candidate_key, content FROM chunks) USING (candidate_key) JOIN questions USING (query_id) WHERE method_id = 'dense' AND rank <= 4)
 SELECT query_id, candidate_key, round(CASE WHEN q = '' THEN 0.0 ELSE len(list_intersect({_CHARS.format('q')}, {_CHARS.format('c')})) / len({_CHARS.format('q')}) END, 6) AS overlap FROM n"""
 
+#: Questions that the service's own rules answer, beside the benchmark's.
+SERVICE_QUESTIONS = ((-1, "孩子发热，布洛芬可以同时使用吗"), (-2, "咳嗽有痰用什么止咳"), (-3, "阿奇霉素 每日两次"))
+#: What some documents say besides, so that the rules find their words: (remainder of the id by eight, source, text).
+SERVICE_SOURCES = ((1, "NICE_NG143_Fever_in_under_5s.pdf", " paracetamol or ibuprofen for fever in distress"), (2, "NICE_NG120_Acute_cough_antimicrobial_prescribing.pdf", " acute cough: honey and self-care"), (3, "国家基本药物目录（2018年版）.pdf", " 阿奇霉素 qd 口服"))
+
+
+def _service(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Chunks with vectors and granularities, and questions with the vector of the document of their number."""
+    c = V.vectors(spark, sf).join(V.chunks(spark, sf).drop("candidate_key"), F.col("vec_id") == F.col("doc_id"))
+    k = F.col("doc_id") % 8
+    source, text = F.col("source_file"), F.col("content")
+    for at, name, words in SERVICE_SOURCES:
+        source, text = F.when(k == at, F.lit(name)).otherwise(source), F.when(k == at, F.concat(text, F.lit(words))).otherwise(text)
+    c = c.select("candidate_key", F.col("collection").cast("int").alias("granularity"), source.alias("source_file"), "page_number", F.when(F.contains("content", F.lit(" | ")), "table").otherwise("text").alias("block_type"), text.alias("content"), "embedding")
+    q = V.questions(spark, sf).unionByName(spark.createDataFrame(list(SERVICE_QUESTIONS), "query_id long, query string"))
+    v = V.table(spark, sf, "embeddings").select((F.col("vec_id") - len(SERVICE_QUESTIONS)).alias("query_id"), F.col("embedding").alias("query_vector"))
+    return c, q.join(v, "query_id")
+
+
+def service_retrieve(spark: SparkSession, sf: str) -> DataFrame:
+    """The online service over all questions: routes, fallbacks, weights, boosts, required terms, order of arrival."""
+    c, q = _service(spark, sf)
+    out = service.retrieve(c, q, 5)
+    return out.select("query_id", "candidate_key", F.round("final_score", 6).alias("final_score"), "rank")
+
+
+_TERMS = lambda x, *words: "(" + " OR ".join(f"contains({x}, '{w}')" for w in words) + ")"
+_has_any = lambda x, words: _TERMS(x, *words)
+_share = lambda x, words: "(" + " + ".join(f"contains(lower({x}), '{w.lower()}')::INT" for w in dict.fromkeys(w.lower() for w in words)) + f") / {float(len(dict.fromkeys(w.lower() for w in words)))}::DOUBLE"
+
+
+def _boost_sql() -> str:
+    place = {"source": "source_file", "content": "content", "either": "(source_file || ' ' || content)"}
+    groups = ["CASE " + " ".join(f"WHEN {_has_any('query', asked)} AND " + " AND ".join(_has_any(place[p], words) for p, words in found) + f" THEN {value}::DOUBLE" for asked, found, value in g) + " ELSE 1::DOUBLE END" for g in rules.BOOSTS]
+    return " * ".join(groups)
+
+
+def _service_sql() -> str:
+    at = lambda column, i, plain: "CASE doc_id % 8 " + " ".join(f"WHEN {r[0]} THEN {plain if i == 2 else ''}{' || ' if i == 2 else ''}'{r[i]}'" for r in SERVICE_SOURCES) + f" ELSE {plain} END AS {column}"
+    weights = "CASE " + " ".join(f"WHEN contains(source_file, '{k}') THEN {rules.AUTHORITY_WEIGHTS.get(level, rules.AUTHORITY_WEIGHTS['default'])}" for k, level in rules.AUTHORITY_KEYWORDS) + f" ELSE {rules.AUTHORITY_WEIGHTS['default']} END::DOUBLE"
+    planted = ", ".join(f"({i}, '{t}')" for i, t in SERVICE_QUESTIONS)
+    falls = []
+    for i, (triggers, source, words) in enumerate(rules.FALLBACKS):
+        gains = "".join(f" + CASE WHEN {' AND '.join(_has_any('content', p) for p in parts)} THEN {gain} ELSE 0 END" for name, g in rules.FALLBACK_GAINS.items() if name in source for parts, gain in g)
+        falls.append(f"SELECT q.query_id, c.*, {i} AS rule, {_share('content', words)}{gains} AS share FROM clean c, sq q WHERE c.source_file = '{source}' AND {_has_any('query', triggers)}")
+    needed = " OR ".join(_has_any("query", g) for g in rules.REQUIRED_TERM_GROUPS)
+    met = " AND ".join(f"(NOT {_has_any('query', g)} OR {_has_any('content', g)})" for g in rules.REQUIRED_TERM_GROUPS)
+    return "WITH " + V.VECTORS + ", " + V.CHUNKS + ", " + V.QUESTIONS + rf""", ch AS MATERIALIZED (
+  SELECT v.candidate_key, CAST(v.collection AS INTEGER) AS granularity, {at('source_file', 1, 'source_file')}, page_number, {at('content', 2, 'content')}, v.e FROM vectors v JOIN chunks c ON c.doc_id = v.vec_id
+), sq AS MATERIALIZED (SELECT q.*, v.e AS qe FROM (SELECT * FROM questions UNION ALL VALUES {planted}) q JOIN vectors v ON v.vec_id = q.query_id + {len(SERVICE_QUESTIONS)}
+), l AS (SELECT candidate_key, content, list_transform(list_filter(regexp_split_to_array(content, '\r\n|[\n\x0B\f\r\x{{85}}\x{{2028}}\x{{2029}}]'), lambda x: trim(x) <> ''), lambda x: trim(trim(trim(x), '#'))) AS ls FROM ch
+), noise AS (SELECT candidate_key FROM (SELECT *, regexp_replace(array_to_string(ls, ''), '[ \t\n\r\f\v#\x{{3000}}，。、《》（）()：:;；·.\-]+', '', 'g') AS k FROM l) WHERE content = '' OR len(ls) = 0 OR k = '' OR length(k) < 28 AND NOT {_has_any('content', rules.MEDICAL_SIGNALS)}
+), clean AS MATERIALIZED (SELECT candidate_key, granularity, source_file, page_number, content FROM ch WHERE candidate_key NOT IN (SELECT candidate_key FROM noise)
+), dn AS (SELECT q.query_id, c.candidate_key, pow(list_distance(q.qe, c.e), 2) AS d, row_number() OVER (PARTITION BY q.query_id, c.granularity ORDER BY pow(list_distance(q.qe, c.e), 2), c.candidate_key) AS rr FROM ch c, sq q QUALIFY rr <= 5
+), fb AS ({' UNION ALL '.join(falls)}
+), fr AS (SELECT *, least(0.92, 0.52::DOUBLE + 0.40::DOUBLE * least(1.0, share)) AS rel FROM fb WHERE share > 0
+), ft AS (SELECT *, row_number() OVER (PARTITION BY query_id, rule ORDER BY rel DESC, granularity, candidate_key) AS n FROM fr QUALIFY n <= 4
+), hits AS (
+  SELECT dn.query_id, c.*, 1 / (1 + d) AS rel, granularity * 1000 + rr AS arrival FROM dn JOIN clean c USING (candidate_key)
+  UNION ALL SELECT query_id, candidate_key, granularity, source_file, page_number, content, rel, 10000000 + rule * 1000 + n FROM ft
+), sc AS (SELECT h.*, query, rel * {weights} * ({_boost_sql()}) AS fs, {needed} AS needed, {met} AS met, {_has_any('query', rules.COMBINATION_TERMS + rules.AUDIT_TERMS + rules.BOUNDARY_TERMS)} AS broad, {_has_any('lower(content)', [w.lower() for w in rules.SAFETY_TERMS])} AS safety FROM hits h JOIN sq USING (query_id)
+), am AS (SELECT *, bool_or(met) OVER (PARTITION BY query_id) AS any_met FROM sc
+), kp AS (SELECT *, CASE WHEN NOT needed OR met OR NOT any_met THEN 0 ELSE 1 END AS cls, left(regexp_replace(content, '[ \t\n\r\f\v]+', '', 'g'), 120) AS sig FROM am WHERE NOT needed OR met OR (broad AND (NOT any_met OR safety))
+), f1 AS (SELECT * FROM kp QUALIFY row_number() OVER (PARTITION BY query_id, source_file, page_number, sig ORDER BY cls, fs DESC, arrival) = 1)
+SELECT query_id, candidate_key, round(fs, 6) AS final_score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY cls, fs DESC, arrival) AS INTEGER) AS rank FROM f1"""
+
+
+SERVICE_RETRIEVE = _service_sql()
+
+
+def service_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """Trust of a draft for every question: a conflict of frequencies costs most of the judge's score."""
+    c, q = _service(spark, sf)
+    top = write_once(service.retrieve(c, q, 5), "service-evidence")
+    first = top.where("rank = 1").select("query_id", "content")
+    drafts = q.join(first, "query_id", "left").select("query_id", F.when(F.col("query_id") % 9 == 0, "").otherwise("a draft").alias("draft"), service.frequency_conflict("query", F.coalesce("content", F.lit(""))).alias("conflict"))
+    out = service.audit(top, drafts, F.lit(9.0), F.col("conflict"))
+    return out.select("query_id", F.round("s_ret", 6).alias("s_ret"), "s_faith", "w_authority", "trust_level")
+
+
+SERVICE_AUDIT = SERVICE_RETRIEVE.rpartition("SELECT query_id, candidate_key, round(fs, 6)")[0] + """, fst AS (SELECT * FROM f1 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY cls, fs DESC, arrival) = 1
+), a AS (SELECT q.query_id, q.query_id % 9 = 0 OR rel IS NULL AS nothing, rel, content, query, """ + SERVICE_RETRIEVE.partition(" AS fs,")[0].rpartition("rel * ")[2].partition(" * (CASE")[0] + r""" AS w FROM (SELECT query_id FROM sq) q LEFT JOIN fst USING (query_id)
+), b AS (SELECT query_id, CASE WHEN nothing THEN 0 ELSE rel * 10 END AS s_ret, CASE WHEN nothing THEN 0.0 WHEN regexp_matches(query, '(?i)(\bbid\b|每日\s*(两|二|2)\s*次|一天\s*(两|二|2)\s*次)') AND regexp_matches(content, '(?i)(\bqd\b|每日\s*(一|1)\s*次|一天\s*(一|1)\s*次)') THEN 2.0 ELSE 9.0 END::DOUBLE AS s_faith, CASE WHEN nothing THEN 0 ELSE w END::DOUBLE AS w FROM a
+), t AS (SELECT *, round((0.4::DOUBLE * least(10, s_ret) + 0.6::DOUBLE * s_faith) * w, 4) AS ts FROM b)
+SELECT query_id, round(s_ret, 6) AS s_ret, s_faith, w AS w_authority, CASE WHEN ts >= 7.5 THEN 'TRUSTED' WHEN ts > 5 THEN 'WARNING' ELSE 'REJECTED' END AS trust_level FROM t"""
+
 QUERIES = {
     "trust_gate": (trust_gate, TRUST_GATE),
     "dense_topk": (dense_topk, DENSE_TOPK),
@@ -207,7 +311,7 @@ QUERIES = {
     "rrf_page_fusion": (rrf_page_fusion, RRF_PAGE_FUSION),
     "method_fusion": (method_fusion, METHOD_FUSION),
     "rerank_ranks": (rerank_ranks, RERANK_RANKS),
-    "greedy_dedup": (greedy_dedup, None),
+    "greedy_dedup": (greedy_dedup, GREEDY_DEDUP),
     "admit_evidence": (admit_evidence, ADMIT_EVIDENCE),
     "dedup_first": (dedup_first, DEDUP_FIRST),
     "query_expansion": (query_expansion, QUERY_EXPANSION),
@@ -217,4 +321,6 @@ QUERIES = {
     "physical_dedup": (physical_dedup, PHYSICAL_DEDUP),
     "evidence_snippets": (evidence_snippets, EVIDENCE_SNIPPETS),
     "char_overlap": (char_overlap, CHAR_OVERLAP),
+    "service_retrieve": (service_retrieve, SERVICE_RETRIEVE),
+    "service_audit": (service_audit, SERVICE_AUDIT),
 }
