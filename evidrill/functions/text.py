@@ -194,3 +194,9 @@ def strip_code_fence(x: str | Column) -> Column:
 
 def is_iso_timestamp(x: str | Column) -> Column:
     return F.try_to_timestamp(col(x)).isNotNull()
+
+
+def canonical_json(fields: str | Column) -> Column:
+    """A map of texts as JSON with its keys in order and no spaces: what digests of rows are taken from."""
+    entries = F.array_sort(F.map_entries(col(fields)))
+    return F.to_json(F.map_from_entries(entries))

@@ -92,6 +92,20 @@ def leaked_names(schema: T.DataType, names: Iterable[str] = GOLD_NAMES, path: st
     return out
 
 
+def leaked_values(df: DataFrame, key: str, gold: DataFrame) -> DataFrame:
+    """(key, field) of every text field that holds one of the gold texts in the only column of ``gold``.
+
+    Texts meet by runs of their inner words, so the tables may be large; see ``holders``.
+    """
+    from evidrill.operators.evaluation import holders
+
+    texts = gold.select(F.col(gold.columns[0]).alias("query")).distinct().withColumn("query_id", F.xxhash64("query"))
+    fields = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType) and f.name != key]
+    long = df.select(F.col(key).alias("doc_id"), F.explode(F.array(*[F.struct(F.lit(n).alias("field"), F.coalesce(F.col(n), F.lit("")).alias("content")) for n in fields])).alias("x")).select("doc_id", "x.*")
+    parts = [holders(long.where(F.col("field") == n), texts).select(F.col("doc_id").alias(key), F.lit(n).alias("field")) for n in fields]
+    return reduce(DataFrame.unionByName, parts).distinct()
+
+
 def project_runtime(df: DataFrame, allowed: Sequence[str]) -> DataFrame:
     """Exactly the allowed fields; gold names among them, or a field that is not there, are errors."""
     out = df.select(*allowed)

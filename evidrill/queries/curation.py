@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidrill.functions import text as X
-from evidrill.functions.rules import is_noise
+from evidrill.functions.rules import REFERENCE_HEADING, is_noise
 from evidrill.operators import audits as A
 from evidrill.operators import chunking, contracts as K, curation as C
 from evidrill.queries import views as V
@@ -292,6 +292,10 @@ def html_text_blocks(spark: SparkSession, sf: str) -> DataFrame:
     return S.text_blocks(p).select("page_id", F.length("content").alias("chars"), X.tokens_by_pages("content").alias("token_estimate"))
 
 
+_CLEAN = r"trim(regexp_replace(regexp_replace({0}, '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g'), '\n{{3,}}', '\n\n', 'g'))"
+HTML_TEXT_BLOCKS = "WITH p AS (SELECT page_id, " + _CLEAN.format(r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', ' ', 'g'), '(?i)</(p|div|li|h[1-6]|tr)>|<br\s*/?>', chr(10), 'g'), '<[^>]*>', ' ', 'g'), '[ \t]+', ' ', 'g')").replace("'\\n\\n'", "chr(10) || chr(10)") + " AS t FROM pages) SELECT page_id, CAST(length(t) AS INTEGER) AS chars, CAST(floor(length(t) * 1.5::DOUBLE) AS INTEGER) AS token_estimate FROM p WHERE length(t) >= 20 AND NOT regexp_matches(t, '" + REFERENCE_HEADING + "')"
+
+
 def store_upsert(spark: SparkSession, sf: str) -> DataFrame:
     """Two deliveries of line items; the later one wins for each part."""
     li = V.table(spark, sf, "lineitem").select(F.col("l_partkey").alias("id"), F.xxhash64("l_orderkey", "l_linenumber").alias("h"), "l_orderkey", "l_linenumber", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), "l_returnflag")
@@ -377,6 +381,12 @@ def sentence_counts(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("doc_id", F.size("s").alias("sentences"), F.sha2(F.array_join("s", "\u0001"), 256).alias("digest"))
 
 
+_SPACE = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_MARKS = r"。；;.!！?？\n"
+SENTENCE_COUNTS = "WITH " + V.CHUNKS + f""", p AS (SELECT doc_id, regexp_extract_all(content, '[^{_MARKS}]*[{_MARKS}]|[^{_MARKS}]+$') AS l FROM chunks
+), s AS (SELECT doc_id, list_filter(list_transform(l, lambda x: trim(regexp_replace(regexp_replace(x, '[{_MARKS}]$', ''), '^{_SPACE}+|{_SPACE}+$', '', 'g') || replace(regexp_extract(x, '[{_MARKS}]$'), chr(10), ''))), lambda x: x <> '') AS s FROM p)
+SELECT doc_id, CAST(len(s) AS INTEGER) AS sentences, sha256(array_to_string(s, chr(1))) AS digest FROM s"""
+
 QUERIES = {
     "near_dup_pairs": (near_dup_pairs, NEAR_DUP_PAIRS),
     "near_dup_best": (near_dup_best, NEAR_DUP_BEST),
@@ -405,7 +415,7 @@ QUERIES = {
     "graph_index_audit": (graph_index_audit, GRAPH_INDEX_AUDIT),
     "collection_dims": (collection_dims, COLLECTION_DIMS),
     "source_inspection": (source_inspection, SOURCE_INSPECTION),
-    "html_text_blocks": (html_text_blocks, None),
+    "html_text_blocks": (html_text_blocks, HTML_TEXT_BLOCKS),
     "store_upsert": (store_upsert, STORE_UPSERT),
     "unseen_files": (unseen_files, UNSEEN_FILES),
     "asset_manifest": (asset_manifest, ASSET_MANIFEST),
@@ -415,5 +425,5 @@ QUERIES = {
     "changed_fields": (changed_fields, CHANGED_FIELDS),
     "table_fingerprint": (table_fingerprint, TABLE_FINGERPRINT),
     "text_dialects": (text_dialects, TEXT_DIALECTS),
-    "sentence_counts": (sentence_counts, None),
+    "sentence_counts": (sentence_counts, SENTENCE_COUNTS),
 }

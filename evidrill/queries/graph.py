@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidrill.functions.constraints import extract_constraints, local_clause, merge_constraints, stance
+from evidrill.functions.constraints import REJECTION, extract_constraints, local_clause, merge_constraints, stance
 from evidrill.functions.text import split_claims
 from evidrill.operators import graph as G
 from evidrill.operators import retrieval as R
@@ -293,6 +293,11 @@ def claim_split(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("conv_id", "turn", (F.col("n") + 1).alias("claim_no"), F.length("claim").alias("chars"), stance(F.col("claim")).alias("stance"))
 
 
+CLAIM_SPLIT = r"""WITH c AS (SELECT conv_id, turn, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '[。！？!?；;\n]+'), lambda p: regexp_replace(p, '^[ ，,]+|[ ，,]+$', '', 'g')), lambda p: p <> '') AS l FROM conversations WHERE role = 'assistant'
+), u AS (SELECT conv_id, turn, unnest(l) AS claim, unnest(range(1, len(l) + 1)) AS claim_no FROM c)
+SELECT conv_id, turn, CAST(claim_no AS INTEGER) AS claim_no, CAST(length(claim) AS INTEGER) AS chars, CASE WHEN regexp_matches(claim, '""" + REJECTION + """') THEN 'reject' ELSE 'assert' END AS stance FROM u"""
+
+
 def claim_alignment(spark: SparkSession, sf: str) -> DataFrame:
     """Assistant turns as answers, their claims' lexicon constraints against those of the conversation's user turns."""
     from evidrill.functions.constraints import lexicon_constraints
@@ -336,6 +341,6 @@ QUERIES = {
     "consistency_labels": (consistency_labels, CONSISTENCY_LABELS),
     "evidence_pairs": (evidence_pairs, EVIDENCE_PAIRS),
     "route_actions": (route_actions, ROUTE_ACTIONS),
-    "claim_split": (claim_split, None),
+    "claim_split": (claim_split, CLAIM_SPLIT),
     "claim_alignment": (claim_alignment, CLAIM_ALIGNMENT),
 }

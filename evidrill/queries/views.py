@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidrill.functions.text import tokens
+from evidrill.operators.evaluation import holders
 from evidrill.operators.retrieval import ranked
 
 #: Sources of the document tables; document n of a source is its page n.
@@ -68,25 +69,6 @@ def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
 
 
-def holders(documents: DataFrame, passages: DataFrame, words: int = 3) -> DataFrame:
-    """(doc_id, query_id): which documents' contents hold which passages' queries, by whole text.
-
-    The words inside a passage, all but its first and last, are words of any text that holds it. So runs of ``words``
-    of them are an equi-join key, by hash, and what meets is verified. Passages too short to have such a run are
-    compared with every document; they are a stated list, sent in a broadcast that Catalyst bounds by size.
-    """
-    parts = lambda c: F.split(F.col(c), r"\s+")
-    runs = lambda w, i: F.xxhash64(*[F.get(w, i + k) for k in range(words)])
-    asked = passages.where("query <> ''").select("query_id", "query", parts("query").alias("w"))
-    keyed = asked.where(F.size("w") >= words + 2).select("query_id", "query", runs(F.col("w"), F.lit(1)).alias("run"))
-    spoken = documents.select("doc_id", parts("content").alias("w")).where(F.size("w") >= words)
-    places = spoken.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - words), lambda i: runs(F.col("w"), i)))).alias("run"))
-    met = places.join(keyed, "run").select("doc_id", "query_id", "query").distinct()
-    long = documents.select("doc_id", "content").join(met, "doc_id").where(F.contains("content", "query")).select("doc_id", "query_id")
-    short = asked.where(F.size("w") < words + 2).select("query_id", "query")
-    return long.unionByName(documents.join(short, F.contains("content", "query")).select("doc_id", "query_id"))
-
-
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First document that holds each passage."""
     c, q = chunks(spark, sf_dir), questions(spark, sf_dir)

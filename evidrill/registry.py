@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidrill.queries import anchors, curation, evaluation, graph, retrieval, reviews, streams
+from evidrill.queries import anchors, curation, evaluation, graph, ingest, retrieval, reviews, streams
 
-_FAMILIES = (retrieval, evaluation, graph, curation, anchors, reviews, streams)
+_FAMILIES = (retrieval, evaluation, graph, curation, anchors, reviews, ingest, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,11 +33,60 @@ def read_csv(spark: SparkSession, path: str, columns: Sequence[str], lists: Sequ
     return df
 
 
-def write_csv(df: DataFrame, path: str, columns: Sequence[str], lists: Sequence[str] = ()) -> None:
-    """Fixed field order, lists as JSON cells; the first header cell carries a byte-order mark for spreadsheet readers."""
+def write_csv(df: DataFrame, path: str, columns: Sequence[str], lists: Sequence[str] = (), order: Sequence[str] = ()) -> bool:
+    """One immutable file for spreadsheet readers: byte-order mark, fixed field order, lists as JSON cells.
+
+    Meant for tables that people review. The file takes its name only when it is complete; if it is there with the same
+    bytes nothing happens (False), other bytes are an error.
+    """
+    spark = df.sparkSession
     out = df.select(*[F.to_json(c).alias(c) if c in lists else F.col(c) for c in columns])
-    out = out.withColumnRenamed(columns[0], "﻿" + columns[0])
-    out.write.mode("overwrite").options(header=True, quote='"', escape='"', quoteAll=False).csv(path)
+    out = out.withColumnRenamed(columns[0], "\ufeff" + columns[0])  # the mark is the file's first character
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    target, parts = hadoop.Path(path), hadoop.Path(f"{path}.{uuid.uuid4().hex}.tmp")
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    rows = out.orderBy(*[F.col(("\ufeff" if c == columns[0] else "") + c) for c in order]) if order else out
+    rows.coalesce(1).write.options(header=True, quote='"', escape='"', quoteAll=False).csv(parts.toString())
+    try:
+        part = next(s.getPath() for s in fs.listStatus(parts) if s.getPath().getName().startswith("part-"))
+        if fs.exists(target):
+            both = [spark.read.format("binaryFile").load(p.toString()).select(F.sha2("content", 256)).first()[0] for p in (part, target)]
+            if both[0] != both[1]:
+                raise ContractError(f"{path} exists with other rows")
+            return False
+        return bool(fs.rename(part, target))
+    finally:
+        fs.delete(parts, True)
+
+
+def read_env(spark: SparkSession, path: str) -> dict[str, str]:
+    """NAME=value lines of a short settings file; comments and quotes around values go, the last of a name counts."""
+    line = F.trim("value")
+    rows = spark.read.text(path).where(line.rlike(r"^(export\s+)?[A-Za-z_][A-Za-z0-9_]*\s*=")).select(F.regexp_extract(line, r"^(?:export\s+)?([A-Za-z_][A-Za-z0-9_]*)\s*=\s*(.*)$", 1).alias("k"), F.regexp_extract(line, r"^(?:export\s+)?([A-Za-z_][A-Za-z0-9_]*)\s*=\s*(.*)$", 2).alias("v"))
+    return {r.k: r.v[1:-1] if len(r.v) > 1 and r.v[0] == r.v[-1] and r.v[0] in "\"'" else r.v for r in rows.collect()}
+
+
+def ordered_export(df: DataFrame, key: str) -> DataFrame:
+    """All rows in the order of their key; a key that is empty or comes twice is an error."""
+    require_none(duplicate_keys(df, [key]), f"export by {key}")
+    return df.orderBy(key)
+
+
+def write_asset(df: DataFrame, path: str, vector: str = "embedding") -> DataFrame:
+    """Vectors as an immutable table, beside it the manifest (count, dimension, digest, ready) that is returned."""
+    write_once(df, path)
+    manifest = asset_manifest(df.sparkSession.read.schema(df.schema).parquet(path), vector)
+    write_once(manifest, f"{path}.manifest")
+    return manifest
+
+
+def load_asset(spark: SparkSession, path: str, vector: str = "embedding") -> DataFrame:
+    """An asset whose count, dimension and digest are those of its manifest, and which is ready; else an error."""
+    df, stated = spark.read.parquet(path), spark.read.parquet(f"{path}.manifest").first()
+    found = asset_manifest(df, vector).first()
+    if found != stated or not found.ready:
+        raise ContractError(f"{path}: manifest {stated}, found {found}")
+    return df
 
 
 def read_manifest(spark: SparkSession, path: str, schema: T.StructType | str, key: str = "source_id") -> DataFrame:

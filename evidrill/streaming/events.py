@@ -24,6 +24,18 @@ def relay_events(requests: DataFrame, boundary: Column, failed: Column) -> DataF
     return requests.select("session_id", F.posexplode(whole).alias("seq", "e")).select("session_id", "seq", "e.type", "e.node")
 
 
+def reassemble(pieces: DataFrame) -> DataFrame:
+    """(session_id, seq, line) of a session's stream that came in ``pieces(session_id, piece, data)`` cut anywhere.
+
+    A session's pieces are one response, which is short; what follows its last line end is a line that never ended and
+    is left out.
+    """
+    whole = pieces.groupBy("session_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("piece", "data"))), lambda x: x["data"]), "").alias("t"))
+    lines = F.split("t", r"\r?\n")
+    ended = F.slice(lines, 1, F.size(lines) - 1)
+    return whole.select("session_id", F.posexplode(ended).alias("seq", "line")).where("line <> ''")
+
+
 def parse_events(lines: DataFrame) -> DataFrame:
     """Server-sent lines (session_id, seq, line) as events; malformed data lines are skipped."""
     data = lines.where(F.col("line").startswith("data:")).select("session_id", "seq", F.from_json(F.trim(F.substr("line", F.lit(6))), "type string, node string").alias("e"))
@@ -62,5 +74,5 @@ def sessions(events: DataFrame, gap: str = "1 hour", late: str = "1 hour") -> Da
 
 
 def without_repeats(events: DataFrame, key: str = "event_id", late: str = "1 hour") -> DataFrame:
-    """First event of each key within the watermark."""
-    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
+    """First event of each key, on streams within the watermark."""
+    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key]) if events.isStreaming else events.dropDuplicates([key])
