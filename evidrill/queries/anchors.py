@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evidrill.functions.rules import PICTURE_PLACEHOLDER, REFERENCE_HEADING
 from evidrill.operators import anchors as A
 from evidrill.operators import evidence_graph as G
 from evidrill.operators import retrieval as R
@@ -28,6 +29,13 @@ def anchor_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return A.anchor_candidates(c, TOPICS).select("candidate_id", "source_id", "page_number", "matched_topics", F.length("raw_text").alias("chars"))
 
 
+ANCHOR_CANDIDATES = "WITH " + V.CHUNKS + rf""", t AS (SELECT source_file, page_number, trim(regexp_replace(content, '[ \t\n\r\f\v]+', ' ', 'g')) AS t FROM chunks
+), u AS (SELECT *, trim(regexp_replace(t, '^\s{{0,3}}#{{1,6}}\s*', '')) AS plain, concat_ws(',', CASE WHEN contains(lower(t), 'that') OR contains(lower(t), 'nicht') THEN 'alpha' END, CASE WHEN contains(lower(t), 'with') THEN 'beta' END, CASE WHEN contains(lower(t), 'zzzz') THEN 'gamma' END) AS topics FROM t)
+SELECT DISTINCT 'CAND-' || left(sha256(source_file || '|' || page_number || '|' || t), 20) AS candidate_id, source_file AS source_id, page_number, topics AS matched_topics, CAST(length(t) AS INTEGER) AS chars FROM u
+WHERE page_number > 0 AND length(t) BETWEEN 30 AND 6000 AND NOT regexp_matches(t, '{PICTURE_PLACEHOLDER}') AND NOT regexp_matches(t, '{REFERENCE_HEADING}') AND len(regexp_extract_all(t, '{A.DOT_LEADERS}')) < 2
+  AND NOT (length(t) <= 160 AND NOT regexp_matches(plain, '{A.SENTENCE_SIGNAL}') AND NOT regexp_matches(plain, '{A.DOSE_SIGNAL}')) AND topics <> ''"""
+
+
 def promotion_reasons(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as reviewed anchors: the label is the author's decision, the whole text the anchor."""
     d = V.chunks(spark, sf).join(V.table(spark, sf, "labels"), "doc_id", "left")
@@ -67,7 +75,7 @@ UNION ALL SELECT 'SourceDocument', count(*) FROM (SELECT DISTINCT query_id, sour
 
 QUERIES = {
     "topic_matches": (topic_matches, TOPIC_MATCHES),
-    "anchor_candidates": (anchor_candidates, None),
+    "anchor_candidates": (anchor_candidates, ANCHOR_CANDIDATES),
     "promotion_reasons": (promotion_reasons, PROMOTION_REASONS),
     "inference_graph_status": (inference_graph_status, INFERENCE_GRAPH_STATUS),
     "inference_graph_nodes": (inference_graph_nodes, INFERENCE_GRAPH_NODES),

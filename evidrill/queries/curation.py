@@ -202,6 +202,18 @@ def diverse_shortlist(spark: SparkSession, sf: str) -> DataFrame:
     return C.diverse_shortlist(rows, "source_file", 5, ("len", "doc_id"))
 
 
+DIVERSE_SHORTLIST = "WITH RECURSIVE " + V.CHUNKS + """, r AS MATERIALIZED (SELECT source_file AS g, candidate_key AS i, page_number AS p, lang AS t, row_number() OVER (PARTITION BY source_file ORDER BY abs(length(content) - 600), doc_id) AS n, count(*) OVER (PARTITION BY source_file) AS all_rows FROM chunks
+), k AS (
+  SELECT DISTINCT g, 0::BIGINT AS step, all_rows, []::STRUCT(i VARCHAR, p INTEGER, t VARCHAR)[] AS picks FROM r
+  UNION ALL
+  SELECT k.g, k.step + 1, k.all_rows, CASE WHEN len(picks) < 5 AND len(list_filter(picks, lambda x: x.i = r.i)) = 0 AND CASE k.step // k.all_rows
+      WHEN 0 THEN r.t IS NOT NULL AND len(list_filter(picks, lambda x: x.p = r.p OR x.t = r.t)) = 0 WHEN 1 THEN len(list_filter(picks, lambda x: x.p = r.p)) = 0 ELSE true END
+    THEN list_append(picks, {'i': r.i, 'p': r.p, 't': r.t}) ELSE picks END
+  FROM k JOIN r ON r.g = k.g AND r.n = k.step % k.all_rows + 1 WHERE k.step < 3 * k.all_rows
+), z AS (SELECT * FROM k WHERE step = 3 * all_rows)
+SELECT g AS source_file, pick, picks[pick].i AS id, picks[pick].p AS page_number, picks[pick].t AS topic FROM (SELECT g, picks, CAST(unnest(range(1, len(picks) + 1)) AS INTEGER) AS pick FROM z)"""
+
+
 def compare_and_swap(spark: SparkSession, sf: str) -> DataFrame:
     labels = V.table(spark, sf, "labels").select("doc_id", "quality")
     edits = V.table(spark, sf, "labels").where("toxic = 1").select("doc_id", F.lit(1).alias("expected_old"), F.lit(0).alias("new_value"))
@@ -387,6 +399,25 @@ SENTENCE_COUNTS = "WITH " + V.CHUNKS + f""", p AS (SELECT doc_id, regexp_extract
 ), s AS (SELECT doc_id, list_filter(list_transform(l, lambda x: trim(regexp_replace(regexp_replace(x, '[{_MARKS}]$', ''), '^{_SPACE}+|{_SPACE}+$', '', 'g') || replace(regexp_extract(x, '[{_MARKS}]$'), chr(10), ''))), lambda x: x <> '') AS s FROM p)
 SELECT doc_id, CAST(len(s) AS INTEGER) AS sentences, sha256(array_to_string(s, chr(1))) AS digest FROM s"""
 
+_STRIP = _SPACE.replace("[", "[\\x1c-\\x1f", 1)
+_CHUNKED = "WITH RECURSIVE " + V.CHUNKS + f""", b AS (SELECT doc_id, source_file, page_number, content, contains(content, ' | ') AS is_table FROM chunks
+), se AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(content, '[^{_MARKS}]*[{_MARKS}]|[^{_MARKS}]+$'), lambda x: regexp_replace(regexp_replace(regexp_replace(x, '[{_MARKS}]$', ''), '^{_STRIP}+|{_STRIP}+$', '', 'g') || regexp_extract(x, '[{_MARKS}]$'), '^{_STRIP}+|{_STRIP}+$', '', 'g')), lambda x: x <> '') AS s FROM b WHERE NOT is_table
+), sz AS (SELECT doc_id, s, list_transform(s, lambda x: CAST(greatest(1, floor(length(x) / 1.5::DOUBLE)) AS INTEGER)) AS z FROM se
+), p AS MATERIALIZED (SELECT doc_id, s, len(s) AS n, list_transform(range(0, len(s) + 1), lambda i: coalesce(CAST(list_sum(z[1:i]) AS INTEGER), 0)) AS c FROM sz
+), gr(g, t, o) AS (VALUES (128, 128, 32), (512, 512, 64), (1024, 1024, 128)
+), w AS (
+  SELECT doc_id, g, t, o, 0 AS i, 0::BIGINT AS st, greatest(1, list_max(list_filter(range(0, n + 1), lambda e: c[e + 1] <= t))) AS en FROM p, gr WHERE n > 0
+  UNION ALL
+  SELECT doc_id, g, t, o, i + 1, ns, greatest(ns + 1, list_max(list_filter(range(ns, n + 1), lambda e: c[e + 1] - c[ns + 1] <= t))) FROM (
+    SELECT w.doc_id, g, t, o, i, c, n, greatest(st + 1, list_min(list_filter(range(st, en + 1), lambda k: c[en + 1] - c[k + 1] <= o))) AS ns FROM w JOIN p ON p.doc_id = w.doc_id) WHERE ns < n
+), ck AS MATERIALIZED (
+  SELECT w.doc_id, g, i, array_to_string(s[st + 1:en], '') AS content, c[en + 1] - c[st + 1] AS tokens FROM w JOIN p ON p.doc_id = w.doc_id
+  UNION ALL SELECT doc_id, g, 0, content, CAST(greatest(1, floor(length(content) / 1.5::DOUBLE)) AS INTEGER) FROM b, gr WHERE is_table)"""
+CHUNK_THREE_GRANULARITY = _CHUNKED + " SELECT doc_id AS block_id, CAST(g AS INTEGER) AS granularity, CAST(i AS INTEGER) AS chunk_in_block, CAST(length(content) AS INTEGER) AS chars, CAST(tokens AS INTEGER) AS token_count, sha256(content) AS digest FROM ck"
+REBUILD_SUMMARY = _CHUNKED + """, bs AS (SELECT source_file, count(*) FILTER (NOT is_table) AS text_blocks, count(*) FILTER (is_table) AS table_blocks, min(page_number) AS first_page, max(page_number) AS last_page FROM b GROUP BY 1
+), cs AS (SELECT source_file, count(*) FILTER (g = 128) AS chunks_128, count(*) FILTER (g = 512) AS chunks_512, count(*) FILTER (g = 1024) AS chunks_1024 FROM ck JOIN b ON b.doc_id = ck.doc_id GROUP BY 1)
+SELECT source_file, text_blocks, table_blocks, first_page, last_page, coalesce(chunks_128, 0) AS chunks_128, coalesce(chunks_512, 0) AS chunks_512, coalesce(chunks_1024, 0) AS chunks_1024, CASE WHEN text_blocks + table_blocks = 0 THEN 'no_blocks' WHEN coalesce(chunks_128, 0) = 0 OR coalesce(chunks_512, 0) = 0 OR coalesce(chunks_1024, 0) = 0 THEN 'incomplete' ELSE 'ready' END AS status FROM bs LEFT JOIN cs USING (source_file)"""
+
 QUERIES = {
     "near_dup_pairs": (near_dup_pairs, NEAR_DUP_PAIRS),
     "near_dup_best": (near_dup_best, NEAR_DUP_BEST),
@@ -404,11 +435,11 @@ QUERIES = {
     "independence_components": (independence_components, INDEPENDENCE_COMPONENTS),
     "quota_selection": (quota_selection, QUOTA_SELECTION),
     "grouped_split": (grouped_split, GROUPED_SPLIT),
-    "diverse_shortlist": (diverse_shortlist, None),
+    "diverse_shortlist": (diverse_shortlist, DIVERSE_SHORTLIST),
     "compare_and_swap": (compare_and_swap, COMPARE_AND_SWAP),
     "policy_binding": (policy_binding, POLICY_BINDING),
-    "chunk_three_granularity": (chunk_three_granularity, None),
-    "rebuild_summary": (rebuild_summary, None),
+    "chunk_three_granularity": (chunk_three_granularity, CHUNK_THREE_GRANULARITY),
+    "rebuild_summary": (rebuild_summary, REBUILD_SUMMARY),
     "collection_audit": (collection_audit, COLLECTION_AUDIT),
     "completeness": (completeness, COMPLETENESS),
     "sparse_index_audit": (sparse_index_audit, SPARSE_INDEX_AUDIT),
