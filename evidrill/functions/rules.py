@@ -115,7 +115,7 @@ def authority_weight(source: str | Column, rules: Sequence[tuple[str, str]] = AU
 
 
 def expand_query(query: str | Column, rules: Iterable[tuple[Sequence[str], str]] = EXPANSIONS) -> Column:
-    """The query and, after it, the distinct additions of all rules that it triggers."""
+    """The query and, after it, the distinct additions of all rules that it triggers."""
     q = col(query)
     added = F.array_distinct(F.array_compact(F.array(*[F.when(contains_any(q, triggers), F.lit(text)) for triggers, text in rules])))
     return F.when(F.size(added) == 0, q).otherwise(F.concat_ws(" ", q, F.array_join(added, " ")))
@@ -140,7 +140,7 @@ def required_terms_state(query: str | Column, content: str | Column, groups: Seq
 
 
 def boost(query: str | Column, source: str | Column, content: str | Column, groups: Sequence = BOOSTS) -> Column:
-    """The product of one factor of each group of rules, 1 where none of a group holds."""
+    """The product of one factor of each group of rules, 1 where none of a group holds."""
     where = {"source": blank(source), "content": blank(content)}
     where["either"] = F.concat_ws(" ", where["source"], where["content"])
     out = F.lit(1.0)
@@ -165,7 +165,7 @@ def fallback_relevance(rule: tuple[Sequence[str], str, Sequence[str]], content:
 
 
 def is_title_only(content: str | Column) -> Column:
-    """A chunk that is a heading: short without a medical word, or a known title alone."""
+    """A chunk that is a heading: short without a medical word, or a known title alone."""
     c = blank(content)
     lines = F.filter(F.transform(F.split(c, r"\R"), lambda x: F.trim(F.trim(F.trim(x), F.lit("#")))), lambda x: F.trim(x) != "")
     filled = F.size(F.filter(F.split(c, r"\R"), lambda x: F.trim(x) != ""))
@@ -175,7 +175,7 @@ def is_title_only(content: str | Column) -> Column:
 
 
 def is_noise(content: str | Column) -> Column:
-    """What is never shown as evidence: nothing, reference lists, picture leftovers and bare titles."""
+    """What is never shown as evidence: nothing, reference lists, picture leftovers and bare titles."""
     c = blank(content)
     return (c == "") | c.rlike(REFERENCE_HEADING) | c.rlike(PICTURE_PLACEHOLDER) | c.rlike(PICTURE_MARKER) | is_title_only(c)
 

@@ -122,7 +122,7 @@ def overlap_coefficient(a: str | Column, b: str | Column) -> Column:
 
 
 def contains_any(x: str | Column, terms: Iterable[str], ignore_case: bool = False) -> Column:
-    """Whether the text holds any of the terms; false for none."""
+    """Whether the text holds any of the terms; false for none."""
     t = F.lower(blank(x)) if ignore_case else blank(x)
     found = F.lit(False)
     for term in terms:
@@ -137,7 +137,7 @@ def count_terms(x: str | Column, terms: Iterable[str]) -> Column:
 
 
 def question_char_overlap(a: str | Column, b: str | Column) -> Column:
-    """Distinct characters of the normalised first text that the second has too, over the first's."""
+    """Distinct characters of the normalised first text that the second has too, over the first's."""
     chars = lambda x: F.array_distinct(F.filter(F.split(norm_text(x), ""), lambda c: c != ""))
     left = chars(a)
     return F.when(F.size(left) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(left, chars(b))) / F.size(left))

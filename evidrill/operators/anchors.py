@@ -28,7 +28,7 @@ def title_only(text: str | Column, most_chars: int = 160) -> Column:
 
 
 def low_information(text: str | Column, page: str | Column, least: int = 30, most: int = 6000) -> Column:
-    """Nothing to review: no page, too short or long, leftovers of pictures, reference lists, tables of contents, titles."""
+    """Nothing to review: no page, too short or long, leftovers of pictures, reference lists, tables of contents, titles."""
     t = blank(text)
     p = F.col(page) if isinstance(page, str) else page
     contents = F.regexp_count(t, F.lit(DOT_LEADERS)) >= 2
@@ -36,7 +36,7 @@ def low_information(text: str | Column, page: str | Column, least: int = 30, mos
 
 
 def match_topics(text: str | Column, topics: Mapping[str, Sequence[str]]) -> Column:
-    """Matched topics in the order of their names, each with its matched terms; one pass over the text."""
+    """Matched topics in the order of their names, each with its matched terms; one pass over the text."""
     t = F.lower(blank(text))
     entries = []
     for topic in sorted(topics):
@@ -51,7 +51,7 @@ def candidate_id(source: str, page: str, text: str) -> Column:
 
 
 def anchor_candidates(chunks: DataFrame, topics: Mapping[str, Sequence[str]]) -> DataFrame:
-    """Informative chunks with a topic, first of each (source, page, text) by granularity, under content-bound ids.
+    """C11: Informative chunks with a topic, first of each (source, page, text) by granularity, under content-bound ids.
 
     ``chunks(source_id, page_number, granularity, block_type, content)``.
     """
@@ -63,20 +63,20 @@ def anchor_candidates(chunks: DataFrame, topics: Mapping[str, Sequence[str]]) ->
 
 
 def source_status(candidates: DataFrame, sources: DataFrame) -> DataFrame:
-    """Candidates of each source of the coverage matrix, and whether it has any."""
+    """Candidates of each source of the coverage matrix, and whether it has any."""
     n = candidates.groupBy("source_id").agg(F.count("*").alias("candidate_count"))
     return sources.select("source_id").join(n, "source_id", "left").na.fill(0).withColumn("status", F.when(F.col("candidate_count") > 0, "candidates_ready").otherwise("no_candidates"))
 
 
 def split_overlap(candidates: DataFrame, used: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(eligible, overlapping): candidates off and on the (source, page) pairs of the development set."""
+    """(eligible, overlapping): candidates off and on the (source, page) pairs of the development set."""
     keys = ["source_id", "page_number"]
     pairs = used.select(*keys).distinct()
     return candidates.join(pairs, keys, "left_anti"), candidates.join(pairs, keys, "left_semi")
 
 
 def provenance_failures(candidates: DataFrame, coverage: DataFrame, fields: Sequence[str], key: str = "source_id") -> DataFrame:
-    """Candidates with the fields in which they differ from their source's row; an unknown source fails as a whole."""
+    """Candidates with the fields in which they differ from their source's row; an unknown source fails as a whole."""
     c = coverage.select(key, *[F.col(f).alias(f"_c_{f}") for f in fields], F.lit(True).alias("_known"))
     df = candidates.join(c, key, "left")
     wrong = F.array_compact(F.array(*[F.when(~F.col(f).eqNullSafe(F.col(f"_c_{f}")), F.lit(f)) for f in fields]))
@@ -84,7 +84,7 @@ def provenance_failures(candidates: DataFrame, coverage: DataFrame, fields: Sequ
 
 
 def promotion(reviews: DataFrame, least_chars: int = 10) -> DataFrame:
-    """Decision on each reviewed anchor: the first reason that rejects it, or ``promoted``.
+    """Decision on each reviewed anchor: the first reason that rejects it, or ``promoted``.
 
     ``reviews(source_id, candidate_id, decision, anchor_text, raw_text)``; of equal anchors the first by source and
     candidate stays.
@@ -111,14 +111,14 @@ def boundary_decision(claim_types: Column, scope: Column, boundary: Column, insu
 
 
 def candidate_roles(anchors: DataFrame, decision: Column) -> DataFrame:
-    """Two candidates of each anchor: one that its scope supports and one beyond it, with their expected decisions."""
+    """C14: Two candidates of each anchor: one that its scope supports and one beyond it, with their expected decisions."""
     rows = anchors.withColumn("role", F.explode(F.array(*[F.lit(r) for r in ROLES])))
     rows = rows.withColumn("expected_decision", F.when(F.col("role") == "supported", "allow_supported_answer").otherwise(decision))
     return rows.withColumn("question_id", F.concat(F.lit("Q-"), F.substring(F.sha2(F.concat_ws("|", "anchor_id", "role"), 256), 1, 20)))
 
 
 def reviewed_pool(candidates: DataFrame, decisions: DataFrame, key: str = "candidate_id") -> DataFrame:
-    """Candidates that the author accepted, with the decision; a candidate without one is pending, not lost."""
+    """Candidates that the author accepted, with the decision; a candidate without one is pending, not lost."""
     return candidates.join(decisions.select(key, "author_decision"), key, "left").withColumn("pool_status", F.when(F.col("author_decision") == "accept", "accepted").when(F.col("author_decision").isNull(), "pending").otherwise("rejected"))
 
 

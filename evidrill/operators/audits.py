@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 
 def collection_audit(chunks: DataFrame, noise: Column) -> DataFrame:
-    """Per collection and source: chunks, distinct pages, page range without page 0, noise chunks."""
+    """A5: Per collection and source: chunks, distinct pages, page range without page 0, noise chunks."""
     page = F.when(F.col("page_number") > 0, F.col("page_number"))
     return chunks.groupBy("collection", "source_file").agg(F.count("*").alias("chunks"), F.count_distinct(page).alias("pages"), F.min(page).alias("first_page"), F.max(page).alias("last_page"), F.count_if(noise).alias("noise_chunks"))
 
 
 def completeness(audit: DataFrame, expected: DataFrame, collections: Sequence[str]) -> DataFrame:
-    """Per collection: sources that it lacks or holds beyond the manifest, and whether it is complete."""
+    """Per collection: sources that it lacks or holds beyond the manifest, and whether it is complete."""
     want = expected.select("source_file").distinct().withColumn("collection", F.explode(F.array(*[F.lit(c) for c in collections])))
     have = audit.select("collection", "source_file", F.lit(True).alias("have"))
     both = want.withColumn("want", F.lit(True)).join(have, ["collection", "source_file"], "full_outer").na.fill(False, ["want", "have"])
@@ -24,7 +24,7 @@ def completeness(audit: DataFrame, expected: DataFrame, collections: Sequence[st
 
 
 def rebuild_summary(blocks: DataFrame, chunks: DataFrame, granularities: Sequence[int] = (128, 512, 1024)) -> DataFrame:
-    """Per document: blocks by type, page range, chunks at each granularity, and a status from them."""
+    """Per document: blocks by type, page range, chunks at each granularity, and a status from them."""
     b = blocks.groupBy("source_file").agg(F.count_if(F.col("block_type") == "text").alias("text_blocks"), F.count_if(F.col("block_type") == "table").alias("table_blocks"), F.min("page_number").alias("first_page"), F.max("page_number").alias("last_page"))
     c = chunks.groupBy("source_file").agg(*[F.count_if(F.col("granularity") == g).alias(f"chunks_{g}") for g in granularities])
     df = b.join(c, "source_file", "left").na.fill(0)
@@ -35,7 +35,7 @@ def rebuild_summary(blocks: DataFrame, chunks: DataFrame, granularities: Sequenc
 
 
 def sparse_audit(postings: DataFrame, documents: DataFrame) -> DataFrame:
-    """Weights, empty vectors, repeated document ids and documents of unknown source of a sparse index."""
+    """Weights, empty vectors, repeated document ids and documents of unknown source of a sparse index."""
     n = postings.agg(F.count("*").alias("nnz"), F.count_distinct("token").alias("tokens"))
     held = documents.join(postings.select("candidate_key").distinct(), "candidate_key", "left_anti").agg(F.count("*").alias("empty_vectors"))
     ids = documents.groupBy("candidate_key").agg((F.count("*") - 1).alias("extra")).agg(F.coalesce(F.sum("extra"), F.lit(0)).alias("duplicates"))
@@ -44,14 +44,14 @@ def sparse_audit(postings: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def graph_index_audit(candidates: DataFrame, constraints: DataFrame) -> DataFrame:
-    """Candidates, source pages, constraint pairs and index keys of a candidate graph."""
+    """Candidates, source pages, constraint pairs and index keys of a candidate graph."""
     c = candidates.agg(F.count("*").alias("candidates"), F.count_distinct("candidate_key").alias("unique_candidates"), F.count_distinct("source_file", "page_number").alias("source_pages"))
     p = constraints.where("scope = 'context'").agg(F.count_distinct("owner_id", "ctype", "cvalue").alias("pairs"), F.count_distinct("ctype", "cvalue").alias("posting_keys"), F.count_distinct("ctype").alias("types"))
     return c.crossJoin(p)
 
 
 def collection_dims(vectors: DataFrame) -> DataFrame:
-    """Vectors and dimension of each collection; the dimension of an empty one is 0."""
+    """Vectors and dimension of each collection; the dimension of an empty one is 0."""
     return vectors.groupBy("collection").agg(F.count("*").alias("vectors"), F.coalesce(F.max(F.size("embedding")), F.lit(0)).alias("dim"))
 
 

@@ -43,7 +43,7 @@ def spans(sizes: list[int], target: int, overlap: int, drop_suffixes: bool = Fal
 
 
 def chunk_blocks(blocks: DataFrame, drop_suffixes: bool = False) -> DataFrame:
-    """(block_id, block_type, granularity, chunk_in_block, content, token_count) of ``blocks(block_id, block_type, content)``.
+    """(block_id, block_type, granularity, chunk_in_block, content, token_count) of ``blocks(block_id, block_type, content)``.
 
     Tables stay whole. A null or empty text has no chunk; ids need not be unique; extra columns are left out.
     """

@@ -22,20 +22,20 @@ def require_none(violations: DataFrame, what: str) -> None:
 
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Keys that are null, empty or repeated, with their number of rows."""
+    """K2: Keys that are null, empty or repeated, with their number of rows."""
     bad = reduce(Column.__or__, [F.col(k).isNull() | (F.trim(F.col(k).cast("string")) == "") for k in keys])
     return df.groupBy(*keys).agg(F.count("*").alias("rows")).where((F.col("rows") > 1) | bad)
 
 
 def unequal_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Keys of one side only: missing (in the left only) or unexpected (in the right only)."""
+    """Keys of one side only: missing (in the left only) or unexpected (in the right only)."""
     l, r = left.select(*keys).distinct(), right.select(*keys).distinct()
     missing = l.join(r, list(keys), "left_anti").withColumn("violation", F.lit("missing"))
     return missing.unionByName(r.join(l, list(keys), "left_anti").withColumn("violation", F.lit("unexpected")))
 
 
 def equal_join(left: DataFrame, right: DataFrame, keys: Sequence[str], what: str) -> DataFrame:
-    """Inner join of two tables that must hold the same unique keys."""
+    """Inner join of two tables that must hold the same unique keys."""
     for side, name in ((left, "left"), (right, "right")):
         require_none(duplicate_keys(side, keys), f"{what}: {name} keys")
     require_none(unequal_keys(left, right, keys), f"{what}: keys differ")
@@ -43,14 +43,14 @@ def equal_join(left: DataFrame, right: DataFrame, keys: Sequence[str], what: str
 
 
 def drift(actual: DataFrame, expected: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Groups whose count differs from the expected one; a missing group counts 0."""
+    """Groups whose count differs from the expected one; a missing group counts 0."""
     a = actual.groupBy(*keys).agg(F.count("*").alias("actual"))
     both = a.join(expected.select(*keys, "expected"), list(keys), "full_outer").na.fill(0, ["actual", "expected"])
     return both.where("actual <> expected").withColumn("surplus", F.col("actual") - F.col("expected"))
 
 
 def changed_fields(before: DataFrame, after: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> DataFrame:
-    """Rows whose immutable fields changed, with the names of those that did."""
+    """K4: Rows whose immutable fields changed, with the names of those that did."""
     l = before.select(*keys, *[F.col(f).alias(f"_b_{f}") for f in fields])
     both = after.select(*keys, *fields).join(l, list(keys))
     names = F.array_compact(F.array(*[F.when(~F.col(f).eqNullSafe(F.col(f"_b_{f}")), F.lit(f)) for f in fields]))
@@ -58,7 +58,7 @@ def changed_fields(before: DataFrame, after: DataFrame, keys: Sequence[str], fie
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
-    """Order-free digest of a table: rows, and the sum of row hashes over columns in the order of their names."""
+    """Order-free digest of a table: rows, and the sum of row hashes over columns in the order of their names."""
     names = sorted(df.columns)
     text = F.sha2(F.concat_ws("\u001f", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in names]), 256)
     part = F.conv(F.substring(text, 1, 15), 16, 10).cast("decimal(38,0)")
@@ -66,7 +66,7 @@ def fingerprint(df: DataFrame) -> DataFrame:
 
 
 def same_table(first: DataFrame, second: DataFrame, what: str) -> None:
-    """Two runs of a plan must give the same rows."""
+    """K7: Two runs of a plan must give the same rows."""
     a, b = fingerprint(first).first(), fingerprint(second).first()
     if a != b:
         raise ContractError(f"{what}: {a} and {b}")
@@ -77,7 +77,7 @@ GOLD_NAMES = ("gold", "expected_decision", "anchor_text_span", "risk_labels", "p
 
 
 def leaked_names(schema: T.DataType, names: Iterable[str] = GOLD_NAMES, path: str = "") -> list[str]:
-    """Paths of fields, nested ones included, whose name is or holds a gold-only name."""
+    """Paths of fields, nested ones included, whose name is or holds a gold-only name."""
     out = []
     if isinstance(schema, T.StructType):
         for f in schema.fields:
@@ -107,7 +107,7 @@ def leaked_values(df: DataFrame, key: str, gold: DataFrame) -> DataFrame:
 
 
 def project_runtime(df: DataFrame, allowed: Sequence[str]) -> DataFrame:
-    """Exactly the allowed fields; gold names among them, or a field that is not there, are errors."""
+    """Exactly the allowed fields; gold names among them, or a field that is not there, are errors."""
     out = df.select(*allowed)
     if leaked := leaked_names(out.schema):
         raise ContractError(f"gold fields in a runtime projection: {leaked}")
@@ -115,7 +115,7 @@ def project_runtime(df: DataFrame, allowed: Sequence[str]) -> DataFrame:
 
 
 def quarantine(df: DataFrame, checks: Sequence[tuple[str, Column]], ok: str = "pool") -> DataFrame:
-    """The first failing check's name for each row, or ``ok``."""
+    """The first failing check's name for each row, or ``ok``."""
     reason = F.lit(None).cast("string")
     for name, failed in reversed(list(checks)):
         reason = F.when(failed, F.lit(name)).otherwise(reason)
@@ -123,12 +123,12 @@ def quarantine(df: DataFrame, checks: Sequence[tuple[str, Column]], ok: str = "p
 
 
 def all_violations(df: DataFrame, checks: Sequence[tuple[str, Column]]) -> DataFrame:
-    """Names of all failing checks of each row."""
+    """Names of all failing checks of each row."""
     return df.withColumn("violations", F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in checks])))
 
 
 def compare_and_swap(df: DataFrame, keys: Sequence[str], field: str, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(table with ``edits(keys, expected_old, new_value)`` applied to one field, edits that do not apply).
+    """(table with ``edits(keys, expected_old, new_value)`` applied to one field, edits that do not apply).
 
     An edit applies to exactly one row whose value is the expected one, and must change it.
     """

@@ -12,7 +12,7 @@ from evidrill.sources.scratch import discard, write_once
 
 
 def seeded_order(seed: str, key: str | Column) -> Column:
-    """A reproducible shuffle: the digest of the seed and the key."""
+    """A reproducible shuffle: the digest of the seed and the key."""
     k = F.col(key) if isinstance(key, str) else key
     return F.sha2(F.concat_ws("|", F.lit(seed), k.cast("string")), 256)
 
@@ -23,7 +23,7 @@ def grams_of(df: DataFrame, key: str, text: str | Column, n: int = 3) -> DataFra
 
 
 def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, self_join: bool = False) -> DataFrame:
-    """(left_id, right_id, similarity): all pairs of gram sets at or above a Jaccard threshold, exactly.
+    """(left_id, right_id, similarity): all pairs of gram sets at or above a Jaccard threshold, exactly.
 
     Prefix filtering: with grams in one global order, rarest first, sets that reach the threshold share a gram among
     their first size - ceil(threshold * size) + 1. Only those grams are joined, only pairs of fitting sizes are
@@ -48,12 +48,12 @@ def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, self_join
 
 
 def best_match(pairs: DataFrame) -> DataFrame:
-    """The most similar partner of each left id; ties go to the smallest right id."""
+    """The most similar partner of each left id; ties go to the smallest right id."""
     return pairs.groupBy("left_id").agg(F.max_by(F.struct("right_id", "similarity"), F.struct("similarity", (-F.col("right_id")).alias("r"))).alias("m")).select("left_id", "m.right_id", F.round("m.similarity", 6).alias("similarity"))
 
 
 def leakage_reasons(candidates: DataFrame, reference: DataFrame, criteria: Sequence[tuple[str, Sequence[str]]]) -> DataFrame:
-    """Reasons, in the order of ``criteria`` (name, columns), for which a candidate repeats the reference set."""
+    """Reasons, in the order of ``criteria`` (name, columns), for which a candidate repeats the reference set."""
     df = candidates
     for name, columns in criteria:
         keys = reference.select(*[F.col(c).alias(f"_{c}") for c in columns]).distinct().withColumn(f"_hit_{name}", F.lit(True))
@@ -64,13 +64,13 @@ def leakage_reasons(candidates: DataFrame, reference: DataFrame, criteria: Seque
 
 
 def canonical_duplicates(df: DataFrame, key: str, norm: Column) -> DataFrame:
-    """canonical_id: the least id among rows of equal normalised text; empty texts stand alone."""
+    """canonical_id: the least id among rows of equal normalised text; empty texts stand alone."""
     w = Window.partitionBy("_n")
     return df.withColumn("_n", F.when(norm == "", F.concat(F.lit("\u0000"), F.col(key).cast("string"))).otherwise(norm)).withColumn("canonical_id", F.min(key).over(w)).withColumn("copies", F.count("*").over(w)).drop("_n")
 
 
 def independence_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(id, component): least id reachable over undirected ``edges(a, b)``; nodes without edges are their own.
+    """(id, component): least id reachable over undirected ``edges(a, b)``; nodes without edges are their own.
 
     Least labels spread over edges and labels of labels (so long chains halve), each round written to the shared
     checkpoint folder; it ends when nothing changes.
@@ -94,7 +94,7 @@ Vector = tuple[int, ...]
 
 
 def select_by_quota(components: Sequence[tuple[object, Vector, Vector]], target: Vector) -> list[object] | None:
-    """Components whose count vectors add up to ``target`` exactly, with the greatest score vector.
+    """Components whose count vectors add up to ``target`` exactly, with the greatest score vector.
 
     Dynamic programme over partial counts on the driver: its states are bounded by the product of target + 1, not by
     the data. Components come as (id, counts, score); of equal scores the first found stays. None if nothing fits.
@@ -151,7 +151,7 @@ def grouped_split(components: Sequence[tuple[object, Vector, int, int]], target:
 
 
 def diverse_shortlist(df: DataFrame, group: str, limit: int = 5, order: Sequence[str] = ("rank",)) -> DataFrame:
-    """Greedy picks per group in three passes: new page and new topic, then new page, then any; ``limit`` a group.
+    """Greedy picks per group in three passes: new page and new topic, then new page, then any; ``limit`` a group.
 
     Ids are distinct in a group; a null topic is never new. A fold over each group's sorted (page, topic, id) triples
     inside the JVM, without the rows that no pass can pick: with fewer than ``limit`` pages and topics taken, the first
@@ -187,7 +187,7 @@ def diverse_shortlist(df: DataFrame, group: str, limit: int = 5, order: Sequence
 
 
 def compare_passes(df: DataFrame, scalars: Sequence[str], lists: Sequence[str] = ()) -> DataFrame:
-    """agreed and disagreeing fields of pass1_* and pass2_*: scalars by trimmed text, lists as sets."""
+    """Agreed and disagreeing fields of pass1_* and pass2_*: scalars by trimmed text, lists as sets."""
     norm = lambda c: F.trim(F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), r"\s+", " "))
     as_set = lambda c: F.array_sort(F.array_distinct(F.coalesce(F.from_json(F.col(c), "array<string>"), F.array().cast("array<string>"))))
     differ = [F.when(norm(f"pass1_{s}") != norm(f"pass2_{s}"), F.lit(s)) for s in scalars] + [F.when(as_set(f"pass1_{x}") != as_set(f"pass2_{x}"), F.lit(x)) for x in lists]
@@ -196,7 +196,7 @@ def compare_passes(df: DataFrame, scalars: Sequence[str], lists: Sequence[str] =
 
 
 def transitions(df: DataFrame, before: str, after: str) -> DataFrame:
-    """Counts of "a->b"."""
+    """Counts of "a->b"."""
     return df.groupBy(F.concat_ws("->", F.coalesce(F.col(before).cast("string"), F.lit("")), F.coalesce(F.col(after).cast("string"), F.lit(""))).alias("transition")).agg(F.count("*").alias("n"))
 
 
@@ -206,7 +206,7 @@ def in_batches(df: DataFrame, order: Sequence[Column], size: int) -> DataFrame:
 
 
 def in_sized_batches(df: DataFrame, order: Sequence[Column], sizes: Sequence[int]) -> DataFrame:
-    """batch: which of the given sizes a row falls in; rows beyond them all have none."""
+    """Batch: which of the given sizes a row falls in; rows beyond them all have none."""
     place, total = F.row_number().over(Window.partitionBy().orderBy(*order)), 0
     batch = F.lit(None).cast("int")
     bounds = []
@@ -226,7 +226,7 @@ def blind_queue(df: DataFrame, key: str, seed: str, fields: Sequence[str], prefi
 
 
 def overlay(gold: DataFrame, decisions: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
-    """Adjudicated values where there are any, the selection's own elsewhere; adjudicated tells which."""
+    """Adjudicated values where there are any, the selection's own elsewhere; adjudicated tells which."""
     d = decisions.select(key, *[F.col(f).alias(f"_d_{f}") for f in fields], F.lit(True).alias("adjudicated"))
     out = gold.join(d, key, "left")
     for f in fields:
@@ -235,19 +235,19 @@ def overlay(gold: DataFrame, decisions: DataFrame, key: str, fields: Sequence[st
 
 
 def cached_or_planned(plan: DataFrame, cache: DataFrame, key: str = "cache_key") -> DataFrame:
-    """Status of each planned call: cache_hit, failed (to be tried again) or planned."""
+    """Status of each planned call: cache_hit, failed (to be tried again) or planned."""
     c = cache.groupBy(key).agg(F.bool_or(F.col("status") == "success").alias("_ok"), F.count("*").alias("_n"))
     return plan.join(c, key, "left").withColumn("status", F.when(F.col("_ok"), "cache_hit").when(F.col("_n") > 0, "failed").otherwise("planned")).drop("_ok", "_n")
 
 
 def method_plan(samples: DataFrame, methods: DataFrame, models: DataFrame) -> DataFrame:
-    """Every sample with every method and model, and the key that names the call; methods and models are short lists."""
+    """Every sample with every method and model, and the key that names the call; methods and models are short lists."""
     grid = samples.crossJoin(F.broadcast(methods)).crossJoin(F.broadcast(models))
     return grid.withColumn("cache_key", F.sha2(F.concat_ws("|", "sample_id", "method_id", "model_id"), 256))
 
 
 def bind_policies(rows: DataFrame, policies: DataFrame, document: Column) -> DataFrame:
-    """Rows (id, policy_ids) with the texts of their rules joined by newlines, and whether all are found verbatim."""
+    """Rows (id, policy_ids) with the texts of their rules joined by newlines, and whether all are found verbatim."""
     one = rows.select("id", document.alias("document"), F.posexplode_outer("policy_ids").alias("n", "policy_id"))
     joined = one.join(F.broadcast(policies.select("policy_id", "policy_text")), "policy_id", "left")
     ok = F.coalesce(F.contains("document", "policy_text"), F.lit(False))

@@ -33,7 +33,7 @@ def holders(documents: DataFrame, passages: DataFrame, words: int = 3) -> DataFr
 
 
 def first_hits(ranking: DataFrame, gold: DataFrame, by: Sequence[str] = ("query_id", "method_id"), tolerance: int = 1) -> DataFrame:
-    """First rank in the gold source, on the gold page, and within the page tolerance (the page itself included)."""
+    """First rank in the gold source, on the gold page, and within the page tolerance (the page itself included)."""
     g = gold.select("query_id", norm_source("source_file").alias("gold_source"), F.col("page_number").alias("gold_page"))
     hits = ranking.join(g, "query_id").withColumn("own", norm_source("source_file") == F.col("gold_source"))
     apart = F.abs(F.col("page_number") - F.col("gold_page"))
@@ -60,7 +60,7 @@ def failure_type(df: DataFrame) -> Column:
 
 
 def retrieval_metrics(ranking: DataFrame, gold: DataFrame, tolerance: int = 1) -> DataFrame:
-    """Hits, reciprocal rank, precisions and failure type of every (query, method) of the gold set."""
+    """Hits, reciprocal rank, precisions and failure type of every (query, method) of the gold set."""
     pairs = gold.select("query_id").crossJoin(F.broadcast(ranking.select("method_id").distinct()))
     df = pairs.join(first_hits(ranking, gold, tolerance=tolerance), ["query_id", "method_id"], "left").na.fill(0, ["evidence_count", "source_hits", "page_hits"])
     ratio = lambda a: F.when(F.col("evidence_count") > 0, F.col(a) / F.col("evidence_count")).otherwise(0.0)
@@ -79,13 +79,13 @@ def retrieval_metrics(ranking: DataFrame, gold: DataFrame, tolerance: int = 1) -
 
 
 def method_summary(metrics: DataFrame) -> DataFrame:
-    """Mean metrics of each method."""
+    """Mean metrics of each method."""
     means = [F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in ("source_hit", "strict_hit", "adjacent_hit", "mrr", "source_precision", "page_precision")]
     return metrics.groupBy("method_id").agg(F.count("*").alias("queries"), *means)
 
 
 def redundancy(evidence: DataFrame, threshold: float = 0.8, n: int = 3, smaller: bool = False, by: Sequence[str] = ("query_id", "method_id")) -> DataFrame:
-    """Pairs of a query's evidence, and those at or above the threshold by Jaccard, or by the smaller set's share.
+    """Pairs of a query's evidence, and those at or above the threshold by Jaccard, or by the smaller set's share.
 
     Evidence is a short list (top 4), gathered once with its gram sets; pairs never leave the row. A pair with an empty
     side counts as a pair and is not redundant.
@@ -105,14 +105,14 @@ def redundancy(evidence: DataFrame, threshold: float = 0.8, n: int = 3, smaller:
 
 
 def redundancy_rates(pairs: DataFrame, by: Sequence[str] = ("method_id",)) -> DataFrame:
-    """The ratio of sums and the mean of ratios, which differ and are both reported."""
+    """A3: The ratio of sums and the mean of ratios, which differ and are both reported."""
     own = F.when(F.col("pairs") > 0, F.col("redundant_pairs") / F.col("pairs")).otherwise(0.0)
     total = F.when(F.sum("pairs") > 0, F.sum("redundant_pairs") / F.sum("pairs")).otherwise(0.0)
     return pairs.groupBy(*by).agg(total.alias("ratio_of_sums"), F.avg(own).alias("mean_of_ratios"))
 
 
 def anchor_coverage(evidence: DataFrame, gold: DataFrame, n: int = 3) -> DataFrame:
-    """Most of the gold anchor's gram set that one piece of evidence holds."""
+    """Most of the gold anchor's gram set that one piece of evidence holds."""
     g = gold.select("query_id", char_ngrams(norm_text("anchor_text_span"), n).alias("anchor"))
     e = evidence.select("query_id", "method_id", char_ngrams(norm_text("content"), n).alias("own")).join(g, "query_id")
     share = F.when(F.size("anchor") == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect("anchor", "own")) / F.size("anchor"))
@@ -120,7 +120,7 @@ def anchor_coverage(evidence: DataFrame, gold: DataFrame, n: int = 3) -> DataFra
 
 
 def budget_curve(rankings: DataFrame, gold: DataFrame, budgets: Sequence[int], tolerance: int = 1) -> DataFrame:
-    """Per method and budget: strict hits, recall, mean reciprocal rank, and queries first hit at this budget.
+    """Per method and budget: strict hits, recall, mean reciprocal rank, and queries first hit at this budget.
 
     ``rankings`` holds a ranking for each budget (column budget).
     """
@@ -133,19 +133,19 @@ def budget_curve(rankings: DataFrame, gold: DataFrame, budgets: Sequence[int], t
 
 
 def paired_counts(metrics: DataFrame, left: str, right: str, hit: str = "strict_hit") -> DataFrame:
-    """Added, lost, both and neither between two methods over the same queries."""
+    """Added, lost, both and neither between two methods over the same queries."""
     a, b = (metrics.where(F.col("method_id") == m).select("query_id", F.col(hit).alias(c)) for m, c in ((left, "l"), (right, "r")))
     of = lambda x, y: F.count_if((F.col("l") == x) & (F.col("r") == y))
     return a.join(b, "query_id").agg(of(0, 1).alias("added"), of(1, 0).alias("lost"), of(1, 1).alias("both"), of(0, 0).alias("neither"))
 
 
 def freeze_candidate(candidate_gain: Column, final_gain: Column) -> Column:
-    """A method is frozen if its candidate recall rises and its final recall does not fall."""
+    """A method is frozen if its candidate recall rises and its final recall does not fall."""
     return (candidate_gain > 0) & (final_gain >= 0)
 
 
 def route_union(routed: DataFrame, priority: Sequence[str]) -> DataFrame:
-    """One row per (query, candidate): the routes that found it in order of priority, and where it stands in the union."""
+    """One row per (query, candidate): the routes that found it in order of priority, and where it stands in the union."""
     at = F.array_position(F.array(*[F.lit(p) for p in priority]), F.col("method_id"))
     rows = routed.where(at > 0).select("query_id", "candidate_key", F.struct(at.alias("p"), F.col("rank").alias("r"), F.col("method_id").alias("m")).alias("x"))
     g = rows.groupBy("query_id", "candidate_key").agg(F.min("x").alias("first"), F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["m"]), ",").alias("routes"))
@@ -154,7 +154,7 @@ def route_union(routed: DataFrame, priority: Sequence[str]) -> DataFrame:
 
 
 def failure_taxonomy(routed: DataFrame, gold: DataFrame, dense: str = "dense", sparse: str = "sparse", fused: str = "rrf", tolerance: int = 1) -> DataFrame:
-    """Class of each query whose gold page the fusion misses; the page itself is not its own neighbour here."""
+    """Class of each query whose gold page the fusion misses; the page itself is not its own neighbour here."""
     g = gold.select("query_id", F.lower("source_file").alias("gold_source"), F.col("page_number").alias("gold_page"))
     df = routed.join(g, "query_id", "right").withColumn("own", F.lower("source_file") == F.col("gold_source"))
     d = F.abs(F.col("page_number") - F.col("gold_page"))
@@ -173,19 +173,19 @@ def failure_taxonomy(routed: DataFrame, gold: DataFrame, dense: str = "dense", s
 
 
 def source_pages(routed: DataFrame) -> DataFrame:
-    """Candidates of a page as one: the first of them, how many, and all in rank order."""
+    """Candidates of a page as one: the first of them, how many, and all in rank order."""
     x = F.struct("rank", "candidate_key")
     return routed.groupBy("query_id", "method_id", "source_file", "page_number").agg(F.min(x)["candidate_key"].alias("candidate_key"), F.min("rank").alias("rank"), F.count("*").alias("members"), F.array_join(F.transform(F.sort_array(F.collect_list(x)), lambda y: y["candidate_key"]), ",").alias("member_keys"))
 
 
 def source_crowding(routed: DataFrame) -> DataFrame:
-    """Distinct sources of a ranking, and the largest one's count and share."""
+    """Distinct sources of a ranking, and the largest one's count and share."""
     per = routed.groupBy("query_id", "method_id", "source_file").agg(F.count("*").alias("n"))
     return per.groupBy("query_id", "method_id").agg(F.count("*").alias("unique_sources"), F.max("n").alias("max_per_source"), (F.max("n") / F.sum("n")).alias("max_share"))
 
 
 def change_audit(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Per query: did membership or only order of the evidence change, and how many keys came and went."""
+    """Per query: did membership or only order of the evidence change, and how many keys came and went."""
     side = lambda df, p: df.select("query_id", "candidate_key", F.col("rank").alias(p))
     df = side(before, "b").join(side(after, "a"), ["query_id", "candidate_key"], "full_outer")
     g = df.groupBy("query_id").agg(F.count_if(F.col("b").isNull()).alias("added"), F.count_if(F.col("a").isNull()).alias("removed"), F.count_if(F.col("a") != F.col("b")).alias("moved"))
@@ -193,13 +193,13 @@ def change_audit(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def score_parity(left: DataFrame, right: DataFrame, keys: Sequence[str], score: str, tolerance: float) -> DataFrame:
-    """Shared keys, median and greatest absolute difference of a score, and how many exceed the tolerance."""
+    """Shared keys, median and greatest absolute difference of a score, and how many exceed the tolerance."""
     d = left.select(*keys, F.col(score).alias("l")).join(right.select(*keys, F.col(score).alias("r")), list(keys)).select(F.abs(F.col("l") - F.col("r")).alias("d"))
     return d.agg(F.count("*").alias("shared"), F.percentile("d", F.lit(0.5)).alias("median_diff"), F.max("d").alias("max_diff"), F.count_if(F.col("d") > tolerance).alias("over_tolerance"))
 
 
 def distribution(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """Minimum, median, nearest-rank 95th percentile, maximum and mean.
+    """A4: Minimum, median, nearest-rank 95th percentile, maximum and mean.
 
     The nearest rank ceil(0.95 n) comes from ranks within the group, so no group is gathered into one value.
     """
@@ -211,7 +211,7 @@ def distribution(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
 
 
 def output_risk_flags(outputs: DataFrame, refusal: Sequence[str], unsafe: Sequence[str], protective: Sequence[str], claims: Sequence[str]) -> DataFrame:
-    """Heuristic flags of an answer: refusal, its correctness, an unsupported claim without snippets, an unsafe answer."""
+    """Heuristic flags of an answer: refusal, its correctness, an unsupported claim without snippets, an unsafe answer."""
     from evidrill.functions.text import contains_any
 
     refuses = contains_any("answer", refusal, ignore_case=True)
@@ -222,13 +222,13 @@ def output_risk_flags(outputs: DataFrame, refusal: Sequence[str], unsafe: Sequen
 
 
 def usage_totals(calls: DataFrame, price_in: float, price_out: float) -> DataFrame:
-    """Tokens and cost of each method; prices are per million tokens."""
+    """Tokens and cost of each method; prices are per million tokens."""
     cost = F.round((F.sum("input_tokens") * F.lit(price_in) + F.sum("output_tokens") * F.lit(price_out)) / 1e6, 8)
     return calls.groupBy("method_id").agg(F.count("*").alias("calls"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), cost.alias("cost"))
 
 
 def rank_outcome(before: Column, after: Column) -> Column:
-    """Improved, unchanged, worsened or not applicable; a missing rank is worse than any."""
+    """Improved, unchanged, worsened or not applicable; a missing rank is worse than any."""
     none = before.isNull() & after.isNull()
     better = (before.isNull() & after.isNotNull()) | (after < before)
     worse = (after.isNull() & before.isNotNull()) | (after > before)

@@ -12,7 +12,7 @@ from evidrill.operators.graph import align_claims, overall_state
 
 
 def inference_graph(questions: DataFrame, evidence: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(nodes, edges, status) of each sample without any gold data.
+    """(nodes, edges, status) of each sample without any gold data.
 
     ``questions(sample_id, question)``, ``evidence(sample_id, source_file, page_number, granularity, content, score)``,
     ``sources(source_id, filename)``. Equal spans of a source page are one node, with the best observation (score, then
@@ -37,7 +37,7 @@ def inference_graph(questions: DataFrame, evidence: DataFrame, sources: DataFram
 
 
 def evaluation_graph(nodes: DataFrame, edges: DataFrame, gold: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The runtime graph with its gold overlay: decision, risk labels, claims and the gold span, added where absent.
+    """The runtime graph with its gold overlay: decision, risk labels, claims and the gold span, added where absent.
 
     ``gold(sample_id, source_id, page_number, anchor_text_span, expected_decision, risk_labels, claims)``.
     """
@@ -61,12 +61,12 @@ def evaluation_graph(nodes: DataFrame, edges: DataFrame, gold: DataFrame) -> tup
 
 
 def batch_summary(status: DataFrame) -> DataFrame:
-    """Samples of a batch run by their status; a failure is a row, not the end of the run."""
+    """Samples of a batch run by their status; a failure is a row, not the end of the run."""
     return status.groupBy("build_status").agg(F.count("*").alias("samples"), F.sum("spans").alias("spans"))
 
 
 def claims_by_order(claims: DataFrame, evidence: DataFrame, orders: Sequence[str], top: int = 4) -> DataFrame:
-    """Claim states of each answer against the first ``top`` evidence of each order (for instance before and after)."""
+    """Claim states of each answer against the first ``top`` evidence of each order (for instance before and after)."""
     parts = None
     for o in orders:
         view = evidence.where(F.col(o) <= top).select("answer_id", "ctype", "cvalue")

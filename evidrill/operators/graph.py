@@ -17,7 +17,7 @@ from evidrill.operators.retrieval import ranked
 
 
 def postings(constraints: DataFrame) -> DataFrame:
-    """(ctype, cvalue, candidates): how many candidates stand under each key of the index."""
+    """(ctype, cvalue, candidates): how many candidates stand under each key of the index."""
     return constraints.where("scope = 'context'").groupBy("ctype", "cvalue").agg(F.count_distinct("owner_id").alias("candidates"))
 
 
@@ -31,7 +31,7 @@ def adjacent_pages(candidates: DataFrame) -> DataFrame:
 
 
 def posting_ranking(query: DataFrame, candidates: DataFrame, constraints: DataFrame, minimum_types: int = 2) -> DataFrame:
-    """Candidates that share at least two constraint types with the query, most shared pairs first."""
+    """Candidates that share at least two constraint types with the query, most shared pairs first."""
     pairs = constraints.where("scope = 'context'").select("ctype", "cvalue", F.col("owner_id").alias("candidate_key")).distinct()
     hits = query.select("query_id", "ctype", "cvalue").distinct().join(pairs, ["ctype", "cvalue"]).groupBy("query_id", "candidate_key").agg(F.count("*").alias("match_count"), F.count_distinct("ctype").alias("type_count"))
     rows = hits.where(F.col("type_count") >= minimum_types).join(candidates.select("candidate_key", "source_file", "page_number"), "candidate_key")
@@ -39,7 +39,7 @@ def posting_ranking(query: DataFrame, candidates: DataFrame, constraints: DataFr
 
 
 def qualify_paths(query: DataFrame, candidates: DataFrame, constraints: DataFrame, minimum_types: int = 2, allow_condition_class: bool = False) -> DataFrame:
-    """Every (query, candidate) that shares a constraint or conflicts in condition, with the first reason that fails it.
+    """Every (query, candidate) that shares a constraint or conflicts in condition, with the first reason that fails it.
 
     Order of reasons: condition_conflict, insufficient_types, missing_strong_anchor, missing_specific_anchor,
     no_content_supported_match, broad_content_only, condition_class_only, qualified.
@@ -120,7 +120,7 @@ def select_with_quotas(qualified: DataFrame, total: int = 20, per_source: int =
 
 
 def route_with_quotas(qualified: DataFrame, total: int = 20, per_source: int = 2, per_page: int = 1, order: Sequence[str] = PATH_ORDER) -> DataFrame:
-    """Quota routing of every row: raw_rank, route_decision (selected or the quota that dropped the row), route_rank.
+    """Quota routing of every row: raw_rank, route_decision (selected or the quota that dropped the row), route_rank.
 
     A row is dropped by the first of page, source and total that is full before it. Where a page or source becomes
     full is the place of its last selected row, so only those few places are joined to all rows.
@@ -233,7 +233,7 @@ def coverage_audit(questions: DataFrame, query: DataFrame, candidates: DataFrame
 
 
 def expand_with_budget(baseline: DataFrame, graph: DataFrame, budget: int, quota: int) -> DataFrame:
-    """baseline[:budget-g] then g graph candidates that the baseline lacks, g = min(quota, budget, those there are).
+    """baseline[:budget-g] then g graph candidates that the baseline lacks, g = min(quota, budget, those there are).
 
     ``baseline(query_id, candidate_key, rank)``, ``graph(query_id, candidate_key, graph_rank)``.
     """
@@ -250,7 +250,7 @@ TIER_WEIGHTS = {0: 1.0, 1: 0.75, 2: 0.5, 3: 0.25, 4: 0.0}
 
 
 def path_score(tier: Column, matched_types: Column, content_types: Column, query_types: Column, route_rank: Column, weights: dict[int, float] = TIER_WEIGHTS) -> Column:
-    """Mean of tier weight, matched and content type coverage, and reciprocal route rank, to twelve digits."""
+    """Mean of tier weight, matched and content type coverage, and reciprocal route rank, to twelve digits."""
     clip = lambda x: F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), x)), 12)
     w = F.lit(None).cast("double")
     for t, value in weights.items():
@@ -259,13 +259,13 @@ def path_score(tier: Column, matched_types: Column, content_types: Column, query
 
 
 def shift_ranks(pool: DataFrame, max_shift: float = 2.0) -> DataFrame:
-    """New order by rank minus shift times path score (0 without a path), then old rank and key; no shift changes nothing."""
+    """New order by rank minus shift times path score (0 without a path), then old rank and key; no shift changes nothing."""
     moved = pool.withColumn("adjusted_rank", F.col("rank") - F.lit(max_shift) * F.coalesce("path_score", F.lit(0.0)))
     return ranked(moved, ["query_id"], [F.col("adjusted_rank"), F.col("rank"), F.col("candidate_key")], name="new_rank")
 
 
 def coverage_rerank(pool: DataFrame, query: DataFrame, constraints: DataFrame, type_weights: dict[str, float], top_k: int | None = None, weights: tuple[float, float, float] = (0.65, 0.20, 0.15)) -> DataFrame:
-    """Rerank by relevance, authority and weighted coverage of the query's constraint types.
+    """Rerank by relevance, authority and weighted coverage of the query's constraint types.
 
     Applied only where the query has constraints and some candidate covers one; otherwise the order stays and
     ``rerank_status`` says why.
@@ -289,7 +289,7 @@ def coverage_rerank(pool: DataFrame, query: DataFrame, constraints: DataFrame, t
 
 
 def audit_constraints(query: DataFrame, evidence: DataFrame, exclusive: Sequence[str] = EXCLUSIVE_IN_RERANK) -> DataFrame:
-    """Each query constraint against all evidence values of its type: matched beats conflict beats unsupported."""
+    """Each query constraint against all evidence values of its type: matched beats conflict beats unsupported."""
     q = query.select("query_id", "ctype", "cvalue").distinct()
     e = evidence.select("query_id", "ctype", F.col("cvalue").alias("evidence_value")).distinct()
     t, a, b = F.col("ctype"), F.col("cvalue"), F.col("evidence_value")
@@ -299,7 +299,7 @@ def audit_constraints(query: DataFrame, evidence: DataFrame, exclusive: Sequence
 
 
 def constraint_graph(query: DataFrame, evidence: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of the runtime graph: what a query requires, and what evidence matches or contradicts."""
+    """Nodes and edges of the runtime graph: what a query requires, and what evidence matches or contradicts."""
     node = lambda df, kind, *parts: df.select("query_id", F.concat_ws(":", F.lit(kind), *parts).alias("node_id"), F.lit(kind).alias("node_type"))
     nodes = node(query, "query", "query_id").unionByName(node(query, "constraint", "ctype", "cvalue")).unionByName(node(evidence, "evidence", "candidate_key")).distinct()
     wants = query.select("query_id", F.concat_ws(":", F.lit("query"), "query_id").alias("source"), F.concat_ws(":", F.lit("constraint"), "ctype", "cvalue").alias("target"), F.lit("REQUIRES").alias("edge_type"))
@@ -331,7 +331,7 @@ def graph_violations(nodes: DataFrame, edges: DataFrame, root_type: str = "query
 
 
 def compare_query_to_evidence(query: DataFrame, evidence: DataFrame, exclusive: Sequence[str], high_risk: Sequence[str], context_types: Sequence[str]) -> DataFrame:
-    """Per query and type: match on content, corrective mismatch, coverage gap, scope mismatch on context.
+    """Per query and type: match on content, corrective mismatch, coverage gap, scope mismatch on context.
 
     A mismatch needs an exclusive type with exactly one evidence value that the query lacks.
     """
@@ -351,7 +351,7 @@ def compare_query_to_evidence(query: DataFrame, evidence: DataFrame, exclusive:
 
 
 def compare_evidence_pairs(evidence: DataFrame, ranks: DataFrame, exclusive: Sequence[str], anchors: Sequence[str], context_types: Sequence[str], need_scope: bool = True) -> DataFrame:
-    """Pairs of a query's evidence: comparable with a shared anchor and no disjoint scope; conflicts on exclusive types.
+    """Pairs of a query's evidence: comparable with a shared anchor and no disjoint scope; conflicts on exclusive types.
 
     ``ranks`` is a short list per query (top 4), so pairs of it are few.
     """
@@ -374,7 +374,7 @@ def compare_evidence_pairs(evidence: DataFrame, ranks: DataFrame, exclusive: Seq
 
 
 def route_action(boundary: Column, conflict: Column, scope: Column, gap: Column, corrective: Column, supported: Column) -> Column:
-    """Action by precedence: boundary, review, insufficient, corrective, supported, nothing comparable."""
+    """Action by precedence: boundary, review, insufficient, corrective, supported, nothing comparable."""
     return (
         F.when(boundary, "boundary_refusal_passthrough")
         .when(conflict | scope, "review_required")
@@ -390,7 +390,7 @@ CLAIM_STATES = ("contradicted", "unsupported", "insufficient_evidence", "support
 
 
 def align_claims(claims: DataFrame, evidence: DataFrame, exclusive: Sequence[str] = EXCLUSIVE_IN_CLAIMS) -> DataFrame:
-    """State of each claim ``(answer_id, claim_id, ctype, cvalue, stance)`` against ``evidence(answer_id, ctype, cvalue)``.
+    """State of each claim ``(answer_id, claim_id, ctype, cvalue, stance)`` against ``evidence(answer_id, ctype, cvalue)``.
 
     A constraint without evidence of its type is unsupported; an asserted conflict or a rejected match contradicts;
     a claim without constraints is insufficient. A claim has the worst state of its constraints.
@@ -412,7 +412,7 @@ def align_claims(claims: DataFrame, evidence: DataFrame, exclusive: Sequence[str
 
 
 def overall_state(claims: DataFrame) -> DataFrame:
-    """Per answer: the worst claim state, counts of all states, coverage ratio, and whether it needs review."""
+    """Per answer: the worst claim state, counts of all states, coverage ratio, and whether it needs review."""
     order = F.array_position(F.array(*[F.lit(s) for s in CLAIM_STATES]), F.col("claim_state"))
     agg = claims.groupBy("answer_id").agg(F.min(order).cast("int").alias("w"), F.count("*").alias("claims"), *[F.count_if(F.col("claim_state") == s).alias(s) for s in CLAIM_STATES])
     state = F.element_at(F.array(*[F.lit(s) for s in CLAIM_STATES]), F.col("w"))

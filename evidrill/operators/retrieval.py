@@ -22,7 +22,7 @@ QUERY_BLOCK_BYTES = 32 << 20
 
 
 def ranked(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int | None = None, name: str = "rank") -> DataFrame:
-    """Number rows within groups by a total order; with ``k``, keep the first (planned as a partial group limit)."""
+    """Number rows within groups by a total order; with ``k``, keep the first (planned as a partial group limit)."""
     out = df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
     return out if k is None else out.where(F.col(name) <= k)
 
@@ -34,7 +34,7 @@ def squared_distance(a: str | Column, b: str | Column) -> Column:
 
 
 def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Exact nearest neighbours: (query_id, collection, candidate_key, distance, raw_score, route_rank, route).
+    """Exact nearest neighbours: (query_id, collection, candidate_key, distance, raw_score, route_rank, route).
 
     ``vectors(candidate_key, collection, embedding)``, ``queries(query_id, query_vector)``. Squared distances in double
     precision, ties by key. Each task keeps the best k of its rows for each query and collection, so the shuffle
@@ -86,13 +86,13 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
 
 def check_weights(postings: DataFrame, vocabulary: int) -> DataFrame:
-    """Postings without zeros; a token outside the vocabulary stops the job."""
+    """Postings without zeros; a token outside the vocabulary stops the job."""
     bad = (F.col("token_id") < 0) | (F.col("token_id") >= vocabulary)
     return postings.where("weight <> 0").withColumn("token_id", F.when(bad, F.raise_error(F.lit("token id out of range")).cast("int")).otherwise(F.col("token_id")))
 
 
 def sparse_top_k(documents: DataFrame, queries: DataFrame, k: int, by: Sequence[str] = ()) -> DataFrame:
-    """Learned-sparse retrieval: dot products above 0 over shared tokens, ties by key.
+    """Learned-sparse retrieval: dot products above 0 over shared tokens, ties by key.
 
     ``documents(candidate_key, token, weight, *by)``, ``queries(query_id, token, weight)``. An equi-join on the token;
     the aggregate combines before the shuffle and the group limit cuts before the sort.
@@ -108,7 +108,7 @@ def term_weights(df: DataFrame, key: str, token_array: Column) -> DataFrame:
 
 
 def rrf(routed: DataFrame, k: int = 60, top_k: int | None = None, by: Sequence[str] = ("query_id",), key: Sequence[str] = ("candidate_key",)) -> DataFrame:
-    """Reciprocal rank fusion: sum of 1/(k+rank) in rank order, with the number of routes and the route trace.
+    """Reciprocal rank fusion: sum of 1/(k+rank) in rank order, with the number of routes and the route trace.
 
     The sum runs over a sorted array, so it is the same for every partitioning.
     """
@@ -119,7 +119,7 @@ def rrf(routed: DataFrame, k: int = 60, top_k: int | None = None, by: Sequence[s
 
 
 def rrf_pages(routed: DataFrame, k: int = 60) -> DataFrame:
-    """Fusion keyed by (query, source, page): every occurrence scores; the representative has the highest final score."""
+    """Fusion keyed by (query, source, page): every occurrence scores; the representative has the highest final score."""
     best = F.max_by(F.struct("candidate_key", "final_score"), F.struct(F.col("final_score"), (-F.col("route_rank")).alias("r"), F.col("candidate_key")))
     fused = routed.groupBy("query_id", "source_file", "page_number").agg(F.aggregate(F.sort_array(F.collect_list(1.0 / (F.lit(float(k)) + F.col("route_rank")))), F.lit(0.0), lambda a, x: a + x).alias("rrf_score"), best.alias("best"), F.count("*").alias("members"))
     fused = fused.select("query_id", "source_file", "page_number", "rrf_score", "members", "best.candidate_key", "best.final_score")
@@ -127,19 +127,19 @@ def rrf_pages(routed: DataFrame, k: int = 60) -> DataFrame:
 
 
 def fuse_methods(routed: DataFrame, methods: dict[str, Sequence[str]], k: int = 60, top_k: int = 20) -> DataFrame:
-    """Fusion for several methods at once; each takes the routes that begin with one of its prefixes."""
+    """Fusion for several methods at once; each takes the routes that begin with one of its prefixes."""
     of = F.array_compact(F.array(*[F.when(reduce(Column.__or__, [F.col("route").startswith(p) for p in prefixes]), F.lit(m)) for m, prefixes in methods.items()]))
     return rrf(routed.withColumn("method_id", F.explode(of)), k, top_k, by=("query_id", "method_id"))
 
 
 def budget_fusion(routed: DataFrame, budgets: Sequence[int], k: int = 60) -> DataFrame:
-    """Fusion recomputed from the prefix of every route for each candidate budget."""
+    """Fusion recomputed from the prefix of every route for each candidate budget."""
     wide = routed.withColumn("budget", F.explode(F.array(*[F.lit(b) for b in budgets]))).where("route_rank <= budget")
     return rrf(wide, k, by=("query_id", "budget")).where("rank <= budget")
 
 
 def rerank(pool: DataFrame, score: Column, by: Sequence[str] = ("query_id",)) -> DataFrame:
-    """Ranks before and after a plug-in scorer: (-rrf, key), then (-score, -rrf, key)."""
+    """Ranks before and after a plug-in scorer: (-rrf, key), then (-score, -rrf, key)."""
     before = ranked(pool.withColumn("rerank_score", score), by, [F.col("rrf_score").desc(), F.col("candidate_key")], name="pre_rerank_rank")
     return ranked(before, by, [F.col("rerank_score").desc(), F.col("rrf_score").desc(), F.col("candidate_key")], name="post_rerank_rank")
 
@@ -151,7 +151,7 @@ def lexical_scorer(query: str, content: str) -> Column:
 
 
 def model_scorer(predict: Callable[[list[tuple[str, str]]], Sequence[float]]) -> Callable[[str, str], Column]:
-    """A cross-encoder as a vectorised column: ``predict`` gets batches of (query, content) pairs."""
+    """A cross-encoder as a vectorised column: ``predict`` gets batches of (query, content) pairs."""
 
     @F.pandas_udf("double")
     def score(q: pd.Series, c: pd.Series) -> pd.Series:
@@ -164,7 +164,7 @@ def model_scorer(predict: Callable[[list[tuple[str, str]]], Sequence[float]]) ->
 
 
 def greedy_dedup(pool: DataFrame, threshold: float = 0.8, limit: int = 4, n: int = 3, order: str = "rank", by: Sequence[str] = ("query_id",)) -> DataFrame:
-    """Order-dependent evidence dedup, one fold per query inside the JVM.
+    """Order-dependent evidence dedup, one fold per query inside the JVM.
 
     A row is skipped if its provenance is invalid, if its normalised text equals an admitted one, or if an admitted
     row of the same source and page shares at least ``threshold`` of the smaller gram set; the fold admits ``limit``.
@@ -204,7 +204,7 @@ def greedy_dedup(pool: DataFrame, threshold: float = 0.8, limit: int = 4, n: int
 
 
 def admit_evidence(pool: DataFrame, limit: int, by: Sequence[str] = ("query_id",)) -> DataFrame:
-    """Evidence admission with reasons, in order: provenance, bare title, repeated text, over the cap; counting goes on."""
+    """Evidence admission with reasons, in order: provenance, bare title, repeated text, over the cap; counting goes on."""
     text = norm_text("content")
     bad = (F.coalesce(F.trim("source_file"), F.lit("")) == "") | F.coalesce(F.col("page_number") <= 0, F.lit(True))
     title = (text != "") & (text == norm_text(F.regexp_replace("source_file", r"\.[^.]*$", "")))
@@ -216,7 +216,7 @@ def admit_evidence(pool: DataFrame, limit: int, by: Sequence[str] = ("query_id",
 
 
 def lexical_fallback(chunks: DataFrame, queries: DataFrame, limit: int = 3, rules=FALLBACKS) -> DataFrame:
-    """Chunks bound to the source of a triggered rule, the best max(2, min(4, limit)) of each rule and query."""
+    """Chunks bound to the source of a triggered rule, the best max(2, min(4, limit)) of each rule and query."""
     per_rule = max(2, min(4, limit))
     parts = []
     for i, rule in enumerate(rules):
@@ -229,7 +229,7 @@ def lexical_fallback(chunks: DataFrame, queries: DataFrame, limit: int = 3, rule
 
 
 def required_term_filter(scored: DataFrame) -> DataFrame:
-    """Keep what names every drug that the query names; broad reviews add safety principles, or keep all if nothing is left."""
+    """Keep what names every drug that the query names; broad reviews add safety principles, or keep all if nothing is left."""
     needed, met = required_terms_state("query", "content")
     df = scored.withColumn("needed", needed).withColumn("met", met).withColumn("broad", is_broad_review("query"))
     df = df.withColumn("any_met", F.max("met").over(Window.partitionBy("query_id")))
@@ -239,13 +239,13 @@ def required_term_filter(scored: DataFrame) -> DataFrame:
 
 
 def first_by_signature(scored: DataFrame, order: Sequence[Column]) -> DataFrame:
-    """The first row of each (query, source, page, signature) in score order."""
+    """The first row of each (query, source, page, signature) in score order."""
     keyed = scored.withColumn("signature", dedup_signature("content"))
     return ranked(keyed, ["query_id", "source_file", "page_number", "signature"], order, 1, "nth").drop("nth", "signature")
 
 
 def neighbour_pages(seeds: DataFrame, pages: DataFrame, radius: int = 1) -> DataFrame:
-    """Pages around seeds in seed order, then by offset; the first seed that reaches a page has it; seeds are left out."""
+    """Pages around seeds in seed order, then by offset; the first seed that reaches a page has it; seeds are left out."""
     offsets = [o for o in range(-radius, radius + 1) if o]
     near = seeds.select("query_id", "source_file", F.col("page_number").alias("seed_page"), "seed_rank", F.explode(F.array(*[F.lit(o) for o in offsets])).alias("offset")).withColumn("page_number", F.col("seed_page") + F.col("offset"))
     found = near.join(pages, ["source_file", "page_number"]).join(seeds.select("query_id", "source_file", "page_number"), ["query_id", "source_file", "page_number"], "left_anti")
@@ -253,7 +253,7 @@ def neighbour_pages(seeds: DataFrame, pages: DataFrame, radius: int = 1) -> Data
 
 
 def evidence_window(seeds: DataFrame, neighbours: DataFrame, final_k: int = 4, per_seed: int = 1) -> DataFrame:
-    """Seeds in rank order, each followed by at most ``per_seed`` of its neighbours; the first ``final_k`` a query.
+    """Seeds in rank order, each followed by at most ``per_seed`` of its neighbours; the first ``final_k`` a query.
 
     ``seeds(query_id, source_file, page_number, candidate_key, seed_rank)`` and ``neighbours``, the rows of
     ``neighbour_pages`` over the same seeds with ``overlap``, the question's share of characters: greatest first, then
@@ -276,24 +276,24 @@ def distinct_profiles(tasks: DataFrame, fields: Sequence[str]) -> DataFrame:
 
 
 def granularities_of(intent: Column) -> Column:
-    """Detail questions go to the finest chunks, concept questions to the middle, all else to all three."""
+    """Detail questions go to the finest chunks, concept questions to the middle, all else to all three."""
     return F.when(intent == "DETAIL", F.array(F.lit(128))).when(intent == "CONCEPT", F.array(F.lit(512))).otherwise(F.array(F.lit(128), F.lit(512), F.lit(1024)))
 
 
 def trust_score(s_ret: Column, s_faith: Column, weight: Column, alpha: float = 0.4, beta: float = 0.6, high: float = 7.5, low: float = 5.0) -> tuple[Column, Column]:
-    """(score, level) from clamped parts: the weighted sum times the authority, and its gate."""
+    """(score, level) from clamped parts: the weighted sum times the authority, and its gate."""
     clamp = lambda x, top: F.greatest(F.lit(0.0), F.least(F.lit(float(top)), x))
     score = F.round((F.lit(alpha) * clamp(s_ret, 10) + F.lit(beta) * clamp(s_faith, 10)) * clamp(weight, 1), 4)
     return score, F.when(score >= high, "TRUSTED").when(score > low, "WARNING").otherwise("REJECTED")
 
 
 def index_ready(found: DataFrame, complete: DataFrame) -> DataFrame:
-    """Results, or none of them where the index's completeness table has a gap."""
+    """Results, or none of them where the index's completeness table has a gap."""
     return found.join(F.broadcast(complete.agg(F.coalesce(F.bool_and("complete"), F.lit(False)).alias("ready"))), F.col("ready")).drop("ready")
 
 
 def evidence_snippets(evidence: DataFrame, count: int, chars: int, order: str = "evidence_rank") -> DataFrame:
-    """The prompt's evidence: the first ``count`` rows cut to ``chars``; empty texts drop out after the cut."""
+    """The prompt's evidence: the first ``count`` rows cut to ``chars``; empty texts drop out after the cut."""
     top = evidence.where(F.col(order) <= count).withColumn("snippet", F.substring(norm_ws("content"), 1, chars))
     return top.where("snippet <> ''")
 

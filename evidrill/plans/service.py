@@ -18,7 +18,7 @@ def score_evidence(rows: DataFrame, authority: Column | None = None) -> DataFram
 
 
 def retrieve(chunks: DataFrame, queries: DataFrame, k: int = 5, authority: Column | None = None, include_tables: bool = True) -> DataFrame:
-    """Evidence of each query in service order: dense hits per granularity and lexical fallbacks, scored, filtered, deduped.
+    """Evidence of each query in service order: dense hits per granularity and lexical fallbacks, scored, filtered, deduped.
 
     ``chunks(candidate_key, granularity, source_file, page_number, block_type, content, embedding)``,
     ``queries(query_id, query, query_vector)``. Texts are joined to the ranked keys, after the top-k.
@@ -37,7 +37,7 @@ def retrieve(chunks: DataFrame, queries: DataFrame, k: int = 5, authority: Colum
 
 
 def audit(evidence: DataFrame, drafts: DataFrame, faith: Column, conflict: Column | None = None) -> DataFrame:
-    """Trust of each draft: nothing without a draft or evidence, little with a frequency conflict, else the judge's score."""
+    """Trust of each draft: nothing without a draft or evidence, little with a frequency conflict, else the judge's score."""
     top = evidence.where("rank = 1").select("query_id", "relevance_score", "authority_weight")
     df = drafts.join(top, "query_id", "left")
     nothing = F.col("relevance_score").isNull() | (F.trim(F.coalesce("draft", F.lit(""))) == "")
@@ -49,7 +49,7 @@ def audit(evidence: DataFrame, drafts: DataFrame, faith: Column, conflict: Colum
 
 
 def frequency_conflict(query: str | Column, evidence: Column) -> Column:
-    """Twice a day is asked where the evidence says once."""
+    """Twice a day is asked where the evidence says once."""
     from evidrill.functions.text import blank
 
     twice = r"(?i)(?:\bbid\b|每日\s*(?:两|二|2)\s*次|一天\s*(?:两|二|2)\s*次)"

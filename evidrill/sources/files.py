@@ -13,19 +13,19 @@ from evidrill.operators.contracts import ContractError, duplicate_keys, fingerpr
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """One object a line; a byte-order mark and blank lines are skipped, a bad line stops the job."""
+    """One object a line; a byte-order mark and blank lines are skipped, a bad line stops the job."""
     lines = spark.read.text(path).select(F.regexp_replace("value", "^﻿", "").alias("value")).where(F.trim("value") != "")
     parsed = lines.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("row"))
     return parsed.select("row.*")
 
 
 def read_json_object(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """Files that hold one object each."""
+    """Files that hold one object each."""
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
 def read_csv(spark: SparkSession, path: str, columns: Sequence[str], lists: Sequence[str] = ()) -> DataFrame:
-    """All cells as text, but for columns of JSON lists; a byte-order mark is part of no name."""
+    """S3: All cells as text, but for columns of JSON lists; a byte-order mark is part of no name."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
     df = spark.read.schema(schema).options(header=True, multiLine=True, quote='"', escape='"', enforceSchema=True).csv(path)
     for c in lists:
@@ -90,20 +90,20 @@ def load_asset(spark: SparkSession, path: str, vector: str = "embedding") -> Dat
 
 
 def read_manifest(spark: SparkSession, path: str, schema: T.StructType | str, key: str = "source_id") -> DataFrame:
-    """A manifest whose ids are there and unique."""
+    """A manifest whose ids are there and unique."""
     df = read_jsonl(spark, path, schema)
     require_none(duplicate_keys(df, [key]), f"manifest {path}")
     return df
 
 
 def manifest_status(df: DataFrame, fetched: Column, head: Column) -> DataFrame:
-    """registered goes to downloaded if the bytes begin as a PDF does, to download_failed otherwise."""
+    """Registered goes to downloaded if the bytes begin as a PDF does, to download_failed otherwise."""
     new = F.when(F.col("status") != "registered", F.col("status")).when(fetched & (head == "%PDF"), "downloaded").otherwise("download_failed")
     return df.withColumn("status", new)
 
 
 def read_cache(spark: SparkSession, folder: str, schema: T.StructType | str, identity: dict[str, str]) -> DataFrame:
-    """A folder of cached records, of one version identity only."""
+    """A folder of cached records, of one version identity only."""
     df = spark.read.schema(schema).option("multiLine", True).json(folder)
     for name, value in identity.items():
         df = df.where(F.col(name) == value)
@@ -111,13 +111,13 @@ def read_cache(spark: SparkSession, folder: str, schema: T.StructType | str, ide
 
 
 def read_registry(spark: SparkSession, path: str, pattern: str, names: Sequence[str]) -> DataFrame:
-    """Rows of a text file whose lines match; one column for each group of the pattern."""
+    """Rows of a text file whose lines match; one column for each group of the pattern."""
     lines = spark.read.text(path).where(F.col("value").rlike(pattern))
     return lines.select(*[F.regexp_extract("value", pattern, i).alias(n) for i, n in enumerate(names, 1)])
 
 
 def latest_run(spark: SparkSession, folder: str, prefix: str) -> str | None:
-    """The greatest name with a prefix in a folder of any file system that Spark reads."""
+    """The greatest name with a prefix in a folder of any file system that Spark reads."""
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(folder)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -126,7 +126,7 @@ def latest_run(spark: SparkSession, folder: str, prefix: str) -> str | None:
 
 
 def write_once(df: DataFrame, path: str) -> bool:
-    """Write an immutable table. If it is there with the same rows nothing happens (False); other rows are an error."""
+    """Write an immutable table. If it is there with the same rows nothing happens (False); other rows are an error."""
     spark = df.sparkSession
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
@@ -139,7 +139,7 @@ def write_once(df: DataFrame, path: str) -> bool:
 
 
 def upsert(stored: DataFrame, arrived: DataFrame, key: str, order: str) -> DataFrame:
-    """Rows of both, the last by ``order`` winning for each key, arrivals over stored ones."""
+    """Rows of both, the last by ``order`` winning for each key, arrivals over stored ones."""
     from evidrill.operators.retrieval import ranked
 
     both = stored.withColumn("_new", F.lit(0)).unionByName(arrived.withColumn("_new", F.lit(1)))
@@ -147,19 +147,19 @@ def upsert(stored: DataFrame, arrived: DataFrame, key: str, order: str) -> DataF
 
 
 def unseen_files(arrived: DataFrame, stored: DataFrame, keys: Sequence[str] = ("source_hash", "granularity")) -> DataFrame:
-    """Arrivals whose file is not yet stored at their granularity."""
+    """R2: Arrivals whose file is not yet stored at their granularity."""
     return arrived.join(stored.select(*keys).distinct(), list(keys), "left_anti")
 
 
 def where_equal(df: DataFrame, **fields) -> DataFrame:
-    """Equality filters of a store query; they reach the Parquet scan as pushed filters."""
+    """Equality filters of a store query; they reach the Parquet scan as pushed filters."""
     for name, value in fields.items():
         df = df.where(F.col(name) == value)
     return df
 
 
 def asset_manifest(df: DataFrame, vector: str, by: Sequence[str] = ()) -> DataFrame:
-    """Count, dimension and digest of vectors; ready if they are there and all of one dimension."""
+    """Count, dimension and digest of vectors; ready if they are there and all of one dimension."""
     text = F.sha2(F.array_join(F.transform(F.col(vector), lambda x: x.cast("string")), ","), 256)
     part = F.conv(F.substring(text, 1, 15), 16, 10).cast("decimal(38,0)")
     m = df.groupBy(*by).agg(F.count("*").alias("vectors"), F.min(F.size(vector)).alias("least_dim"), F.max(F.size(vector)).alias("dim"), F.sum(part).cast("string").alias("digest"))
@@ -167,7 +167,7 @@ def asset_manifest(df: DataFrame, vector: str, by: Sequence[str] = ()) -> DataFr
 
 
 def table_to_markdown(rows: str | Column) -> Column:
-    """An array of rows of cells as a Markdown table: cells on one line, rows as wide as the header; under two rows, ''."""
+    """An array of rows of cells as a Markdown table: cells on one line, rows as wide as the header; under two rows, ''."""
     r = F.col(rows) if isinstance(rows, str) else rows
     clean = lambda c: F.trim(F.replace(F.coalesce(c, F.lit("")), F.lit("\n"), F.lit(" ")))
     width = F.size(F.get(r, F.lit(0)))
@@ -194,7 +194,7 @@ def html_text(x: str | Column) -> Column:
 
 
 def text_blocks(pages: DataFrame, least_chars: int = 20) -> DataFrame:
-    """The text track: sanitized pages of at least ``least_chars`` that do not open with a list of references."""
+    """The text track: sanitized pages of at least ``least_chars`` that do not open with a list of references."""
     from evidrill.functions.rules import REFERENCE_HEADING
 
     t = sanitize("content")
@@ -202,7 +202,7 @@ def text_blocks(pages: DataFrame, least_chars: int = 20) -> DataFrame:
 
 
 def merge_tracks(text: DataFrame, tables: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Both tracks with block_order: by page, text before tables, each in its own order."""
+    """Both tracks with block_order: by page, text before tables, each in its own order."""
     from pyspark.sql import Window
 
     both = text.withColumn("_track", F.lit(0)).unionByName(tables.withColumn("_track", F.lit(1)))
@@ -211,7 +211,7 @@ def merge_tracks(text: DataFrame, tables: DataFrame, keys: Sequence[str]) -> Dat
 
 
 def inspect_sources(pages: DataFrame, sampled: int = 30) -> DataFrame:
-    """Scan-heavy sources: of the first pages, under a fifth with text and at least four fifths with images."""
+    """Scan-heavy sources: of the first pages, under a fifth with text and at least four fifths with images."""
     s = pages.where(F.col("page_number") <= sampled)
     counts = s.groupBy("source_file").agg(F.count("*").alias("sampled_pages"), F.count_if("has_text").alias("text_pages"), F.count_if("has_image").alias("image_pages"))
     ratio = lambda c: F.col(c) / F.col("sampled_pages")
