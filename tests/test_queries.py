@@ -13,7 +13,7 @@ def same(value):
     return round(float(value), 6) if isinstance(value, float) else value
 
 
-@pytest.mark.parametrize("name", ["trust_gate", "rrf_page_fusion", "method_summary", "path_route_quota", "graph_rerank", "near_dup_pairs", "leakage_join", "relay_events", "user_sessions", "table_fingerprint"])
+@pytest.mark.parametrize("name", ["trust_gate", "rrf_page_fusion", "method_summary", "path_route_quota", "graph_rerank", "near_dup_pairs", "leakage_join", "greedy_dedup", "coverage_audit", "trace_failures", "service_retrieve", "chunk_three_granularity", "diverse_shortlist", "judge_outputs", "revision_reaudit", "selection_audit", "relay_events", "user_sessions", "table_fingerprint"])
 def test_query_equals_sql(spark, sf, name):
     import duckdb
 
