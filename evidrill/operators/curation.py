@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidrill.functions.text import char_ngrams
+from evidrill.operators.retrieval import numbered
 from evidrill.sources.scratch import discard, write_once
 
 
@@ -65,8 +66,10 @@ def leakage_reasons(candidates: DataFrame, reference: DataFrame, criteria: Seque
 
 def canonical_duplicates(df: DataFrame, key: str, norm: Column) -> DataFrame:
     """canonical_id: the least id among rows of equal normalised text; empty texts stand alone."""
-    w = Window.partitionBy("_n")
-    return df.withColumn("_n", F.when(norm == "", F.concat(F.lit("\u0000"), F.col(key).cast("string"))).otherwise(norm)).withColumn("canonical_id", F.min(key).over(w)).withColumn("copies", F.count("*").over(w)).drop("_n")
+    keyed = df.withColumn("_n", F.when(norm == "", F.concat(F.lit("\u0000"), F.col(key).cast("string"))).otherwise(norm))
+    # counted before the rows of a large group of copies meet, and joined, where a hot key can be split
+    copies = keyed.groupBy("_n").agg(F.min(key).alias("canonical_id"), F.count("*").alias("copies"))
+    return keyed.join(copies, "_n").drop("_n")
 
 
 def independence_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -202,12 +205,12 @@ def transitions(df: DataFrame, before: str, after: str) -> DataFrame:
 
 def in_batches(df: DataFrame, order: Sequence[Column], size: int) -> DataFrame:
     """batch: running number of batches of ``size`` rows in a total order."""
-    return df.withColumn("place", F.row_number().over(Window.partitionBy().orderBy(*order))).withColumn("batch", F.floor((F.col("place") - 1) / size).cast("int") + 1)
+    return numbered(df, order).withColumn("batch", F.floor((F.col("place") - 1) / size).cast("int") + 1)
 
 
 def in_sized_batches(df: DataFrame, order: Sequence[Column], sizes: Sequence[int]) -> DataFrame:
     """Batch: which of the given sizes a row falls in; rows beyond them all have none."""
-    place, total = F.row_number().over(Window.partitionBy().orderBy(*order)), 0
+    total = 0
     batch = F.lit(None).cast("int")
     bounds = []
     for i, s in enumerate(sizes, 1):
@@ -215,7 +218,7 @@ def in_sized_batches(df: DataFrame, order: Sequence[Column], sizes: Sequence[int
         bounds.append((total, i))
     for bound, i in reversed(bounds):
         batch = F.when(F.col("place") <= bound, i).otherwise(batch)
-    return df.withColumn("place", place).withColumn("batch", batch)
+    return numbered(df, order).withColumn("batch", batch)
 
 
 def blind_queue(df: DataFrame, key: str, seed: str, fields: Sequence[str], prefix: str = "blind_") -> tuple[DataFrame, DataFrame]:
@@ -249,7 +252,7 @@ def method_plan(samples: DataFrame, methods: DataFrame, models: DataFrame) -> Da
 def bind_policies(rows: DataFrame, policies: DataFrame, document: Column) -> DataFrame:
     """Rows (id, policy_ids) with the texts of their rules joined by newlines, and whether all are found verbatim."""
     one = rows.select("id", document.alias("document"), F.posexplode_outer("policy_ids").alias("n", "policy_id"))
-    joined = one.join(F.broadcast(policies.select("policy_id", "policy_text")), "policy_id", "left")
+    joined = one.join(policies.select("policy_id", "policy_text"), "policy_id", "left")
     ok = F.coalesce(F.contains("document", "policy_text"), F.lit(False))
     texts = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "policy_text"))), lambda x: x["policy_text"]), "\n")
     return joined.groupBy("id").agg(texts.alias("evidence"), F.bool_and(ok).alias("bound"))

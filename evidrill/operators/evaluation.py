@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidrill.functions.text import char_ngrams, norm_source, norm_text
+from evidrill.operators.retrieval import numbered
 
 
 def holders(documents: DataFrame, passages: DataFrame, words: int = 3) -> DataFrame:
@@ -201,13 +202,18 @@ def score_parity(left: DataFrame, right: DataFrame, keys: Sequence[str], score:
 def distribution(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """A4: Minimum, median, nearest-rank 95th percentile, maximum and mean.
 
-    The nearest rank ceil(0.95 n) comes from ranks within the group, so no group is gathered into one value.
+    The nearest rank ceil(0.95 n) and the middle ones are places in ranges of the values, so no group, however few there
+    are, is sorted in one task.
     """
-    w = Window.partitionBy(*by)
-    ranks = df.where(F.col(value).isNotNull()).withColumn("rn", F.row_number().over(w.orderBy(value))).withColumn("n", F.count("*").over(w))
-    at = lambda k: F.max(F.when(F.col("rn") == k, F.col(value)))
-    n = F.col("n")
-    return ranks.groupBy(*by).agg(F.count("*").alias("n_values"), F.min(value).alias("min"), ((at(F.floor((n + 1) / 2)) + at(F.floor((n + 2) / 2))) / 2).alias("median"), at(F.ceil(n * 0.95)).alias("p95"), F.max(value).alias("max"), F.avg(value).alias("mean"))
+    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
+    whole = rows.groupBy(*by).agg(F.count("*").alias("n_values"), F.min("_v").alias("min"), F.max("_v").alias("max"), F.avg("_v").alias("mean"))
+    n = F.col("n_values")
+    wanted = whole.select(*by, F.floor((n + 1) / 2).alias("_a"), F.floor((n + 2) / 2).alias("_b"), F.ceil(n * 0.95).alias("_c")).withColumnsRenamed({c: f"_by_{c}" for c in by})
+    at = numbered(rows, [F.col("_v")], by, "_place").join(wanted, [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]).where("_place IN (_a, _b, _c)")
+    pick = lambda c: F.max(F.when(F.col("_place") == F.col(c), F.col("_v")))
+    ranks = at.groupBy(*by).agg(((pick("_a") + pick("_b")) / 2).alias("median"), pick("_c").alias("p95")).withColumnsRenamed({c: f"_by_{c}" for c in by})
+    out = whole.join(ranks, [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by])
+    return out.select(*by, "n_values", "min", "median", "p95", "max", "mean")
 
 
 def output_risk_flags(outputs: DataFrame, refusal: Sequence[str], unsafe: Sequence[str], protective: Sequence[str], claims: Sequence[str]) -> DataFrame:

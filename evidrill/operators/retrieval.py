@@ -5,7 +5,7 @@ Long form throughout: one row per (query, candidate, route). Texts join late, af
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 
 from evidrill.functions.rules import FALLBACKS, fallback_relevance, is_broad_review, has_safety_signal, required_terms_state
 from evidrill.functions.text import char_ngrams, contains_any, dedup_signature, norm_text, norm_ws
+from evidrill.sources.scratch import write_once
 
-#: Query vectors that are sent to every task together; more queries go in turns.
-QUERY_BLOCK_BYTES = 32 << 20
+#: Queries and vectors that meet in one matrix product.
+QUERY_BLOCK, VECTOR_BLOCK = 256, 4096
 
 
 def ranked(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int | None = None, name: str = "rank") -> DataFrame:
@@ -27,62 +28,91 @@ def ranked(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int | N
     return out if k is None else out.where(F.col(name) <= k)
 
 
+def numbered(df: DataFrame, order: Sequence[Column], by: Sequence[str] = (), name: str = "place") -> DataFrame:
+    """Places 1.. of all rows, or of each large group, in a total order, with no group in one task.
+
+    Rows are dealt by ranges of the order and written once; a row's place is that within its range, and the rows of its
+    group in the ranges before.
+    """
+    keyed = df.select("*", *[c.alias(f"_o{i}") for i, c in enumerate(order)])
+    dealt = keyed.repartitionByRange(*[F.col(c) for c in by], *order)
+    ranges = write_once(dealt.withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = ranges.groupBy("_range", *by).agg(F.count("*").alias("_size"))
+    before = F.coalesce(F.sum("_size").over(Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("_range", *by, before.alias("_start")).withColumnsRenamed({c: f"_by_{c}" for c in ("_range", *by)})
+    inside = F.row_number().over(Window.partitionBy("_range", *by).orderBy(*order))
+    placed = ranges.withColumn("_inside", inside).join(starts, [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in ("_range", *by)])
+    return placed.withColumn(name, (F.col("_inside") + F.col("_start")).cast("int" if not by else "long")).select(*df.columns, name)
+
+
 def squared_distance(a: str | Column, b: str | Column) -> Column:
     """Squared Euclidean distance of two arrays in double precision."""
     pairs = F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))
     return F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x)
 
 
+def _packed(df: DataFrame, key: str, vector: str, rows: int, by: str | None = None) -> DataFrame:
+    """Rows (keys, matrix[, by]) of up to ``rows`` vectors each: a block's vectors as doubles, one after the other."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[object, list[tuple[object, np.ndarray]]] = {}
+
+        def block(name: object, own: list[tuple[object, np.ndarray]]) -> pa.RecordBatch:
+            names = {"by": pa.array([name], pa.string())} if by else {}
+            return pa.RecordBatch.from_pydict({"keys": pa.array([[k for k, _ in own]], pa.list_(keys)), "matrix": pa.array([np.stack([v for _, v in own]).tobytes()], pa.binary()), **names})
+
+        for b in batches:
+            keys = b.column(0).type
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                name = row[2] if by else None
+                own = held.setdefault(name, [])
+                own.append((row[0], np.array(row[1], dtype="<f8")))
+                if len(own) == rows:
+                    yield block(name, held.pop(name))
+        for name, own in held.items():
+            yield block(name, own)
+
+    columns = [F.col(key), F.col(vector).cast("array<double>"), *([F.col(by).cast("string")] if by else [])]
+    return df.select(*columns).mapInArrow(pack, f"keys array<{kind}>, matrix binary" + (", by string" if by else ""))
+
+
+def _nearest(k: int):
+    """The k nearest rows of each block of vectors to each query of a block, by exact distance, then key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for ids, qs, keys, xs, name in zip(*(c.to_pylist() for c in b.columns)):
+                q, x = (np.frombuffer(m, "<f8").reshape(len(n), -1) for m, n in ((qs, ids), (xs, keys)))
+                square = (x**2).sum(1)
+                near = square - 2 * (q @ x.T) + (q**2).sum(1)[:, None]  # good enough to leave out what is far
+                slack = 1e-9 * (square.max() + (q**2).sum(1))
+                bound = np.partition(near, min(k, len(keys)) - 1, axis=1)[:, min(k, len(keys)) - 1] + slack
+                out = []
+                for i, at in enumerate(near <= bound[:, None]):
+                    at = np.flatnonzero(at)
+                    d = ((x[at] - q[i]) ** 2).sum(1)
+                    out += [(ids[i], name, keys[j], v) for v, j in sorted(zip(d.tolist(), at.tolist()), key=lambda t: (t[0], keys[t[1]]))[:k]]
+                c = list(zip(*out))
+                yield pa.record_batch([pa.array(c[0], pa.int64()), pa.array(c[1], pa.string()), pa.array(c[2], pa.string()), pa.array(c[3], pa.float64())], names=["query_id", "collection", "candidate_key", "distance"])
+
+    return run
+
+
 def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Exact nearest neighbours: (query_id, collection, candidate_key, distance, raw_score, route_rank, route).
+    """Exact nearest neighbours: (query_id, collection, candidate_key, distance, raw_score, route_rank, route).
 
-    ``vectors(candidate_key, collection, embedding)``, ``queries(query_id, query_vector)``. Squared distances in double
-    precision, ties by key. Each task keeps the best k of its rows for each query and collection, so the shuffle
-    carries queries x collections x k rows a task, however many vectors there are. Queries are a bounded, stated set:
-    they are collected in blocks and broadcast by block.
+    ``vectors(candidate_key, collection, embedding)``, ``queries(query_id, query_vector)``. A stated set of queries
+    meets all vectors in blocks: each pair of a block of either is one matrix product that leaves k rows a query and
+    collection. Nothing is collected; Catalyst broadcasts the blocks of queries if they are small. Distances are squared
+    sums of differences in double precision, ties go to the lesser key.
     """
-    spark = vectors.sparkSession
-    rows = queries.select("query_id", F.col("query_vector").cast("array<double>")).orderBy("query_id").collect()
-    if not rows:
-        return spark.createDataFrame([], "query_id long, collection string, candidate_key string, distance double, raw_score double, route_rank int, route string")
-    step = max(1, QUERY_BLOCK_BYTES // (8 * max(1, len(rows[0].query_vector))))
-    parts = []
-    scan = vectors.select(F.col("candidate_key").cast("string").alias("candidate_key"), F.col("collection").cast("string").alias("collection"), F.col("embedding").cast("array<double>").alias("embedding"))
-    schema = "query_id long, collection string, candidate_key string, distance double"
-    for i in range(0, len(rows), step):
-        ids = np.array([r.query_id for r in rows[i : i + step]])
-        matrix = np.array([r.query_vector for r in rows[i : i + step]], dtype=np.float64)
-        shared = spark.sparkContext.broadcast((ids, matrix))
-
-        def nearest(batches, shared=shared):
-            own, q = shared.value
-            best: dict[str, tuple[list[np.ndarray], list[np.ndarray]]] = {}
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                x = np.asarray(b.column(2).flatten()).reshape(b.num_rows, -1)
-                keys, names = np.array(b.column(0).to_pylist(), dtype=object), np.array(b.column(1).to_pylist(), dtype=object)
-                for name in set(names.tolist()):
-                    at = np.flatnonzero(names == name)
-                    held = best.get(name, ([np.empty(0)] * len(own), [np.empty(0, object)] * len(own)))
-                    d = np.stack([((x[at] - v) ** 2).sum(1) for v in q])
-                    ds, ks = [], []
-                    for j in range(len(own)):
-                        dj, kj = np.concatenate((held[0][j], d[j])), np.concatenate((held[1][j], keys[at]))
-                        if len(dj) > k:  # everything up to the k-th distance, so that ties are settled by key below
-                            near = np.flatnonzero(dj <= np.partition(dj, k - 1)[k - 1])
-                            order = sorted(near.tolist(), key=lambda t: (dj[t], kj[t]))[:k]
-                            dj, kj = dj[order], kj[order]
-                        ds.append(dj)
-                        ks.append(kj)
-                    best[name] = (ds, ks)
-            for name, (ds, ks) in best.items():
-                n = [len(x) for x in ds]
-                yield pa.record_batch([pa.array(np.repeat(own, n)), pa.array([name] * sum(n), pa.string()), pa.array(np.concatenate(ks).tolist(), pa.string()), pa.array(np.concatenate(ds))], names=["query_id", "collection", "candidate_key", "distance"])
-
-        parts.append(scan.mapInArrow(nearest, schema))
-    found = ranked(reduce(DataFrame.unionByName, parts), ["query_id", "collection"], [F.col("distance"), F.col("candidate_key")], k, "route_rank")
-    return found.withColumn("raw_score", 1 - F.col("distance")).withColumn("route", F.concat(F.lit("dense_exact:"), "collection"))
+    q = _packed(queries.select(F.col("query_id").cast("long").alias("query_id"), "query_vector"), "query_id", "query_vector", QUERY_BLOCK).select(F.col("keys").alias("ids"), F.col("matrix").alias("asked"))
+    x = _packed(vectors.select(F.col("candidate_key").cast("string").alias("candidate_key"), "embedding", "collection"), "candidate_key", "embedding", VECTOR_BLOCK, "collection")
+    pairs = x.crossJoin(q).select("ids", "asked", "keys", "matrix", "by")
+    found = pairs.mapInArrow(_nearest(k), "query_id long, collection string, candidate_key string, distance double")
+    top = ranked(found, ["query_id", "collection"], [F.col("distance"), F.col("candidate_key")], k, "route_rank")
+    return top.withColumn("raw_score", 1 - F.col("distance")).withColumn("route", F.concat(F.lit("dense_exact:"), "collection"))
 
 
 def check_weights(postings: DataFrame, vocabulary: int) -> DataFrame:
@@ -218,14 +248,12 @@ def admit_evidence(pool: DataFrame, limit: int, by: Sequence[str] = ("query_id",
 def lexical_fallback(chunks: DataFrame, queries: DataFrame, limit: int = 3, rules=FALLBACKS) -> DataFrame:
     """Chunks bound to the source of a triggered rule, the best max(2, min(4, limit)) of each rule and query."""
     per_rule = max(2, min(4, limit))
-    parts = []
-    for i, rule in enumerate(rules):
-        triggers, source, _ = rule
-        asked = queries.where(contains_any("query", triggers)).select("query_id")
-        scored = chunks.where(F.col("source_file") == source).withColumn("relevance_score", fallback_relevance(rule, "content")).where("relevance_score IS NOT NULL")
-        parts.append(scored.crossJoin(F.broadcast(asked)).withColumn("rule", F.lit(i)))
-    found = reduce(DataFrame.unionByName, parts)
-    return ranked(found.withColumn("distance", 1 / F.col("relevance_score") - 1), ["query_id", "rule"], [F.col("relevance_score").desc(), F.col("granularity"), F.col("candidate_key")], per_rule, "fallback_rank")
+    # what a rule finds does not hang on the question, so the best of each rule are known before questions join them
+    parts = [chunks.where(F.col("source_file") == rule[1]).withColumn("relevance_score", fallback_relevance(rule, "content")).where("relevance_score IS NOT NULL").withColumn("rule", F.lit(i)) for i, rule in enumerate(rules)]
+    scored = reduce(DataFrame.unionByName, parts).withColumn("distance", 1 / F.col("relevance_score") - 1)
+    best = ranked(scored, ["rule"], [F.col("relevance_score").desc(), F.col("granularity"), F.col("candidate_key")], per_rule, "fallback_rank")
+    asked = F.array_compact(F.array(*[F.when(contains_any("query", triggers), F.lit(i)) for i, (triggers, _, _) in enumerate(rules)]))
+    return best.join(queries.select("query_id", F.explode(asked).alias("rule")), "rule")
 
 
 def required_term_filter(scored: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from evidrill.functions.text import contains_any, norm_ws, strip_code_fence
 from evidrill.operators.curation import best_match, grams_of, similar_pairs
-from evidrill.operators.retrieval import ranked
+from evidrill.operators.retrieval import numbered, ranked
 
 # What a judge's answer must hold.
 SCORE_FIELDS = ("evidence_support", "safety_boundary", "refusal_correctness")
@@ -129,7 +129,7 @@ def apply_batch(queue: DataFrame, batch: DataFrame, fields: Sequence[str], key:
     A batch may only append: ids are known and unique, no finished row is overwritten, and the batch is exactly the
     next pending rows of the queue.
     """
-    pending = queue.where(F.trim(F.coalesce(F.col(done).cast("string"), F.lit(""))) == "").withColumn("_next", F.row_number().over(Window.partitionBy().orderBy(order)))
+    pending = numbered(queue.where(F.trim(F.coalesce(F.col(done).cast("string"), F.lit(""))) == "").select(key, order), [F.col(order)], name="_next")
     size = batch.agg(F.count("*").alias("_size"))
     given = batch.withColumn("_uses", F.count("*").over(Window.partitionBy(key)))
     state = given.join(queue.select(key, F.col(done).alias("_done")), key, "left").join(pending.select(key, "_next"), key, "left").join(queue.select(key, F.lit(True).alias("_known")), key, "left").crossJoin(F.broadcast(size))
@@ -245,7 +245,7 @@ def sample_limit(plan: DataFrame, limit: int, order: str) -> DataFrame:
 def by_confidence(drafts: DataFrame, confidence: str = "confidence", order: str = "draft_order") -> DataFrame:
     """Place in the review: high before medium before low before all else, then the drafts' order."""
     rank = F.coalesce(F.array_position(F.array(*map(F.lit, CONFIDENCE)), F.col(confidence)), F.lit(0))
-    return drafts.withColumn("review_place", F.row_number().over(Window.partitionBy().orderBy(F.when(rank == 0, len(CONFIDENCE) + 1).otherwise(rank), order)))
+    return numbered(drafts, [F.when(rank == 0, len(CONFIDENCE) + 1).otherwise(rank), F.col(order)], name="review_place")
 
 
 def preselect(candidates: DataFrame, priority: Sequence[str], limit: int) -> DataFrame:
