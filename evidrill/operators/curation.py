@@ -66,7 +66,7 @@ def leakage_reasons(candidates: DataFrame, reference: DataFrame, criteria: Seque
 
 def canonical_duplicates(df: DataFrame, key: str, norm: Column) -> DataFrame:
     """canonical_id: the least id among rows of equal normalised text; empty texts stand alone."""
-    keyed = df.withColumn("_n", F.when(norm == "", F.concat(F.lit("\u0000"), F.col(key).cast("string"))).otherwise(norm))
+    keyed = write_once(df.withColumn("_n", F.when(norm == "", F.concat(F.lit("\u0000"), F.col(key).cast("string"))).otherwise(norm)), "normalised")
     # counted before the rows of a large group of copies meet, and joined, where a hot key can be split
     copies = keyed.groupBy("_n").agg(F.min(key).alias("canonical_id"), F.count("*").alias("copies"))
     return keyed.join(copies, "_n").drop("_n")

@@ -38,6 +38,10 @@ def posting_ranking(query: DataFrame, candidates: DataFrame, constraints: DataFr
     return ranked(rows, ["query_id"], [F.col("match_count").desc(), F.col("source_file"), F.col("page_number"), F.col("candidate_key")], name="graph_rank")
 
 
+#: Constraint types that a set of bits can hold; the vocabulary has about thirty.
+MOST_TYPES = 62
+
+
 def qualify_paths(query: DataFrame, candidates: DataFrame, constraints: DataFrame, minimum_types: int = 2, allow_condition_class: bool = False) -> DataFrame:
     """Every (query, candidate) that shares a constraint or conflicts in condition, with the first reason that fails it.
 
@@ -57,28 +61,32 @@ def qualify_paths(query: DataFrame, candidates: DataFrame, constraints: DataFram
     condition = lambda scope: F.exists("all", lambda y: (y["scope"] == scope) & (y["ctype"] == "clinical_condition"))
     items = F.transform(F.filter("all", lambda x: x["scope"] == "context"), lambda x: F.struct(x["ctype"].alias("ctype"), x["cvalue"].alias("cvalue"), within("content", x).alias("content"), within("source", x).alias("source")))
     rows = owned.select("candidate_key", "source_file", "page_number", condition("context").alias("candidate_condition"), condition("source").alias("source_condition"), F.explode(items).alias("x")).select("*", "x.*").drop("x")
-    asked = q.join(q.groupBy("query_id").agg(F.bool_or(is_type("clinical_condition")).alias("query_condition")), "query_id")
+    # types as bits: sums of fixed width stay in the hash aggregate, where sets and texts would fall out of it
+    types = q.select(F.col("ctype").alias("_type")).distinct().agg(F.sort_array(F.collect_list("_type")).alias("_types"))
+    types = types.withColumn("_types", F.when(F.size("_types") > MOST_TYPES, F.raise_error(F.lit("too many constraint types")).cast("array<string>")).otherwise(F.col("_types")))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.array_position("_types", F.col("ctype")) - 1).cast("int"))
+    asked = q.join(q.groupBy("query_id").agg(F.bool_or(is_type("clinical_condition")).alias("query_condition")), "query_id").crossJoin(F.broadcast(types)).withColumn("bit", bit).drop("_types")
     matched = rows.join(asked, ["ctype", "cvalue"])
     specific = F.col("ctype").isin(*SPECIFIC_ANCHORS) | (is_type("medication_class") & ~broad)
     content = F.col("content")
-    # each (type, value) of a query meets a candidate once, so distinct types are the bits of a small set
-    kinds = lambda c: F.size(F.collect_set(c)).cast("long")
-    rows = matched.groupBy("query_id", "candidate_key").agg(
-        *[F.any_value(c).alias(c) for c in ("source_file", "page_number", "candidate_condition", "source_condition", "query_condition")],
+    held = lambda c: F.coalesce(F.bit_or(F.when(c, F.col("bit"))), F.lit(0).cast("long"))
+    any_of = lambda c: F.max(c.cast("int")) == 1
+    rows = matched.groupBy("query_id", "candidate_key", "source_file", "page_number", "candidate_condition", "source_condition", "query_condition").agg(
         F.count("*").alias("match_count"),
-        kinds(F.col("ctype")).alias("type_count"),
-        F.array_join(F.sort_array(F.collect_set("ctype")), "+").alias("signature"),
+        F.bit_or("bit").alias("bits"),
         F.count_if(content).alias("content_match_count"),
-        kinds(F.when(content, F.col("ctype"))).alias("content_type_count"),
-        F.bool_or(F.col("strong") | F.col("ctype").isin(*STRONG_ANCHORS)).alias("strong"),
-        F.bool_or(specific).alias("specific"),
-        F.bool_or(content & ~broad).alias("content_specific"),
-        F.bool_or(is_type("clinical_condition")).alias("has_condition"),
-        F.bool_or(is_type("medication_class")).alias("has_class"),
-        F.bool_or(is_type("medication_class") & ~broad).alias("has_own_class"),
-        F.bool_or(is_type("clinical_condition") & F.col("source")).alias("condition_in_source"),
-        F.bool_or(is_type("clinical_condition") & content).alias("condition_in_content"),
+        F.bit_count(held(content)).cast("long").alias("content_type_count"),
+        any_of(F.col("strong") | F.col("ctype").isin(*STRONG_ANCHORS)).alias("strong"),
+        any_of(specific).alias("specific"),
+        any_of(content & ~broad).alias("content_specific"),
+        any_of(is_type("clinical_condition")).alias("has_condition"),
+        any_of(is_type("medication_class")).alias("has_class"),
+        any_of(is_type("medication_class") & ~broad).alias("has_own_class"),
+        any_of(is_type("clinical_condition") & F.col("source")).alias("condition_in_source"),
+        any_of(is_type("clinical_condition") & content).alias("condition_in_content"),
     )
+    rows = rows.withColumn("type_count", F.bit_count("bits").cast("long")).crossJoin(F.broadcast(types))
+    rows = rows.withColumn("signature", F.array_join(F.filter("_types", lambda t, i: F.getbit("bits", i) == 1), "+")).drop("bits", "_types")
     only_class = F.col("has_condition") & F.col("has_class") & (F.col("type_count") == 2)
     reason = (
         F.when(F.col("query_condition") & F.col("candidate_condition") & ~F.col("has_condition"), "condition_conflict")

@@ -193,26 +193,31 @@ def model_scorer(predict: Callable[[list[tuple[str, str]]], Sequence[float]]) ->
     return lambda query, content: score(F.col(query), F.col(content))
 
 
-def greedy_dedup(pool: DataFrame, threshold: float = 0.8, limit: int = 4, n: int = 3, order: str = "rank", by: Sequence[str] = ("query_id",)) -> DataFrame:
-    """Order-dependent evidence dedup, one fold per query inside the JVM.
+def greedy_dedup(pool: DataFrame, threshold: float = 0.8, limit: int = 4, n: int = 3, order: str = "rank", by: Sequence[str] = ("query_id",), texts: DataFrame | None = None) -> DataFrame:
+    """Order-dependent evidence dedup, one fold per query inside the JVM.
 
     A row is skipped if its provenance is invalid, if its normalised text equals an admitted one, or if an admitted
     row of the same source and page shares at least ``threshold`` of the smaller gram set; the fold admits ``limit``.
     The pool of a query is a top-k list with distinct ranks, so the collected array is small by construction; it holds
     digests and the ranks that a row is near to, no texts.
+
+    ``texts(candidate_key, source_file, page_number, content)`` may hold the candidates' texts once; else the pool has
+    those columns. A text is normalised once, however many queries it answers, and grams are only made of texts that
+    meet another one of their page.
     """
+    on = [*by, "candidate_key"] if texts is None else ["candidate_key"]
+    own = (pool if texts is None else texts.join(pool.select("candidate_key").distinct(), "candidate_key", "left_semi")).select(*on, "source_file", "page_number", "content")
     valid = (F.coalesce(F.trim("source_file"), F.lit("")) != "") & F.coalesce(F.col("page_number") > 0, F.lit(False))
-    text = norm_text("content")
-    # grams only of rows that meet another one of their page, near flags once for each such pair
-    same_page = pool.select(*by, "source_file", "page_number", F.col(order).alias("o"), F.col("candidate_key").alias("k"), text.alias("t"))
-    left, right = same_page.select(*by, "source_file", "page_number", F.col("o").alias("lo"), F.col("k").alias("lk"), F.col("t").alias("lt")), same_page
-    pairs = right.join(left, [*by, "source_file", "page_number"]).where((F.col("lo") < F.col("o")) & (F.col("lt") != F.col("t")))
-    pairs = pairs.withColumn("lg", char_ngrams("lt", n)).withColumn("g", char_ngrams("t", n))
+    told = own.select(*on, "source_file", "page_number", F.sha2(norm_text("content"), 256).alias("digest"), valid.alias("valid"))
+    rows = write_once(pool.select(*by, "candidate_key", F.col(order).alias("o")).join(told, on), "dedup-pool")
+    left = rows.select(*by, "source_file", "page_number", F.col("o").alias("lo"), F.col("candidate_key").alias("lk"), F.col("digest").alias("ld"))
+    pairs = rows.join(left, [*by, "source_file", "page_number"]).where("lo < o AND ld <> digest")
+    grams = own.select(*on, char_ngrams(norm_text("content"), n).alias("g"))
+    pairs = pairs.join(grams, on).join(grams.withColumnsRenamed({"candidate_key": "lk", "g": "lg"}), [c if c != "candidate_key" else "lk" for c in on])
     least = F.least(F.size("lg"), F.size("g"))
-    near = pairs.where((least > 0) & (F.size(F.array_intersect("lg", "g")) >= F.lit(threshold) * least)).groupBy(*by, "o", F.col("k").alias("candidate_key")).agg(F.collect_set("lo").alias("near"))
-    row = F.struct(F.col(order).alias("o"), F.col("candidate_key").alias("k"), F.col("digest").alias("t"), F.coalesce("near", F.array().cast(near.schema["near"].dataType)).alias("near"), F.col("valid").alias("v"))
-    marked = pool.select(*by, order, "candidate_key", F.sha2(text, 256).alias("digest"), valid.alias("valid")).join(near.withColumnRenamed("o", order), [*by, order, "candidate_key"], "left")
-    pools = marked.groupBy(*by).agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    near = pairs.where((least > 0) & (F.size(F.array_intersect("lg", "g")) >= F.lit(threshold) * least)).groupBy(*by, "o").agg(F.collect_set("lo").alias("near"))
+    row = F.struct("o", F.col("candidate_key").alias("k"), F.col("digest").alias("t"), F.coalesce("near", F.array().cast(near.schema["near"].dataType)).alias("near"), F.col("valid").alias("v"))
+    pools = rows.join(near, [*by, "o"], "left").groupBy(*by).agg(F.sort_array(F.collect_list(row)).alias("rows"))
     kind = pools.schema["rows"].dataType.simpleString()
 
     def step(acc: Column, x: Column) -> Column:

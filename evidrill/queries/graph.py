@@ -133,7 +133,8 @@ def _fused(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _expanded(spark: SparkSession, sf: str, selected: DataFrame) -> DataFrame:
-    return G.expand_with_budget(_fused(spark, sf).select("query_id", "candidate_key", "rank"), selected.withColumnRenamed("route_rank", "graph_rank"), 20, 4)
+    base = write_once(_fused(spark, sf).select("query_id", "candidate_key", "rank"), "fused")
+    return G.expand_with_budget(base, selected.withColumnRenamed("route_rank", "graph_rank"), 20, 4)
 
 
 def graph_expand(spark: SparkSession, sf: str) -> DataFrame:

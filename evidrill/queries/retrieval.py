@@ -100,8 +100,8 @@ SELECT query_id, candidate_key, round(score, 6) AS rerank_score, frank AS pre_re
 
 
 def greedy_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    pool = R.rrf(V.routed(spark, sf), 60, 20).join(V.chunks(spark, sf).select("candidate_key", "source_file", "page_number", "content"), "candidate_key")
-    return R.greedy_dedup(pool, 0.75).select("query_id", "evidence_rank", "candidate_key", "seen", "invalid", "exact", "overlap")
+    pool = R.rrf(V.routed(spark, sf), 60, 20).select("query_id", "candidate_key", "rank")
+    return R.greedy_dedup(pool, 0.75, texts=V.chunks(spark, sf)).select("query_id", "evidence_rank", "candidate_key", "seen", "invalid", "exact", "overlap")
 
 
 GREEDY_DEDUP = "WITH RECURSIVE " + _RRF + f""", n AS (
