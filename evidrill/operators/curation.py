@@ -33,6 +33,8 @@ def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, self_join
     def exploded(df: DataFrame, side: str) -> DataFrame:
         return df.where("size > 0").select(F.lit(side).alias("side"), "id", "size", F.explode("grams").alias("gram"))
 
+    left = write_once(left, "gram-sets")
+    right = left if self_join else write_once(right, "gram-sets")
     l = exploded(left, "l")
     both = l if self_join else l.unionByName(exploded(right, "r"))
     frequency = both.groupBy("gram").agg(F.count("*").alias("df"))

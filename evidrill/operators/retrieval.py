@@ -206,13 +206,16 @@ def greedy_dedup(pool: DataFrame, threshold: float = 0.8, limit: int = 4, n: int
     meet another one of their page.
     """
     on = [*by, "candidate_key"] if texts is None else ["candidate_key"]
+    pool = pool if texts is None else write_once(pool.select(*by, "candidate_key", order), "dedup-keys")
     own = (pool if texts is None else texts.join(pool.select("candidate_key").distinct(), "candidate_key", "left_semi")).select(*on, "source_file", "page_number", "content")
     valid = (F.coalesce(F.trim("source_file"), F.lit("")) != "") & F.coalesce(F.col("page_number") > 0, F.lit(False))
-    told = own.select(*on, "source_file", "page_number", F.sha2(norm_text("content"), 256).alias("digest"), valid.alias("valid"))
+    # written before the join, which would digest a text anew for each of its rows
+    told = write_once(own.select(*on, "source_file", "page_number", F.sha2(norm_text("content"), 256).alias("digest"), valid.alias("valid")), "digests")
     rows = write_once(pool.select(*by, "candidate_key", F.col(order).alias("o")).join(told, on), "dedup-pool")
     left = rows.select(*by, "source_file", "page_number", F.col("o").alias("lo"), F.col("candidate_key").alias("lk"), F.col("digest").alias("ld"))
-    pairs = rows.join(left, [*by, "source_file", "page_number"]).where("lo < o AND ld <> digest")
-    grams = own.select(*on, char_ngrams(norm_text("content"), n).alias("g"))
+    pairs = write_once(rows.join(left, [*by, "source_file", "page_number"]).where("lo < o AND ld <> digest").select(*by, "o", "lo", "candidate_key", "lk"), "page-pairs")
+    met = pairs.select(*on).unionByName(pairs.select(*[F.col("lk").alias(c) if c == "candidate_key" else F.col(c) for c in on])).distinct()
+    grams = own.join(met, on, "left_semi").select(*on, char_ngrams(norm_text("content"), n).alias("g"))
     pairs = pairs.join(grams, on).join(grams.withColumnsRenamed({"candidate_key": "lk", "g": "lg"}), [c if c != "candidate_key" else "lk" for c in on])
     least = F.least(F.size("lg"), F.size("g"))
     near = pairs.where((least > 0) & (F.size(F.array_intersect("lg", "g")) >= F.lit(threshold) * least)).groupBy(*by, "o").agg(F.collect_set("lo").alias("near"))
