@@ -34,7 +34,7 @@ class CrossPolytopeSettings:
     hashes: int = 0  #: cross-polytope hashes joined in one bucket key; 0: as many as the number of vectors asks for
     probes: int = 3  #: buckets of each table that a vector stands in
     rotations: int = 3  #: random sign flips, each followed by a Hadamard transform
-    block: int = 512  #: members of a bucket compared at once
+    block: int = 2048  #: members of a bucket compared at once; of a large bucket each goes to as many tasks as it has blocks
     seed: int = 11
 
     @property

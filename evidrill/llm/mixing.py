@@ -14,6 +14,7 @@ columns of the input are kept; columns named like the added ones are replaced.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -99,6 +100,19 @@ def calibrate(cells: DataFrame, settings: MixSettings) -> DataFrame:
     return cells.withColumn("probability", F.when((F.col("tokens") > 0) & F.col("scale").isNotNull(), p).otherwise(1.0))
 
 
+def fit_report(cells: DataFrame, settings: MixSettings = MixSettings()) -> DataFrame:
+    """(dimension, value, target, reached, missed) of a mixture's marginals, and the budget as dimension ``budget``.
+
+    Shares of the raked weights, and of the tokens that the sample is expected to have; raking leaves a marginal off its
+    target where the sweeps were too few or no weights meet all targets, sampling where cells are taken whole.
+    """
+    whole = cells.agg(F.sum("weight").alias("all_weight"), F.sum("tokens").alias("all_tokens"))
+    both = cells.crossJoin(F.broadcast(whole))
+    parts = [both.groupBy(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value")).agg(F.first(f"share_{d}").alias("target"), F.sum(F.col("weight") / F.col("all_weight")).alias("reached")) for d in DIMENSIONS]
+    parts.append(both.agg(F.lit("budget").alias("dimension"), F.lit(None).cast("string").alias("value"), F.lit(settings.budget).alias("target"), (F.sum(F.col("tokens") * F.col("probability")) / F.max("all_tokens")).alias("reached")))
+    return reduce(DataFrame.unionByName, parts).withColumn("missed", F.abs(F.col("reached") - F.col("target")))
+
+
 def add_probability(docs: DataFrame, settings: MixSettings = MixSettings(), targets: dict[str, DataFrame] | None = None) -> DataFrame:
     """``docs`` with topic, probability, draw and kept (draw < probability)."""
     cells = mixture(docs, settings, targets)

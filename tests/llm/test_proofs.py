@@ -216,6 +216,8 @@ def test_mixture_meets_targets_and_budget(documents):
         by = cells.groupby(d, dropna=False)
         assert np.abs(by["weight"].sum() - by[f"share_{d}"].first()).max() < 0.002, d
     assert (cells.tokens * cells.probability).sum() == pytest.approx(s.budget * cells.tokens.sum(), rel=0.01)
+    report = mixing.fit_report(mixing.mixture(documents, s), s).collect()
+    assert {r.dimension for r in report} == {*mixing.DIMENSIONS, "budget"} and max(r.missed for r in report) < 0.005
     out = mixing.add_probability(documents).select("kept", mixing.token_count().alias("n")).toPandas()
     assert out.n[out.kept].sum() / out.n.sum() == pytest.approx(s.budget, abs=0.1)
 
