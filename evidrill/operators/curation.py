@@ -27,8 +27,8 @@ def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, self_join
     """(left_id, right_id, similarity): all pairs of gram sets at or above a Jaccard threshold, exactly.
 
     Prefix filtering: with grams in one global order, rarest first, sets that reach the threshold share a gram among
-    their first size - ceil(threshold * size) + 1. Only those grams are joined, only pairs of fitting sizes are
-    compared, and frequent grams rarely come into play. Inputs are ``grams_of`` tables; empty sets pair with nothing.
+    their first size - ceil(threshold * size) + 1. Only those grams are joined, only pairs of fitting sizes whose places
+    leave room for enough shared grams are compared, and frequent grams rarely come into play. Inputs are ``grams_of`` tables; empty sets pair with nothing.
     """
     def exploded(df: DataFrame, side: str) -> DataFrame:
         return df.where("size > 0").select(F.lit(side).alias("side"), "id", "size", F.explode("grams").alias("gram"))
@@ -40,10 +40,13 @@ def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, self_join
     frequency = both.groupBy("gram").agg(F.count("*").alias("df"))
     ranked = both.join(frequency, "gram").withColumn("place", F.row_number().over(Window.partitionBy("side", "id").orderBy("df", "gram")))
     prefix = ranked.where(F.col("place") <= F.col("size") - F.ceil(F.lit(threshold) * F.col("size") - 1e-9) + 1)
-    a = prefix.where("side = 'l'").select(F.col("id").alias("left_id"), F.col("size").alias("ls"), "gram")
-    b = (prefix if self_join else prefix.where("side = 'r'")).select(F.col("id").alias("right_id"), F.col("size").alias("rs"), "gram")
+    a = prefix.where("side = 'l'").select(F.col("id").alias("left_id"), F.col("size").alias("ls"), F.col("place").alias("lp"), "gram")
+    b = (prefix if self_join else prefix.where("side = 'r'")).select(F.col("id").alias("right_id"), F.col("size").alias("rs"), F.col("place").alias("rp"), "gram")
     fits = (F.col("ls") >= F.lit(threshold) * F.col("rs") - 1e-9) & (F.col("rs") >= F.lit(threshold) * F.col("ls") - 1e-9)
-    pairs = a.join(b, "gram").where(fits & ((F.col("left_id") < F.col("right_id")) if self_join else F.lit(True))).select("left_id", "right_id").distinct()
+    met = a.join(b, "gram").where(fits & ((F.col("left_id") < F.col("right_id")) if self_join else F.lit(True))).groupBy("left_id", "right_id", "ls", "rs").agg(F.count("*").alias("shared"), F.max("lp").alias("lp"), F.max("rp").alias("rp"))
+    # up to the last shared gram of both prefixes nothing else is shared; behind it the shorter rest at most
+    most = F.col("shared") + F.least(F.col("ls") - F.col("lp"), F.col("rs") - F.col("rp"))
+    pairs = met.where(most * F.lit(1 + threshold) >= F.lit(threshold) * (F.col("ls") + F.col("rs")) - 1e-9).select("left_id", "right_id")
     full = pairs.join(left.select(F.col("id").alias("left_id"), F.col("grams").alias("lg")), "left_id").join((left if self_join else right).select(F.col("id").alias("right_id"), F.col("grams").alias("rg")), "right_id")
     shared = F.size(F.array_intersect("lg", "rg"))
     similarity = shared / (F.size("lg") + F.size("rg") - shared)
