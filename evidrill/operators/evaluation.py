@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from evidrill.functions.text import char_ngrams, norm_source, norm_text
 from evidrill.operators.retrieval import numbered
+from evidrill.sources.scratch import write_once
 
 
 def holders(documents: DataFrame, passages: DataFrame, words: int = 3) -> DataFrame:
@@ -62,6 +63,8 @@ def failure_type(df: DataFrame) -> Column:
 
 def retrieval_metrics(ranking: DataFrame, gold: DataFrame, tolerance: int = 1) -> DataFrame:
     """Hits, reciprocal rank, precisions and failure type of every (query, method) of the gold set."""
+    ranking = write_once(ranking.select("query_id", "method_id", "rank", "source_file", "page_number"), "ranking")
+    gold = write_once(gold.select("query_id", "source_file", "page_number"), "gold")
     pairs = gold.select("query_id").crossJoin(F.broadcast(ranking.select("method_id").distinct()))
     df = pairs.join(first_hits(ranking, gold, tolerance=tolerance), ["query_id", "method_id"], "left").na.fill(0, ["evidence_count", "source_hits", "page_hits"])
     ratio = lambda a: F.when(F.col("evidence_count") > 0, F.col(a) / F.col("evidence_count")).otherwise(0.0)
