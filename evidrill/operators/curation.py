@@ -242,10 +242,11 @@ def overlay(gold: DataFrame, decisions: DataFrame, key: str, fields: Sequence[st
     return out.drop(*[f"_d_{f}" for f in fields]).na.fill(False, ["adjudicated"])
 
 
-def cached_or_planned(plan: DataFrame, cache: DataFrame, key: str = "cache_key") -> DataFrame:
-    """Status of each planned call: cache_hit, failed (to be tried again) or planned."""
+def cached_or_planned(plan: DataFrame, cache: DataFrame, key: str = "cache_key", most_tries: int | None = None) -> DataFrame:
+    """Status of each planned call: cache_hit, failed (to be tried again), given_up (after ``most_tries``) or planned."""
     c = cache.groupBy(key).agg(F.bool_or(F.col("status") == "success").alias("_ok"), F.count("*").alias("_n"))
-    return plan.join(c, key, "left").withColumn("status", F.when(F.col("_ok"), "cache_hit").when(F.col("_n") > 0, "failed").otherwise("planned")).drop("_ok", "_n")
+    tried = F.when(F.col("_n") >= most_tries, "given_up").otherwise("failed") if most_tries else F.lit("failed")
+    return plan.join(c, key, "left").withColumn("status", F.when(F.col("_ok"), "cache_hit").when(F.col("_n") > 0, tried).otherwise("planned")).drop("_ok", "_n")
 
 
 def method_plan(samples: DataFrame, methods: DataFrame, models: DataFrame) -> DataFrame:

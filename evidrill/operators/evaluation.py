@@ -300,3 +300,20 @@ def recovery_metrics(evidence: DataFrame, status: DataFrame, gold: DataFrame) ->
     share = lambda c: F.coalesce(F.avg(c.cast("int")), F.lit(0.0))
     short = F.coalesce(F.col("retrieval_status") == "insufficient_evidence", F.lit(False))
     return rows, rows.agg(F.count("*").alias("queries"), share(F.col("source_hit")).alias("source_recall"), share(F.col("strict_hit")).alias("strict_recall"), share(F.col("adjacent_hit")).alias("adjacent_recall"), F.coalesce(F.avg("reciprocal_rank"), F.lit(0.0)).alias("mrr"), share(short).alias("insufficient_rate"))
+
+
+def method_evaluation(candidates: DataFrame, final: DataFrame, gold: DataFrame, latencies: DataFrame) -> DataFrame:
+    """Per method, recalls and reciprocal rank of its candidates, recalls of its final evidence, sizes and latency.
+
+    ``candidates`` and ``final`` are (query_id, method_id, rank, source_file, page_number), cut to their depths;
+    ``latencies(query_id, method_id, seconds)`` may lack some queries, which the mean leaves out.
+    """
+    c, f = retrieval_metrics(candidates, gold), retrieval_metrics(final, gold)
+    left = c.groupBy("method_id").agg(F.count("*").alias("queries"), F.avg("source_hit").alias("candidate_source"), F.avg("strict_hit").alias("candidate_strict"), F.avg("mrr").alias("candidate_mrr"))
+    right = f.groupBy("method_id").agg(*[F.avg(f"{m}_hit").alias(f"final_{m}") for m in ("source", "strict", "adjacent")])
+    sizes = [df.join(gold.select("query_id"), "query_id").groupBy("method_id").agg((F.count("*") / F.count_distinct("query_id")).alias(name)) for df, name in ((candidates, "mean_candidates"), (final, "mean_evidence"))]
+    took = latencies.join(gold.select("query_id"), "query_id").groupBy("method_id").agg(F.avg("seconds").alias("mean_seconds"))
+    out = left.join(right, "method_id")
+    for part in (*sizes, took):
+        out = out.join(part, "method_id", "left")
+    return out

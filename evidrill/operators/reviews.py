@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidrill.functions.text import contains_any, norm_ws, strip_code_fence
-from evidrill.operators.curation import best_match, grams_of, similar_pairs
+from evidrill.operators.curation import best_match, canonical_duplicates, grams_of, similar_pairs
 from evidrill.operators.retrieval import numbered, ranked
 
 # What a judge's answer must hold.
@@ -100,6 +100,27 @@ def overlap_decision(questions: DataFrame, others: DataFrame, threshold: float,
     return df.select(F.col("left_id").alias("id"), decision.alias("decision"), reason.alias("reason"), F.coalesce("exact_id", "near_id").alias("other_id"))
 
 
+def overlap_audit(candidates: DataFrame, dev: DataFrame, threshold: float, n: int = 3) -> DataFrame:
+    """(id, decision, reasons) of candidates against a development set and one another, and who stands for them.
+
+    ``candidates(id, norm, unit)``, ``dev(id, norm)``. An exact question of the development set rejects; of equal
+    candidates the least id stays and the others are rejected; near questions of the set, or of another unit, need a
+    review. ``canonical_id`` is the least id of the equal ones.
+    """
+    against = overlap_decision(candidates.select("id", "norm"), dev, threshold, n, "dev")
+    same = canonical_duplicates(candidates.select("id", "norm"), "id", F.col("norm")).select("id", "canonical_id")
+    grams = grams_of(candidates, "id", "norm", n)
+    unit = lambda k, c: candidates.select(F.col("id").alias(k), F.col("unit").alias(c))
+    near = similar_pairs(grams, grams, threshold, self_join=True).join(unit("left_id", "lu"), "left_id").join(unit("right_id", "ru"), "right_id").where("lu <> ru")
+    close = near.select(F.explode(F.array("left_id", "right_id")).alias("id")).distinct().withColumn("_near", F.lit(True))
+    df = against.join(same, "id").join(close, "id", "left")
+    copy = F.col("canonical_id") != F.col("id")
+    review = F.coalesce("_near", F.lit(False))
+    decision = F.when((F.col("decision") == "reject") | copy, "reject").when((F.col("decision") == "needs_review") | review, "needs_review").otherwise("keep")
+    reasons = F.array_compact(F.array(F.col("reason"), F.when(copy, F.lit("duplicate_candidate")), F.when(review & ~copy, F.lit("near_duplicate_candidate"))))
+    return df.select("id", decision.alias("decision"), reasons.alias("reasons"), "canonical_id")
+
+
 def reaudit(parts: Mapping[str, DataFrame]) -> DataFrame:
     """(id, decision, reasons) of revised questions from their decisions against several sets, worst first."""
     worst = {"keep": 0, "needs_review": 1, "reject": 2}
@@ -110,6 +131,27 @@ def reaudit(parts: Mapping[str, DataFrame]) -> DataFrame:
     return g.select("id", F.when(F.col("w") == 2, "reject").when(F.col("w") == 1, "needs_review").otherwise("clear").alias("decision"), "reasons")
 
 
+def decision_coverage(drafts: DataFrame, decisions: DataFrame, allowed: Sequence[str]) -> DataFrame:
+    """What keeps a review from covering its drafts exactly once: (id, problem), no rows where it does.
+
+    ``drafts(id, ...)``, ``decisions(id, decision)``. A draft may be without a decision or have several, a decision may
+    be of no draft or not one of those allowed.
+    """
+    given = decisions.groupBy("id").agg(F.count("*").alias("_n"), F.bool_and(F.coalesce(F.col("decision").isin(*allowed), F.lit(False))).alias("_good"))
+    both = drafts.select("id", F.lit(True).alias("_draft")).distinct().join(given, "id", "full_outer")
+    problem = F.when(F.col("_draft").isNull(), "unknown_id").when(F.col("_n").isNull(), "not_decided").when(F.col("_n") > 1, "decided_again").when(~F.col("_good"), "decision_not_allowed")
+    return both.select("id", problem.alias("problem")).where("problem IS NOT NULL")
+
+
+def author_batches(drafts: DataFrame, by: str, order: Sequence[str], size: int) -> DataFrame:
+    """Drafts in batches of at most ``size`` that hold one source's each, numbered through in the sources' order."""
+    rows = ranked(drafts, [by], [F.col(o) for o in order], name="_nth").withColumn("_part", F.floor((F.col("_nth") - 1) / size))
+    batches = rows.groupBy(by).agg(F.max("_part").alias("_last"))
+    first = numbered(batches, [F.col(by)], name="_n").withColumn("_start", F.sum(F.col("_last") + 1).over(Window.orderBy("_n").rowsBetween(Window.unboundedPreceding, -1)))
+    out = rows.join(first.select(F.col(by).alias("_by"), "_start"), F.col(by).eqNullSafe(F.col("_by")))
+    return out.withColumn("batch", (F.coalesce("_start", F.lit(0)) + F.col("_part") + 1).cast("int")).select(*drafts.columns, "batch")
+
+
 def after_review(audited: DataFrame, review: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(candidates that stay after manual decisions, rows of the review that are not decided).
 

@@ -127,6 +127,20 @@ def parent_overlap(spark: SparkSession, sf: str) -> DataFrame:
 PARENT_OVERLAP = _REVISED + " SELECT id, CASE WHEN x IS NOT NULL THEN 'reject' WHEN n IS NOT NULL THEN 'needs_review' ELSE 'keep' END AS decision, CASE WHEN x IS NOT NULL THEN 'exact_question_parent' WHEN n IS NOT NULL THEN 'near_duplicate_parent' END AS reason, coalesce(x, n) AS other_id FROM dd"
 
 
+def overlap_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """First questions, some of them twice, against a development set and one another."""
+    rev, _, dev = _revised(spark, sf)
+    rev = rev.unionByName(rev.where("id % 6 = 0").select((F.col("id") + 3_000_000).alias("id"), "norm", "unit")).unionByName(rev.where("id % 6 = 3").select((F.col("id") + 4_000_000).alias("id"), F.concat("norm", F.lit("qx")).alias("norm"), (F.col("unit") + 1).alias("unit")))
+    out = W.overlap_audit(rev, dev, 0.65)
+    return out.select("id", "decision", F.array_join("reasons", ",").alias("reasons"), "canonical_id")
+
+
+OVERLAP_AUDIT = _REVISED.replace("rev AS (SELECT * FROM t\n)", "rev AS (SELECT * FROM t UNION ALL SELECT id + 3000000, norm, unit FROM t WHERE id % 6 = 0 UNION ALL SELECT id + 4000000, norm || 'qx', unit + 1 FROM t WHERE id % 6 = 3\n)") + """, cn AS (SELECT id, min(id) OVER (PARTITION BY CASE WHEN norm = '' THEN 'id' || id ELSE norm END) AS canonical_id FROM rev
+), nr AS (SELECT DISTINCT a.id FROM gr a JOIN gr b ON a.unit <> b.unit AND a.id <> b.id AND len(a.g) > 0 AND len(b.g) > 0 WHERE len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))) >= 0.65
+), f AS (SELECT dd.id, x IS NOT NULL AS ex, x IS NULL AND n IS NOT NULL AS ne, canonical_id <> dd.id AS cp, nr.id IS NOT NULL AS rv, canonical_id FROM dd JOIN cn ON cn.id = dd.id LEFT JOIN nr ON nr.id = dd.id)
+SELECT id, CASE WHEN ex OR cp THEN 'reject' WHEN ne OR rv THEN 'needs_review' ELSE 'keep' END AS decision, concat_ws(',', CASE WHEN ex THEN 'exact_question_dev' WHEN ne THEN 'near_duplicate_dev' END, CASE WHEN cp THEN 'duplicate_candidate' END, CASE WHEN rv AND NOT cp THEN 'near_duplicate_candidate' END) AS reasons, canonical_id FROM f"""
+
+
 def revision_reaudit(spark: SparkSession, sf: str) -> DataFrame:
     rev, own, dev = _revised(spark, sf)
     parts = {"dev50": W.overlap_decision(rev.select("id", "norm"), dev, 0.65, name="dev50"), "internal": W.overlap_decision(rev, own, 0.65, name="internal", same_unit=False)}
@@ -148,6 +162,23 @@ def review_selection(spark: SparkSession, sf: str) -> DataFrame:
 REVIEW_SELECTION = _REVISED + ", a AS (SELECT id, CASE WHEN x IS NOT NULL THEN 'reject' WHEN n IS NOT NULL THEN 'needs_review' ELSE 'keep' END AS d FROM dd) SELECT id, 'stays' AS state FROM a WHERE d = 'keep' OR d = 'needs_review' AND id % 3 = 0 AND id % 2 = 0 UNION ALL SELECT id, 'undecided' FROM a WHERE d = 'needs_review' AND id % 3 <> 0"
 
 
+def decision_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as drafts, labels as decisions, with some of documents that do not exist and some given twice."""
+    labels = V.table(spark, sf, "labels").select(F.col("doc_id").alias("id"), F.when(F.col("quality") == 1, "accept").otherwise("other").alias("decision"))
+    extra = labels.where("id % 10 = 0").unionByName(spark.createDataFrame([(-1, "accept")], "id long, decision string"))
+    return W.decision_coverage(V.chunks(spark, sf).select(F.col("doc_id").alias("id")), labels.unionByName(extra), ("accept", "reject"))
+
+
+DECISION_COVERAGE = "SELECT doc_id AS id, CASE WHEN l.doc_id IS NULL THEN 'not_decided' WHEN doc_id % 10 = 0 THEN 'decided_again' ELSE 'decision_not_allowed' END AS problem FROM documents d LEFT JOIN labels l USING (doc_id) WHERE l.doc_id IS NULL OR doc_id % 10 = 0 OR coalesce(l.quality, 0) <> 1 UNION ALL SELECT -1, 'unknown_id'"
+
+
+def author_batches(spark: SparkSession, sf: str) -> DataFrame:
+    return W.author_batches(V.chunks(spark, sf).select("source_file", "doc_id"), "source_file", ["doc_id"], 12).select("doc_id", "batch")
+
+
+AUTHOR_BATCHES = "WITH n AS (SELECT doc_id, source, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 12 AS part FROM documents) SELECT doc_id, CAST(dense_rank() OVER (ORDER BY source, part) AS INTEGER) AS batch FROM n"
+
+
 def batch_apply(spark: SparkSession, sf: str) -> DataFrame:
     """Labels as a queue whose clean rows are done; the batch is its next rows, with some that may not be applied."""
     q = V.table(spark, sf, "labels").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("place"), F.when(F.col("quality") == 1, "done").alias("outcome"))
@@ -463,6 +494,21 @@ RECOVERY_METRICS = "WITH " + _WINDOW + """, h AS (SELECT g.query_id, min(positio
 SELECT query_id, CASE WHEN n = 0 THEN NULL WHEN nn = 0 THEN 'insufficient_evidence' ELSE 'success' END AS retrieval_status, sr IS NOT NULL AS source_hit, pr IS NOT NULL AS strict_hit, ar IS NOT NULL AS adjacent_hit, pr AS strict_rank, round(coalesce(1.0::DOUBLE / pr, 0), 6) AS reciprocal_rank FROM h"""
 
 
+def method_evaluation(spark: SparkSession, sf: str) -> DataFrame:
+    """Both routes at twenty candidates and four pieces of evidence, with made-up latencies for most questions."""
+    r = V.routed(spark, sf).select("query_id", "method_id", "rank", "source_file", "page_number")
+    took = r.where("rank = 1 AND query_id % 5 <> 0").select("query_id", "method_id", (F.length("method_id") + F.col("query_id") % 3).alias("seconds"))
+    out = E.method_evaluation(r, r.where("rank <= 4"), V.gold(spark, sf), took)
+    return out.select("method_id", "queries", *[F.round(c, 6).alias(c) for c in ("candidate_source", "candidate_strict", "candidate_mrr", "final_source", "final_strict", "final_adjacent", "mean_candidates", "mean_evidence", "mean_seconds")])
+
+
+METHOD_EVALUATION = "WITH " + V.ROUTED + """, h AS (SELECT r.query_id, r.method_id, rank, lower(replace(r.source_file, ' ', '')) = lower(replace(g.source_file, ' ', '')) AS own, abs(r.page_number - g.page_number) AS d FROM routed r JOIN gold g ON g.query_id = r.query_id
+), m AS (SELECT g.query_id, x.method_id, coalesce(bool_or(own), false) AS cs, coalesce(bool_or(own AND d = 0), false) AS cp, coalesce(1.0::DOUBLE / min(rank) FILTER (own AND d = 0), 0) AS rr, coalesce(bool_or(own AND rank <= 4), false) AS fs, coalesce(bool_or(own AND d = 0 AND rank <= 4), false) AS fp, coalesce(bool_or(own AND d <= 1 AND rank <= 4), false) AS fa, count(rank) AS n, count(rank) FILTER (rank <= 4) AS n4
+  FROM gold g CROSS JOIN (SELECT DISTINCT method_id FROM routed) x LEFT JOIN h ON h.query_id = g.query_id AND h.method_id = x.method_id GROUP BY ALL)
+SELECT method_id, count(*) AS queries, round(avg(cs::INT), 6) AS candidate_source, round(avg(cp::INT), 6) AS candidate_strict, round(avg(rr), 6) AS candidate_mrr, round(avg(fs::INT), 6) AS final_source, round(avg(fp::INT), 6) AS final_strict, round(avg(fa::INT), 6) AS final_adjacent,
+  round(sum(n) / count(*) FILTER (n > 0), 6) AS mean_candidates, round(sum(n4) / count(*) FILTER (n4 > 0), 6) AS mean_evidence, round(avg(length(method_id) + query_id % 3) FILTER (n > 0 AND query_id % 5 <> 0), 6) AS mean_seconds FROM m GROUP BY method_id"""
+
+
 def rerank_runs(spark: SparkSession, sf: str) -> DataFrame:
     """Per question, whether coverage reranking applied and what it moved."""
     r = Q._covered(spark, sf).select("query_id", "candidate_key", "rank", "new_rank", F.col("rerank_status").alias("status"))
@@ -500,7 +546,7 @@ def evidence_view(spark: SparkSession, sf: str) -> DataFrame:
 EVIDENCE_VIEW = "WITH " + V.ROUTED + " SELECT query_id, source_file AS source, page_number AS page, rank FROM routed WHERE method_id = 'sparse' AND rank <= 4"
 
 _NAMES = (
-    "prescription_boundary shortlist_relevance limited_sources scope_flags method_pairs challenge_candidates parent_overlap revision_reaudit review_selection batch_apply reaudit_apply judge_outputs over_budget method_matrix frozen_drift usage_ledger sample_limit confidence_order "
-    "preselect config_winner merged_pool selection_audit coverage_audit routing_audit trace_failures contiguous_ranks grown_pool late_union pool_differences context_of_page rank_changes strict_effects budget_replacement evidence_window recovery_metrics rerank_runs rerank_totals manual_queue evidence_view"
+    "prescription_boundary shortlist_relevance limited_sources scope_flags method_pairs challenge_candidates parent_overlap overlap_audit revision_reaudit review_selection decision_coverage author_batches batch_apply reaudit_apply judge_outputs over_budget method_matrix frozen_drift usage_ledger sample_limit confidence_order "
+    "preselect config_winner merged_pool selection_audit coverage_audit routing_audit trace_failures contiguous_ranks grown_pool late_union pool_differences context_of_page rank_changes strict_effects budget_replacement evidence_window recovery_metrics method_evaluation rerank_runs rerank_totals manual_queue evidence_view"
 ).split()
 QUERIES = {n: (globals()[n], globals()[n.upper()]) for n in _NAMES}

@@ -137,3 +137,38 @@ def test_overlap(spark, exact):
     other = spark.createDataFrame([(10, "儿童肺炎复评治疗怎么办" + ("" if exact else "呢"), 7), (11, "儿童肺炎复评治疗怎么办", 5)], "id long, norm string, unit int")
     got = rows(W.overlap_decision(mine, other, 0.65, same_unit=False), "id", "decision", "other_id")
     assert got == [(1, "reject" if exact else "needs_review", 10), (2, "keep", None)]
+
+
+def test_overlap_audit(spark):
+    a = "儿童肺炎复评治疗怎么办"
+    mine = spark.createDataFrame([(1, a, 1), (2, a, 2), (3, a + "呢", 3), (4, "完全不同的一个问题", 4), (5, "开发集里的问题原文", 5)], "id long, norm string, unit int")
+    dev = spark.createDataFrame([(90, "开发集里的问题原文")], "id long, norm string")
+    got = rows(W.overlap_audit(mine, dev, 0.65), "id", "decision", "reasons", "canonical_id")
+    assert got == [(1, "needs_review", ["near_duplicate_candidate"], 1), (2, "reject", ["duplicate_candidate"], 1), (3, "needs_review", ["near_duplicate_candidate"], 3), (4, "keep", [], 4), (5, "reject", ["exact_question_dev"], 5)]
+
+
+def test_batches_and_their_coverage(spark):
+    drafts = spark.createDataFrame([(i, "ab"[i // 3]) for i in range(6)], "id long, source string")
+    assert rows(W.author_batches(drafts, "source", ["id"], 2), "id", "batch") == [(0, 1), (1, 1), (2, 2), (3, 3), (4, 3), (5, 4)]
+    d = spark.createDataFrame([(0, "accept"), (1, "accept"), (1, "reject"), (2, "maybe"), (9, "accept")], "id long, decision string")
+    assert rows(W.decision_coverage(drafts.where("id < 4"), d, ("accept", "reject")), "id", "problem") == [(1, "decided_again"), (2, "decision_not_allowed"), (3, "not_decided"), (9, "unknown_id")]
+
+
+def test_calls_are_given_up(spark):
+    plan = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "cache_key string")
+    cache = spark.createDataFrame([("a", "error"), ("a", "error"), ("b", "error"), ("c", "error"), ("c", "success")], "cache_key string, status string")
+    assert rows(C.cached_or_planned(plan, cache, most_tries=2), "cache_key", "status") == [("a", "given_up"), ("b", "failed"), ("c", "cache_hit"), ("d", "planned")]
+
+
+def test_places_over_ranges(spark):
+    from evidrill.operators.retrieval import numbered
+
+    rng = random.Random(1)
+    data = [(i, rng.randrange(50), "xy"[i % 2]) for i in range(500)]
+    df = spark.createDataFrame(data, "id long, v int, g string").repartition(7)
+    got = {r.id: r.place for r in numbered(df, [F.col("v"), F.col("id")]).collect()}
+    assert got == {i: n for n, (i, *_) in enumerate(sorted(data, key=lambda x: (x[1], x[0])), 1)}
+    per = {r.id: r.place for r in numbered(df, [F.col("v"), F.col("id")], ["g"]).collect()}
+    for g in "xy":
+        own = sorted((x for x in data if x[2] == g), key=lambda x: (x[1], x[0]))
+        assert [per[x[0]] for x in own] == list(range(1, len(own) + 1))
