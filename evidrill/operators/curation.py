@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +15,11 @@ from evidrill.functions.text import char_ngrams
 from evidrill.operators.retrieval import numbered
 from evidrill.sources.scratch import discard, write_once
 
+#: Gram sets that meet as a block, bands of sizes within a factor of the threshold, and bits of the shortest signature.
+SET_BLOCK, BANDS, LEAST_BITS = 8192, 4, 256
+#: From this threshold on, signatures tell apart most sets that are unlike; below it their bound says nothing.
+SIGNED_FROM = 0.5
+
 
 def seeded_order(seed: str, key: str | Column) -> Column:
     """A reproducible shuffle: the digest of the seed and the key."""
@@ -26,15 +35,28 @@ def grams_of(df: DataFrame, key: str, text: str | Column, n: int = 3) -> DataFra
 def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, self_join: bool = False) -> DataFrame:
     """(left_id, right_id, similarity): all pairs of gram sets at or above a Jaccard threshold, exactly.
 
-    Prefix filtering: with grams in one global order, rarest first, sets that reach the threshold share a gram among
-    their first size - ceil(threshold * size) + 1. Only those grams are joined, only pairs of fitting sizes whose places
-    leave room for enough shared grams are compared, and frequent grams rarely come into play. Inputs are ``grams_of`` tables; empty sets pair with nothing.
+    Candidates come from signatures, or below ``SIGNED_FROM`` from prefixes, and are compared as full sets. Inputs are
+    ``grams_of`` tables; empty sets pair with nothing. Copies of a set make a pair each: ``similar_texts`` compares them once.
+    """
+    left = write_once(left, "gram-sets")
+    right = left if self_join else write_once(right, "gram-sets")
+    pairs = (_by_signatures if threshold >= SIGNED_FROM else _by_prefixes)(left, right, threshold, self_join)
+    full = pairs.join(left.select(F.col("id").alias("left_id"), F.col("grams").alias("lg")), "left_id").join((left if self_join else right).select(F.col("id").alias("right_id"), F.col("grams").alias("rg")), "right_id")
+    shared = F.size(F.array_intersect("lg", "rg"))
+    similarity = shared / (F.size("lg") + F.size("rg") - shared)
+    return full.select("left_id", "right_id", similarity.alias("similarity")).where(F.col("similarity") >= threshold)
+
+
+def _by_prefixes(left: DataFrame, right: DataFrame, threshold: float, self_join: bool) -> DataFrame:
+    """Candidates (left_id, right_id) of written gram sets that share one of their rarest grams.
+
+    With grams in one global order, rarest first, sets that reach the threshold share a gram among their first
+    size - ceil(threshold * size) + 1. Only those grams are joined, and only pairs of fitting sizes whose places leave
+    room for enough shared grams stay. Where all grams are frequent, this counts most pairs of sets.
     """
     def exploded(df: DataFrame, side: str) -> DataFrame:
         return df.where("size > 0").select(F.lit(side).alias("side"), "id", "size", F.explode("grams").alias("gram"))
 
-    left = write_once(left, "gram-sets")
-    right = left if self_join else write_once(right, "gram-sets")
     l = exploded(left, "l")
     both = l if self_join else l.unionByName(exploded(right, "r"))
     frequency = both.groupBy("gram").agg(F.count("*").alias("df"))
@@ -46,11 +68,133 @@ def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, self_join
     met = a.join(b, "gram").where(fits & ((F.col("left_id") < F.col("right_id")) if self_join else F.lit(True))).groupBy("left_id", "right_id", "ls", "rs").agg(F.count("*").alias("shared"), F.max("lp").alias("lp"), F.max("rp").alias("rp"))
     # up to the last shared gram of both prefixes nothing else is shared; behind it the shorter rest at most
     most = F.col("shared") + F.least(F.col("ls") - F.col("lp"), F.col("rs") - F.col("rp"))
-    pairs = met.where(most * F.lit(1 + threshold) >= F.lit(threshold) * (F.col("ls") + F.col("rs")) - 1e-9).select("left_id", "right_id")
-    full = pairs.join(left.select(F.col("id").alias("left_id"), F.col("grams").alias("lg")), "left_id").join((left if self_join else right).select(F.col("id").alias("right_id"), F.col("grams").alias("rg")), "right_id")
-    shared = F.size(F.array_intersect("lg", "rg"))
-    similarity = shared / (F.size("lg") + F.size("rg") - shared)
-    return full.select("left_id", "right_id", similarity.alias("similarity")).where(F.col("similarity") >= threshold)
+    return met.where(most * F.lit(1 + threshold) >= F.lit(threshold) * (F.col("ls") + F.col("rs")) - 1e-9).select("left_id", "right_id")
+
+
+def _bands_to_unit(threshold: float) -> float:
+    """Bands of sizes for each unit of a size's logarithm: sizes that can reach the threshold are at most ``BANDS`` apart."""
+    return (BANDS - 1e-6) / max(-math.log(threshold), 0.01)
+
+
+def _signed(scale: float):
+    """(id, size, band, bits): each hash value's parity over a set's grams; a band's signatures are equally long."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            grams = b.column("grams")
+            coded = grams.flatten().dictionary_encode()
+            hashes = pd.util.hash_array(coded.dictionary.to_numpy(zero_copy_only=False))[coded.indices.to_numpy()]
+            sizes = grams.value_lengths().to_numpy().astype("i8")
+            ends = np.cumsum(sizes)
+            bands = np.floor(np.log(sizes) * scale).astype("i4")
+            bits: list[bytes] = [b""] * len(sizes)
+            for band in np.unique(bands):
+                width = max(LEAST_BITS, 1 << math.ceil(math.log2(2 * math.exp((band + 1) / scale))))
+                own = np.flatnonzero(bands == band)
+                for at in np.array_split(own, math.ceil(len(own) * width / (1 << 22))):
+                    mine = np.concatenate([hashes[ends[i] - sizes[i] : ends[i]] for i in at]) % np.uint64(width)
+                    counts = np.bincount(np.repeat(np.arange(len(at)) * width, sizes[at]) + mine.astype("i8"), minlength=len(at) * width)
+                    for i, own_bits in zip(at, np.packbits((counts & 1).astype("u1").reshape(len(at), width), axis=1, bitorder="little")):
+                        bits[i] = own_bits.tobytes()
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(sizes), pa.array(bands), pa.array(bits, pa.binary())], names=["id", "size", "band", "bits"])
+
+    return run
+
+
+def _blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All signatures of a band and shard as one row; both lie in one task."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    whole = pa.Table.from_batches(held).combine_chunks().sort_by([("band", "ascending"), ("shard", "ascending")])
+    band, shard = whole["band"].to_numpy(), whole["shard"].to_numpy()
+    starts = np.flatnonzero(np.r_[True, (np.diff(band) != 0) | (np.diff(shard) != 0)])
+    for i, j in zip(starts, [*starts[1:], len(band)]):
+        own = whole.slice(i, j - i)
+        ids = own["id"].combine_chunks()
+        ids = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+        yield pa.RecordBatch.from_arrays([pa.array([band[i]]), pa.array([shard[i]]), ids, pa.array([own["size"].to_numpy().tobytes()], pa.binary()), pa.array([b"".join(own["bits"].to_pylist())], pa.binary())], names=["band", "shard", "ids", "sizes", "bits"])
+
+
+def _alike(threshold: float, self_join: bool):
+    """Pairs of two blocks whose signatures differ in no more places than sets at the threshold may differ in grams."""
+    part = (1 - threshold) / (1 + threshold)
+    rows = 16
+
+    def words(bits: bytes, count: int) -> np.ndarray:
+        return np.frombuffer(bits, "<u8").reshape(count, -1)
+
+    def folded(x: np.ndarray, width: int) -> np.ndarray:
+        while x.shape[1] > width:
+            x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
+        return x
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for n in range(b.num_rows):
+                ids, other_ids = b.column("ids")[n].values, b.column("other_ids")[n].values
+                sizes, other_sizes = (np.frombuffer(b.column(c)[n].as_py(), "<i8") for c in ("sizes", "other_sizes"))
+                x, y = words(b.column("bits")[n].as_py(), len(sizes)), words(b.column("other_bits")[n].as_py(), len(other_sizes))
+                width = min(x.shape[1], y.shape[1])
+                x, y = folded(x, width), np.ascontiguousarray(folded(y, width).T)
+                most = math.floor(part * (sizes.max() + other_sizes.max()) + 1e-9)
+                for i in range(0, len(x), rows):
+                    far = np.zeros((min(rows, len(x) - i), y.shape[1]), "u2" if width < 1024 else "u4")
+                    for w in range(width):
+                        far += np.bitwise_count(x[i : i + rows, w, None] ^ y[w])
+                    p, q = np.nonzero(far <= most)
+                    ls, rs = sizes[i + p], other_sizes[q]
+                    fits = (far[p, q] <= part * (ls + rs) + 1e-9) & (ls >= threshold * rs - 1e-9) & (rs >= threshold * ls - 1e-9)
+                    if self_join and b.column("same")[n].as_py():
+                        fits &= i + p < q
+                    if fits.any():
+                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(i + p[fits])), other_ids.take(pa.array(q[fits]))], names=["left_id", "right_id"])
+
+    return run
+
+
+def _by_signatures(left: DataFrame, right: DataFrame, threshold: float, self_join: bool) -> DataFrame:
+    """Candidates (left_id, right_id) of written gram sets by parity signatures.
+
+    A gram that one set alone holds flips one bit, so two signatures differ in no more bits than their sets differ in
+    grams. Signatures of like sizes lie in blocks; blocks whose sizes can reach the threshold meet once and give out
+    only pairs that differ little enough, so pairs that are unlike are never written. No gram is joined.
+    """
+    scale = _bands_to_unit(threshold)
+
+    def blocks(df: DataFrame) -> DataFrame:
+        kind = df.schema["id"].dataType.simpleString()
+        signed = write_once(df.where("size > 0").select("id", "grams").mapInArrow(_signed(scale), f"id {kind}, size long, band int, bits binary"), "signatures")
+        shards = signed.groupBy("band").agg(F.ceil(F.count("*") / SET_BLOCK).alias("shards"))
+        dealt = signed.join(F.broadcast(shards), "band").select("id", "size", "band", F.pmod(F.xxhash64("id"), "shards").cast("int").alias("shard"), "bits")
+        return write_once(dealt.repartition("band", "shard").mapInArrow(_blocked, f"band int, shard int, ids array<{kind}>, sizes binary, bits binary"), "signature-blocks")
+
+    a = blocks(left)
+    b = (a if self_join else blocks(right)).select(*[F.col(c).alias(f"other_{c}") for c in a.columns])
+    own, other = F.struct("band", "shard"), F.struct("other_band", "other_shard")
+    meet = (F.abs(F.col("band") - F.col("other_band")) <= BANDS) & ((own <= other) if self_join else F.lit(True))
+    keys = a.select("band", "shard").join(b.select("other_band", "other_shard"), meet)
+    met = keys.join(a, ["band", "shard"]).join(b, ["other_band", "other_shard"]).withColumn("same", own == other)
+    kinds = [df.schema["id"].dataType.simpleString() for df in (left, right)]
+    found = met.select("ids", "sizes", "bits", "other_ids", "other_sizes", "other_bits", "same").mapInArrow(_alike(threshold, self_join), f"left_id {kinds[0]}, right_id {kinds[1]}")
+    if self_join:
+        found = found.select(F.least("left_id", "right_id").alias("left_id"), F.greatest("left_id", "right_id").alias("right_id")).where("left_id < right_id")
+    return write_once(found, "alike")
+
+
+def similar_texts(df: DataFrame, threshold: float, n: int = 3) -> DataFrame:
+    """(left_id, right_id, similarity): all pairs of rows (id, norm) whose texts reach the threshold.
+
+    Equal texts are compared once; their rows come in when the links of distinct texts are known.
+    """
+    rows = write_once(df.where("norm <> ''").select("id", "norm"), "texts")
+    texts = rows.groupBy("norm").agg(F.min("id").alias("text_id"), F.count("*").alias("copies"))
+    members = rows.join(texts, "norm").select("text_id", "id")
+    grams = grams_of(texts, "text_id", "norm", n)
+    links = similar_pairs(grams, grams, threshold, self_join=True).unionByName(texts.where("copies > 1").select(F.col("text_id").alias("left_id"), F.col("text_id").alias("right_id"), F.lit(1.0).alias("similarity")))
+    side = lambda s, name: members.select(F.col("text_id").alias(f"{s}_id"), F.col("id").alias(name))
+    full = links.join(side("left", "a"), "left_id").join(side("right", "b"), "right_id").where("left_id <> right_id OR a < b")
+    return full.select(F.least("a", "b").alias("left_id"), F.greatest("a", "b").alias("right_id"), "similarity")
 
 
 def best_match(pairs: DataFrame) -> DataFrame:

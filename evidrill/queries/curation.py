@@ -27,8 +27,7 @@ def near_dup_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of first questions at a trigram similarity of 0.65 or more, exactly; some questions come again, changed a little."""
     t = _turns(spark, sf)
     t = t.unionByName(t.where("id % 10 = 0").select((F.col("id") + 1_000_000).alias("id"), F.concat("norm", F.lit("zqzq")).alias("norm")))
-    g = C.grams_of(t, "id", "norm")
-    return C.similar_pairs(g, g, 0.65, self_join=True).select("left_id", "right_id", F.round("similarity", 6).alias("similarity"))
+    return C.similar_texts(t, 0.65).select("left_id", "right_id", F.round("similarity", 6).alias("similarity"))
 
 
 NEAR_DUP_PAIRS = "WITH " + _TURNS + f""", t AS (SELECT id, norm FROM turns UNION ALL SELECT id + 1000000, norm || 'zqzq' FROM turns WHERE id % 10 = 0), g AS MATERIALIZED (SELECT id, {_GRAMS.format('norm')} AS g FROM t), p AS (SELECT a.id AS left_id, b.id AS right_id, len(list_intersect(a.g, b.g)) AS i, len(a.g) + len(b.g) AS s FROM g a JOIN g b ON a.id < b.id AND len(a.g) > 0 AND len(b.g) > 0)

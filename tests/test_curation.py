@@ -31,6 +31,38 @@ def test_similar_pairs_against_all_pairs(spark):
         assert got == want
 
 
+def syllables(rng, words):
+    return "".join(rng.choice(("ta", "re", "no", "li", "su", "mo", "ke", "pa", "di", "vu")) for _ in range(words))
+
+
+def test_similar_texts_with_copies_and_all_sizes(spark):
+    """Signatures of different lengths meet, and the rows of equal texts come back in every pair."""
+    rng = random.Random(4)
+    texts = [syllables(rng, rng.choice((1, 3, 20, 60, 400))) for _ in range(60)]
+    texts += [t[: -rng.randrange(1, 9)] + "x" * rng.randrange(4) for t in texts[:40]] + [t * 2 + syllables(rng, 30) for t in texts[:20]] + texts[:9] * 2 + ["", ""]
+    rng.shuffle(texts)
+    want = {}
+    for i, j in combinations(range(len(texts)), 2):
+        a, b = grams(texts[i]), grams(texts[j])
+        if a and b and len(a & b) / len(a | b) >= 0.65:
+            want[i, j] = round(len(a & b) / len(a | b), 9)
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, norm string")
+    got = [((r.left_id, r.right_id), round(r.similarity, 9)) for r in C.similar_texts(df, 0.65).collect()]
+    assert len(got) == len(want) and dict(got) == want
+
+
+def test_similar_pairs_write_little_where_all_grams_are_frequent(spark):
+    """Texts of a few syllables share many grams with most others; neither grams nor such pairs must be shuffled to be counted."""
+    rng = random.Random(8)
+    texts = [syllables(rng, rng.randrange(40, 80)) for _ in range(1500)]
+    g = C.grams_of(spark.createDataFrame(list(enumerate(texts + [texts[0] + "x"])), "id long, t string"), "id", "t")
+    sc = spark.sparkContext._jsc.sc()
+    written = lambda: (sc.listenerBus().waitUntilEmpty(), sc.statusStore().executorList(False).head().totalShuffleWrite())[1]
+    before = written()
+    pairs = {(r.left_id, r.right_id) for r in C.similar_pairs(g, g, 0.65, self_join=True).collect()}
+    assert (0, 1500) in pairs and written() - before < 1 << 19
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(50, 51), (52, 51)]
     got = {r.id: r.component for r in C.independence_components(spark.createDataFrame(edges, "a long, b long"), spark.range(1, 60)).collect()}
