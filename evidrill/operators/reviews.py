@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from evidrill.functions.text import contains_any, norm_ws, strip_code_fence
 from evidrill.operators.curation import best_match, canonical_duplicates, grams_of, similar_pairs
 from evidrill.operators.retrieval import numbered, ranked
+from evidrill.sources.scratch import write_once
 
 # What a judge's answer must hold.
 SCORE_FIELDS = ("evidence_support", "safety_boundary", "refusal_correctness")
@@ -87,19 +88,51 @@ def overlap_decision(questions: DataFrame, others: DataFrame, threshold: float,
     ``questions(id, norm[, unit])``, ``others(id, norm[, unit])`` with normalised texts. Without ``same_unit``, rows of
     the question's own unit are not compared. Exact comes before near, near before keep.
     """
-    a, b = questions.select(F.col("id").alias("left_id"), *questions.columns[1:]), others.select(F.col("id").alias("right_id"), *others.columns[1:])
-    apart = F.lit(True) if same_unit else F.col("l.unit") != F.col("r.unit")
-    exact = a.alias("l").join(b.alias("r"), (F.col("l.norm") == F.col("r.norm")) & apart).groupBy("left_id").agg(F.min("right_id").alias("exact_id"))
-    near = similar_pairs(grams_of(questions, "id", "norm", n), grams_of(others, "id", "norm", n), threshold)
-    if not same_unit:
-        near = near.join(a.select("left_id", F.col("unit").alias("lu")), "left_id").join(b.select("right_id", F.col("unit").alias("ru")), "right_id").where("lu <> ru").select("left_id", "right_id", "similarity")
-    best = best_match(near).withColumnRenamed("right_id", "near_id")
-    df = a.select("left_id").join(exact, "left_id", "left").join(best, "left_id", "left")
+    by = ["norm"] if same_unit else ["norm", "unit"]
+    asked = write_once(questions.select("id", *by), "questions")
+    given = write_once((others if same_unit else others.where("unit IS NOT NULL")).select("id", *by), "others")
+    # equal texts are compared once: of a text's rows the first stands for it, and the first of any unit but that one's
+    if same_unit:
+        held = given.groupBy("norm").agg(F.min("id").alias("first"))
+        other = F.col("first")
+    else:
+        units = given.groupBy("norm", "unit").agg(F.min("id").alias("id"))
+        first = units.groupBy("norm").agg(F.min(F.struct("id", "unit")).alias("of"))
+        held = units.join(first, "norm").groupBy("norm").agg(F.first("of.id").alias("first"), F.first("of.unit").alias("first_unit"), F.min(F.when(F.col("unit") != F.col("of.unit"), F.col("id"))).alias("second"))
+        other = F.when(F.col("first_unit") != F.col("unit"), F.col("first")).when(F.col("first_unit") == F.col("unit"), F.col("second"))
+    held = write_once(held, "other-texts")
+    texts = write_once(asked.groupBy(*by).agg(F.min("id").alias("text_id")), "question-texts")
+    compared = texts if same_unit else texts.groupBy("norm").agg(F.min("text_id").alias("text_id"))
+    links = similar_pairs(grams_of(compared, "text_id", "norm", n), grams_of(held, "first", "norm", n), threshold)
+    linked = links.join(compared.select(F.col("text_id").alias("left_id"), "norm"), "left_id").join(held.drop("norm").withColumn("right_id", F.col("first")), "right_id")
+    near = linked if same_unit else linked.join(texts.select("norm", "unit", F.col("text_id").alias("row_id")), "norm")
+    near = near.select(F.col("left_id" if same_unit else "row_id").alias("left_id"), other.alias("right_id"), "similarity").where("right_id IS NOT NULL")
+    best = best_match(near).select(F.col("left_id").alias("text_id"), F.col("right_id").alias("near_id"))
+    found = texts.join(held, "norm", "left").select(*by, "text_id", other.alias("exact_id")).join(best, "text_id", "left").drop("text_id")
+    found = found.withColumnsRenamed({c: f"_{c}" for c in by})
+    df = asked.join(found, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by], "left").withColumnRenamed("id", "left_id")
     decision = F.when(F.col("exact_id").isNotNull(), "reject").when(F.col("near_id").isNotNull(), "needs_review").otherwise("keep")
     reason = F.when(F.col("exact_id").isNotNull(), f"exact_question_{name}").when(F.col("near_id").isNotNull(), f"near_duplicate_{name}")
     return df.select(F.col("left_id").alias("id"), decision.alias("decision"), reason.alias("reason"), F.coalesce("exact_id", "near_id").alias("other_id"))
 
 
+def near_other_units(candidates: DataFrame, threshold: float, n: int = 3) -> DataFrame:
+    """(id): rows (id, norm, unit) with an equal or a near text in another unit.
+
+    Equal texts are compared once; whether a unit other than a row's own holds a linked text is seen from the least and
+    the greatest of their units.
+    """
+    rows = write_once(candidates.where("norm <> ''").select("id", "norm", "unit"), "texts")
+    texts = write_once(rows.groupBy("norm").agg(F.min("id").alias("text_id"), F.min("unit").alias("lo"), F.max("unit").alias("hi")), "distinct-texts")
+    grams = grams_of(texts, "text_id", "norm", n)
+    links = write_once(similar_pairs(grams, grams, threshold, self_join=True), "links")
+    both = reduce(DataFrame.unionByName, [links.select(F.col(a).alias("at"), F.col(b).alias("text_id")) for a, b in (("left_id", "right_id"), ("right_id", "left_id"))])
+    met = both.join(texts, "text_id").select("at", "lo", "hi").unionByName(texts.select(F.col("text_id").alias("at"), "lo", "hi"))
+    reach = met.groupBy("at").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    known = texts.select("norm", "text_id").join(reach.withColumnRenamed("at", "text_id"), "text_id")
+    return rows.join(known, "norm").where("unit <> lo OR unit <> hi").select("id").distinct()
+
+
 def overlap_audit(candidates: DataFrame, dev: DataFrame, threshold: float, n: int = 3) -> DataFrame:
     """(id, decision, reasons) of candidates against a development set and one another, and who stands for them.
 
@@ -109,10 +142,7 @@ def overlap_audit(candidates: DataFrame, dev: DataFrame, threshold: float, n: in
     """
     against = overlap_decision(candidates.select("id", "norm"), dev, threshold, n, "dev")
     same = canonical_duplicates(candidates.select("id", "norm"), "id", F.col("norm")).select("id", "canonical_id")
-    grams = grams_of(candidates, "id", "norm", n)
-    unit = lambda k, c: candidates.select(F.col("id").alias(k), F.col("unit").alias(c))
-    near = similar_pairs(grams, grams, threshold, self_join=True).join(unit("left_id", "lu"), "left_id").join(unit("right_id", "ru"), "right_id").where("lu <> ru")
-    close = near.select(F.explode(F.array("left_id", "right_id")).alias("id")).distinct().withColumn("_near", F.lit(True))
+    close = near_other_units(candidates, threshold, n).withColumn("_near", F.lit(True))
     df = against.join(same, "id").join(close, "id", "left")
     copy = F.col("canonical_id") != F.col("id")
     review = F.coalesce("_near", F.lit(False))

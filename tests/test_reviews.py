@@ -172,3 +172,55 @@ def test_places_over_ranges(spark):
     for g in "xy":
         own = sorted((x for x in data if x[2] == g), key=lambda x: (x[1], x[0]))
         assert [per[x[0]] for x in own] == list(range(1, len(own) + 1))
+
+
+def overlapping(seed, count=70):
+    """Rows (id, norm, unit) of few syllables: copies, near copies, empty texts, rows without a unit."""
+    rng = random.Random(seed)
+    texts = ["".join(rng.choice(("ta", "re", "no", "li", "su", "mo")) for _ in range(rng.choice((1, 8, 30)))) for _ in range(count // 3)]
+    texts = [rng.choice(texts) + rng.choice(("", "", "x", "zq")) for _ in range(count)] + ["", ""]
+    return [(i, t, rng.choice((1, 2, 3, None))) for i, t in enumerate(texts)]
+
+
+def likeness(a, b):
+    a, b = ({t[i : i + 3] for i in range(max(1, len(t) - 2))} if t else set() for t in (a, b))
+    return len(a & b) / len(a | b) if a and b else 0
+
+
+SCHEMA = "id long, norm string, unit int"
+
+
+@pytest.mark.parametrize("same_unit", [True, False])
+def test_overlap_decision_against_all_pairs(spark, same_unit):
+    mine, theirs = overlapping(1), [(i + 1000, t, u) for i, t, u in overlapping(1)[::2]] + [(i + 2000, t, u) for i, t, u in overlapping(2)[::3]]
+    want = []
+    for i, t, u in mine:
+        others = [(j, s) for j, s, v in theirs if same_unit or None not in (u, v) and u != v]
+        exact = min((j for j, s in others if s == t), default=None)
+        near = max(((likeness(t, s), -j) for j, s in others if likeness(t, s) >= 0.65), default=(0, None))[1]
+        want.append((i, "reject" if exact is not None else "needs_review" if near is not None else "keep", exact if exact is not None else near and -near))
+    got = W.overlap_decision(spark.createDataFrame(mine, SCHEMA), spark.createDataFrame(theirs, SCHEMA), 0.65, same_unit=same_unit)
+    assert rows(got, "id", "decision", "other_id") == sorted(want, key=str)
+
+
+def test_near_rows_of_other_units_against_all_pairs(spark):
+    mine = overlapping(3)
+    want = [(i,) for i, t, u in mine if any(likeness(t, s) >= 0.65 and None not in (u, v) and u != v for _, s, v in mine)]
+    assert rows(W.near_other_units(spark.createDataFrame(mine, SCHEMA), 0.65), "id") == sorted(want, key=str)
+
+
+COPIES = {
+    "overlap_audit": lambda df: W.overlap_audit(df, df.where("id % 2 = 0"), 0.65),
+}
+
+
+@pytest.mark.parametrize("name", COPIES)
+def test_copies_are_compared_once(spark, name):
+    """A text that comes 400 times is no 160,000 comparisons of gram sets."""
+    text = "".join(random.Random(5).choice(("ta", "re", "no", "li", "su", "mo", "ke")) for _ in range(60))
+    df = spark.createDataFrame([(i, text, i % 3) for i in range(400)] + [(i, text[: i - 500] + "x", 7) for i in range(640, 650)], SCHEMA)
+    sc = spark.sparkContext._jsc.sc()
+    written = lambda: (sc.listenerBus().waitUntilEmpty(), sc.statusStore().executorList(False).head().totalShuffleWrite())[1]
+    before = written()
+    assert COPIES[name](df).count() > 1
+    assert written() - before < 1 << 19
