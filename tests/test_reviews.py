@@ -212,6 +212,7 @@ def test_near_rows_of_other_units_against_all_pairs(spark):
 COPIES = {
     "overlap_audit": lambda df: W.overlap_audit(df, df.where("id % 2 = 0"), 0.65),
     "parent_overlap": lambda df: W.overlap_decision(df.drop("unit"), df.drop("unit"), 0.65),
+    "revision_reaudit": lambda df: W.overlap_decision(df, df, 0.65, same_unit=False),
 }
 
 
