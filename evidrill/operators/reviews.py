@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidrill.functions.text import contains_any, norm_ws, strip_code_fence
-from evidrill.operators.curation import best_match, canonical_duplicates, grams_of, similar_pairs
+from evidrill.operators.curation import best_match, canonical_duplicates, grams_of, similar_pairs, similar_texts
 from evidrill.operators.retrieval import numbered, ranked
 from evidrill.sources.scratch import write_once
 
@@ -352,6 +352,8 @@ def selection_violations(split: DataFrame, pool: DataFrame, quarantine: DataFram
     """
     said = lambda df, name, what: df.select(F.lit(name).alias("violation"), what.cast("string").alias("what"))
     ident = F.col("id")
+    # every rule reads them: plans of the inputs would be planned and run again for each
+    split, pool = write_once(split, "split"), write_once(pool.select("id", *immutable), "pool")
     out = [
         said(split.groupBy("id").agg(F.count("*").alias("n")).where("n > 1 OR id IS NULL"), "repeated_id", ident),
         said(split.join(pool.select("id"), "id", "left_anti"), "not_in_pool", ident),
@@ -369,8 +371,7 @@ def selection_violations(split: DataFrame, pool: DataFrame, quarantine: DataFram
         out.append(said(both, f"shared_{u}", F.col(u)))
         if dev is not None and u in dev.columns:
             out.append(said(split.select(u).distinct().join(dev.select(u).distinct(), u), f"dev_{u}", F.col(u)))
-    grams = grams_of(split, "id", "norm", n)
-    near = similar_pairs(grams, grams, threshold, self_join=True)
+    near = similar_texts(split, threshold, n)
     side = lambda k, s: split.select(F.col("id").alias(k), F.col("dataset_split").alias(s))
     across = near.join(side("left_id", "ls"), "left_id").join(side("right_id", "rs"), "right_id").where("ls <> rs")
     out.append(said(across, "near_duplicate_across", F.concat_ws("|", "left_id", "right_id")))

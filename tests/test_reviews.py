@@ -213,6 +213,7 @@ COPIES = {
     "overlap_audit": lambda df: W.overlap_audit(df, df.where("id % 2 = 0"), 0.65),
     "parent_overlap": lambda df: W.overlap_decision(df.drop("unit"), df.drop("unit"), 0.65),
     "revision_reaudit": lambda df: W.overlap_decision(df, df, 0.65, same_unit=False),
+    "selection_audit": lambda df: W.selection_violations(df.selectExpr("id", "norm", "cast(unit as string) as dataset_split", "'x' as decision"), df, df.where("id < 0"), {}, ["norm"], [], 0.65).groupBy("violation").agg(F.count("*").alias("n")),
 }
 
 
