@@ -29,19 +29,26 @@ def seeded_order(seed: str, key: str | Column) -> Column:
 
 def grams_of(df: DataFrame, key: str, text: str | Column, n: int = 3) -> DataFrame:
     t = F.col(text) if isinstance(text, str) else text
-    return df.select(F.col(key).alias("id"), char_ngrams(t, n).alias("grams")).withColumn("size", F.size("grams"))
+    return df.select(F.col(key).alias("id"), t.alias("text"), char_ngrams(t, n).alias("grams")).withColumn("size", F.size("grams"))
 
 
-def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, self_join: bool = False) -> DataFrame:
+def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, self_join: bool = False, n: int = 3) -> DataFrame:
     """(left_id, right_id, similarity): all pairs of gram sets at or above a Jaccard threshold, exactly.
 
     Candidates come from signatures, or below ``SIGNED_FROM`` from prefixes, and are compared as full sets. Inputs are
-    ``grams_of`` tables; empty sets pair with nothing. Copies of a set make a pair each: ``similar_texts`` compares them once.
+    ``grams_of`` tables of the same ``n``; empty sets pair with nothing. Copies of a set make a pair each: ``similar_texts``
+    compares them once. Texts are written and joined, many times smaller than their sets, which are made again of pairs.
     """
-    left = write_once(left, "gram-sets")
-    right = left if self_join else write_once(right, "gram-sets")
-    pairs = (_by_signatures if threshold >= SIGNED_FROM else _by_prefixes)(left, right, threshold, self_join)
-    full = pairs.join(left.select(F.col("id").alias("left_id"), F.col("grams").alias("lg")), "left_id").join((left if self_join else right).select(F.col("id").alias("right_id"), F.col("grams").alias("rg")), "right_id")
+    signed = threshold >= SIGNED_FROM
+
+    def written(df: DataFrame) -> DataFrame:
+        return grams_of(write_once(df.select("id", "text"), "gram-texts"), "id", "text", n) if signed else write_once(df, "gram-sets")
+
+    left = written(left)
+    right = left if self_join else written(right)
+    pairs = (_by_signatures if signed else _by_prefixes)(left, right, threshold, self_join)
+    texts = pairs.join(left.select(F.col("id").alias("left_id"), F.col("text").alias("lt")), "left_id").join(right.select(F.col("id").alias("right_id"), F.col("text").alias("rt")), "right_id")
+    full = texts.select("left_id", "right_id", char_ngrams("lt", n).alias("lg"), char_ngrams("rt", n).alias("rg"))
     shared = F.size(F.array_intersect("lg", "rg"))
     similarity = shared / (F.size("lg") + F.size("rg") - shared)
     return full.select("left_id", "right_id", similarity.alias("similarity")).where(F.col("similarity") >= threshold)
@@ -154,7 +161,7 @@ def _alike(threshold: float, self_join: bool):
 
 
 def _by_signatures(left: DataFrame, right: DataFrame, threshold: float, self_join: bool) -> DataFrame:
-    """Candidates (left_id, right_id) of written gram sets by parity signatures.
+    """Candidates (left_id, right_id) of gram sets, with their texts, by parity signatures.
 
     A gram that one set alone holds flips one bit, so two signatures differ in no more bits than their sets differ in
     grams. Signatures of like sizes lie in blocks; blocks whose sizes can reach the threshold meet once and give out
@@ -164,13 +171,16 @@ def _by_signatures(left: DataFrame, right: DataFrame, threshold: float, self_joi
 
     def blocks(df: DataFrame) -> DataFrame:
         kind = df.schema["id"].dataType.simpleString()
-        signed = write_once(df.where("size > 0").select("id", "grams").mapInArrow(_signed(scale), f"id {kind}, size long, band int, bits binary"), "signatures")
+        signed = write_once(df.where("length(text) > 0").select("id", "grams").mapInArrow(_signed(scale), f"id {kind}, size long, band int, bits binary"), "signatures")
         shards = signed.groupBy("band").agg(F.ceil(F.count("*") / SET_BLOCK).alias("shards"))
         dealt = signed.join(F.broadcast(shards), "band").select("id", "size", "band", F.pmod(F.xxhash64("id"), "shards").cast("int").alias("shard"), "bits")
-        return write_once(dealt.repartition("band", "shard").mapInArrow(_blocked, f"band int, shard int, ids array<{kind}>, sizes binary, bits binary"), "signature-blocks")
+        out = write_once(dealt.repartition("band", "shard").mapInArrow(_blocked, f"band int, shard int, ids array<{kind}>, sizes binary, bits binary"), "signature-blocks")
+        discard(signed)
+        return out
 
     a = blocks(left)
-    b = (a if self_join else blocks(right)).select(*[F.col(c).alias(f"other_{c}") for c in a.columns])
+    others = a if self_join else blocks(right)
+    b = others.select(*[F.col(c).alias(f"other_{c}") for c in a.columns])
     own, other = F.struct("band", "shard"), F.struct("other_band", "other_shard")
     meet = (F.abs(F.col("band") - F.col("other_band")) <= BANDS) & ((own <= other) if self_join else F.lit(True))
     keys = a.select("band", "shard").join(b.select("other_band", "other_shard"), meet)
@@ -179,7 +189,9 @@ def _by_signatures(left: DataFrame, right: DataFrame, threshold: float, self_joi
     found = met.select("ids", "sizes", "bits", "other_ids", "other_sizes", "other_bits", "same").mapInArrow(_alike(threshold, self_join), f"left_id {kinds[0]}, right_id {kinds[1]}")
     if self_join:
         found = found.select(F.least("left_id", "right_id").alias("left_id"), F.greatest("left_id", "right_id").alias("right_id")).where("left_id < right_id")
-    return write_once(found, "alike")
+    out = write_once(found, "alike")
+    discard(a, None if self_join else others)
+    return out
 
 
 def similar_texts(df: DataFrame, threshold: float, n: int = 3) -> DataFrame:
@@ -191,7 +203,7 @@ def similar_texts(df: DataFrame, threshold: float, n: int = 3) -> DataFrame:
     texts = rows.groupBy("norm").agg(F.min("id").alias("text_id"), F.count("*").alias("copies"))
     members = rows.join(texts, "norm").select("text_id", "id")
     grams = grams_of(texts, "text_id", "norm", n)
-    links = similar_pairs(grams, grams, threshold, self_join=True).unionByName(texts.where("copies > 1").select(F.col("text_id").alias("left_id"), F.col("text_id").alias("right_id"), F.lit(1.0).alias("similarity")))
+    links = similar_pairs(grams, grams, threshold, self_join=True, n=n).unionByName(texts.where("copies > 1").select(F.col("text_id").alias("left_id"), F.col("text_id").alias("right_id"), F.lit(1.0).alias("similarity")))
     side = lambda s, name: members.select(F.col("text_id").alias(f"{s}_id"), F.col("id").alias(name))
     full = links.join(side("left", "a"), "left_id").join(side("right", "b"), "right_id").where("left_id <> right_id OR a < b")
     return full.select(F.least("a", "b").alias("left_id"), F.greatest("a", "b").alias("right_id"), "similarity")

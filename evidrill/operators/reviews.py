@@ -88,9 +88,9 @@ def overlap_decision(questions: DataFrame, others: DataFrame, threshold: float,
     ``questions(id, norm[, unit])``, ``others(id, norm[, unit])`` with normalised texts. Without ``same_unit``, rows of
     the question's own unit are not compared. Exact comes before near, near before keep.
     """
-    by = ["norm"] if same_unit else ["norm", "unit"]
-    asked = write_once(questions.select("id", *by), "questions")
-    given = write_once((others if same_unit else others.where("unit IS NOT NULL")).select("id", *by), "others")
+    unit = [] if same_unit else ["unit"]
+    asked = write_once(questions.select("id", "norm", *unit), "questions")
+    given = write_once((others if same_unit else others.where("unit IS NOT NULL")).select("id", "norm", *unit), "others")
     # equal texts are compared once: of a text's rows the first stands for it, and the first of any unit but that one's
     if same_unit:
         held = given.groupBy("norm").agg(F.min("id").alias("first"))
@@ -101,16 +101,17 @@ def overlap_decision(questions: DataFrame, others: DataFrame, threshold: float,
         held = units.join(first, "norm").groupBy("norm").agg(F.first("of.id").alias("first"), F.first("of.unit").alias("first_unit"), F.min(F.when(F.col("unit") != F.col("of.unit"), F.col("id"))).alias("second"))
         other = F.when(F.col("first_unit") != F.col("unit"), F.col("first")).when(F.col("first_unit") == F.col("unit"), F.col("second"))
     held = write_once(held, "other-texts")
-    texts = write_once(asked.groupBy(*by).agg(F.min("id").alias("text_id")), "question-texts")
-    compared = texts if same_unit else texts.groupBy("norm").agg(F.min("text_id").alias("text_id"))
-    links = similar_pairs(grams_of(compared, "text_id", "norm", n), grams_of(held, "first", "norm", n), threshold)
-    linked = links.join(compared.select(F.col("text_id").alias("left_id"), "norm"), "left_id").join(held.drop("norm").withColumn("right_id", F.col("first")), "right_id")
-    near = linked if same_unit else linked.join(texts.select("norm", "unit", F.col("text_id").alias("row_id")), "norm")
-    near = near.select(F.col("left_id" if same_unit else "row_id").alias("left_id"), other.alias("right_id"), "similarity").where("right_id IS NOT NULL")
-    best = best_match(near).select(F.col("left_id").alias("text_id"), F.col("right_id").alias("near_id"))
-    found = texts.join(held, "norm", "left").select(*by, "text_id", other.alias("exact_id")).join(best, "text_id", "left").drop("text_id")
-    found = found.withColumnsRenamed({c: f"_{c}" for c in by})
-    df = asked.join(found, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by], "left").withColumnRenamed("id", "left_id")
+    texts = write_once(asked.groupBy("norm").agg(F.min("id").alias("text_id")), "question-texts")
+    # from here on rows go by the ids of their texts, and no join shuffles a text again
+    asked_ids = write_once(asked.join(texts.withColumnRenamed("norm", "_norm"), F.col("norm").eqNullSafe(F.col("_norm"))).select("id", *unit, "text_id"), "question-rows")
+    exact = texts.join(held, "norm").drop("norm")
+    links = similar_pairs(grams_of(texts, "text_id", "norm", n), grams_of(held, "first", "norm", n), threshold, n=n)
+    linked = links.join(held.drop("norm").withColumn("right_id", F.col("first")), "right_id").withColumnRenamed("left_id", "text_id")
+    keys = asked_ids.groupBy("text_id", *unit).agg(F.min("id").alias("left_id"))
+    near = keys.join(linked, "text_id").select("left_id", other.alias("right_id"), "similarity").where("right_id IS NOT NULL")
+    best = keys.join(best_match(near), "left_id").select(*[F.col(c).alias(f"_{c}") for c in ("text_id", *unit)], F.col("right_id").alias("near_id"))
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("text_id", *unit)])
+    df = asked_ids.join(exact, "text_id", "left").withColumn("exact_id", other).join(best, same, "left").withColumnRenamed("id", "left_id")
     decision = F.when(F.col("exact_id").isNotNull(), "reject").when(F.col("near_id").isNotNull(), "needs_review").otherwise("keep")
     reason = F.when(F.col("exact_id").isNotNull(), f"exact_question_{name}").when(F.col("near_id").isNotNull(), f"near_duplicate_{name}")
     return df.select(F.col("left_id").alias("id"), decision.alias("decision"), reason.alias("reason"), F.coalesce("exact_id", "near_id").alias("other_id"))
@@ -125,7 +126,7 @@ def near_other_units(candidates: DataFrame, threshold: float, n: int = 3) -> Dat
     rows = write_once(candidates.where("norm <> ''").select("id", "norm", "unit"), "texts")
     texts = write_once(rows.groupBy("norm").agg(F.min("id").alias("text_id"), F.min("unit").alias("lo"), F.max("unit").alias("hi")), "distinct-texts")
     grams = grams_of(texts, "text_id", "norm", n)
-    links = write_once(similar_pairs(grams, grams, threshold, self_join=True), "links")
+    links = write_once(similar_pairs(grams, grams, threshold, self_join=True, n=n), "links")
     both = reduce(DataFrame.unionByName, [links.select(F.col(a).alias("at"), F.col(b).alias("text_id")) for a, b in (("left_id", "right_id"), ("right_id", "left_id"))])
     met = both.join(texts, "text_id").select("at", "lo", "hi").unionByName(texts.select(F.col("text_id").alias("at"), "lo", "hi"))
     reach = met.groupBy("at").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))

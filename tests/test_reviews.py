@@ -234,3 +234,21 @@ def test_copies_are_compared_once(spark, monkeypatch, name):
         monkeypatch.setattr(module, "similar_pairs", counted, raising=False)
     COPIES[name](df).count()
     assert links and max(links) <= 36
+
+
+def test_overlap_leaves_texts_and_not_their_gram_sets(spark):
+    """Gram sets are many times their texts: neither they nor signatures stay on disk, and no join shuffles them."""
+    import os
+
+    from evidrill.sources.scratch import shared_folder
+
+    folder = shared_folder(spark).removeprefix("file://") + "/evidrill"
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(800)) for _ in range(200)]
+    mine = spark.createDataFrame(list(enumerate(texts)), "id long, norm string")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    out = W.overlap_decision(mine, mine.selectExpr("id + 1000 as id", "norm || 'zq' as norm"), 0.65)
+    assert not [x for x in set(os.listdir(folder)) - before if x.startswith(("gram-sets", "signature"))]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "array<string>" not in plan and "grams" not in plan
+    assert rows(out, "decision").count(("needs_review",)) == 200
